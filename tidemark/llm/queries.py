@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, quality
+from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, quality, secret_scan, sharding
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -79,5 +79,50 @@ def op7_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op7_byte_bpe)}
-ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3}
+def op6_sharding(spark, sf_dir):
+    found = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.digests(secret_scan.scan(docs))
+
+
+def _sql_spans(kind: int, pattern: str, group: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT doc_id, source, {kind} AS kind, vs[i] AS value,
+         CAST(list_sum(list_transform(ps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+         length(ws[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i
+        FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), {p}) AS ws, regexp_extract_all(coalesce(text, ''), {p}, {group}) AS vs,
+                     string_split_regex(coalesce(text, ''), {p}) AS ps FROM documents))
+  WHERE length(vs[i]) >= 6"""
+
+
+_OP8 = f"""
+WITH b AS ({_sql_spans(0, secret_scan.ASSIGN, 2)} UNION ALL {_sql_spans(1, secret_scan.ACCESS, 0)} UNION ALL {_sql_spans(2, secret_scan.HEX, 0)}),
+own AS (SELECT value FROM b GROUP BY value HAVING count(DISTINCT coalesce('x' || source, '')) <= 1),
+l AS (SELECT doc_id, 3 AS kind, s, n FROM b WHERE value IN (SELECT value FROM own) AND length(value) >= 16
+      AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+a AS (SELECT doc_id, kind, s, n FROM b UNION ALL SELECT * FROM l),
+j AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+             string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) AS spans,
+             count(*) FILTER (kind = 3) AS n_live
+      FROM a GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents d LEFT JOIN j USING (doc_id)
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
+    )
+}
+ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op8_secret_scan": _OP8}
