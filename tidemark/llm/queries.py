@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, quality, secret_scan, sharding
+from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -91,6 +91,10 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(docs))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _sql_spans(kind: int, pattern: str, group: int) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
     return f"""
@@ -123,6 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
+        op10_ngram_jaccard_join,
     )
 }
 ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op8_secret_scan": _OP8}
