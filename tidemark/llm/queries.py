@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding
+from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding, substring_dedup
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -67,6 +67,24 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
 
+def op4_substring_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.dedup_substrings(docs))
+
+
+_OP4 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, s, array_to_string(ws[s : s + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.i WHERE c.p IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -126,8 +144,8 @@ FROM documents d LEFT JOIN j USING (doc_id)
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_decontaminate, op3_line_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
+        op1_language_id, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
         op10_ngram_jaccard_join,
     )
 }
-ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op8_secret_scan": _OP8}
+ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4, "op8_secret_scan": _OP8}
