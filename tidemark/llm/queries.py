@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding, substring_dedup
+from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding, substring_dedup, token_files
+from tidemark.llm.shared import new_path
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -109,6 +110,13 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(docs))
 
 
+def op9_token_files(spark, sf_dir):
+    path = new_path(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.digests(token_files.read(spark, path))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -145,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
-        op10_ngram_jaccard_join,
+        op9_token_files, op10_ngram_jaccard_join,
     )
 }
 ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4, "op8_secret_scan": _OP8}
