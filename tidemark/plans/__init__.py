@@ -1,4 +1,6 @@
 """Queries over the tables of a folder: plans built from the operators, and equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import aggregates, audits, histories, joins, portfolio, scalars, texts
+from tidemark.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "aggregates", "audits", "histories", "joins", "portfolio", "scalars", "texts"]
