@@ -43,11 +43,11 @@ def _slope_sql(n: int) -> str:
     return f"(v - first_value(v IGNORE NULLS) OVER ({w})) / ((day - first_value(CASE WHEN v IS NOT NULL THEN day END IGNORE NULLS) OVER ({w})) / 30.4375)"
 
 
-@plan(f"""WITH {_H} SELECT user_id, day, round({_slope_sql(3)}, 8) AS velocity_3, round({_slope_sql(7)}, 8) AS velocity_7, round({_slope_sql(14)}, 8) AS velocity_14,
-round({_slope_sql(3)} - {_slope_sql(7)}, 8) AS acceleration FROM h""")
+@plan(f"""WITH {_H} SELECT user_id, day, round({_slope_sql(3)}, 10) AS velocity_3, round({_slope_sql(7)}, 10) AS velocity_7, round({_slope_sql(14)}, 10) AS velocity_14,
+round({_slope_sql(3)} - {_slope_sql(7)}, 10) AS acceleration FROM h""")
 def trailing_velocity(t):
     k = "user_id"
-    return history(t).select(k, "day", *(r(W.slope("v", k, n), 8).alias(f"velocity_{n}") for n in (3, 7, 14)), r(W.acceleration("v", k, 3, 7), 8).alias("acceleration"))
+    return history(t).select(k, "day", *(r(W.slope("v", k, n), 10).alias(f"velocity_{n}") for n in (3, 7, 14)), r(W.acceleration("v", k, 3, 7), 10).alias("acceleration"))
 
 
 @plan(f"""WITH {_H}, d AS (SELECT *, v - lag(v) OVER ({_W}) AS dv, CAST(event_type = 'purchase' AS INTEGER) AS bought FROM h)
@@ -84,9 +84,9 @@ def revisions(t):
 @plan(f"""WITH {_H}, x AS (SELECT user_id, day, count(v) OVER w AS n, first_value(v IGNORE NULLS) OVER w AS a, last_value(v IGNORE NULLS) OVER w AS b,
 first_value(CASE WHEN v IS NOT NULL THEN day END IGNORE NULLS) OVER w AS da, last_value(CASE WHEN v IS NOT NULL THEN day END IGNORE NULLS) OVER w AS db
 FROM h WINDOW w AS ({_W} RANGE BETWEEN 10 PRECEDING AND CURRENT ROW))
-SELECT user_id, day, round(CASE WHEN n >= 2 AND db > da THEN (b - a) / ((db - da) / 30.4375) END, 8) AS trend_10 FROM x""")
+SELECT user_id, day, round(CASE WHEN n >= 2 AND db > da THEN (b - a) / ((db - da) / 30.4375) END, 10) AS trend_10 FROM x""")
 def two_point_trend(t):
-    return history(t).select("user_id", "day", r(W.two_point_trend("v", "user_id", 10), 8).alias("trend_10"))
+    return history(t).select("user_id", "day", r(W.two_point_trend("v", "user_id", 10), 10).alias("trend_10"))
 
 
 @plan("""SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0) / count(*) OVER (), 8) AS exposure FROM customer""")

@@ -61,9 +61,9 @@ def _prior_sql(name: str, by: str) -> str:
 
 
 @plan(f"""WITH {_O}, p AS (SELECT *, {_prior_sql('overall', '')}, {_prior_sql('grp', 'o_orderpriority')}, {_prior_sql('fine', 'o_orderpriority, c_nationkey')} FROM o)
-SELECT o_orderkey, overall_n, grp_n, fine_n, round(overall_mean, 4) AS overall_mean, round(overall_rate, 6) AS overall_rate, round(grp_mean, 4) AS group_mean,
-round(CASE WHEN fine_n >= 3 THEN fine_mean WHEN grp_n >= 3 THEN grp_mean ELSE overall_mean END, 4) AS mean_with_fallback,
-round(CASE WHEN fine_n >= 3 THEN fine_rate WHEN grp_n >= 3 THEN grp_rate ELSE overall_rate END, 6) AS rate_with_fallback FROM p""")
+SELECT o_orderkey, overall_n, grp_n, fine_n, round(overall_mean * overall_n, 2) AS overall_sum, round(overall_rate * overall_n, 2) AS overall_hits, round(grp_mean * grp_n, 2) AS group_sum,
+round(CASE WHEN fine_n >= 3 THEN fine_mean * fine_n WHEN grp_n >= 3 THEN grp_mean * grp_n ELSE overall_mean * overall_n END, 2) AS sum_with_fallback,
+round(CASE WHEN fine_n >= 3 THEN fine_rate * fine_n WHEN grp_n >= 3 THEN grp_rate * grp_n ELSE overall_rate * overall_n END, 2) AS hits_with_fallback FROM p""")
 def asof_priors(t):
     o = _orders(t)
     m = {"mean": F.col("o_totalprice"), "rate": F.col("big")}
@@ -71,9 +71,11 @@ def asof_priors(t):
     out = J.earlier_stats(out, o, "day", m, ("o_orderpriority",), "grp")
     out = J.earlier_stats(out, o, "day", m, ("o_orderpriority", "c_nationkey"), "fine")
     levels = ["fine", "grp", "overall"]
+    n = F.when(F.col("fine_n") >= 3, F.col("fine_n")).when(F.col("grp_n") >= 3, F.col("grp_n")).otherwise(F.col("overall_n"))
+    # Sums, not means: means of cents can end in a five that two engines round apart.
     return out.select(
-        "o_orderkey", "overall_n", "grp_n", "fine_n", r("overall_mean", 4).alias("overall_mean"), r("overall_rate").alias("overall_rate"), r("grp_mean", 4).alias("group_mean"),
-        r(J.with_fallback(out, levels, "mean"), 4).alias("mean_with_fallback"), r(J.with_fallback(out, levels, "rate")).alias("rate_with_fallback"),
+        "o_orderkey", "overall_n", "grp_n", "fine_n", r(F.col("overall_mean") * F.col("overall_n"), 2).alias("overall_sum"), r(F.col("overall_rate") * F.col("overall_n"), 2).alias("overall_hits"),
+        r(F.col("grp_mean") * F.col("grp_n"), 2).alias("group_sum"), r(J.with_fallback(out, levels, "mean") * n, 2).alias("sum_with_fallback"), r(J.with_fallback(out, levels, "rate") * n, 2).alias("hits_with_fallback"),
     )
 
 
