@@ -82,14 +82,28 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int = 0) -> list[
 
 
 def pack_into(sizes: list[int], bins: int) -> list[int]:
-    """Best fit decreasing under the least capacity on a ladder above the mean for which ``bins`` bins suffice."""
-    mean = max(-(-sum(sizes) // bins), max(sizes, default=1))
+    """Best fit decreasing into ``bins`` bins, under the least capacity on a ladder above the mean that suffices.
+
+    An item above the mean of what is left gets a bin of its own first, so that it does not lift the others' capacity.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    alone, left = 0, sum(sizes)
+    while alone < len(order) and bins - alone > 1 and sizes[order[alone]] * (bins - alone) >= left:
+        left -= sizes[order[alone]]
+        alone += 1
+    out = [0] * len(sizes)
+    for k, i in enumerate(order[:alone]):
+        out[i] = k
+    rest, room = order[alone:], bins - alone
+    capacity = max(-(-left // room), max((sizes[i] for i in rest), default=1))
     slack = 0
     while True:
-        out = best_fit_decreasing(sizes, mean + slack)
-        if max(out, default=0) < bins:
+        packed = best_fit_decreasing([sizes[i] for i in rest], capacity + slack)
+        if max(packed, default=0) < room:
+            for i, k in zip(rest, packed, strict=True):
+                out[i] = alone + k
             return out
-        slack = max(slack * 2, mean // 8192, 1)
+        slack = max(slack * 2, capacity // 8192, 1)
 
 
 def sized(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
