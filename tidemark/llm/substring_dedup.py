@@ -7,16 +7,18 @@ Windows are judged on the input.
 The reference is the corpus itself, so its automata cannot all be sent to all documents. They are sharded by content:
 
 * Each window has an *anchor*, the least hash among its runs of window/2 words. Equal windows have equal anchors, so
-  whatever repeats a window meets it in the shard of that anchor. Windows in a row with one anchor form a *piece*.
+  whatever repeats a window meets it in the shard of that anchor. Windows in a row with one anchor form a *piece* (of
+  at most 32 windows), told by its anchor and a hash of its words.
 * Anchors found in one document only are dropped by a count that is combined on the map side.
 * Equal pieces are reduced to their first occurrence, again on the map side, so a passage in a third of all documents
-  reaches its shard once; all its later occurrences go. The windows of very frequent anchors (``hot`` documents or
-  more) become pieces of their own, in shards told apart by the window's first and last word.
+  reaches its shard once; all its later occurrences go. Only anchors with several different pieces need an automaton,
+  and only the first occurrences of those pieces are fetched from the texts. Where an anchor has more than ``hot``
+  pieces, their windows are dealt one by one, to shards told apart by the window's first and last word.
 * In a shard, pieces stream in document order against the generalised suffix automaton of the pieces before them; a
   matching statistic of a whole window marks it. The piece is then added to the automaton if it brought anything new.
 
-Within a document, repeats are found where the text is. Anchors and pieces are told apart by 64 and 128 bits of hash,
-words in the automaton by themselves.
+Within a document, repeats are found where the text is. Anchors and pieces are told apart by 64 bits of hash each, words
+in the automaton by themselves.
 
 Null texts have no words. Null ids come first. Rows with one id count as one document: a repeated row isn't earlier
 than itself, and all get the same result. Only the id and text columns are read. Empty tables give empty ones.
@@ -29,14 +31,16 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.suffix_automaton import SuffixAutomaton
 from tidemark.llm.words import WordHash, extended, slices, space_words, window_hashes
 
 WINDOW = 20
-#: Documents with an anchor from which its windows are dealt one by one.
+#: Different pieces of an anchor from which its windows are dealt one by one.
 HOT = 1000
+_LONGEST = 32
+_BASE = 0x9E3779B97F4A7C15
 _HASHES: list[WordHash] = []
 
 
@@ -46,45 +50,81 @@ def _word_hash() -> WordHash:
     return _HASHES[0]
 
 
+class _Powers:
+    """Powers of the odd base and of its inverse modulo 2^64, grown as texts need them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            steps = 1 << (n - 1).bit_length()
+            inverse = pow(_BASE, -1, 1 << 64)
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(steps, x, np.uint64)))) for x in (_BASE, inverse))
+
+
+_POWERS = _Powers()
+
+
+def piece_hashes(word_hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of words, by differences of one running sum."""
+    n = len(word_hashes)
+    _POWERS.grow(n + 1)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(word_hashes * _POWERS.up[:n], out=run[1:])
+    out = (run[ends] - run[starts]) * _POWERS.down[starts]
+    out ^= (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _running_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
 class Windows:
-    """The windows of one text: their anchors, and which of them occur earlier in the text."""
+    """The windows of a sequence of words: their anchors, which of them occur earlier in it, and the pieces of the rest."""
 
-    def __init__(self, text: str | None, window: int, hashes: WordHash):
-        self.words = space_words(text)
-        self.window, self.n = window, max(0, len(self.words) - window + 1)
+    def __init__(self, words: list[bytes], window: int, hashes: WordHash):
+        self.n = max(0, len(words) - window + 1)
         if not self.n:
             return
-        h = hashes.of(self.words)
+        self.window, self.hashes = window, hashes.of(words)
         k = max(1, window // 2)
-        runs = window_hashes(h, k)
-        self.at = np.lib.stride_tricks.sliding_window_view(runs, window - k + 1).argmin(1) + np.arange(self.n)
-        self.anchors = runs[self.at].view(np.int64)
-        self.new_at = np.flatnonzero(np.concatenate(([True], self.at[1:] != self.at[:-1])))
-        own = self.anchors[self.new_at]
-        self.distinct = np.unique(own)
+        runs = window_hashes(self.hashes, k)
+        low = _running_min(runs, window - k + 1)
+        anchors = low.view(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+        self.anchors, self.new = anchors, new
+        self.distinct = np.unique(anchors[new])
         self.again = np.zeros(self.n, bool)
-        if len(self.distinct) < len(own):  # else no anchor, and so no window, comes twice
+        places = np.zeros(len(runs), bool)  # where an anchor of some window stands
+        for o in range(window - k + 1):
+            places[o : o + self.n] |= runs[o : o + self.n] == low
+        if np.count_nonzero(places) > len(self.distinct):  # else no anchor stands twice, so no window comes twice
             self.again[:] = True
-            self.again[np.unique(window_hashes(h, window), return_index=True)[1]] = False
-
-    def pieces(self, shared: set[int], hot: set[int]):
-        """(start, windows, anchor) of the stretches of windows with a shared anchor that are new in this text."""
-        if not self.n:
-            return
-        ends = [*self.new_at[1:].tolist(), self.n]
-        for start, end, anchor in zip(self.new_at.tolist(), ends, self.anchors[self.new_at].tolist(), strict=True):
-            if anchor not in shared:
-                continue
-            fresh = np.flatnonzero(~self.again[start:end])
-            for own in np.split(fresh, np.flatnonzero(np.diff(fresh) > 1) + 1) if len(fresh) else ():
-                first, n = start + int(own[0]), len(own)
-                if anchor in hot:
-                    yield from ((first + i, 1, anchor) for i in range(n))
-                else:
-                    yield first, n, anchor
-
-    def piece_words(self, start: int, windows: int) -> list[bytes]:
-        return self.words[start : start + windows + self.window - 1]
+            self.again[np.unique(window_hashes(self.hashes, window), return_index=True)[1]] = False
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start, windows, anchor and hash of the stretches of windows with one anchor that are new in this text."""
+        again = self.again
+        turn = np.flatnonzero(np.diff(again)) + 1 if again.any() else self.new[:0]
+        cut = np.union1d(self.new, turn) if len(turn) else self.new
+        size = np.diff(cut, append=self.n)
+        if size.max() > _LONGEST:
+            cut = np.union1d(cut, np.concatenate([np.arange(c, c + m, _LONGEST) for c, m in zip(cut[size > _LONGEST].tolist(), size[size > _LONGEST].tolist(), strict=True)]))
+            size = np.diff(cut, append=self.n)
+        fresh = ~again[cut]
+        start, size = cut[fresh], size[fresh]
+        return start, size, self.anchors[start], piece_hashes(self.hashes, start, start + size + self.window - 1)
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -94,45 +134,72 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         hashes = _word_hash()
         for part in slices(batches):
-            found = [w.distinct if (w := Windows(t, window, hashes)).n else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
+            found = [w.distinct if (w := Windows(space_words(t), window, hashes)).n else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_pydict({"doc": part.column("doc").take(pa.array(rows)), "anchor": pa.array(np.concatenate(found))})
 
     return docs.mapInArrow(run, f"doc {kind}, anchor bigint")
 
 
-def _text_hash(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+def _lists(column: pa.ListArray, *fields: str):
+    """For each row of a list of structs, or of numbers, its part as numpy arrays; null lists are empty."""
+    ends = column.offsets.to_numpy()
+    values = [column.values.field(f).to_numpy(zero_copy_only=False) for f in fields] if fields else [column.values.to_numpy()]
+    for i in range(len(column)):
+        yield tuple(v[ends[i] : ends[i + 1]] for v in values)
 
 
-def _pieces(docs: DataFrame, window: int, with_words: bool) -> DataFrame:
-    """The pieces of rows (doc, text, anchors): doc, start, n, row (the text's hash), a and b (the piece's hash), and
-    with_words its route and words."""
+def _pieces(docs: DataFrame, window: int) -> DataFrame:
+    """The pieces of rows (doc, text, anchors) with one of the anchors: doc, start, n, anchor and a (the piece's hash)."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         hashes = _word_hash()
-        for part in slices(batches, 64):
-            out = {c: [] for c in ("i", "start", "n", "row", "a", "b", "route", "words")}
-            for i, (text, anchors) in enumerate(zip(part.column("text").to_pylist(), part.column("anchors").to_pylist(), strict=True)):
-                own = Windows(text, window, hashes)
-                row = _text_hash(text)
-                shared, hot = {a["anchor"] for a in anchors}, {a["anchor"] for a in anchors if a["hot"]}
-                for start, n, anchor in own.pieces(shared, hot):
-                    words = own.piece_words(start, n)
-                    joined = b" ".join(words)
-                    digest = xxhash.xxh128_intdigest(joined)
-                    route = anchor if anchor not in hot else xxhash.xxh64_intdigest(words[0] + b" " + words[-1], anchor & (2**63 - 1)) - (1 << 63)
-                    for c, v in zip(out, (i, start, n, row, (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63), route, joined), strict=True):
-                        out[c].append(v)
-            kinds = {"start": pa.int32(), "n": pa.int32(), "row": pa.int64(), "a": pa.int64(), "b": pa.int64()}
-            kinds |= {"route": pa.int64(), "words": pa.binary()} if with_words else {}
+        for part in slices(batches):
+            found = []
+            for text, (shared,) in zip(part.column("text").to_pylist(), _lists(part.column("anchors")), strict=True):
+                own = Windows(space_words(text), window, hashes)
+                if own.n:
+                    arrays = own.pieces()
+                    keep = np.isin(arrays[2], shared)
+                    found.append([x[keep] for x in arrays])
+                else:
+                    found.append([np.zeros(0, np.int64)] * 4)
+            rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            start, n, anchor, a = (np.concatenate([f[i] for f in found]) for i in range(4))
             yield pa.RecordBatch.from_pydict(
-                {"doc": part.column("doc").take(pa.array(out["i"], pa.int32()))} | {c: pa.array(out[c], t) for c, t in kinds.items()}
+                {"doc": part.column("doc").take(pa.array(rows)), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "anchor": pa.array(anchor), "a": pa.array(a)}
             )
 
-    words = ", route bigint, words binary" if with_words else ""
-    return docs.mapInArrow(run, f"doc {kind}, start int, n int, row bigint, a bigint, b bigint{words}")
+    return docs.mapInArrow(run, f"doc {kind}, start int, n int, anchor bigint, a bigint")
+
+
+def _fetched(docs: DataFrame, window: int) -> DataFrame:
+    """The words of the pieces listed in rows (doc, text, first): anchor, a, at (its first window), doc, start, route and
+    words; pieces with ``many`` set are cut into windows."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        hashes = _word_hash()
+        for part in slices(batches):
+            out = {c: [] for c in ("row", "anchor", "a", "at", "start", "route", "words")}
+            listed = _lists(part.column("first"), "start", "n", "anchor", "a", "many")
+            for row, (text, own) in enumerate(zip(part.column("text").to_pylist(), listed, strict=True)):
+                words = space_words(text)
+                for start, n, anchor, a, many in zip(*(x.tolist() for x in own), strict=True):
+                    piece = words[start : start + n + window - 1]
+                    # Where an id is repeated with other texts, the piece is in one of them only.
+                    if len(piece) < n + window - 1 or piece_hashes(hashes.of(piece), np.zeros(1, np.int64), np.array([len(piece)]))[0] != a:
+                        continue
+                    for at in range(n) if many else (0,):
+                        sub = piece[at : at + window] if many else piece
+                        route = xxhash.xxh64_intdigest(sub[0] + b" " + sub[-1], anchor & (2**63 - 1)) - (1 << 63) if many else anchor
+                        for c, v in zip(out, (row, anchor, a, at, start + at, route, b" ".join(sub)), strict=True):
+                            out[c].append(v)
+            kinds = {"anchor": pa.int64(), "a": pa.int64(), "at": pa.int32(), "start": pa.int32(), "route": pa.int64(), "words": pa.binary()}
+            yield pa.RecordBatch.from_pydict({"doc": part.column("doc").take(pa.array(out["row"], pa.int32()))} | {c: pa.array(out[c], t) for c, t in kinds.items()})
+
+    return docs.mapInArrow(run, f"doc {kind}, anchor bigint, a bigint, at int, start int, route bigint, words binary")
 
 
 def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
@@ -152,21 +219,20 @@ def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
     return masks
 
 
-def _judged(first: DataFrame, window: int) -> DataFrame:
-    """Streams the shards, whose pieces stand together in order: a, b, doc, start and mask of each piece."""
-    kind = first.schema["doc"].dataType.simpleString()
-    dealt = first.repartition("route").sortWithinPartitions("route", "doc", "start")
+def _judged(fetched: DataFrame, window: int) -> DataFrame:
+    """Streams the shards, whose pieces stand together in order: anchor, a and the mask of each piece's repeated windows."""
+    dealt = fetched.repartition("route").sortWithinPartitions("route", "doc", "start")
 
     def rows(batches):
         for part in slices(batches, 1024):
-            yield from part.to_pylist()
+            yield from zip(*(part.column(c).to_pylist() for c in ("route", "anchor", "a", "at", "words")), strict=True)
 
     def run(batches):
         out = []
-        for _, own in groupby(rows(batches), key=lambda r: r["route"]):
+        for _, own in groupby(rows(batches), key=lambda r: r[0]):
             own = list(own)
-            masks = repeated_windows([r["words"].split(b" ") for r in own], window)
-            out += [r | {"mask": m} for r, m in zip(own, masks, strict=True)]
+            masks = repeated_windows([r[4].split(b" ") for r in own], window)
+            out += [(r[1], r[2], m << r[3]) for r, m in zip(own, masks, strict=True) if m]
             if len(out) > 4096:
                 yield batch(out)
                 out = []
@@ -174,37 +240,40 @@ def _judged(first: DataFrame, window: int) -> DataFrame:
             yield batch(out)
 
     def batch(out):
-        kinds = {"a": pa.int64(), "b": pa.int64(), "mask": pa.int64(), "start": pa.int32(), "doc": doc_type}
-        return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in out], t) for c, t in kinds.items()})
+        return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("anchor", "a", "mask"))})
 
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return dealt.mapInArrow(run, f"a bigint, b bigint, mask bigint, start int, doc {kind}")
+    return dealt.mapInArrow(run, "anchor bigint, a bigint, mask bigint").groupBy("anchor", "a").agg(F.bit_or("mask").alias("mask"))
 
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
-    """docs with n_words, n_removed and kept_text, from ``out``: structs (row, start, n, mask) of each row's pieces."""
+    """docs with n_words, n_removed and kept_text, from ``out``: structs (start, n, a, mask) of each row's pieces."""
     schema = extended(docs.drop("out").schema, "n_words long, n_removed long, kept_text string")
+    bits = np.arange(_LONGEST)
 
     def run(batches):
         hashes = _word_hash()
         for part in slices(batches):
             rows = []
-            for text, out in zip(part.column("text").to_pylist(), part.column("out").to_pylist(), strict=True):
-                own = Windows(text, window, hashes)
-                gone = np.zeros(len(own.words) + 1, np.int64)
+            for text, marks in zip(part.column("text").to_pylist(), _lists(part.column("out"), "start", "n", "a", "mask"), strict=True):
+                words = space_words(text)
+                own, n = Windows(words, window, hashes), len(words)
+                stay = None
                 if own.n:
-                    starts = own.again
-                    row = _text_hash(text) if out else 0
-                    for p in out or ():
-                        if p["row"] == row:
-                            for i in range(p["n"]):
-                                starts[p["start"] + i] |= bool(p["mask"] >> i & 1)
-                    at = np.flatnonzero(starts)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                stay = np.cumsum(gone[:-1]) == 0
-                n = len(own.words)
-                kept = own.words if stay.all() else [own.words[i] for i in np.flatnonzero(stay).tolist()]
+                    repeated = own.again
+                    if len(marks[0]):
+                        start, size, a, mask = (x.astype(np.int64) for x in marks)
+                        inside = start + size <= own.n
+                        start, size, a, mask = start[inside], size[inside], a[inside], mask[inside]
+                        true = piece_hashes(own.hashes, start, start + size + window - 1) == a
+                        on = (mask[:, None] >> bits & 1).astype(bool) & (bits < size[:, None]) & true[:, None]
+                        repeated[(start[:, None] + bits)[on]] = True
+                    at = np.flatnonzero(repeated)
+                    if len(at):
+                        gone = np.zeros(n + 1, np.int32)
+                        gone[at] += 1
+                        gone[at + window] -= 1
+                        stay = np.cumsum(gone[:-1]) == 0
+                kept = words if stay is None else [words[i] for i in np.flatnonzero(stay).tolist()]
                 rows.append((n, n - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             new = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())))}
             yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names if c != "out"} | new)
@@ -214,22 +283,26 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """row_id, text, n_words, n_removed and kept_text (the words that stay, joined by one blank) of every row."""
-    if not 2 <= window <= 60:
-        raise ValueError("a window has 2 to 60 words")
+    if window < 2:
+        raise ValueError("a window has at least two words")
     rows = docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text"))
     anchors = _anchors(rows, window)
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows >= 2")
-    shared = shared.select("anchor", (F.col("rows") >= hot).alias("hot"))
-    own = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
-    # The texts are shuffled by id once: this exchange serves all three joins with them.
+    shared = anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows >= 2").select("anchor")
+    own = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    # The texts are shuffled by id once: this exchange serves all joins with them.
     met = rows.join(own, rows["doc"].eqNullSafe(own["doc"])).select(rows["doc"], "text", "anchors")
-    pieces = _pieces(met, window, with_words=True)
-    first = pieces.groupBy("a", "b").agg(F.min(F.struct("doc", "start", "route", "words")).alias("f")).select("a", "b", "f.*")
-    judged = _judged(first, window).select("a", "b", "mask", F.col("start").alias("first_start"), F.col("doc").alias("first_doc"))
-    everywhere = _pieces(met, window, with_words=False)
-    here = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    marks = everywhere.join(judged, ["a", "b"]).select("doc", "row", "start", "n", F.when(here, F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
-    out = marks.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("row", "start", "n", "mask")).alias("out"))
+    pieces = _pieces(met, window)
+    # A piece comes once in a document, so the least id tells its first occurrence.
+    first = pieces.groupBy("anchor", "a").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("start"), F.max("n").alias("n"), F.count("*").alias("times"), F.count_if(F.col("doc").isNull()).alias("nulls"), F.min(F.when(F.col("doc").isNull(), F.col("start"))).alias("null_start"))
+    known = F.col("nulls") == 0
+    first = first.select("anchor", "a", F.when(known, F.col("first")).alias("first"), F.when(known, F.col("start")).otherwise(F.col("null_start")).alias("start"), "n", "times")
+    kinds = first.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("kinds >= 2")
+    asked = kinds.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "a", (F.col("kinds") > hot).alias("many"))).alias("first"))
+    fetch = rows.join(asked, rows["doc"].eqNullSafe(asked["doc"])).select(rows["doc"], "text", "first")
+    masks = _judged(_fetched(fetch, window), window)
+    verdict = first.join(masks, ["anchor", "a"], "left").where("times >= 2 OR mask IS NOT NULL").select("anchor", "a", "first", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
+    marks = pieces.join(verdict, ["anchor", "a"]).select("doc", "start", "n", "a", F.when(F.col("doc").eqNullSafe(F.col("first")), F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
+    out = marks.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "a", "mask")).alias("out"))
     joined = rows.join(out, rows["doc"].eqNullSafe(out["doc"]), "left").select(rows["doc"], "text", "out")
     return _removed(joined, window).withColumnsRenamed({"doc": row_id, "text": text})
 
