@@ -3,13 +3,11 @@ from __future__ import annotations
 import random
 
 from tidemark.llm import near_dup
-from tidemark.llm.words import WordHash
 
 
 def brute_force(rows, threshold=0.8):
     """Links and class of each row by comparing all pairs."""
-    words = WordHash()
-    sets = [set(near_dup.shingle_set(t, words).tolist()) for _, t in rows]
+    sets = [set(near_dup.shingle_set(t).tolist()) for _, t in rows]
     n = len(rows)
     links, parent = [0] * n, list(range(n))
 

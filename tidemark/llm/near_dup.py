@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A text's shingles are its runs of five words (see ``plain_words``; a text of one to four words has one shingle of
+A text's shingles are its runs of five words (see ``plain_bytes``; a text of one to four words has one shingle of
 all its words). Texts with equal shingle sets form a *node*; copies are never compared. Each node has a label of
 ``LABEL`` MinHash values in each of ``TREES`` prefix tries. Two nodes meet in a tree if they share a prefix. The
 prefix is shortened from the whole label, a value at a time, until the forest's expected recall at the threshold,
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import stored
-from tidemark.llm.words import WordHash, plain_words, slices, window_hashes
+from tidemark.llm.words import plain_bytes, slices, window_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,14 +38,6 @@ RECALL = 0.998
 BLOCK = 128
 _COLUMNS_AT_ONCE = 4096
 
-_HASHES: list[WordHash] = []
-
-
-def _word_hash() -> WordHash:
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    return _HASHES[0]
-
 
 def depth_for(recall: float, threshold: float, trees: int = TREES, label: int = LABEL) -> int:
     """The longest prefix at which pairs at the threshold meet in some tree with the wanted probability."""
@@ -55,12 +47,10 @@ def depth_for(recall: float, threshold: float, trees: int = TREES, label: int =
     return depth
 
 
-def shingle_set(text: str | None, words: WordHash, k: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    found = plain_words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(words.of(found), min(k, len(found))))
+    words = word_hashes(plain_bytes(text))
+    return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else words
 
 
 class Forest:
@@ -92,9 +82,9 @@ def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int) -> D
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches):
-        words, forest = _word_hash(), Forest(depth)
+        forest = Forest(depth)
         for part in slices(batches):
-            sets = [shingle_set(t, words, k) for t in part.column("text").to_pylist()]
+            sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
                     "row_id": part.column("row_id"),
@@ -230,9 +220,8 @@ def _cells(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int)
     met = rows.join(members, rows["row_id"].eqNullSafe(members["rep"])).select("text", "node", "copies", "groups")
 
     def run(batches):
-        words = _word_hash()
         for part in slices(batches):
-            sets = [shingle_set(t, words, k).tobytes() for t in part.column("text").to_pylist()]
+            sets = [shingle_set(t, k).tobytes() for t in part.column("text").to_pylist()]
             # Where an id is repeated with other texts, only the node's own text counts.
             own = pa.array([xxhash.xxh128_digest(s) == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
             out = pa.RecordBatch.from_pydict({"node": part.column("node"), "copies": part.column("copies"), "groups": part.column("groups"), "shingles": pa.array(sets, pa.binary())})

@@ -34,50 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.suffix_automaton import SuffixAutomaton
-from tidemark.llm.words import WordHash, extended, slices, space_words, window_hashes
+from tidemark.llm.words import RunHash, extended, slices, space_bytes, window_hashes, word_hashes
 
 WINDOW = 20
 #: Different pieces of an anchor from which its windows are dealt one by one.
 HOT = 1000
 _LONGEST = 32
-_BASE = 0x9E3779B97F4A7C15
-_HASHES: list[WordHash] = []
-
-
-def _word_hash() -> WordHash:
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    return _HASHES[0]
-
-
-class _Powers:
-    """Powers of the odd base and of its inverse modulo 2^64, grown as texts need them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            steps = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(steps, x, np.uint64)))) for x in (_BASE, inverse))
-
-
-_POWERS = _Powers()
-
-
-def piece_hashes(word_hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of words, by differences of one running sum."""
-    n = len(word_hashes)
-    _POWERS.grow(n + 1)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(word_hashes * _POWERS.up[:n], out=run[1:])
-    out = (run[ends] - run[starts]) * _POWERS.down[starts]
-    out ^= (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+#: Hashes of runs of words, from the words' hashes.
+piece_hashes = RunHash(0x9E3779B97F4A7C15)
 
 
 def _running_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,11 +57,11 @@ def _running_min(x: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """The windows of a sequence of words: their anchors, which of them occur earlier in it, and the pieces of the rest."""
 
-    def __init__(self, words: list[bytes], window: int, hashes: WordHash):
-        self.n = max(0, len(words) - window + 1)
+    def __init__(self, raw: bytes, window: int):
+        self.window, self.hashes = window, word_hashes(raw)
+        self.n = max(0, len(self.hashes) - window + 1)
         if not self.n:
             return
-        self.window, self.hashes = window, hashes.of(words)
         k = max(1, window // 2)
         runs = window_hashes(self.hashes, k)
         low = _running_min(runs, window - k + 1)
@@ -124,7 +88,7 @@ class Windows:
             size = np.diff(cut, append=self.n)
         fresh = ~again[cut]
         start, size = cut[fresh], size[fresh]
-        return start, size, self.anchors[start], piece_hashes(self.hashes, start, start + size + self.window - 1)
+        return start, size, self.anchors[start], piece_hashes(self.hashes, start, start + size + self.window - 1).view(np.int64)
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -132,9 +96,8 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        hashes = _word_hash()
         for part in slices(batches):
-            found = [w.distinct if (w := Windows(space_words(t), window, hashes)).n else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
+            found = [w.distinct if (w := Windows(space_bytes(t), window)).n else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_pydict({"doc": part.column("doc").take(pa.array(rows)), "anchor": pa.array(np.concatenate(found))})
 
@@ -154,11 +117,10 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        hashes = _word_hash()
         for part in slices(batches):
             found = []
             for text, (shared,) in zip(part.column("text").to_pylist(), _lists(part.column("anchors")), strict=True):
-                own = Windows(space_words(text), window, hashes)
+                own = Windows(space_bytes(text), window)
                 if own.n:
                     arrays = own.pieces()
                     keep = np.isin(arrays[2], shared)
@@ -180,16 +142,15 @@ def _fetched(docs: DataFrame, window: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        hashes = _word_hash()
         for part in slices(batches):
             out = {c: [] for c in ("row", "anchor", "a", "at", "start", "route", "words")}
             listed = _lists(part.column("first"), "start", "n", "anchor", "a", "many")
             for row, (text, own) in enumerate(zip(part.column("text").to_pylist(), listed, strict=True)):
-                words = space_words(text)
+                words = space_bytes(text).split()
                 for start, n, anchor, a, many in zip(*(x.tolist() for x in own), strict=True):
                     piece = words[start : start + n + window - 1]
                     # Where an id is repeated with other texts, the piece is in one of them only.
-                    if len(piece) < n + window - 1 or piece_hashes(hashes.of(piece), np.zeros(1, np.int64), np.array([len(piece)]))[0] != a:
+                    if len(piece) < n + window - 1 or piece_hashes(word_hashes(b" ".join(piece)), np.zeros(1, np.int64), np.array([len(piece)])).view(np.int64)[0] != a:
                         continue
                     for at in range(n) if many else (0,):
                         sub = piece[at : at + window] if many else piece
@@ -251,12 +212,12 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
     bits = np.arange(_LONGEST)
 
     def run(batches):
-        hashes = _word_hash()
         for part in slices(batches):
             rows = []
             for text, marks in zip(part.column("text").to_pylist(), _lists(part.column("out"), "start", "n", "a", "mask"), strict=True):
-                words = space_words(text)
-                own, n = Windows(words, window, hashes), len(words)
+                raw = space_bytes(text)
+                own, words = Windows(raw, window), raw.split()
+                n = len(words)
                 stay = None
                 if own.n:
                     repeated = own.again
@@ -264,7 +225,7 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
                         start, size, a, mask = (x.astype(np.int64) for x in marks)
                         inside = start + size <= own.n
                         start, size, a, mask = start[inside], size[inside], a[inside], mask[inside]
-                        true = piece_hashes(own.hashes, start, start + size + window - 1) == a
+                        true = piece_hashes(own.hashes, start, start + size + window - 1).view(np.int64) == a
                         on = (mask[:, None] >> bits & 1).astype(bool) & (bits < size[:, None]) & true[:, None]
                         repeated[(start[:, None] + bits)[on]] = True
                     at = np.flatnonzero(repeated)
