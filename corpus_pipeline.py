@@ -14,25 +14,33 @@ from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_
 from tidemark.llm.shared import stored
 
 
-def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
-    new = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        new = new.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return new.select(*columns)
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with a prefix before all names, so that no column can clash with those that operators add."""
+    return docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
+
+
+def _back(found: DataFrame, docs: DataFrame, text=None) -> DataFrame:
+    """The columns of docs again, with a new text and its length if one is given."""
+    new = {c: F.col(f"in_{c}") for c in docs.columns}
+    if text is not None:
+        new["text"] = text
+        if "n_chars" in new:
+            new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(x.alias(c) for c, x in new.items()))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-centroid model rejects go: no letter, or far from every language. The model learns
     from the documents that op1_language_id learns from."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, text="in_text")
-    return found.where(~F.col("rejected")).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    found = language_id.identify(_apart(docs), model, text="in_text")
+    return _back(found.where(~F.col("rejected")), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; documents stay, if need be with an empty text."""
-    found = line_dedup.drop_frequent_lines(docs)
-    return _with_text(found, F.col("kept_text"), docs.columns)
+    found = line_dedup.drop_frequent_lines(_apart(docs), text="in_text")
+    return _back(found, docs, F.col("kept_text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of ten words or more of a benchmark item go; so do documents that consist of them for more than half."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    renamed = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
-    found = decontaminate.clean(renamed, items, text="in_text")
-    return _with_text(found.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns)), F.col("text"), docs.columns)
+    found = decontaminate.clean(_apart(docs), items, text="in_text")
+    return _back(found, docs, F.col("in_text"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
