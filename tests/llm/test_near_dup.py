@@ -41,8 +41,9 @@ def family(seed: int, copies: int, words: int = 120, edits: int = 2):
 
 
 def test_depth_is_the_longest_that_reaches_the_recall():
-    assert near_dup.depth_for(0.998, 0.8) == 5
-    assert near_dup.depth_for(0.9999999, 0.8) < 5
+    assert near_dup.depth_for(0.998, 0.8, trees=16) == 5
+    assert near_dup.depth_for(near_dup.RECALL, near_dup.THRESHOLD) == 4
+    assert near_dup.depth_for(0.9999999999, 0.8, trees=16) < 4
     assert near_dup.depth_for(0.5, 0.8) == near_dup.LABEL
 
 
@@ -75,3 +76,10 @@ def test_one_of_each_keeps_the_least_id_and_other_columns(spark):
     rows = [(7, text, "x"), (2, text + " end", "y"), (9, "else", "z")]
     left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, class_id string"))
     assert sorted(map(tuple, left.collect())) == [(2, text + " end", "y"), (9, "else", "z")]
+
+
+def test_one_of_each_keeps_a_single_row_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, text), (2, text), (None, "other words here"), (None, "other words here"), (5, ""), (6, text + " end")]
+    left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left) == [(-1, "other words here"), (2, text), (5, "")]
