@@ -66,7 +66,7 @@ def test_calendar(unit):
 
 
 def test_keys_and_labels(unit):
-    assert one(unit, X.name_key(F.lit("  Kakrapar -- UNIT (3)"))) == "kakrapar unit 3"
+    assert one(unit, X.name_key(F.lit("  North River -- UNIT (3)"))) == "north river unit 3"
     assert one(unit, X.name_key(F.lit("--"))) is None
     assert one(unit, X.fallback_key(F.lit("A1"), F.lit("x"), F.lit("y"))) == "A1"
     assert one(unit, X.fallback_key(F.lit(None).cast("string"), F.lit("X!"), F.lit("y"))).startswith("legacy:")

@@ -13,28 +13,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.expr import is_placeholder
 from tidemark.sources.schemas import SNAPSHOT, columns, fit_contract
 
-# Layouts in the order in which they are tried, with what their texts hold.
+# The layouts' names in the order in which they are tried, and the patterns of their texts.
+RECENT, REDESIGNED, CLASSIC, LEGACY = "recent-list", "redesigned-table", "classic-table", "legacy-sector"
 _AMOUNT = r"[\d,]+(?:\.\d+)?"
 _CODE = r"[A-Z]?\d{8,9}"
-RECENT, REDESIGNED, CLASSIC, LEGACY = "recent-list", "redesigned-table", "classic-table", "legacy-sector"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _HEADING = r"^[A-Z][A-Z &/()\-]{2,}$"
 _NOT_HEADING = {
-    CLASSIC: "DETAIL|TOTAL|DATE|PROJECT", REDESIGNED: "DETAIL|TOTAL|DATE|PROJECT", LEGACY: "TOTAL|SECTOR|PROJECT|COST|DATE", RECENT: "DETAIL|TOTAL|DATE|PROJECT",
+    RECENT: "DETAIL|TOTAL|DATE|PROJECT", REDESIGNED: "DETAIL|TOTAL|DATE|PROJECT", CLASSIC: "DETAIL|TOTAL|DATE|PROJECT", LEGACY: "TOTAL|SECTOR|PROJECT|COST|DATE",
 }
+_NOT_HEADING_COMPLETED = r"TABLE|PROJECT|COST|EXPENDITURE|COMMISSIONING|MONTH|DATE|SECTOR|TOTAL|[()]"
 _START = {
-    CLASSIC: rf"(?i)^\s*(\d+)\s+(.+?)\s+(\d{{1,2}}/\d{{4}})\s+({_AMOUNT})\s+({_AMOUNT})\s+({_AMOUNT})\s+(\d{{1,2}}/\d{{4}}|-)\s+(\d{{1,2}}/\d{{4}}|-)",
+    RECENT: rf"^(.*?(?:^|\s)(\d{{1,4}})\s+(\S.*?))\s{{2,}}(\d{{1,2}}[-/]\d{{4}})\s+(\d{{1,2}}[-/]\d{{4}}|/)\s+({_AMOUNT})\s+({_AMOUNT})\s+(\d+(?:\.\d+)?|-)\s*$",
     REDESIGNED: rf"(?i)^\s*(\d+)\s+(.+?)\s+(\d{{1,2}}/\d{{4}})\s+(\d{{1,2}}/\d{{4}}|-)\s+({_AMOUNT})\s+({_AMOUNT})\s+(\d+\s*/\s*\d+)",
+    CLASSIC: rf"(?i)^\s*(\d+)\s+(.+?)\s+(\d{{1,2}}/\d{{4}})\s+({_AMOUNT})\s+({_AMOUNT})\s+({_AMOUNT})\s+(\d{{1,2}}/\d{{4}}|-)\s+(\d{{1,2}}/\d{{4}}|-)",
     LEGACY: rf"(?i)^\s*(\d+)\.?\s+(.+?)\s+(\d{{1,2}}/\d{{4}})\s+({_AMOUNT})\s+(-?{_AMOUNT})\s+({_AMOUNT})\s+(\d{{1,2}}/\d{{4}}|-)\s+(-?\d+|-)\s+(\d+\s*/\s*\d+)",
-    RECENT: rf"^(.*?(?:^|\s)(\d{{1,4}})\s+(\S.*?))\s{{2,}}(\d{{1,2}}[-/]\d{{4}})\s+(\d{{1,2}}[-/]\d{{4}}|/)\s+({_AMOUNT})\s+({_AMOUNT})\s+(\d+(?:\.\d+)?|-)\s*$",
 }
-#: Which group of a layout's start holds what.
-_GROUPS = {
-    CLASSIC: {"name": 2, "approval": 3, "original": 4, "anticipated": 5, "spent": 6, "planned": 7, "revised": 8},
+_GROUPS = {  # which group of a start holds what
+    RECENT: {"name": 3, "approval": 4, "planned": 5, "original": 6, "spent": 7, "progress": 8},
     REDESIGNED: {"name": 2, "approval": 3, "planned": 4, "original": 5, "spent": 6, "milestones": 7},
+    CLASSIC: {"name": 2, "approval": 3, "original": 4, "anticipated": 5, "spent": 6, "planned": 7, "revised": 8},
     LEGACY: {"name": 2, "approval": 3, "original": 4, "spent": 6, "planned": 7, "delay": 8, "milestones": 9},
-    RECENT: {"name": 3, "approval": 4, "planned": 5, "original": 6, "spent": 7, "progress": 8},
 }
-_FOLLOWING = {CLASSIC: 4, REDESIGNED: 5, LEGACY: 4}
+_FOLLOWING = {CLASSIC: 4, REDESIGNED: 5, LEGACY: 4}  # lines that continue a row
+_TWO_LINE_HEAD = r"(?i)Original\s*/.*\n.*Revised\s*/.*\n.*Anticipated"
+_COMPACT_HEAD = r"(?i)S\.No\s+Project\s+Approval\s+Cost\s+Cost\s+ture\s+Revised"
+_BEGIN = {
+    RECENT: "project list: ongoing projects as of", REDESIGNED: "Detail of ongoing Projects", CLASSIC: r"Sector Wise Details|Detail of ongoing Projects|S\.No\s+Project",
+}
+_END = r"(?i)\n\s*(?:STATUS OF CENTRAL|List of Projects Without|ANNEXURE\s+-?\s*X)"
+_CODE_INSIDE = rf"[\[(]({_CODE})\s*[\])]"
+_AFTER_CODE = rf"[\[(]{_CODE}[\])][ \t]*,?[ \t]*([^,\n]+)(?:,([^,\n]+))?"
+_NAME_END = rf"\s+-\s+[\[(]?{_CODE}"
+_LEGACY_AGENCY = r"\(([A-Z][A-Z0-9 &.\-/]{1,50})\)"
+_NOT_NAME = r"(?i)^(\(|\[|Total|\d+\.)"
+_NOT_AGENCY = rf"(?i)^\s*({_CODE}|N\.A\.|\d{{1,2}}[-/]\d{{4}}|[A-Za-z]{{3}}-\d{{2}}|[\d,.]+)\s*$"
+_COMPLETED_RECENT = rf"(?is)(Table:-3\.\s*Project List:\s*Completed during\s+(?:{_MONTHS})\s+20\d{{2}}.*?)(?:Table:-4\.\s*Project List:\s*Added|\z)"
+_COMPLETED_OLD = r"(?is)((?:Month\s+wise\s+List\s+of\s+Completed\s+Projects?|Completed\s+Projects\s+Costing).*?)(?:Details? of ongoing|TABLE-\s*3|Project List:\s*Ongoing|\z)"
+_COMPLETED_FIGURES = r"(\d[\d,]*(?:\.\d+)?)\s+(\d{1,2}/\d{4})\s+(\d[\d,]*(?:\.\d+)?)\b"
+_COMPLETED_AGENCY = rf"\(([^()]{{3,160}})\)\s*-?\s*[\[(]{_CODE}\s*[\])]"
 
 
 def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,8 +74,8 @@ def layout(text: Column) -> Column:
     """The first layout that fits, or null."""
     low = F.lower(text)
     has = lambda s: F.contains(low, F.lit(s))
-    two_lines = text.rlike(r"(?i)Original\s*/.*\n.*Revised\s*/.*\n.*Anticipated")
-    compact = text.rlike(r"(?i)S\.No\s+Project\s+Approval\s+Cost\s+Cost\s+ture\s+Revised") & has("cumm.")
+    two_lines = text.rlike(_TWO_LINE_HEAD)
+    compact = text.rlike(_COMPACT_HEAD) & has("cumm.")
     return (
         F.when(has("project list: ongoing projects as of"), RECENT)
         .when(has("detail of ongoing projects") & two_lines, REDESIGNED)
@@ -74,13 +91,10 @@ def unrecognised(reports: DataFrame) -> DataFrame:
 def _section(kind: str) -> Column:
     """The part of the text that holds the table."""
     text = F.col("text")
-    if kind == RECENT:
-        return F.regexp_extract(text, r"(?is)(project list: ongoing projects as of.*)", 1)
     if kind == LEGACY:
         return text
-    begin = r"Detail of ongoing Projects" if kind == REDESIGNED else r"Sector Wise Details|Detail of ongoing Projects|S\.No\s+Project"
-    section = F.regexp_extract(text, rf"(?is)((?:{begin}).*)", 1)
-    return F.split(section, r"(?i)\n\s*(?:STATUS OF CENTRAL|List of Projects Without|ANNEXURE\s+-?\s*X)", 2)[0]
+    section = F.regexp_extract(text, rf"(?is)((?:{_BEGIN[kind]}).*)", 1)
+    return section if kind == RECENT else F.split(section, _END, 2)[0]
 
 
 def _lines(reports: DataFrame, kind: str) -> DataFrame:
@@ -146,15 +160,14 @@ def _rows(reports: DataFrame, kind: str) -> DataFrame:
         "approval_date": month_start(group["approval"]), "planned_completion_date": month_start(group["planned"]),
         "milestone_status": F.replace(group["milestones"], F.lit(" "), F.lit("")) if "milestones" in group else F.lit(None), "parser_version": F.lit(kind),
     }
-    code = _first(block, rf"[\[(]({_CODE})\s*[\])]")
+    code = _first(block, _CODE_INSIDE)
     if kind in (CLASSIC, REDESIGNED):
-        tail = rf"[\[(]{_CODE}[\])][ \t]*,?[ \t]*([^,\n]+)(?:,([^,\n]+))?"
-        agency, state = (F.btrim(_first(block, tail, g), F.lit(" ,-")) for g in (1, 2))
+        agency, state = (F.btrim(_first(block, _AFTER_CODE, g), F.lit(" ,-")) for g in (1, 2))
         real = agency.isNotNull() & month_start(agency).isNull() & ~agency.rlike(r"^\d+\s+")
         revised = amount(group["anticipated"]) if kind == CLASSIC else _last_of(after, rf"[\[(]({_AMOUNT})[\])]", amount)
         date = month_start(group["revised"]) if kind == CLASSIC else _last_of(after, r"[\[(](\d{1,2}/\d{4})[\])]", month_start)
         out |= {
-            "project_id": code, "project_name": _tidy(F.split(block, rf"\s+-\s+[\[(]?{_CODE}", 2)[0] if kind == REDESIGNED else F.split(name, rf"\s+-\s+[\[(]?{_CODE}", 2)[0]),
+            "project_id": code, "project_name": _tidy(F.split(block if kind == REDESIGNED else name, _NAME_END, 2)[0]),
             "implementing_agency": F.when(real, agency), "state": F.when(real, state), "revised_cost_cr": revised, "revised_completion_date": date,
             "financial_progress": _progress(spent, revised) if kind == CLASSIC else _progress(spent, revised, original),
         }
@@ -163,18 +176,17 @@ def _rows(reports: DataFrame, kind: str) -> DataFrame:
         revised = _first_of(flat, rf"\[({_AMOUNT})\]", amount)
         # Names go on in the first 42 columns of the next three lines.
         more = F.transform(F.slice(F.split(after, "\n", -1), 1, 3), lambda x: F.trim(F.substring(x, 1, 42)))
-        more = F.filter(more, lambda x: (x != "") & ~x.rlike(r"(?i)^(\(|\[|Total|\d+\.)"))
+        more = F.filter(more, lambda x: (x != "") & ~x.rlike(_NOT_NAME))
         late = amount(group["delay"])
         out |= {
-            "project_id": _first(flat, rf"[\[(]({_CODE})[\])]"), "project_name": _tidy(F.concat_ws(" ", name, F.array_join(more, " "))),
-            "implementing_agency": F.trim(_first(flat, r"\(([A-Z][A-Z0-9 &.\-/]{1,50})\)")), "revised_cost_cr": revised,
+            "project_id": _first(flat, _CODE_INSIDE), "project_name": _tidy(F.concat_ws(" ", name, F.array_join(more, " "))),
+            "implementing_agency": F.trim(_first(flat, _LEGACY_AGENCY)), "revised_cost_cr": revised,
             "revised_completion_date": _first_of(flat, r"\[(\d{1,2}/\d{4})\]", month_start), "financial_progress": _progress(spent, revised),
             "current_schedule_status": F.when(late > 0, "delayed"),
         }
     else:
         inside = F.regexp_extract_all(after, F.lit(r"\(([^{}()]{2,80})\)"), F.lit(1))
-        plain = rf"(?i)^\s*({_CODE}|N\.A\.|\d{{1,2}}[-/]\d{{4}}|[A-Za-z]{{3}}-\d{{2}}|[\d,.]+)\s*$"
-        agencies = F.filter(F.transform(inside, lambda x: F.btrim(x)), lambda x: ~x.rlike(plain))
+        agencies = F.filter(F.transform(inside, lambda x: F.btrim(x)), lambda x: ~x.rlike(_NOT_AGENCY))
         braces = r"\{([^}]+)\}"
         revised = _first_of(after, braces, amount)
         out |= {
@@ -202,9 +214,6 @@ def parse_reports(reports: DataFrame) -> DataFrame:
     return out
 
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-
-
 def _month_end(label: Column) -> Column:
     """The last day of 'May 2019' and the like."""
     return F.last_day(F.to_date(F.try_to_timestamp(F.initcap(F.regexp_replace(F.trim(label), r"[\s,]+", " ")), F.lit("MMMM yyyy"))))
@@ -218,8 +227,7 @@ def parse_completed(reports: DataFrame) -> DataFrame:
     figures found in the joined text.
     """
     text = F.col("text")
-    recent = F.regexp_extract(text, rf"(?is)(Table:-3\.\s*Project List:\s*Completed during\s+(?:{_MONTHS})\s+20\d{{2}}.*?)(?:Table:-4\.\s*Project List:\s*Added|\z)", 1)
-    old = F.regexp_extract(text, r"(?is)((?:Month\s+wise\s+List\s+of\s+Completed\s+Projects?|Completed\s+Projects\s+Costing).*?)(?:Details? of ongoing|TABLE-\s*3|Project List:\s*Ongoing|\z)", 1)
+    recent, old = F.regexp_extract(text, _COMPLETED_RECENT, 1), F.regexp_extract(text, _COMPLETED_OLD, 1)
     section = F.when(recent != "", recent).otherwise(old)
     lines = reports.select("report_id", (recent != "").alias("recent"), F.posexplode(F.split(F.replace(section, F.lit("\f"), F.lit("")), "\n", -1)).alias("n", "raw"))
     lines = lines.withColumn("line", F.trim("raw")).where("line <> ''")
@@ -227,7 +235,7 @@ def parse_completed(reports: DataFrame) -> DataFrame:
     month = F.when(line.rlike(rf"(?i)^({_MONTHS})\s*,?\s*20\d{{2}}$"), _month_end(line))
     table = F.regexp_extract(line, rf"(?i)Completed during\s+((?:{_MONTHS})\s+20\d{{2}})", 1)
     month = F.coalesce(month, F.when(table != "", _month_end(table)))
-    heading = line.rlike(_HEADING) & ~line.rlike(r"TABLE|PROJECT|COST|EXPENDITURE|COMMISSIONING|MONTH|DATE|SECTOR|TOTAL|[()]") & (F.char_length(line) < 60)
+    heading = line.rlike(_HEADING) & ~line.rlike(_NOT_HEADING_COMPLETED) & (F.char_length(line) < 60)
     start = line.rlike(r"^\d+\.?\s+")
     far = Window.partitionBy("report_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     opens = (start | heading | month.isNotNull()).cast("int")
@@ -239,13 +247,12 @@ def parse_completed(reports: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("joined"),
         F.first("sector").alias("sector"), F.first("completion_date").alias("completion_date"),
     )
-    figures = rf"(\d[\d,]*(?:\.\d+)?)\s+(\d{{1,2}}/\d{{4}})\s+(\d[\d,]*(?:\.\d+)?)\b"
-    joined = F.col("joined")
+    figures, joined = _COMPLETED_FIGURES, F.col("joined")
     name = _tidy(F.regexp_replace(F.split(joined, figures, 2)[0], r"^\d+\.?\s+", ""))
     rows = rows.where(joined.rlike(figures))
     out = rows.select(
-        "report_id", _first(joined, rf"[\[(]({_CODE})\s*[\])]").alias("project_id"), name.alias("project_name"), F.coalesce("sector", F.lit("Not Reported")).alias("sector"),
-        F.trim(_first(joined, rf"\(([^()]{{3,160}})\)\s*-?\s*[\[(]{_CODE}\s*[\])]")).alias("implementing_agency"), amount(F.regexp_extract(joined, figures, 1)).alias("approved_cost_cr"),
+        "report_id", _first(joined, _CODE_INSIDE).alias("project_id"), name.alias("project_name"), F.coalesce("sector", F.lit("Not Reported")).alias("sector"),
+        F.trim(_first(joined, _COMPLETED_AGENCY)).alias("implementing_agency"), amount(F.regexp_extract(joined, figures, 1)).alias("approved_cost_cr"),
         month_start(F.regexp_extract(joined, figures, 2)).alias("planned_commissioning_date"), amount(F.regexp_extract(joined, figures, 3)).alias("reported_completion_expenditure_cr"), "completion_date",
     )
     return out.where(F.char_length("project_name") >= 4)
