@@ -28,7 +28,7 @@ from tidemark.llm.words import extended, slices
 #: Longer pre-tokens are encoded without being memoised.
 _MEMO_BYTES = 64
 #: Pre-tokens that a worker remembers, at about 200 bytes each; beyond them it starts anew.
-MEMO = 700_000
+MEMO = 1_200_000
 # Letters, digits and white space up to U+00FF, by Unicode.
 _LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _DIGITS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
