@@ -33,7 +33,7 @@ CENTROIDS = 4
 _BITS = 14
 DIMENSIONS = 1 << _BITS
 #: A text is rejected below this share of the lowest hundredth of its language's own cosines ...
-FLOOR = 0.35
+FLOOR = 0.25
 #: ... and proportionally lower, by square root, below this many different trigrams.
 ENOUGH = 256
 _BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
