@@ -31,7 +31,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.suffix_automaton import SuffixAutomaton
 from tidemark.llm.words import RunHash, extended, slices, space_bytes, window_hashes, word_hashes
@@ -257,7 +257,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text
     first = pieces.groupBy("anchor", "a").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("start"), F.max("n").alias("n"), F.count("*").alias("times"), F.count_if(F.col("doc").isNull()).alias("nulls"), F.min(F.when(F.col("doc").isNull(), F.col("start"))).alias("null_start"))
     known = F.col("nulls") == 0
     first = first.select("anchor", "a", F.when(known, F.col("first")).alias("first"), F.when(known, F.col("start")).otherwise(F.col("null_start")).alias("start"), "n", "times")
-    kinds = first.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("kinds >= 2")
+    # Counted by an aggregate and joined, not by a window, so that no task holds all pieces of a frequent anchor.
+    several = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds >= 2")
+    kinds = first.join(several, "anchor")
     asked = kinds.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "a", (F.col("kinds") > hot).alias("many"))).alias("first"))
     fetch = rows.join(asked, rows["doc"].eqNullSafe(asked["doc"])).select(rows["doc"], "text", "first")
     masks = _judged(_fetched(fetch, window), window)
