@@ -6,9 +6,9 @@ Windows are judged on the input.
 
 The reference is the corpus itself, so its automata cannot all be sent to all documents. They are sharded by content:
 
-* Each window has an *anchor*, the least hash among its runs of window/2 words. Equal windows have equal anchors, so
-  whatever repeats a window meets it in the shard of that anchor. Windows in a row with one anchor form a *piece* (of
-  at most 32 windows), told by its anchor and a hash of its words.
+* Each window has an *anchor*, the least hash (of 48 bits) among its runs of two fifths of its words. Equal windows
+  have equal anchors, so whatever repeats a window meets it in the shard of that anchor. Windows in a row with one
+  anchor form a *piece* (of at most 32 windows), told by its anchor and a 64-bit hash of its words.
 * Anchors found in one document only are dropped by a count that is combined on the map side.
 * Equal pieces are reduced to their first occurrence, again on the map side, so a passage in a third of all documents
   reaches its shard once; all its later occurrences go. Only anchors with several different pieces need an automaton,
@@ -17,8 +17,7 @@ The reference is the corpus itself, so its automata cannot all be sent to all do
 * In a shard, pieces stream in document order against the generalised suffix automaton of the pieces before them; a
   matching statistic of a whole window marks it. The piece is then added to the automaton if it brought anything new.
 
-Within a document, repeats are found where the text is. Anchors and pieces are told apart by 64 bits of hash each, words
-in the automaton by themselves.
+Within a document, repeats are found where the text is. Words in the automaton are told apart by themselves.
 
 Null texts have no words. Null ids come first. Rows with one id count as one document: a repeated row isn't earlier
 than itself, and all get the same result. Only the id and text columns are read. Empty tables give empty ones.
@@ -62,10 +61,10 @@ class Windows:
         self.n = max(0, len(self.hashes) - window + 1)
         if not self.n:
             return
-        k = max(1, window // 2)
+        k = max(1, 2 * window // 5)
         runs = window_hashes(self.hashes, k)
         low = _running_min(runs, window - k + 1)
-        anchors = low.view(np.int64)
+        anchors = (low >> np.uint64(16)).view(np.int64)  # 48 bits tell anchors apart, and take less room on their way
         new = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
         self.anchors, self.new = anchors, new
         self.distinct = np.unique(anchors[new])
