@@ -101,9 +101,10 @@ def hierarchical_fallback(t):
 
 
 @plan("""WITH o AS (SELECT o_orderkey, o_orderpriority AS g, o_totalprice AS y, CAST(year(o_orderdate) AS INTEGER) AS yr FROM orders),
-p AS (SELECT *, sum(y) OVER (PARTITION BY g ORDER BY yr RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, count(*) OVER (PARTITION BY g ORDER BY yr RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n,
-avg(y) OVER (ORDER BY yr RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM o)
-SELECT o_orderkey, round(CASE WHEN n > 0 THEN (s + 20 * a) / (n + 20) ELSE 0.0 END, 4) AS prior, n AS support FROM p""")
+ys AS (SELECT g, yr, sum(y) AS s, count(*) AS n FROM o GROUP BY 1, 2), ya AS (SELECT yr, sum(y) AS s, count(*) AS n FROM o GROUP BY 1),
+pg AS (SELECT k.g, k.yr, coalesce(sum(e.s), 0) AS s, coalesce(sum(e.n), 0) AS n FROM ys k LEFT JOIN ys e ON e.g = k.g AND e.yr < k.yr GROUP BY 1, 2),
+pa AS (SELECT k.yr, sum(e.s) / sum(e.n) AS a FROM ya k LEFT JOIN ya e ON e.yr < k.yr GROUP BY 1)
+SELECT o_orderkey, round(CASE WHEN n > 0 THEN (s + 20 * a) / (n + 20) ELSE 0.0 END, 4) AS prior, CAST(n AS BIGINT) AS support FROM o JOIN pg USING (g, yr) JOIN pa USING (yr)""")
 def earlier_year_prior(t):
     o = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("y"), F.year("o_orderdate").alias("yr"))
     out = J.earlier_stats(o, o, "yr", {"mean": F.col("y")}, ("g",), "grp")
