@@ -7,12 +7,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding, substring_dedup, token_files
-from tidemark.llm.shared import new_path
+from tidemark.llm.shared import importable, new_path
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def _table(spark, sf_dir, name):
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

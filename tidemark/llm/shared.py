@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver found it. On a cluster the package
+    comes with the job (``--py-files``) and the entry does nothing."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset, as in tests."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own(spark)
