@@ -29,6 +29,33 @@ def test_grammar_is_an_exact_round_trip_with_random_access(seed):
         assert (T.Grammar(*T.compress(own, 500), 500).all() == own).all()
 
 
+def most_frequent(symbols):
+    """Places of the most frequent pair, left to right without overlap."""
+    count, last = {}, {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            count[pair], last[pair] = count.get(pair, 0) + 1, i
+    return max(count.values(), default=0)
+
+
+def test_no_frequent_pair_is_left_however_deep_the_repetition():
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 500, 300)
+    noise = [rng.integers(0, 500, 5) for _ in range(90)]
+    copied = np.concatenate([x for own in noise for x in (own, passage)])
+    words = rng.zipf(1.3, 60_000) % 500
+    runs = np.repeat(rng.integers(0, 3, 2000), rng.integers(1, 40, 2000))
+    for ids in (copied, words, runs, np.full(100_000, 9), np.full(127, 9), np.full(128, 9), np.full(129, 9)):
+        ids = ids.astype(np.uint32)
+        rules, lengths, symbols = T.compress(ids, 500)
+        g = T.Grammar(rules, lengths, symbols, 500)
+        assert (g.all() == ids).all()
+        assert (g.part(len(ids) // 3, len(ids) // 2) == ids[len(ids) // 3 : len(ids) // 2]).all()
+        assert most_frequent(symbols) < T.LEAST_COUNT
+    assert len(T.compress(copied.astype(np.uint32), 500)[2]) < 10 * len(noise)
+    assert len(T.compress(np.full(100_000, 9, np.uint32), 500)[2]) < 2 * T.LEAST_COUNT
+
+
 def test_words_and_whole_texts_give_the_same_ids():
     with open(PATH, encoding="utf-8") as f:
         vocabulary = f.read()

@@ -10,9 +10,10 @@ token counts (``counts``), and its grammar: ``rules`` (pairs of symbols; rule r
 integers of 32 bits; symbols have ``width`` bytes, 2 if they fit and else 4. A position is found by summing the symbols' expansion lengths, so a document, or any run of ids, is
 decoded without expanding what lies before it.
 
-Re-Pair replaces frequent pairs by new symbols, again and again. A round here replaces many pairs at once: the most
-frequent ones that can't overlap, because no symbol is the left part of one and the right part of another. Pairs are
-first counted in hashed buckets, and exactly where a bucket is large.
+Re-Pair replaces frequent pairs by new symbols, again and again, until none stands at ``LEAST_COUNT`` places that don't
+overlap. A round here replaces many pairs at once: the most frequent ones that can't overlap, because no symbol is the
+left part of one and the right part of another. Pairs of equal symbols are replaced from left to right. Pairs are first
+counted in hashed buckets, and exactly where a bucket is large.
 
 Null and empty texts are documents of the end id alone. Null ids come first; rows with equal ids stand in an order
 given by their texts. An empty table gives an empty file. Only the id and text columns are read.
@@ -33,7 +34,7 @@ from tidemark.llm.shared import stored
 from tidemark.llm.words import slices
 
 BLOCK_TOKENS = 1_000_000
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 3, 512, 64
+PAIRS_A_ROUND, LEAST_COUNT = 512, 64
 _BITS = 16
 #: Texts encoded at once: few enough that their different words fit a processor's cache.
 AT_ONCE = 32
@@ -111,59 +112,102 @@ def _tokenizer(shared, split_words: bool) -> WordTokenizer:
     return _TOKENIZERS[key]
 
 
-def _choose(left: np.ndarray, right: np.ndarray, count: np.ndarray, symbols: int):
-    """Indices of the most frequent pairs of which none can overlap another."""
-    is_left, is_right = np.zeros(symbols, bool), np.zeros(symbols, bool)
+def _choose(left: np.ndarray, right: np.ndarray, count: np.ndarray, symbols: int) -> list[int]:
+    """Indices of the most frequent pairs of which none can overlap another. The first always is among them."""
+    is_left, is_right = bytearray(symbols), bytearray(symbols)
     chosen = []
-    for i in np.argsort(-count, kind="stable")[: 8 * PAIRS_A_ROUND].tolist():
-        a, b = left[i], right[i]
-        if a != b and not is_right[a] and not is_left[b]:
-            is_left[a] = is_right[b] = True
+    order = np.argsort(-count, kind="stable")
+    for i, a, b in zip(order.tolist(), left[order].tolist(), right[order].tolist(), strict=True):
+        if not is_right[a] and not is_left[b]:
+            is_left[a] = is_right[b] = 1
             chosen.append(i)
             if len(chosen) == PAIRS_A_ROUND:
                 break
     return chosen
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (left, right) that stand at LEAST_COUNT places or more, and each place's number among them, or -1."""
+    bucket = a * np.uint32(0x9E3779B1)
+    bucket += b
+    bucket *= np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - _BITS)
+    # Only what a large bucket holds can be frequent; that is then counted exactly.
+    often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
+    code, which, count = np.unique(a[often].astype(np.uint64) << np.uint64(32) | b[often], return_inverse=True, return_counts=True)
+    enough = count >= LEAST_COUNT
+    number = np.full(len(a), -1, np.int32)
+    number[often] = np.where(enough, np.cumsum(enough) - 1, -1)[which]
+    code = code[enough]
+    return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64), number
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rules (k x 2), lengths (k), symbols. base is above every id."""
+    """rules (k x 2), lengths (k), symbols. base is above every id.
+
+    The sequence is a linked list, so that a round costs what its frequent pairs and its changes do. A pair of old
+    symbols never becomes more frequent, and all places of a pair with a new symbol are made in one round; so places
+    of pairs that are rare once aren't looked at again.
+    """
+    n = len(ids)
     seq, rules, lengths = ids.astype(np.uint32), [], [np.ones(base, np.uint32)]
     total = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST_COUNT:
-            break
-        a, b = seq[:-1], seq[1:]
-        bucket = a * np.uint32(0x9E3779B1)
-        bucket += b
-        bucket *= np.uint32(0x85EBCA77)
-        bucket >>= np.uint32(32 - _BITS)
-        times = np.bincount(bucket, minlength=1 << _BITS)
-        # About the most frequent buckets; what they hold is then counted exactly.
-        large = times[times >= LEAST_COUNT]
-        least = np.partition(large, -2 * PAIRS_A_ROUND)[-2 * PAIRS_A_ROUND] if len(large) > 2 * PAIRS_A_ROUND else LEAST_COUNT
-        often = np.flatnonzero((times >= least)[bucket])
-        code, count = np.unique(a[often].astype(np.uint64) << np.uint64(32) | b[often], return_counts=True)
-        code, count = code[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
-        left, right = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        chosen = np.sort(np.array(_choose(left, right, count, total), np.int64))
-        if not len(chosen):
-            break
-        new = code[chosen]
-        is_left, is_right = np.zeros(total, bool), np.zeros(total, bool)
-        is_left[left[chosen]] = is_right[right[chosen]] = True
-        often = often[is_left[a[often]] & is_right[b[often]]]
-        pair = a[often].astype(np.uint64) << np.uint64(32) | b[often]
-        slot = np.minimum(np.searchsorted(new, pair), len(new) - 1)
-        hit = new[slot] == pair
-        at = often[hit]
-        seq = seq.copy() if seq is ids else seq
-        seq[at] = (total + slot[hit]).astype(np.uint32)
-        seq = np.delete(seq, at + 1)
-        own = np.stack((left[chosen], right[chosen]), 1).astype(np.uint32)
-        so_far = np.concatenate(lengths)
-        lengths.append(so_far[own[:, 0]] + so_far[own[:, 1]])
-        rules.append(own)
-        total += len(own)
+    if n >= 2 * LEAST_COUNT:
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        here = np.ones(n, bool)
+        left, right, pair = _numbered(seq[:-1], seq[1:])
+        pair = np.append(pair, np.int32(-1))
+        while len(left):
+            at = np.flatnonzero(pair >= 0)
+            own = pair[at]
+            equal = np.flatnonzero((left == right)[own]) if (left == right).any() else at[:0]
+            if len(equal):
+                # In a run of one symbol every second place counts, from its start.
+                p = at[equal]
+                start = np.concatenate(([True], (after[p[:-1]] != p[1:])))
+                place = np.arange(len(p))
+                odd = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 1
+                counted = np.ones(len(at), bool)
+                counted[equal[odd]] = False
+                count = np.bincount(own[counted], minlength=len(left))
+            else:
+                count = np.bincount(own, minlength=len(left))
+            enough = np.flatnonzero(count >= LEAST_COUNT)
+            if not len(enough):
+                break
+            chosen = np.sort(enough[_choose(left[enough], right[enough], count[enough], total)])
+            rule = np.full(len(left), -1, np.int32)
+            rule[chosen] = np.arange(len(chosen), dtype=np.int32)
+            hit = rule[own] >= 0
+            if len(equal):
+                hit &= counted
+            first = at[hit]
+            gone = after[first]
+            seq[first] = (total + rule[own[hit]]).astype(np.uint32)
+            after[first] = after[gone]
+            before[after[first]] = first
+            here[gone] = False
+            new = np.stack((left[chosen], right[chosen]), 1).astype(np.uint32)
+            so_far = np.concatenate(lengths)
+            lengths.append(so_far[new[:, 0]] + so_far[new[:, 1]])
+            rules.append(new)
+            total += len(new)
+            # Rare pairs go, and the places next to a change get the numbers of their new pairs.
+            kept = count >= LEAST_COUNT
+            kept[chosen] = False
+            number = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+            pair[at] = number[own]
+            pair[gone] = -1
+            changed = np.zeros(n + 1, bool)
+            changed[first] = changed[before[first]] = True  # before the first place stands -1, the last of n + 1
+            changed = np.flatnonzero(changed[:n])
+            pair[changed] = -1
+            changed = changed[after[changed] < n]
+            left, right = left[kept], right[kept]
+            l, r, found = _numbered(seq[changed], seq[after[changed]])
+            pair[changed] = np.where(found >= 0, found + len(left), -1)
+            left, right = np.concatenate((left, l)), np.concatenate((right, r))
+        seq = seq[here]
     if not rules:
         return np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32), seq
     return np.concatenate(rules), np.concatenate(lengths[1:]), seq
@@ -174,18 +218,20 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int):
         self.base, self.symbols = base, symbols
-        own = self._expansions(rules.reshape(-1, 2), lengths)
+        rules = rules.reshape(-1, 2).astype(np.int64)
         self.length = np.concatenate((np.ones(base, np.int32), lengths.astype(np.int32)))
         self.offset = np.concatenate((np.arange(base), base + np.cumsum(lengths, dtype=np.int64) - lengths)).astype(np.int32)
-        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), *own])
+        self.flat = np.empty(base + int(lengths.sum(dtype=np.int64)), np.uint32)
+        self.flat[:base] = np.arange(base, dtype=np.uint32)
         self._ends = None
-
-    def _expansions(self, rules: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for a, b in rules.tolist():
-            parts = [out[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]
-            out.append(np.concatenate(parts))
-        return out
+        # As many rules at once as are made of symbols before them.
+        newest = np.maximum.accumulate(rules.max(1)) - base if len(rules) else rules[:, 0]
+        start = 0
+        while start < len(rules):
+            stop = int(np.searchsorted(newest, start))
+            own = self._expand(rules[start:stop].ravel())
+            self.flat[self.offset[base + start] :][: len(own)] = own
+            start = stop
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.length[symbols]
