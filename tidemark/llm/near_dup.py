@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
 A text's shingles are its runs of five words (see ``plain_bytes``; a text of one to four words has one shingle of
-all its words). Texts with equal shingle sets form a *node*; copies are never compared. Each node has a label of
-``LABEL`` MinHash values in each of ``TREES`` prefix tries. Two nodes meet in a tree if they share a prefix. The
-prefix is shortened from the whole label, a value at a time, until the forest's expected recall at the threshold,
-1 - (1 - s^depth)^trees, reaches the target. A trie level is held as what it is when sorted: runs of equal prefixes.
+all its words). Texts with equal shingle sets form a *node*; copies are never compared. Each node has ``TREES`` bands of
+``depth`` MinHash values, and two nodes meet if a band is equal in all its values. The depth is fixed before any text is
+read: the longest, up to ``LABEL``, at which the expected recall at the threshold, 1 - (1 - s^depth)^trees, reaches the
+target. This stands in for an LSH forest, which would sort longer labels and shorten matched prefixes run by run; it has
+no sorted labels, no longer prefixes and no choice a run.
 
 Nodes that meet are verified exactly on their shingle sets (64-bit hashes). Groups with the same members in several
 trees are verified once; a pair that meets in several groups counts in the least of them only. A group larger than a
