@@ -83,3 +83,13 @@ def test_one_of_each_keeps_a_single_row_of_repeated_ids(spark):
     rows = [(2, text), (2, text), (None, "other words here"), (None, "other words here"), (5, ""), (6, text + " end")]
     left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in left) == [(-1, "other words here"), (2, text), (5, "")]
+
+
+def test_one_of_each_tells_rows_apart_whose_id_is_null_or_repeated(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    a, b, c, d, e, f, g = texts
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c + " end"), (7, d), (7, e), (7, a), (8, e + " end"), (9, f), (9, f), (9, g), (None, None), (None, "")]
+    left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in left)
+    assert [t for i, t in got if i == -1 and t in (c, c + " end")] in ([c], [c + " end"])
+    assert [x for x in got if x[1] not in (c, c + " end")] == sorted([(1, a), (-1, b), (7, d), (7, e), (9, f), (9, g), (-1, ""), (-1, "")])

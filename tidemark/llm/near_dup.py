@@ -25,7 +25,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import stored
@@ -78,9 +78,16 @@ class Forest:
         return out
 
 
-def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int) -> DataFrame:
-    """row_id, node (a digest of the shingle set; null without words), n_shingles, prefixes."""
-    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+def _text_keys(text: str) -> dict[str, Column]:
+    """Two hashes that tell a row's text from others under its id."""
+    return {"ta": F.xxhash64(text), "tb": F.xxhash64(F.lit(7), text)}
+
+
+def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int, keyed: bool = False) -> DataFrame:
+    """row_id, node (a digest of the shingle set; null without words), n_shingles, prefixes, and ``_text_keys`` if asked."""
+    hashes = _text_keys(text) if keyed else {}
+    keys = list(hashes)
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *(c.alias(x) for x, c in hashes.items()))
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches):
@@ -94,9 +101,10 @@ def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int) -> D
                     "n_shingles": pa.array(map(len, sets), pa.int32()),
                     "prefixes": pa.array([forest.prefixes(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 }
+                | {x: part.column(x) for x in keys}
             )
 
-    return rows.mapInArrow(run, f"row_id {kind}, node binary, n_shingles int, prefixes array<bigint>")
+    return rows.mapInArrow(run, f"row_id {kind}, node binary, n_shingles int, prefixes array<bigint>" + "".join(f", {x} bigint" for x in keys))
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -239,14 +247,18 @@ def _cells(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int)
     return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE, text: str = "text", row_id: str = "doc_id"
-) -> DataFrame:
-    """row_id, class_id, n_links and n_shingles of every row of docs."""
-    found = stored(signatures(docs, depth_for(recall, threshold), text, row_id, k), "signatures")
+def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str, keyed: bool = False) -> DataFrame:
+    """row_id, node, n_shingles, class_id and n_links of every row of docs; class_id and n_links are null without words.
+
+    If keyed, also the row's ``_text_keys`` and ``keep``: of the class's rows the first by id (null last), node and keys.
+    """
+    found = stored(signatures(docs, depth_for(recall, threshold), text, row_id, k, keyed), "signatures")
+    keys = list(_text_keys(text)) if keyed else []
+    own = [F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "node", *keys)).alias("keep")] if keyed else []
+    kept = ["keep"] if keyed else []
     nodes = (
         found.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
+        .agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"), *own)
     )
     groups = stored(_groups(nodes.select("node", "prefixes")), "groups")
     grouped = groups.groupBy("node").agg(F.collect_list(F.struct("gid", "m")).alias("groups"))  # at most one a tree
@@ -254,12 +266,20 @@ def near_duplicates(
     linked = stored(_verified(_cells(docs, members, text, row_id, k), threshold), "links")
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "node")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = nodes.select("node", "rep", "copies").join(links.join(roots, "node", "left"), "node", "left")
-    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    classes = nodes.select("node", "rep", "copies", *kept).join(links.join(roots, "node", "left"), "node", "left")
+    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"), *(F.min(c).alias("first") for c in kept))
     classes = classes.join(least, "root", "left").select(
-        "node", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    return found.select("row_id", "node", "n_shingles").join(classes, "node", "left").select(
+        "node", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        *(F.coalesce("first", c).alias(c) for c in kept),
+    )
+    return found.select("row_id", "node", "n_shingles", *keys).join(classes, "node", "left")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE, text: str = "text", row_id: str = "doc_id"
+) -> DataFrame:
+    """row_id, class_id, n_links and n_shingles of every row of docs."""
+    return _classified(docs, threshold, recall, k, text, row_id).select(
         F.col("row_id").alias(row_id),
         F.when(F.col("node").isNull(), F.col("row_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -267,17 +287,24 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows whose class has a smaller id; of rows with one id and one class a single one stays."""
-    found = near_duplicates(docs, text=text, row_id=row_id, **how)
-    own = F.col("class_id").eqNullSafe(F.col(row_id))
-    gone = found.where(~own).select(F.col(row_id).alias("_gone")).distinct()
-    left = docs.join(gone, docs[row_id].eqNullSafe(gone["_gone"]), "left_anti")
-    # Ids are unique as a rule; where some aren't, their rows, and no others, are compared with each other.
-    twice = stored(found.where(own & (F.col("n_shingles") > 0)).groupBy(F.col(row_id).alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "repeated-ids")
+def one_of_each(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE, text: str = "text", row_id: str = "doc_id"
+) -> DataFrame:
+    """Of each class one row of docs, that of least id; rows without words all stay.
+
+    Ids may be null (last in order) or repeated: rows are told apart by id and text, and classes by their nodes.
+    """
+    found = _classified(docs, threshold, recall, k, text, row_id, keyed=True).where("node IS NOT NULL")
+    kept = F.col("row_id").eqNullSafe(F.col("keep.row_id")) & (F.col("ta") == F.col("keep.ta")) & (F.col("tb") == F.col("keep.tb"))
+    # One row for each id and text that goes, or of which only one row stays.
+    judged = found.select("row_id", "ta", "tb", kept.alias("_kept")).groupBy(F.col("row_id").alias("_id"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb"), "_kept")
+    judged = stored(judged.agg(F.count("*").alias("_n")).where("NOT _kept OR _n > 1"), "judged")
+    keys = _text_keys(text)
+    same = docs[row_id].eqNullSafe(judged["_id"]) & (keys["ta"] == judged["_ta"]) & (keys["tb"] == judged["_tb"])
+    left = docs.join(judged, same, "left_anti")
+    twice = judged.where("_kept")
     if twice.isEmpty():
         return left
-    same = docs[row_id].eqNullSafe(twice["_twice"])
-    order = Window.partitionBy(row_id).orderBy(F.xxhash64(text))
-    first = left.join(twice, same, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return left.join(twice, same, "left_anti").unionByName(first)
+    named = {f"_{x}": c for x, c in keys.items()}
+    one = docs.join(twice, same, "left_semi").withColumns(named).dropDuplicates([row_id, *named]).drop(*named)
+    return left.unionByName(one)
