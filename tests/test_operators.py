@@ -184,6 +184,24 @@ def test_peers_fall_back_to_all_rows(spark):
     assert got == {(1, 2), (1, 3), (4, 2), (4, 1)}
 
 
+def test_peers_of_every_row_equal_brute_force_whatever_their_number(spark):
+    import math
+
+    rows = [(i, None if i % 997 == 0 else f"g{i % 2}" if i % 3 else f"lone{i}" if i < 60 else "g0", float(i * 7919 % 3001)) for i in range(10_500)]
+    df = spark.createDataFrame(rows, "i int, s string, y double").repartition(5)
+    got = {}
+    for r in joins.peers(df, df, "s", "i", "y", 3).collect():
+        got.setdefault(r["focus_id"], []).append((r["place"], r["i"]))
+    assert len(got) == len(rows)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    for i, s, y in [*rows[:120], *rows[::499], *sorted(rows, key=lambda r: r[2])[:20], *sorted(rows, key=lambda r: r[2])[-20:]]:
+        own = groups[s] if s is not None and len(groups[s]) > 1 else rows
+        near = sorted((abs(math.log1p(b) - math.log1p(y)), j) for j, _, b in own if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in near], (i, s, y)
+
+
 def test_weighted_quantiles(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 3.0, 8.0), ("b", 5.0, 0.0), ("b", 7.0, 0.0), ("a", None, 9.0)], "g string, x double, w double")
     assert {r["g"]: r["value"] for r in A.weighted_quantile(df, "x", "w", 0.5, ["g"]).collect()} == {"a": 3.0, "b": 6.0}

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-#: Rows that ``peers`` takes as its focus at once.
-FOCUS = 10_000
-
-
 def unique_keys(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs exactly once; null keys never."""
     once = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(key)
@@ -121,22 +117,43 @@ def leave_one_out(df: DataFrame, y: str, by: str, cutoff: str, completed: str, s
     return both.withColumn("prior", F.when(F.col(by).isNotNull(), prior)).drop("_day", "_grp_n", "_grp_mean", "_all_n", "_all_mean")
 
 
+def _around(df: DataFrame, by: tuple, row_id: str, amount: str, k: int) -> DataFrame:
+    """For each group and log amount ``_v``, ``_near``: the rows of that amount and of the k next ones on either side.
+
+    Of rows with one amount the k + 1 of least id suffice. Groups are cut by ranges, so that no task holds a whole one;
+    what stands less than k places from a cut is put in order again, by group, to find its neighbours across the cut.
+    """
+    rows = df.select(*by, row_id, amount, F.log1p(F.col(amount)).alias("_v")).where("_v IS NOT NULL")
+    ties = Window.partitionBy(*by, "_v").orderBy(row_id)
+    few = rows.withColumn("_r", F.row_number().over(ties)).where(F.col("_r") <= k + 1)
+    values = few.groupBy(*by, "_v").agg(F.collect_list(F.struct(row_id, amount, "_v")).alias("_own"))
+    placed = values.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p", *by).orderBy("_v")
+    below, above = (F.collect_list("_own").over(inside.rowsBetween(*x)) for x in ((-k, -1), (1, k)))
+    placed = placed.withColumns({"_below": below, "_above": above})
+    few_below, few_above = F.size("_below") < k, F.size("_above") < k
+    placed = placed.withColumn("_p", F.when(few_below | few_above, -1).otherwise(F.col("_p")))
+    across = Window.partitionBy(*by, "_p").orderBy("_v")
+    below = F.when(few_below, F.collect_list("_own").over(across.rowsBetween(-k, -1))).otherwise(F.col("_below"))
+    above = F.when(few_above, F.collect_list("_own").over(across.rowsBetween(1, k))).otherwise(F.col("_above"))
+    return placed.select(*by, "_v", F.flatten(F.concat(F.array("_own"), below, above)).alias("_near"))
+
+
 def peers(df: DataFrame, focus: DataFrame, by: str, row_id: str, amount: str, k: int) -> DataFrame:
     """The k rows nearest to each focus row by log amount, in its group, or among all if it is alone there.
 
-    Focus is a stated set of rows, at most FOCUS of them, which is checked; it meets the table by a broadcast.
+    Focus holds rows of df, any number up to all of them. Rows without an amount have no distance and take no part.
     """
-    if focus.limit(FOCUS + 1).count() > FOCUS:
-        raise ValueError(f"peers: more than {FOCUS} focus rows; ask in parts")
-    sizes = df.groupBy(by).agg(F.count("*").alias("_size"))
-    mine = focus.select(F.col(row_id).alias("focus_id"), F.col(by).alias("_by"), F.col(amount).alias("_amount")).join(sizes, F.col("_by") == F.col(by), "left").drop(by)
+    sizes = df.where(F.log1p(F.col(amount)).isNotNull()).groupBy(F.col(by).alias("_group")).agg(F.count("*").alias("_size"))
+    mine = focus.select(F.col(row_id).alias("focus_id"), F.col(by).alias("_by"), F.log1p(F.col(amount)).alias("_at"))
+    mine = mine.join(sizes, F.col("_by") == F.col("_group"), "left")
     crowd, alone = mine.where("_size > 1"), mine.where("coalesce(_size, 1) <= 1")
-    gap = F.abs(F.log1p(F.col(amount)) - F.log1p(F.col("_amount")))
-    near = df.join(F.broadcast(crowd), (F.col("_by") == F.col(by)) & (F.col(row_id) != F.col("focus_id")))
-    far = None if alone.isEmpty() else df.join(F.broadcast(alone), F.col(row_id) != F.col("focus_id"))
-    pairs = near.select("focus_id", row_id, amount, gap.alias("gap"))
-    if far is not None:
-        pairs = pairs.unionByName(far.select("focus_id", row_id, amount, gap.alias("gap")))
+    group = _around(df, (by,), row_id, amount, k)
+    found = crowd.join(group, (F.col("_by") == F.col(by)) & (F.col("_at") == F.col("_v"))).select("focus_id", "_at", "_near")
+    if not alone.isEmpty():
+        found = found.unionByName(alone.join(_around(df, (), row_id, amount, k), F.col("_at") == F.col("_v")).select("focus_id", "_at", "_near"))
+    pairs = found.select("focus_id", "_at", F.explode("_near").alias("_n")).where(F.col(f"_n.{row_id}") != F.col("focus_id"))
+    pairs = pairs.select("focus_id", f"_n.{row_id}", f"_n.{amount}", F.abs(F.col("_n._v") - F.col("_at")).alias("gap"))
     w = Window.partitionBy("focus_id").orderBy("gap", row_id)
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
