@@ -62,6 +62,19 @@ def test_fixed_capacity_opens_as_few_bins_as_it_can(spark):
     assert all(r[1] <= 20 for r in got) and len(got) == 3
 
 
+def test_small_groups_fill_many_shards_of_a_given_capacity(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, f"{i}:" + "x" * rng.randrange(60), "") for i in range(12_000)]
+    sizes = [len(t) + 1 for _, t, _ in rows]
+    for at_once in (S.AT_ONCE, 3000):
+        monkeypatch.setattr(S, "AT_ONCE", at_once)
+        got = S.assign(S.sized(docs_of(spark, rows)), capacity=80).groupBy("shard").sum("size").collect()
+        assert sum(r[1] for r in got) == sum(sizes)
+        assert all(r[1] <= 80 for r in got)
+        assert {r[0] for r in got} == set(range(len(got)))
+        assert len(got) <= 11 / 9 * S.packing_bound(sizes, 80) + 5
+
+
 def test_groups_larger_than_a_shard_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "big" * 100, ""), (None, "big" * 100, ""), (1, "a", ""), (1, "a", "")]
     out = S.shard(docs_of(spark, rows), shards=2).collect()

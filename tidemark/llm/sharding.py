@@ -8,6 +8,10 @@ most GRAIN, are items of their own; all smaller groups are dealt by a hash of th
 bundle is one item. So at most 2 * GRAIN items reach the driver, whatever the table's size, and shards differ by
 about one item. Equal texts hash alike, so a group never splits.
 
+With a given capacity, bundles must stay far below it: there are at least ``BUNDLES`` of them for each capacity that the
+bytes fill, and more if one still exceeds the capacity. Above ``AT_ONCE`` items the packing is dealt by hash to parallel
+tasks of about that many items each, and each task opens bins of its own, so every task may leave one bin part-filled.
+
 Size is the UTF-8 bytes of the text (null: none) plus 1. Null texts form one group, apart from empty ones. Repeated
 rows take slots of their own. An empty table gives an empty one. A group larger than the capacity gets a bin alone.
 """
@@ -17,11 +21,15 @@ from __future__ import annotations
 import random
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.shared import stored
 
 GRAIN = 4096
+#: Bundles for each capacity that the bytes fill, where the capacity is given.
+BUNDLES = 64
+#: Items that are packed by the driver, or by one task.
+AT_ONCE = 100_000
 #: Rows of a cell, within which slots are numbered by one task.
 CELL_ROWS = 50_000
 
@@ -124,22 +132,61 @@ def assign(rows: DataFrame, shards: int | None = None, capacity: int | None = No
         raise ValueError("give either shards or capacity")
     groups = rows.groupBy("a", "b").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    bundle = F.pmod(F.col("a"), F.lit(grain))
-    large = F.col("bytes") * grain > total
-    # One plan gives both kinds of items: at most grain large groups and grain bundles.
-    items = (
-        groups.select(F.when(large, F.col("a")).alias("a"), F.when(large, F.col("b")).alias("b"), F.when(~large, bundle).alias("bundle"), "bytes")
-        .groupBy("a", "b", "bundle").agg(F.sum("bytes").alias("bytes")).collect()
-    )
+    if capacity:
+        groups = stored(groups, "groups")
+        grain = max(grain, BUNDLES * -(-total // capacity))
+    while True:
+        bundle = F.pmod(F.col("a"), F.lit(grain))
+        large = F.col("bytes") * grain > total
+        # One plan gives both kinds of items: at most grain large groups and grain bundles.
+        items = (
+            groups.select(F.when(large, F.col("a")).alias("a"), F.when(large, F.col("b")).alias("b"), F.when(~large, bundle).alias("bundle"), "bytes")
+            .groupBy("a", "b", "bundle").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        )
+        if not capacity:
+            break
+        items = stored(items, "items")
+        count, most = items.agg(F.count("*"), F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()
+        if most is None or most <= capacity:
+            break
+        grain *= 2
+    if capacity and count > AT_ONCE:
+        return _assigned(rows, bundle, _packed_in_parts(items, capacity, -(-count // AT_ONCE)))
+    items = items.collect()
     items.sort(key=lambda r: (-r["bytes"], r["bundle"] is None, r["bundle"] or 0, r["a"] or 0, r["b"] or 0))
     sizes = [r["bytes"] for r in items]
     bins = pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    spark = rows.sparkSession
-    own = [(r["a"], r["b"], k) for r, k in zip(items, bins, strict=True) if r["bundle"] is None]
-    rest = {r["bundle"]: k for r, k in zip(items, bins, strict=True) if r["bundle"] is not None}
-    # Both tables are bounded by grain, so they are broadcast.
-    alone = F.broadcast(spark.createDataFrame(own, "a long, b long, own int"))
-    table = F.broadcast(spark.createDataFrame([(k, v) for k, v in rest.items()], "bundle long, dealt int"))
+    dealt = [(r["a"], r["b"], r["bundle"], k) for r, k in zip(items, bins, strict=True)]
+    return _assigned(rows, bundle, rows.sparkSession.createDataFrame(dealt, "a long, b long, bundle long, shard int"), F.broadcast)
+
+
+def _packed_in_parts(items: DataFrame, capacity: int, parts: int) -> DataFrame:
+    """(a, b, bundle, shard) of items packed by parallel tasks, whose bins are then numbered through."""
+
+    def run(key, own):
+        own = own.sort_values(["bytes", "bundle", "a", "b"], ascending=[False, True, True, True])
+        return own.assign(own=best_fit_decreasing(own["bytes"].tolist(), capacity))[["a", "b", "bundle", "part", "own"]]
+
+    # Nullable numbers would lose bits as doubles, so nulls travel as zeros beside a flag.
+    flat = items.select(*(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("a", "b")), F.coalesce("bundle", F.lit(-1)).cast("long").alias("bundle"), "bytes")
+    flat = flat.withColumn("part", F.pmod(F.xxhash64("a", "b", "bundle"), F.lit(parts)).cast("int"))
+    packed = stored(flat.groupBy("part").applyInPandas(run, "a long, b long, bundle long, part int, own int"), "packed")
+    # One row a part.
+    ends, starts = 0, []
+    for r in packed.groupBy("part").agg(F.max("own").alias("last")).orderBy("part").collect():
+        starts.append((r["part"], ends))
+        ends += r["last"] + 1
+    starts = packed.sparkSession.createDataFrame(starts, "part int, before int")
+    alone = F.col("bundle") < 0
+    return packed.join(F.broadcast(starts), "part").select(
+        F.when(alone, F.col("a")).alias("a"), F.when(alone, F.col("b")).alias("b"), F.when(~alone, F.col("bundle")).alias("bundle"), (F.col("before") + F.col("own")).alias("shard")
+    )
+
+
+def _assigned(rows: DataFrame, bundle: Column, dealt: DataFrame, small=lambda df: df) -> DataFrame:
+    """rows with the shard of their group, or else of their bundle."""
+    alone = small(dealt.where("bundle IS NULL").select("a", "b", F.col("shard").alias("own")))
+    table = small(dealt.where("bundle IS NOT NULL").select("bundle", F.col("shard").alias("dealt")))
     out = rows.join(alone, ["a", "b"], "left").withColumn("bundle", bundle).join(table, "bundle", "left")
     return out.withColumn("shard", F.coalesce("own", "dealt")).drop("own", "dealt", "bundle")
 
