@@ -4,7 +4,9 @@ Three kinds of base spans are found, leftmost and without overlap within a kind:
 access keys, long hexadecimal runs. Each span's value (of an assignment the part assigned) is hashed, and the hashes
 are counted over the whole corpus: by how many owners and in how many repositories a value occurs. A value that
 several owners share is a widely copied example; a value of one owner that looks random (at least 16 characters with
-a letter and a digit) is a live-looking credential, and its place becomes one more span, of kind ``live``.
+a letter and a digit) is a live-looking credential, and its place becomes one more span, of kind ``live``. With
+``max_repositories`` a value in more repositories than that is an example too, even of one owner; by default the number
+of repositories decides nothing, as in the query's SQL.
 
 Positions are code points, ends exclusive. Regular expressions tell matches but not their places; the places follow
 from the lengths of the pieces between matches, since ``split`` and ``regexp_extract_all`` walk the same matches.
@@ -71,14 +73,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(found)
 
 
-def ownership(spans: DataFrame, owner: str, max_owners: int) -> DataFrame:
+def ownership(spans: DataFrame, owner: str, max_owners: int, max_repositories: int | None = None) -> DataFrame:
     """Hashes (a, b) with n_owners and n_repositories; spans has one row a repository and value."""
     by_owner = spans.groupBy("a", "b", owner).agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("a", "b").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    return counts.withColumn("copied", F.col("n_owners") > max_owners)
+    copied = F.col("n_owners") > max_owners
+    if max_repositories is not None:
+        copied |= F.col("n_repositories") > max_repositories
+    return counts.withColumn("copied", copied)
 
 
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", row_id: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, text: str = "text", owner: str = "source", row_id: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int | None = None
+) -> DataFrame:
     """Returns row_id, spans (base spans) and live (spans of live-looking values), one row for each row of docs."""
     found = docs.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), base_spans(F.col(text)).alias("spans"))
     # Stored without texts, so that they are searched once.
@@ -88,7 +95,7 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", row_id: str
     text_of = F.concat_ws("/", F.coalesce(F.col("row_id").cast("string"), F.lit("")), F.to_json("spans"), F.col("row_id").isNull().cast("string"))
     keyed = some.withColumn("ra", F.xxhash64(text_of)).withColumn("rb", F.xxhash64(F.lit(7), text_of))
     values = some.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))).alias("v"))
-    own = ownership(values.select("owner", "v.a", "v.b"), "owner", max_owners).where(~F.col("copied")).select("a", "b")
+    own = ownership(values.select("owner", "v.a", "v.b"), "owner", max_owners, max_repositories).where(~F.col("copied")).select("a", "b")
     places = keyed.select("ra", "rb", F.explode(F.filter("spans", lambda s: s["random"])).alias("s"))
     live = places.select("ra", "rb", "s", "s.a", "s.b").join(own, ["a", "b"]).groupBy("ra", "rb").agg(F.array_sort(F.collect_set("s")).alias("live"))
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
