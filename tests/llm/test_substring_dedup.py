@@ -57,3 +57,21 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     one = spark.createDataFrame(rows[:2], "doc_id long, text string, anchor int")
     assert [r["n_removed"] for r in D.dedup_substrings(one).collect()] == [0, 0]
     assert D.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_no_shard_grows_with_the_different_pieces_of_a_template(spark, monkeypatch):
+    words = [f"t{i}" for i in range(24)]
+    rows = [(i, " ".join([f"u{i}", *words[:12], f"slot{i}", *words[12:], f"v{i}"])) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(5)]
+    largest, judged = [], D._judged
+
+    def watched(fetched, window):
+        by = "route" if "route" in fetched.columns else "anchor"
+        largest.append(max((r["count"] for r in fetched.groupBy(by).count().collect()), default=0))
+        return judged(fetched, window)
+
+    monkeypatch.setattr(D, "_judged", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = D.dedup_substrings(docs, window=8, hot=10).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in out] == brute(rows, 8)
+    assert largest[0] <= 10

@@ -13,7 +13,8 @@ The reference is the corpus itself, so its automata cannot all be sent to all do
 * Equal pieces are reduced to their first occurrence, again on the map side, so a passage in a third of all documents
   reaches its shard once; all its later occurrences go. Only anchors with several different pieces need an automaton,
   and only the first occurrences of those pieces are fetched from the texts. Where an anchor has more than ``hot``
-  pieces, their windows are dealt one by one, to shards told apart by the window's first and last word.
+  pieces, no automaton is built: each of their windows is told by its anchor and a 64-bit hash of all its words, and an
+  aggregate combined on the map side finds its first occurrence. So no shard holds more than ``hot`` pieces.
 * In a shard, pieces stream in document order against the generalised suffix automaton of the pieces before them; a
   matching statistic of a whole window marks it. The piece is then added to the automaton if it brought anything new.
 
@@ -135,31 +136,35 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, start int, n int, anchor bigint, a bigint")
 
 
-def _fetched(docs: DataFrame, window: int) -> DataFrame:
-    """The words of the pieces listed in rows (doc, text, first): anchor, a, at (its first window), doc, start, route and
-    words; pieces with ``many`` set are cut into windows."""
+def _fetched(docs: DataFrame, window: int, cut: bool = False) -> DataFrame:
+    """The words of the pieces listed in rows (doc, text, first): anchor, a, doc, start and words. With ``cut`` each window of
+    the pieces instead: anchor, a, at (its place in the piece), doc, start and word_hash, of all its words."""
     kind = docs.schema["doc"].dataType.simpleString()
+    kinds = {"anchor": pa.int64(), "a": pa.int64(), "start": pa.int32()} | ({"at": pa.int32(), "word_hash": pa.int64()} if cut else {"words": pa.binary()})
 
     def run(batches):
         for part in slices(batches):
-            out = {c: [] for c in ("row", "anchor", "a", "at", "start", "route", "words")}
-            listed = _lists(part.column("first"), "start", "n", "anchor", "a", "many")
+            out = {c: [] for c in ("row", *kinds)}
+            listed = _lists(part.column("first"), "start", "n", "anchor", "a")
             for row, (text, own) in enumerate(zip(part.column("text").to_pylist(), listed, strict=True)):
                 words = space_bytes(text).split()
-                for start, n, anchor, a, many in zip(*(x.tolist() for x in own), strict=True):
+                for start, n, anchor, a in zip(*(x.tolist() for x in own), strict=True):
                     piece = words[start : start + n + window - 1]
                     # Where an id is repeated with other texts, the piece is in one of them only.
                     if len(piece) < n + window - 1 or piece_hashes(word_hashes(b" ".join(piece)), np.zeros(1, np.int64), np.array([len(piece)])).view(np.int64)[0] != a:
                         continue
-                    for at in range(n) if many else (0,):
-                        sub = piece[at : at + window] if many else piece
-                        route = xxhash.xxh64_intdigest(sub[0] + b" " + sub[-1], anchor & (2**63 - 1)) - (1 << 63) if many else anchor
-                        for c, v in zip(out, (row, anchor, a, at, start + at, route, b" ".join(sub)), strict=True):
+                    if cut:
+                        for at in range(n):
+                            told = xxhash.xxh64_intdigest(b" ".join(piece[at : at + window])) - (1 << 63)
+                            for c, v in zip(out, (row, anchor, a, start + at, at, told), strict=True):
+                                out[c].append(v)
+                    else:
+                        for c, v in zip(out, (row, anchor, a, start, b" ".join(piece)), strict=True):
                             out[c].append(v)
-            kinds = {"anchor": pa.int64(), "a": pa.int64(), "at": pa.int32(), "start": pa.int32(), "route": pa.int64(), "words": pa.binary()}
             yield pa.RecordBatch.from_pydict({"doc": part.column("doc").take(pa.array(out["row"], pa.int32()))} | {c: pa.array(out[c], t) for c, t in kinds.items()})
 
-    return docs.mapInArrow(run, f"doc {kind}, anchor bigint, a bigint, at int, start int, route bigint, words binary")
+    rest = "at int, word_hash bigint" if cut else "words binary"
+    return docs.mapInArrow(run, f"doc {kind}, anchor bigint, a bigint, start int, {rest}")
 
 
 def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
@@ -181,18 +186,18 @@ def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
 
 def _judged(fetched: DataFrame, window: int) -> DataFrame:
     """Streams the shards, whose pieces stand together in order: anchor, a and the mask of each piece's repeated windows."""
-    dealt = fetched.repartition("route").sortWithinPartitions("route", "doc", "start")
+    dealt = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
 
     def rows(batches):
         for part in slices(batches, 1024):
-            yield from zip(*(part.column(c).to_pylist() for c in ("route", "anchor", "a", "at", "words")), strict=True)
+            yield from zip(*(part.column(c).to_pylist() for c in ("anchor", "a", "words")), strict=True)
 
     def run(batches):
         out = []
         for _, own in groupby(rows(batches), key=lambda r: r[0]):
             own = list(own)
-            masks = repeated_windows([r[4].split(b" ") for r in own], window)
-            out += [(r[1], r[2], m << r[3]) for r, m in zip(own, masks, strict=True) if m]
+            masks = repeated_windows([r[2].split(b" ") for r in own], window)
+            out += [(r[0], r[1], m) for r, m in zip(own, masks, strict=True) if m]
             if len(out) > 4096:
                 yield batch(out)
                 out = []
@@ -205,6 +210,16 @@ def _judged(fetched: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor bigint, a bigint, mask bigint").groupBy("anchor", "a").agg(F.bit_or("mask").alias("mask"))
 
 
+def _judged_windows(cut: DataFrame) -> DataFrame:
+    """The same for windows one by one: a window is repeated if it isn't the first with its words."""
+    # Dealt by piece, so evenly; the aggregate and the join both read this exchange.
+    cut = cut.repartition("anchor", "a")
+    told = ["anchor", "word_hash"]
+    first = cut.groupBy(*told).agg(F.min(F.struct("doc", "start")).alias("first"))  # a null id is the least
+    again = cut.join(first, told).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start"))))
+    return again.groupBy("anchor", "a").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+
+
 def _removed(docs: DataFrame, window: int) -> DataFrame:
     """docs with n_words, n_removed and kept_text, from ``out``: structs (start, n, a, mask) of each row's pieces."""
     schema = extended(docs.drop("out").schema, "n_words long, n_removed long, kept_text string")
@@ -259,9 +274,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text
     # Counted by an aggregate and joined, not by a window, so that no task holds all pieces of a frequent anchor.
     several = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds >= 2")
     kinds = first.join(several, "anchor")
-    asked = kinds.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "a", (F.col("kinds") > hot).alias("many"))).alias("first"))
-    fetch = rows.join(asked, rows["doc"].eqNullSafe(asked["doc"])).select(rows["doc"], "text", "first")
-    masks = _judged(_fetched(fetch, window), window)
+
+    def fetch(some: DataFrame) -> DataFrame:
+        asked = some.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "a")).alias("first"))
+        return rows.join(asked, rows["doc"].eqNullSafe(asked["doc"])).select(rows["doc"], "text", "first")
+
+    masks = _judged(_fetched(fetch(kinds.where(F.col("kinds") <= hot)), window), window)
+    masks = masks.unionByName(_judged_windows(_fetched(fetch(kinds.where(F.col("kinds") > hot)), window, cut=True)))
     verdict = first.join(masks, ["anchor", "a"], "left").where("times >= 2 OR mask IS NOT NULL").select("anchor", "a", "first", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
     marks = pieces.join(verdict, ["anchor", "a"]).select("doc", "start", "n", "a", F.when(F.col("doc").eqNullSafe(F.col("first")), F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
     out = marks.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "a", "mask")).alias("out"))
