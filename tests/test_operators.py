@@ -28,13 +28,16 @@ def day(y, m, d):
     return F.lit(f"{y}-{m:02d}-{d:02d}").cast("date")
 
 
-def test_golden_snapshot_row(unit):
-    assert one(unit, X.ratio(F.lit(40.0), F.lit(100.0))) == 0.4
-    assert one(unit, X.pct_change(F.lit(100.0), F.lit(105.0))) == 5.0
-    assert one(unit, X.days(day(2018, 12, 31), day(2018, 1, 1))) == 364
-    assert one(unit, X.days(day(2019, 6, 30), day(2018, 12, 31))) == 181
-    expected = X.clamp(X.ratio(X.days(day(2019, 1, 31), day(2018, 1, 1)), X.days(day(2018, 12, 31), day(2018, 1, 1))) * 100, 0.0, 100.0)
-    assert one(unit, F.lit(30.0) - expected) == -70
+def test_measures_of_a_snapshot(unit):
+    # A work of 64 sanctioned, 72 expected, 16 spent; 200 days planned from 1 March 2021, moved by 45; 25 % built on day 150.
+    start, end, moved, now = day(2021, 3, 1), day(2021, 9, 17), day(2021, 11, 1), day(2021, 7, 29)
+    assert one(unit, X.ratio(F.lit(16.0), F.lit(64.0))) == 0.25
+    assert one(unit, X.pct_change(F.lit(64.0), F.lit(72.0))) == 12.5
+    assert (one(unit, X.days(end, start)), one(unit, X.days(moved, end)), one(unit, X.days(now, start))) == (200, 45, 150)
+    expected = X.clamp(X.ratio(X.days(now, start), X.days(end, start)) * 100, 0.0, 100.0)
+    assert one(unit, F.lit(25.0) - expected) == -50
+    late = X.clamp(X.ratio(X.days(moved, start), X.days(end, start)) * 100, 0.0, 100.0)
+    assert one(unit, F.lit(25.0) - late) == -75
 
 
 def test_missing_stays_missing(unit):
@@ -66,14 +69,14 @@ def test_calendar(unit):
 
 
 def test_keys_and_labels(unit):
-    assert one(unit, X.name_key(F.lit("  North River -- UNIT (3)"))) == "north river unit 3"
+    assert one(unit, X.name_key(F.lit("  Outer MOLE -- (East) 7"))) == "outer mole east 7"
     assert one(unit, X.name_key(F.lit("--"))) is None
     assert one(unit, X.fallback_key(F.lit("A1"), F.lit("x"), F.lit("y"))) == "A1"
     assert one(unit, X.fallback_key(F.lit(None).cast("string"), F.lit("X!"), F.lit("y"))).startswith("legacy:")
-    assert one(unit, X.run_key(F.lit("monthly-2001-2015"))) == "2001_2015"
-    assert one(unit, X.part_number(F.lit("April (Part II)"))) == 2
-    assert one(unit, X.part_number(F.lit("April part-3"))) == 3
-    assert one(unit, X.part_number(F.lit("April"))) is None
+    assert one(unit, X.run_key(F.lit("monthly-1997-2006"))) == "1997_2006"
+    assert one(unit, X.part_number(F.lit("June (Part II)"))) == 2
+    assert one(unit, X.part_number(F.lit("June part-3"))) == 3
+    assert one(unit, X.part_number(F.lit("June"))) is None
     assert one(unit, X.amount_label(F.lit(1500.0))) == "1.5 k"
     assert one(unit, X.span_label(F.lit(730))) == "2.0 years"
 

@@ -10,117 +10,153 @@ from pyspark.sql import functions as F
 from tidemark.sources import reports as R
 from tidemark.sources import tables as T
 
-CLASSIC = """Detail of ongoing Projects above a bound
-Date of Commissioning
-POWER AND HEAT
-  1 NORTH RIVER STATION - UNIT 3 - 10/2009 11,459.00 16,580.00 13,711.00 12/2015 06/2020 54(O) 52/70
-    [N02000010]GRIDCO,GUJARAT
-  2 SOUTH CANAL 4/2010 200.50 0.00 50.00 - 3/2021
-    (130000021) CANALS LTD
+# Reports of an invented authority, written from the layouts' rules: codes 7100000xx, own sectors and figures.
+CLASSIC = """Sector Wise Details
+S.No  Works  Sanctioned  Cost  Date of opening
+HARBOURS
+ 11 OUTER MOLE 7/2013 80.25 91.75 36.70 9/2016 2/2018
+    (710000021) PORT TRUST,KERALA
+ 12 GRAIN BERTH 1/2014 64.00 0.00 16.00 5/2017 -
+    (710000022)
+LIGHTHOUSES AND BUOYS
+\f 13 FOG SIGNALS 12/2014 1,907.50 2,384.38 596.10 - 11/2019
+    [Q71000023]COAST OFFICE
+Total of all works
 """
-LEGACY = """Sector-Wise analysis of projects
-Cost Original [Anticipated] Date of Commissioning [Anticipated]
-COAL
-1. SAMPLE OPEN MINE 6/1995 415.93 -257.69 115.22 3/2002 5 0/8
-   EXPANSION PHASE
-   (MINECO) [158.24] [3/2002]
+LEGACY = """SECTOR-WISE ANALYSIS OF PROJECTS
+Date of opening [Anticipated]
+FERRIES
+4 TWIN HULL BOATS 9/1998 72.50 3.10 30.45 8/2001 14 2/5
+  FOR THE ISLANDS
+  (BOAT YARD) [87.00] [10/2002]
+5. LANDING STAGE 2/1999 18.00 0.00 9.00 4/2000 - 1/1
+  [18.00] [4/2000]
+  (DOCK SHOP)
+  Total of ferries
+WEIRS
+6 EEL PASS 3/1999 6.40 -0.15 6.25 6/1999 0 3/3
 """
-RECENT = """Project List: Ongoing Projects as of 30th June 2024
-STATE      POWER             1    SAMPLE PROJECT           1/2020           3/2024               500.00           250.00            50
-                                      (Mar-25)             (550.00)
-                                      {3/2025}             {575.00}
-                                      (AGENCY )
-                                      (N18000001 )
+RECENT = """Project List: Ongoing Projects as of 31st August 2022
+   HARBOURS     21   DEEP FAIRWAY             4-2017           10-2020          1,240.00         868.00          61.5
+                                              (Feb-23)         (1,240.00)
+                                              {2/2024}         {1,395.00}
+                                              (DREDGE BOARD)
+                                              (Q71000041)
+   HARBOURS     22   TIDE GAUGES              2/2018           /                45.00            9.00            -
+                                              (Q71000042 )
+   NOT A ROW    23   WITHOUT CODE             3/2018           6/2020           10.00            1.00            5
 """
 REDESIGNED = """Detail of ongoing Projects
-Original / cost
-Revised / date
+Original / amount
+Revised / amount
 Anticipated
-RAILWAYS
- 7 LONG LINE 2/2011 5/2018 1,000.00 400.00 3 / 9
-   DOUBLING - N22000111
-   [1,200.00] [6/2019]
-   (N22000111) RAILCO,BIHAR
+TRAMWAYS
+ 31 HILL LOOP 6/2012 3/2016 512.00 614.40 5 / 8
+    WITH DEPOT - Q71000051
+    [768.00] [12/2017]
+    (Q71000051) TRAM CO,GOA
+ 32 SHORT SPUR 1/2013 - 40.00 10.00 0/4
+    (Q71000052)
 """
 
 
 def frame(spark, *texts):
-    rows = [(str(i), t, dt.date(2019, 6, 30), "2019-20", f"r{i}.pdf", "u") for i, t in enumerate(texts)]
+    rows = [(str(i), t, dt.date(2017, 10, 31), "2017-18", f"r{i}.pdf", "u") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "report_id string, text string, snapshot_date date, financial_year string, source_report string, source_url string")
 
 
 def parsed(spark, text):
-    return R.parse_reports(frame(spark, text)).orderBy("approval_date").collect()
+    """The rows of one report by name."""
+    return {r["project_name"]: r for r in R.parse_reports(frame(spark, text)).collect()}
 
 
 def test_classic_rows(spark):
-    b, a = sorted(parsed(spark, CLASSIC), key=lambda r: r["project_id"])[::-1]
-    assert (b["project_id"], b["sector"], b["implementing_agency"], b["state"]) == ("N02000010", "Power And Heat", "GRIDCO", "GUJARAT")
-    assert (b["approved_cost_cr"], b["revised_cost_cr"], b["cumulative_expenditure_cr"]) == (11459.0, 16580.0, 13711.0)
-    assert b["revised_completion_date"] == dt.date(2020, 6, 1) and b["financial_progress"] == pytest.approx(82.6960, abs=1e-4)
-    assert b["project_name"] == "NORTH RIVER STATION - UNIT 3" and b["physical_progress"] is None and b["report_month"] == "June"
-    assert a["project_id"] == "130000021" and a["planned_completion_date"] is None and a["financial_progress"] is None
+    got = parsed(spark, CLASSIC)
+    assert set(got) == {"OUTER MOLE", "GRAIN BERTH", "FOG SIGNALS"}
+    mole, berth, fog = got["OUTER MOLE"], got["GRAIN BERTH"], got["FOG SIGNALS"]
+    assert (mole["project_id"], mole["sector"], mole["implementing_agency"], mole["state"]) == ("710000021", "Harbours", "PORT TRUST", "KERALA")
+    assert (mole["approved_cost_cr"], mole["revised_cost_cr"], mole["cumulative_expenditure_cr"], mole["financial_progress"]) == (80.25, 91.75, 36.7, 40.0)
+    assert (mole["approval_date"], mole["planned_completion_date"], mole["revised_completion_date"]) == (dt.date(2013, 7, 1), dt.date(2016, 9, 1), dt.date(2018, 2, 1))
+    assert mole["report_month"] == "October" and mole["physical_progress"] is None and mole["source_page"] == 1
+    assert berth["revised_cost_cr"] == 0.0 and berth["revised_completion_date"] is None and berth["financial_progress"] is None
+    assert (fog["project_id"], fog["sector"], fog["source_page"], fog["financial_progress"]) == ("Q71000023", "Lighthouses And Buoys", 2, 25.0002)
+    assert fog["planned_completion_date"] is None and fog["implementing_agency"] == "COAST OFFICE"
 
 
 def test_legacy_rows_keep_missing_ids(spark):
-    (r,) = parsed(spark, LEGACY)
-    assert r["project_id"] is None and r["project_name"] == "SAMPLE OPEN MINE EXPANSION PHASE"
-    assert (r["approved_cost_cr"], r["revised_cost_cr"], r["milestone_status"], r["current_schedule_status"]) == (415.93, 158.24, "0/8", "delayed")
-    assert r["implementing_agency"] == "MINECO" and r["revised_completion_date"] == dt.date(2002, 3, 1)
+    got = parsed(spark, LEGACY)
+    boats, stage, eels = got["TWIN HULL BOATS FOR THE ISLANDS"], got["LANDING STAGE"], got["EEL PASS"]
+    assert {r["project_id"] for r in got.values()} == {None}
+    assert (boats["approved_cost_cr"], boats["revised_cost_cr"], boats["milestone_status"], boats["current_schedule_status"]) == (72.5, 87.0, "2/5", "delayed")
+    assert boats["implementing_agency"] == "BOAT YARD" and boats["revised_completion_date"] == dt.date(2002, 10, 1) and boats["financial_progress"] == 35.0
+    assert (stage["sector"], stage["current_schedule_status"], stage["financial_progress"]) == ("Ferries", None, 50.0)
+    assert (eels["sector"], eels["revised_cost_cr"], eels["current_schedule_status"]) == ("Weirs", None, None)
 
 
 def test_recent_rows(spark):
-    (r,) = parsed(spark, RECENT)
-    assert (r["project_id"], r["project_name"], r["physical_progress"]) == ("N18000001", "SAMPLE PROJECT", 50.0)
-    assert (r["approved_cost_cr"], r["revised_cost_cr"], r["implementing_agency"]) == (500.0, 575.0, "AGENCY")
-    assert r["revised_completion_date"] == dt.date(2025, 3, 1) and r["financial_progress"] == pytest.approx(43.4783)
+    got = parsed(spark, RECENT)
+    assert set(got) == {"DEEP FAIRWAY", "TIDE GAUGES"}
+    deep, tide = got["DEEP FAIRWAY"], got["TIDE GAUGES"]
+    assert (deep["project_id"], deep["implementing_agency"], deep["physical_progress"]) == ("Q71000041", "DREDGE BOARD", 61.5)
+    assert (deep["approved_cost_cr"], deep["revised_cost_cr"], deep["cumulative_expenditure_cr"]) == (1240.0, 1395.0, 868.0)
+    assert deep["revised_completion_date"] == dt.date(2024, 2, 1) and deep["financial_progress"] == pytest.approx(62.2222)
+    assert (tide["project_id"], tide["planned_completion_date"], tide["physical_progress"], tide["financial_progress"]) == ("Q71000042", None, None, 20.0)
 
 
 def test_redesigned_rows(spark):
-    (r,) = parsed(spark, REDESIGNED)
-    assert (r["project_id"], r["revised_cost_cr"], r["milestone_status"]) == ("N22000111", 1200.0, "3/9")
-    assert r["revised_completion_date"] == dt.date(2019, 6, 1) and r["implementing_agency"] == "RAILCO" and r["sector"] == "Railways"
+    got = {r["project_id"]: r for r in R.parse_reports(frame(spark, REDESIGNED)).collect()}
+    hill, spur = got["Q71000051"], got["Q71000052"]
+    assert (hill["revised_cost_cr"], hill["milestone_status"], hill["sector"], hill["financial_progress"]) == (768.0, "5/8", "Tramways", 80.0)
+    assert hill["revised_completion_date"] == dt.date(2017, 12, 1) and (hill["implementing_agency"], hill["state"]) == ("TRAM CO", "GOA")
+    assert (spur["planned_completion_date"], spur["revised_cost_cr"], spur["financial_progress"]) == (None, None, 25.0)
 
 
 def test_unknown_texts_are_reported(spark):
-    df = frame(spark, "no table here", CLASSIC)
-    assert [r["report_id"] for r in R.unrecognised(df).collect()] == ["0"]
+    df = frame(spark, "a letter without any table", CLASSIC, None)
+    assert sorted(r["report_id"] for r in R.unrecognised(df).collect()) == ["0", "2"]
     assert {r["report_id"] for r in R.parse_reports(df).collect()} == {"1"}
 
 
 def test_completed_lists_of_both_ages(spark):
     old = """Month wise List of Completed Projects
-May, 2019
-ROAD TRANSPORT
-1 BRIDGE OVER THE RIVER 120.00 03/2018 150.50
-  AT THE MOUTH (ROADS LTD) - [N24000555]
-2. SECOND BRIDGE 90 04/2018 91
-June 2019
-3 THIRD ROAD 10.0 05/2018 12.0
-Details of ongoing
-4 NOT THIS 1 01/2000 2
+September 2016
+FOOT BRIDGES
+1. STONE ARCH WITH 14.20 11/2015 17.75
+   STEPS (BRIDGE OFFICE) - [Q71000061]
+2 ROPE BRIDGE 3 02/2016 2.5
+October, 2016
+3. COVERED BRIDGE 41.0 07/2016 44.0
+Detail of ongoing
+4 LATER BRIDGE 5 01/2017 6
 """
-    new = """Table:-3. Project List: Completed during April 2022
-Sector Sl. No.
-COAL
-  1  DEEP MINE          1,000.00      3/2021        1,250.00
-     (COALCO)
-     (N09000123 )
+    new = """Table:-3. Project List: Completed during November 2021
+WIND PUMPS
+ 1  MARSH PUMP         2,150.00      8/2020        1,935.00
+    (PUMP UNION)
+    (Q71000071 )
+ 2  DYKE PUMP          310.00        9/2020        341.00
+    (Q71000072)
 Table:-4. Project List: Added
+ 3  NEW PUMP           1.00          9/2020        1.00
 """
     got = {r["project_name"]: r for r in R.parse_completed(frame(spark, old, new)).collect()}
-    bridge, mine = got["BRIDGE OVER THE RIVER"], got["DEEP MINE"]
-    assert (bridge["project_id"], bridge["implementing_agency"], bridge["sector"]) == ("N24000555", "ROADS LTD", "Road Transport")
-    assert (bridge["approved_cost_cr"], bridge["reported_completion_expenditure_cr"]) == (120.0, 150.5)
-    assert bridge["completion_date"] == dt.date(2019, 5, 31) and got["THIRD ROAD"]["completion_date"] == dt.date(2019, 6, 30)
-    assert (mine["project_id"], mine["approved_cost_cr"], mine["completion_date"]) == ("N09000123", 1000.0, dt.date(2022, 4, 30))
-    assert len(got) == 4
+    assert set(got) == {"STONE ARCH WITH", "ROPE BRIDGE", "COVERED BRIDGE", "MARSH PUMP", "DYKE PUMP"}
+    arch, marsh = got["STONE ARCH WITH"], got["MARSH PUMP"]
+    assert (arch["project_id"], arch["implementing_agency"], arch["sector"]) == ("Q71000061", "BRIDGE OFFICE", "Foot Bridges")
+    assert (arch["approved_cost_cr"], arch["reported_completion_expenditure_cr"]) == (14.2, 17.75)
+    assert arch["completion_date"] == dt.date(2016, 9, 30) and got["COVERED BRIDGE"]["completion_date"] == dt.date(2016, 10, 31)
+    assert (marsh["project_id"], marsh["approved_cost_cr"], marsh["completion_date"]) == ("Q71000071", 2150.0, dt.date(2021, 11, 30))
+    assert (got["DYKE PUMP"]["planned_commissioning_date"], got["DYKE PUMP"]["sector"]) == (dt.date(2020, 9, 1), "Wind Pumps")
 
 
 def test_archive_index(spark):
-    html = "<table><tr><td>1</td><td>2024-25</td><td>January (Part 2)</td><td><a href='../View?id=62&amp;path=x'>PDF</a></td></tr><tr><td>no</td></tr></table>"
-    (r,) = R.archive_index(spark.createDataFrame([(html,)], "html string")).collect()
-    assert (r["financial_year"], r["report_month"], r["part_number"], r["calendar_year"], r["link"]) == ("2024-25", "January", 2, 2025, "../View?id=62&path=x")
+    html = """<h1>Reports</h1><table><thead><tr><th>Year</th><th>Report</th></tr></thead>
+    <tr><td>2018-19</td><td>March</td><td><a href="get?n=3&amp;v=1">open</a></td></tr>
+    <tr><td>2018-19</td><td>December (Part II)</td><td><a href="get?n=2">open</a></td></tr>
+    <tr><td>2017-18</td><td>June</td><td>missing</td></tr></table>"""
+    rows = R.archive_index(spark.createDataFrame([(html,)], "html string")).collect()
+    got = {r["link"]: (r["financial_year"], r["report_month"], r["part_number"], r["calendar_year"]) for r in rows}
+    assert got == {"get?n=3&v=1": ("2018-19", "March", 1, 2019), "get?n=2": ("2018-19", "December", 2, 2018)}
 
 
 def test_csv_with_gz_fallback_and_coercion(spark, tmp_path):
