@@ -27,7 +27,7 @@ LEGACY = """SECTOR-WISE ANALYSIS OF PROJECTS
 Date of opening [Anticipated]
 FERRIES
 4 TWIN HULL BOATS 9/1998 72.50 3.10 30.45 8/2001 14 2/5
-  FOR THE ISLANDS
+  for the Islands
   (BOAT YARD) [87.00] [10/2002]
 5. LANDING STAGE 2/1999 18.00 0.00 9.00 4/2000 - 1/1
   [18.00] [4/2000]
@@ -85,7 +85,7 @@ def test_classic_rows(spark):
 
 def test_legacy_rows_keep_missing_ids(spark):
     got = parsed(spark, LEGACY)
-    boats, stage, eels = got["TWIN HULL BOATS FOR THE ISLANDS"], got["LANDING STAGE"], got["EEL PASS"]
+    boats, stage, eels = got["TWIN HULL BOATS for the Islands"], got["LANDING STAGE"], got["EEL PASS"]
     assert {r["project_id"] for r in got.values()} == {None}
     assert (boats["approved_cost_cr"], boats["revised_cost_cr"], boats["milestone_status"], boats["current_schedule_status"]) == (72.5, 87.0, "2/5", "delayed")
     assert boats["implementing_agency"] == "BOAT YARD" and boats["revised_completion_date"] == dt.date(2002, 10, 1) and boats["financial_progress"] == 35.0
