@@ -1,21 +1,34 @@
-"""N-gram Jaccard join by MinHash banding, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A text's shingles are its runs of five words (see ``plain_bytes``; a text of one to four words has one shingle of
-all its words). Texts with equal shingle sets form a *node*; copies are never compared. Each node has ``TREES`` bands of
-``depth`` MinHash values, and two nodes meet if a band is equal in all its values. The depth is fixed before any text is
-read: the longest, up to ``LABEL``, at which the expected recall at the threshold, 1 - (1 - s^depth)^trees, reaches the
-target. This stands in for an LSH forest, which would sort longer labels and shorten matched prefixes run by run; it has
-no sorted labels, no longer prefixes and no choice a run.
-
-Nodes that meet are verified exactly on their shingle sets (64-bit hashes). Groups with the same members in several
-trees are verified once; a pair that meets in several groups counts in the least of them only. A group larger than a
-block is cut into blocks, and each pair of blocks is one cell, so no task holds a whole group. A cell emits no pairs:
-only each node's number of links and the edges of a spanning forest, from which components follow.
+all its words). Texts with equal shingle sets form a *node*; copies are never compared. Each node has a label of ``LABEL``
+MinHash values in each of ``TREES`` trees. A tree's labels are sorted, which makes them a prefix trie: labels that share a
+prefix stand in a row, a *run*. Two nodes of similarity s share a prefix of d values with probability s^d.
+
+* The labels of all trees are range-partitioned and sorted. Each label's longest match is with a neighbour; labels whose
+  longest match is below the least depth, ``depth_for(recall)``, meet nobody and go. At the least depth a pair at the
+  threshold meets in some tree with probability ``recall``.
+* From the least depth downward a run is entered further only while it has more than ``BLOCK`` members, a *crowd*. Runs
+  that aren't crowded are compared whole: all shortening of prefixes inside them costs one small cell.
+* Crowds are compared from the longest prefix upward. At each depth the pairs are compared that share just so long a
+  prefix, and then the prefix is shortened only for *open* nodes, whose expected recall is below the target. The expected
+  recall of a node with n links, the least similar at s, is n / (n / p(s) + (1 - p(t)) / p(t)), where p(s) is the
+  probability that a pair of similarity s met at this depth or deeper, and t is the threshold: it allows for one more link
+  at the threshold itself. A pair of nodes that have both reached the target isn't compared at shorter prefixes. Nodes
+  without links stay open, so they are compared down to the least depth.
+
+Nodes that meet are verified exactly on their shingle sets (64-bit hashes). Runs with the same members in several trees
+are verified once; a pair that meets in several runs counts in one of them: the least of the small runs, else the crowd
+of its deepest match, in the first such tree. A crowd is cut into blocks, and each pair of blocks is one cell, so no task
+holds a crowd. A cell emits no pairs: only each node's number of links, the least similarity of them and the edges of a
+spanning forest, from which components follow.
 
 Result: one row a document with class_id (the least doc_id of its connected component) and n_links (the number of
 other documents at or above the threshold, each copy counted). Texts without words (null, empty) have no links and are
-their own class. Each row counts as a document; repeated rows are copies. Null ids take part, and are a class_id only
-if every document of the class has none. Only the id and text columns are read, so others can't clash.
+their own class. Very long texts are hashed whole, in parts of bounded size. Each row counts as a document; repeated rows
+are copies, and rows that tie in all else are told apart by nothing, so any of them may stay. Null ids take part, and are
+a class_id only if every document of the class has none. Only the id and text columns are read, so others can't clash.
+Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -36,17 +49,26 @@ THRESHOLD = 0.8
 TREES, LABEL = 24, 8
 #: Of pairs at the threshold itself; more similar pairs are missed far more rarely.
 RECALL = 0.99999
-#: Nodes of a block; a cell compares two blocks.
+#: Nodes of a block; a cell compares two blocks. A run of more members is a crowd.
 BLOCK = 128
 _COLUMNS_AT_ONCE = 4096
 
 
+def met(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def depth_for(recall: float, threshold: float, trees: int = TREES, label: int = LABEL) -> int:
     """The longest prefix at which pairs at the threshold meet in some tree with the wanted probability."""
-    depth = label
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    return next((d for d in range(label, 1, -1) if met(threshold, d, trees) >= recall), 1)
+
+
+def expected_recall(n: Column, least: Column, depth: int, threshold: float) -> Column:
+    """Of a node with n links found in prefixes of depth or more, the least similar at ``least``; 0 without links."""
+    share = 1 - F.pow(1 - F.pow(least, F.lit(float(depth))), F.lit(float(TREES)))
+    unseen = (1 - met(threshold, depth)) / met(threshold, depth)
+    return F.coalesce(n / (n / share + F.lit(unseen)), F.lit(0.0))
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -55,27 +77,23 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else words
 
 
-class Forest:
-    def __init__(self, depth: int, trees: int = TREES, seed: int = 20):
+class Labels:
+    """MinHash labels: TREES x LABEL values of 32 bits."""
+
+    def __init__(self, trees: int = TREES, label: int = LABEL, seed: int = 20):
         rng = np.random.default_rng(seed)
-        self.depth, self.trees = depth, trees
-        self.a = rng.integers(1, 2**63, depth * trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, depth * trees, dtype=np.uint64)
-
-    def prefixes(self, shingles: np.ndarray) -> np.ndarray:
-        """A hash of the label's prefix in each tree."""
-        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for start in range(0, len(shingles), 2048):
-            x = shingles[start : start + 2048]
-            y = self.a[:, None] * x[None, :]
+        self.a = (rng.integers(0, 2**31, trees * label, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, trees * label, dtype=np.uint32)
+
+    def of(self, shingles: np.ndarray) -> bytes:
+        """Big-endian, so that bytes sort as labels do, tree by tree."""
+        low = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
+        for start in range(0, len(x), 2048):
+            y = self.a[:, None] * x[None, start : start + 2048]
             y += self.b[:, None]
             np.minimum(low, y.min(1), out=low)
-        low ^= low >> np.uint64(31)
-        out = np.arange(1, self.trees + 1, dtype=np.uint64)
-        for level in low.reshape(self.trees, self.depth).T:
-            out = (out ^ level) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
+        return low.astype(">u4").tobytes()
 
 
 def _text_keys(text: str) -> dict[str, Column]:
@@ -83,15 +101,15 @@ def _text_keys(text: str) -> dict[str, Column]:
     return {"ta": F.xxhash64(text), "tb": F.xxhash64(F.lit(7), text)}
 
 
-def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int, keyed: bool = False) -> DataFrame:
-    """row_id, node (a digest of the shingle set; null without words), n_shingles, prefixes, and ``_text_keys`` if asked."""
+def signatures(docs: DataFrame, text: str, row_id: str, k: int, keyed: bool = False) -> DataFrame:
+    """row_id, node (a digest of the shingle set; null without words), n_shingles, labels, and ``_text_keys`` if asked."""
     hashes = _text_keys(text) if keyed else {}
     keys = list(hashes)
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *(c.alias(x) for x, c in hashes.items()))
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def run(batches):
-        forest = Forest(depth)
+        labels = Labels()
         for part in slices(batches):
             sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -99,24 +117,78 @@ def signatures(docs: DataFrame, depth: int, text: str, row_id: str, k: int, keye
                     "row_id": part.column("row_id"),
                     "node": pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "n_shingles": pa.array(map(len, sets), pa.int32()),
-                    "prefixes": pa.array([forest.prefixes(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    "labels": pa.array([labels.of(s) if len(s) else None for s in sets], pa.binary()),
                 }
                 | {x: part.column(x) for x in keys}
             )
 
-    return rows.mapInArrow(run, f"row_id {kind}, node binary, n_shingles int, prefixes array<bigint>" + "".join(f", {x} bigint" for x in keys))
+    return rows.mapInArrow(run, f"row_id {kind}, node binary, n_shingles int, labels binary" + "".join(f", {x} bigint" for x in keys))
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(node, gid, m): membership in groups of m >= 2 nodes, one group for each different set of members."""
-    met = nodes.select("node", F.explode("prefixes").alias("gid"))
-    sets = met.groupBy("gid").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")
-    )
-    kept = sets.where("m >= 2").groupBy("m", "x", "y").agg(F.min("gid").alias("gid")).select("gid", "m")
-    return met.join(kept, "gid")
+def _numbers(column: pa.Array, width: int) -> np.ndarray:
+    """A column of labels of ``width`` values as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, width)
 
 
+def tries(nodes: DataFrame, least: int) -> DataFrame:
+    """(tree, label, node, longest): the labels of every tree in sorted order, without those whose longest match is below
+    ``least``. At the cuts of the sort, where the neighbour isn't seen, the longest match counts as whole."""
+    size = 4 * LABEL
+    label = F.expr(f"substring(labels, tree * {size} + 1, {size})")
+    each = nodes.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "node")
+    ranged = each.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+
+    def matches(part: pa.RecordBatch) -> np.ndarray:
+        values, tree = _numbers(part.column("label"), LABEL), part.column("tree").to_numpy()
+        return np.cumprod((values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(1)
+
+    def run(batches):
+        held, before = None, LABEL  # the last row so far, and its match with the row before it
+
+        def kept(part, longest):
+            longest = longest.astype(np.int32)
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(longest)], ["tree", "label", "node", "longest"]).filter(pa.array(longest >= least))
+
+        for part in batches:
+            if not part.num_rows:
+                continue
+            if held is not None:
+                part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+            between = matches(part)
+            if len(between):
+                yield kept(part.slice(0, len(between)), np.maximum(np.concatenate(([before], between[:-1])), between))
+                before = int(between[-1])
+            held = part.slice(part.num_rows - 1)
+        if held is not None:
+            yield kept(held, np.array([LABEL]))
+
+    return ranged.mapInArrow(run, "tree int, label binary, node binary, longest int")
+
+
+def runs(found: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """The runs of the tries as (node, tree, gid, m): those of at most BLOCK members, each at its least depth, and for each
+    depth the crowds. Runs of equal members in several trees are given once."""
+    small, crowds, rows = [], [], found
+    for depth in range(least, LABEL + 1):
+        rows = rows.where(F.col("longest") >= depth).withColumn("gid", F.xxhash64("tree", F.substring("label", 1, 4 * depth)))
+        # Stored, so that Spark sees its size and can split the rows of a crowd in the join.
+        sizes = stored(rows.groupBy("gid").agg(F.count("*").alias("m")).where("m >= 2"), "run-sizes")
+        here = stored(rows.join(sizes, "gid").select("node", "tree", "label", "longest", "gid", "m"), "runs")
+        small.append(here.where(F.col("m") <= BLOCK).select("node", "tree", "gid", "m"))
+        rows = here.where(F.col("m") > BLOCK)
+        if rows.isEmpty():
+            break
+        crowds.append((depth, rows.select("node", "tree", "gid", "m")))
+        rows = rows.select("tree", "label", "node", "longest")
+    all_small = small[0]
+    for more in small[1:]:
+        all_small = all_small.unionByName(more)
+    sets = all_small.groupBy("gid").agg(
+        F.first("m").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")
+    )
+    kept = sets.groupBy("m", "x", "y").agg(F.min("gid").alias("gid")).select("gid")
+    return all_small.join(kept, "gid"), crowds
+
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of blocks of the incidence matrix."""
     n = len(sets)
@@ -138,52 +210,71 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _least_common(groups: list[list[int]], p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The least group that both nodes of each pair belong to."""
-    width = max(map(len, groups))
-    none = np.iinfo(np.int64).max
-    g = np.full((len(groups), width), none, np.int64)
-    for i, own in enumerate(groups):
-        g[i, : len(own)] = own
-    out = np.empty(len(p), np.int64)
-    for s in range(0, len(p), 2048):
-        a, b = g[p[s : s + 2048]], g[q[s : s + 2048]]
-        both = (a[:, :, None] == b[:, None, :]).any(2)
-        out[s : s + 2048] = np.where(both, a, none).min(1)
-    return out
-
-
-def verify_cell(gid: int, same: bool, members: list[dict], threshold: float) -> list[tuple]:
-    """(node, links, root) of the nodes with links that this cell counts. Members of a cell of two blocks are compared
-    across the blocks only."""
-    members = list({m["node"]: m for m in members}.values())
-    n = len(members)
+class Cell:
+    """Nodes that meet, with what is needed to verify pairs of them. ``small`` has a node's small run in each tree, or 0."""
+
+    def __init__(self, members: list[dict]):
+        self.members = members = list({m["node"]: m for m in members}.values())
+        self.sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+        self.sizes = np.array([len(s) for s in self.sets], np.float64)
+        self.small = np.array([m["small"] for m in members], np.int64).reshape(-1, TREES)
+
+    def links(self, threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p, q and similarity of the pairs at the threshold; of members of two blocks across the blocks only."""
+        n, sizes = len(self.members), self.sizes
+        p, q = np.triu_indices(n, 1)
+        fits = np.minimum(sizes[p], sizes[q]) >= threshold * np.maximum(sizes[p], sizes[q]) - 1e-9
+        if across:
+            block = np.array([m["block"] for m in self.members])
+            fits &= block[p] != block[q]
+        p, q = p[fits], q[fits]
+        if n <= 4:
+            inter = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(p, q, strict=True)], np.float64)
+        else:
+            inter = _shared_counts(self.sets)[p, q].astype(np.float64) if len(p) else np.zeros(0)
+        union = sizes[p] + sizes[q] - inter
+        linked = inter >= threshold * union - 1e-9
+        return p[linked], q[linked], inter[linked] / union[linked]
+
+    def least_run(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The least small run that both nodes of each pair belong to, or the largest integer."""
+        none = np.iinfo(np.int64).max
+        a, b = self.small[p], self.small[q]
+        return np.where((a == b) & (a != 0), a, none).min(1, initial=none)
+
+    def deepest(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest prefix that each pair shares, and the first tree that has it."""
+        labels = _numbers(pa.array([m["labels"] for m in self.members], pa.binary()), TREES * LABEL).reshape(-1, TREES, LABEL)
+        depth, tree = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for s in range(0, len(p), 2048):
+            shared = np.cumprod(labels[p[s : s + 2048]] == labels[q[s : s + 2048]], axis=2, dtype=np.int8).sum(2)
+            depth[s : s + 2048], tree[s : s + 2048] = shared.max(1), shared.argmax(1)
+        return depth, tree
+
+
+def verify_cell(gid: int, i: int, j: int, members: list[dict], threshold: float, depth: int = 0) -> list[tuple]:
+    """(node, links, root, n, least) of the nodes with links that this cell counts: a small run, or two blocks of a crowd at
+    a depth. ``links`` counts copies, ``n`` nodes; ``least`` is the least similarity."""
+    cell = Cell(members)
+    members, n = cell.members, len(cell.members)
     if n < 2:
         return []
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
-    sizes = np.array([len(s) for s in sets], np.float64)
-    p, q = np.triu_indices(n, 1)
-    fits = np.minimum(sizes[p], sizes[q]) >= threshold * np.maximum(sizes[p], sizes[q]) - 1e-9
-    if not same:
-        block = np.array([m["block"] for m in members])
-        fits &= block[p] != block[q]
-    p, q = p[fits], q[fits]
+    p, q, alike = cell.links(threshold, i != j)
     if not len(p):
         return []
-    if n <= 4:
-        inter = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(p, q, strict=True)], np.float64)
+    run = cell.least_run(p, q)
+    if depth:
+        deepest, tree = cell.deepest(p, q)
+        own = (run == np.iinfo(np.int64).max) & (deepest == depth) & (tree == members[0]["tree"])
     else:
-        inter = _shared_counts(sets)[p, q].astype(np.float64)
-    linked = inter >= threshold * (sizes[p] + sizes[q] - inter) - 1e-9
-    p, q = p[linked], q[linked]
-    if not len(p):
-        return []
-    own = _least_common([m["groups"] for m in members], p, q) == gid
-    p, q = p[own], q[own]
+        own = run == gid
+    p, q, alike = p[own], q[own], alike[own]
     weight = np.array([m["copies"] for m in members], np.int64)
-    links = np.zeros(n, np.int64)
-    np.add.at(links, p, weight[q])
-    np.add.at(links, q, weight[p])
+    links, times, least = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
+    for x, y in ((p, q), (q, p)):
+        np.add.at(links, x, weight[y])
+        np.add.at(times, x, 1)
+        np.minimum.at(least, x, alike)
     parent = list(range(n))
 
     def root(i):
@@ -192,59 +283,104 @@ def verify_cell(gid: int, same: bool, members: list[dict], threshold: float) ->
             i = parent[i]
         return i
 
-    for i, j in zip(p.tolist(), q.tolist(), strict=True):
-        a, b = root(i), root(j)
+    for x, y in zip(p.tolist(), q.tolist(), strict=True):
+        a, b = root(x), root(y)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    return [(members[i]["node"], int(links[i]), members[root(i)]["node"]) for i in range(n) if links[i]]
+    return [(members[x]["node"], int(links[x]), members[root(x)]["node"], int(times[x]), float(least[x])) for x in np.flatnonzero(times).tolist()]
+
+
+_LINKS = {"node": pa.binary(), "links": pa.int64(), "root": pa.binary(), "n": pa.int64(), "least": pa.float64()}
 
 
-def _verified(cells: DataFrame, threshold: float) -> DataFrame:
+def _verified(cells: DataFrame, threshold: float, depth: int = 0) -> DataFrame:
     """Streams cells, whose rows are sorted to stand together, and verifies one after the other."""
 
     def rows(batches):
         for part in slices(batches):
             yield from part.to_pylist()
 
+    def batch(out):
+        return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(_LINKS.items())})
+
     def run(batches):
         out = []
         for (gid, i, j), members in groupby(rows(batches), key=lambda r: (r["gid"], r["i"], r["j"])):
-            out += verify_cell(gid, i == j, list(members), threshold)
+            out += verify_cell(gid, i, j, list(members), threshold, depth)
             if len(out) > 4096:
-                yield _batch(out)
+                yield batch(out)
                 out = []
         if out:
-            yield _batch(out)
-
-    return cells.mapInArrow(run, "node binary, links bigint, root binary")
-
+            yield batch(out)
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(("node", "links", "root"), kinds, strict=True))})
+    return cells.mapInArrow(run, "node binary, links bigint, root binary, n bigint, least double").withColumn("depth", F.lit(depth))
 
 
-def _cells(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int) -> DataFrame:
-    """The nodes' shingle sets, dealt to cells (gid, i, j)."""
+def _sets(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int) -> DataFrame:
+    """members (node, rep and further columns) with the nodes' shingle sets in place of rep."""
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    met = rows.join(members, rows["row_id"].eqNullSafe(members["rep"])).select("text", "node", "copies", "groups")
+    rest = [c for c in members.columns if c != "rep"]
+    found = rows.join(members, rows["row_id"].eqNullSafe(members["rep"])).select("text", *rest)
 
     def run(batches):
         for part in slices(batches):
             sets = [shingle_set(t, k).tobytes() for t in part.column("text").to_pylist()]
             # Where an id is repeated with other texts, only the node's own text counts.
             own = pa.array([xxhash.xxh128_digest(s) == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_pydict({"node": part.column("node"), "copies": part.column("copies"), "groups": part.column("groups"), "shingles": pa.array(sets, pa.binary())})
-            yield out.filter(own)
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in rest} | {"shingles": pa.array(sets, pa.binary())}).filter(own)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name != "rep")
+    return found.mapInArrow(run, f"{fields}, shingles binary")
+
+
+def _blocks(crowd: DataFrame, members: DataFrame, found: list[DataFrame], depth: int, threshold: float, recall: float) -> DataFrame:
+    """The cells of the crowds at a depth, without pairs of nodes that have both reached the recall before it."""
+    rows = crowd.withColumn("open", F.lit(True))
+    if depth < LABEL:
+        linked = _union(found).groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        reached = expected_recall(F.col("n"), F.col("least"), depth + 1, threshold) >= recall
+        rows = crowd.join(linked, "node", "left").select("node", "tree", "gid", (~reached).alias("open"))
+    rows = stored(rows, "crowd")
+    blocks = lambda open_: F.ceil(F.count_if(F.col("open") == open_) / BLOCK).cast("int")
+    counts = stored(rows.groupBy("gid").agg(blocks(True).alias("a"), blocks(False).alias("b")).where("a > 0"), "crowd-sizes")
+    h = F.xxhash64("node")
+    block = F.when(F.col("open"), F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.greatest("b", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("open"), F.col("a") + F.col("b") - 1).otherwise(F.col("a") - 1))
+    dealt = rows.join(counts, "gid").select("node", "tree", "gid", block.alias("block"), F.explode(others).alias("other"))
+    dealt = dealt.select("node", "tree", "gid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.join(members, "node").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
 
-    sets = met.mapInArrow(run, "node binary, copies bigint, groups array<struct<gid:bigint,m:bigint>>, shingles binary")
-    g = F.explode("groups").alias("g")
-    dealt = sets.select("node", "copies", "shingles", F.array_sort(F.transform("groups", lambda x: x["gid"])).alias("groups"), g)
-    blocks = F.ceil(F.col("g.m") / BLOCK).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "copies", "shingles", "groups", F.col("g.gid").alias("gid"), "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str) -> DataFrame:
+    """(node, links, root, n, least, depth) of all nodes with links, several rows a node. depth is that of the crowd in which
+    they were found, or 0. signed has the signatures, nodes has node, rep (an id) and copies."""
+    least_depth = depth_for(recall, threshold)
+    labelled = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("labels").alias("labels"))
+    small, crowds = runs(stored(tries(labelled, least_depth), "tries"), least_depth)
+    # A node's small runs, at most one a tree, as a list and by tree.
+    by_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("of", t), F.lit(0)))
+    owned = small.groupBy("node").agg(F.collect_list("gid").alias("gids"), F.map_from_entries(F.collect_list(F.struct("tree", "gid"))).alias("of"))
+    owned = stored(owned.select("node", "gids", by_tree.alias("small")), "small-runs")
+    nodes = nodes.select("node", "rep", "copies")
+    cells = _sets(docs, nodes.join(owned, "node"), text, row_id, k)
+    cells = cells.select("node", "copies", "shingles", "small", F.explode("gids").alias("gid"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    found = [stored(_verified(cells.repartition("gid").sortWithinPartitions("gid"), threshold), "links")]
+    if crowds:
+        inside = crowds[0][1].select("node").distinct()  # crowds of greater depth lie inside these
+        none = F.array_repeat(F.lit(0).cast("bigint"), TREES)
+        members = nodes.join(inside, "node").join(owned.select("node", "small"), "node", "left")
+        members = members.join(labelled, "node").select("node", "rep", "copies", "labels", F.coalesce("small", none).alias("small"))
+        members = stored(_sets(docs, members, text, row_id, k), "crowd-members")
+        for depth, crowd in reversed(crowds):
+            found.append(stored(_verified(_blocks(crowd, members, found, depth, threshold, recall), threshold, depth), "links"))
+    return _union(found)
 
 
 def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str, keyed: bool = False) -> DataFrame:
@@ -252,27 +388,21 @@ def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text:
 
     If keyed, also the row's ``_text_keys`` and ``keep``: of the class's rows the first by id (null last), node and keys.
     """
-    found = stored(signatures(docs, depth_for(recall, threshold), text, row_id, k, keyed), "signatures")
+    signed = stored(signatures(docs, text, row_id, k, keyed), "signatures")
     keys = list(_text_keys(text)) if keyed else []
     own = [F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "node", *keys)).alias("keep")] if keyed else []
     kept = ["keep"] if keyed else []
-    nodes = (
-        found.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"), *own)
-    )
-    groups = stored(_groups(nodes.select("node", "prefixes")), "groups")
-    grouped = groups.groupBy("node").agg(F.collect_list(F.struct("gid", "m")).alias("groups"))  # at most one a tree
-    members = nodes.select("node", "rep", "copies").join(grouped, "node")
-    linked = stored(_verified(_cells(docs, members, text, row_id, k), threshold), "links")
+    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), *own), "nodes")
+    linked = verified_links(docs, signed, nodes, threshold, recall, k, text, row_id)
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "node")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = nodes.select("node", "rep", "copies", *kept).join(links.join(roots, "node", "left"), "node", "left")
+    classes = nodes.join(links.join(roots, "node", "left"), "node", "left")
     least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"), *(F.min(c).alias("first") for c in kept))
     classes = classes.join(least, "root", "left").select(
         "node", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         *(F.coalesce("first", c).alias(c) for c in kept),
     )
-    return found.select("row_id", "node", "n_shingles", *keys).join(classes, "node", "left")
+    return signed.select("row_id", "node", "n_shingles", *keys).join(classes, "node", "left")
 
 
 def near_duplicates(
@@ -297,14 +427,14 @@ def one_of_each(
     found = _classified(docs, threshold, recall, k, text, row_id, keyed=True).where("node IS NOT NULL")
     kept = F.col("row_id").eqNullSafe(F.col("keep.row_id")) & (F.col("ta") == F.col("keep.ta")) & (F.col("tb") == F.col("keep.tb"))
     # One row for each id and text that goes, or of which only one row stays.
-    judged = found.select("row_id", "ta", "tb", kept.alias("_kept")).groupBy(F.col("row_id").alias("_id"), F.col("ta").alias("_ta"), F.col("tb").alias("_tb"), "_kept")
-    judged = stored(judged.agg(F.count("*").alias("_n")).where("NOT _kept OR _n > 1"), "judged")
-    keys = _text_keys(text)
-    same = docs[row_id].eqNullSafe(judged["_id"]) & (keys["ta"] == judged["_ta"]) & (keys["tb"] == judged["_tb"])
-    left = docs.join(judged, same, "left_anti")
-    twice = judged.where("_kept")
+    judged = found.select("row_id", "ta", "tb", kept.alias("kept")).groupBy("row_id", "ta", "tb", "kept").agg(F.count("*").alias("times"))
+    judged = stored(judged.where("NOT kept OR times > 1"), "judged")
+    # The rows' own columns stand apart in one struct, so that no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(row_id).alias("row_id"), *(c.alias(x) for x, c in _text_keys(text).items()))
+    same = rows["row_id"].eqNullSafe(judged["row_id"]) & (rows["ta"] == judged["ta"]) & (rows["tb"] == judged["tb"])
+    left = rows.join(judged, same, "left_anti").select("row.*")
+    twice = judged.where("kept")
     if twice.isEmpty():
         return left
-    named = {f"_{x}": c for x, c in keys.items()}
-    one = docs.join(twice, same, "left_semi").withColumns(named).dropDuplicates([row_id, *named]).drop(*named)
-    return left.unionByName(one)
+    one = rows.join(twice, same, "left_semi").dropDuplicates(["row_id", "ta", "tb"])
+    return left.unionByName(one.select("row.*"))
