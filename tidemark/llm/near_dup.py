@@ -10,8 +10,8 @@ prefix stand in a row, a *run*. Two nodes of similarity s share a prefix of d va
   threshold meets in some tree with probability ``recall``.
 * From the least depth downward a run is entered further only while it has more than ``BLOCK`` members, a *crowd*. Runs
   that aren't crowded are compared whole: all shortening of prefixes inside them costs one small cell.
-* Crowds are compared from the longest prefix upward. At each depth the pairs are compared that share just so long a
-  prefix, and then the prefix is shortened only for *open* nodes, whose expected recall is below the target. The expected
+* Crowds are compared from the longest prefix upward, each time across the deeper crowds inside them. The prefix is
+  shortened only for *open* nodes, whose expected recall is below the target. The expected
   recall of a node with n links, the least similar at s, is n / (n / p(s) + (1 - p(t)) / p(t)), where p(s) is the
   probability that a pair of similarity s met at this depth or deeper, and t is the threshold: it allows for one more link
   at the threshold itself. A pair of nodes that have both reached the target isn't compared at shorter prefixes. Nodes
@@ -50,7 +50,7 @@ TREES, LABEL = 24, 8
 #: Of pairs at the threshold itself; more similar pairs are missed far more rarely.
 RECALL = 0.99999
 #: Nodes of a block; a cell compares two blocks. A run of more members is a crowd.
-BLOCK = 128
+BLOCK = 256
 _COLUMNS_AT_ONCE = 4096
 
 
@@ -333,22 +333,35 @@ def _sets(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int) -
     return found.mapInArrow(run, f"{fields}, shingles binary")
 
 
-def _blocks(crowd: DataFrame, members: DataFrame, found: list[DataFrame], depth: int, threshold: float, recall: float) -> DataFrame:
-    """The cells of the crowds at a depth, without pairs of nodes that have both reached the recall before it."""
-    rows = crowd.withColumn("open", F.lit(True))
+def _blocks(crowd: DataFrame, deeper: DataFrame | None, members: DataFrame, found: list[DataFrame], depth: int, threshold: float, recall: float) -> DataFrame:
+    """The cells of the crowds at a depth. Members are of one kind if they came from the same deeper crowd, or from none, and
+    are both open or both not. No cell pairs members of the same deeper crowd, which were compared there, or members that
+    have both reached the recall before this depth."""
+    rows = crowd.select("node", "tree", "gid", F.lit(0).cast("bigint").alias("inner"), F.lit(True).alias("open"))
     if depth < LABEL:
         linked = _union(found).groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
         reached = expected_recall(F.col("n"), F.col("least"), depth + 1, threshold) >= recall
         rows = crowd.join(linked, "node", "left").select("node", "tree", "gid", (~reached).alias("open"))
+        if deeper is not None:
+            rows = rows.join(deeper.select("node", "tree", F.col("gid").alias("inner")), ["node", "tree"], "left")
+        else:
+            rows = rows.withColumn("inner", F.lit(None).cast("bigint"))
+        rows = rows.select("node", "tree", "gid", F.coalesce("inner", F.lit(0)).alias("inner"), "open")
     rows = stored(rows, "crowd")
-    blocks = lambda open_: F.ceil(F.count_if(F.col("open") == open_) / BLOCK).cast("int")
-    counts = stored(rows.groupBy("gid").agg(blocks(True).alias("a"), blocks(False).alias("b")).where("a > 0"), "crowd-sizes")
-    h = F.xxhash64("node")
-    block = F.when(F.col("open"), F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.greatest("b", F.lit(1)))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("open"), F.col("a") + F.col("b") - 1).otherwise(F.col("a") - 1))
-    dealt = rows.join(counts, "gid").select("node", "tree", "gid", block.alias("block"), F.explode(others).alias("other"))
-    dealt = dealt.select("node", "tree", "gid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.join(members, "node").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    # At most two kinds for each deeper crowd, of more than BLOCK members.
+    kinds = rows.groupBy("gid", "inner", "open").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    kinds = kinds.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("inner", "open", "blocks"))).alias("kinds"))
+    kinds = stored(kinds.where(F.exists("kinds", lambda x: x["open"])), "crowd-kinds")
+    dealt = rows.join(kinds, "gid").join(members, "node")
+    numbered = F.transform("kinds", lambda x, i: F.struct(x["inner"].alias("inner"), x["open"].alias("open"), x["blocks"].alias("blocks"), (i * F.lit(1 << 20)).alias("first")))
+    same = lambda x: (x["inner"] == F.col("inner")) & (x["open"] == F.col("open"))
+    meets = lambda x: (x["open"] | F.col("open")) & ((x["inner"] != F.col("inner")) | (x["inner"] == 0))
+    own = F.filter("numbered", same)[0]
+    others = F.flatten(F.transform(F.filter("numbered", meets), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
+    dealt = dealt.withColumn("numbered", numbered).withColumn("block", (own["first"] + F.pmod(F.xxhash64("node"), own["blocks"])).cast("int"))
+    dealt = dealt.select(*members.columns, "tree", "gid", "block", F.explode(others).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -378,8 +391,10 @@ def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, thresho
         members = nodes.join(inside, "node").join(owned.select("node", "small"), "node", "left")
         members = members.join(labelled, "node").select("node", "rep", "copies", "labels", F.coalesce("small", none).alias("small"))
         members = stored(_sets(docs, members, text, row_id, k), "crowd-members")
+        deeper = None
         for depth, crowd in reversed(crowds):
-            found.append(stored(_verified(_blocks(crowd, members, found, depth, threshold, recall), threshold, depth), "links"))
+            found.append(stored(_verified(_blocks(crowd, deeper, members, found, depth, threshold, recall), threshold, depth), "links"))
+            deeper = crowd
     return _union(found)
 
 
