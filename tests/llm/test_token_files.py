@@ -52,8 +52,20 @@ def test_no_frequent_pair_is_left_however_deep_the_repetition():
         assert (g.all() == ids).all()
         assert (g.part(len(ids) // 3, len(ids) // 2) == ids[len(ids) // 3 : len(ids) // 2]).all()
         assert most_frequent(symbols) < T.LEAST_COUNT
-    assert len(T.compress(copied.astype(np.uint32), 500)[2]) < 10 * len(noise)
-    assert len(T.compress(np.full(100_000, 9, np.uint32), 500)[2]) < 2 * T.LEAST_COUNT
+        for least in (2, 64):
+            rules, lengths, symbols = T.compress(ids, 500, least)
+            assert (T.Grammar(rules, lengths, symbols, 500).all() == ids).all() and most_frequent(symbols) < least
+    assert len(T.compress(copied.astype(np.uint32), 500)[2]) < 7 * len(noise)
+    # The most doubled symbol, and at most one symbol of each lesser length.
+    assert len(T.compress(np.full(100_000, 9, np.uint32), 500)[2]) < 2 * T.LEAST_COUNT + 17
+
+
+@pytest.mark.parametrize("width", [8, 9, 16, 17, 31])
+def test_packed_numbers_come_back(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
+    assert len(T.packed(x, width)) == -(-1001 * width // 8)
+    assert (T.unpacked(T.packed(x, width), width) == x).all()
+    assert len(T.unpacked(T.packed(x[:0], width), width)) == 0
 
 
 def test_words_and_whole_texts_give_the_same_ids():
@@ -67,6 +79,8 @@ def test_words_and_whole_texts_give_the_same_ids():
     want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert fast.encode(texts) == want
     assert slow.encode(texts) == want
+    # Another vocabulary's words are not cut here.
+    assert fast.split_words and not T.WordTokenizer(vocabulary.replace('"Lowercase"', '"NFC"')).split_words
 
 
 def test_files_hold_documents_in_order_with_starts(spark, tmp_path, monkeypatch):
@@ -87,6 +101,20 @@ def test_files_hold_documents_in_order_with_starts(spark, tmp_path, monkeypatch)
     assert T.read_part(spark, path, block["shard"], block["block"], 3, 20).tolist() == want[3:20].tolist()
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "date", "decimal(12,2)"])
+def test_ids_of_other_types_and_very_long_texts(spark, tmp_path, kind):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), "id")
+    docs = docs.select((F.col("d") if kind == "date" else F.col("id").cast(kind)).alias("doc_id"), F.repeat(F.lit("long words "), F.when(F.col("id") == 3, 300_000).otherwise(2)).alias("text"))
+    path = f"file://{tmp_path}/tokens"
+    T.write(docs, path, PATH, end_id=1)
+    out = T.read(spark, path)
+    assert out.schema["doc_id"].dataType.simpleString() == kind
+    got = {r["doc_id"]: r["n_tokens"] for r in out.collect()}
+    assert got == {r["doc_id"]: 600_001 if r["n"] > 100 else 5 for r in docs.select("doc_id", F.length("text").alias("n")).collect()}
+
+
 def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     T.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, end_id=1)

@@ -6,21 +6,22 @@ in ascending order of their ids, in shards that are ranges of ids, in blocks of
 File format: one Parquet table of blocks, written by Spark, so any store that Spark writes to can hold it and a lost
 task leaves no partial file. A block holds ``shard``, ``block``, ``n_tokens``, the documents' ids (``doc_ids``) and
 token counts (``counts``), and its grammar: ``rules`` (pairs of symbols; rule r defines symbol base + r), ``lengths``
-(how many ids each rule expands to) and ``symbols`` (the compressed sequence). Numbers are little-endian unsigned
-integers of 32 bits; symbols have ``width`` bytes, 2 if they fit and else 4. A position is found by summing the symbols' expansion lengths, so a document, or any run of ids, is
+(how many ids each rule expands to) and ``symbols`` (the compressed sequence). Rules and lengths are little-endian
+unsigned integers of 32 bits; symbols are packed, ``width`` bits each, high bits first. A position is found by summing the symbols' expansion lengths, so a document, or any run of ids, is
 decoded without expanding what lies before it.
 
-Re-Pair replaces frequent pairs by new symbols, again and again, until none stands at ``LEAST_COUNT`` places that don't
-overlap. A round here replaces many pairs at once: the most frequent ones that can't overlap, because no symbol is the
-left part of one and the right part of another. Pairs of equal symbols are replaced from left to right. Pairs are first
+Re-Pair replaces frequent pairs by new symbols, again and again, until none stands at ``least_count`` places that don't
+overlap (a rule takes three numbers, so from four places on it saves room). A round here replaces many pairs at once: all
+frequent ones that can't overlap, because no symbol is the left part of one and the right part of another. Pairs of equal symbols are replaced from left to right. Pairs are first
 counted in hashed buckets, and exactly where a bucket is large.
 
-Null and empty texts are documents of the end id alone. Null ids come first; rows with equal ids stand in an order
+Null and empty texts are documents of the end id alone; a very long text is a block of its own length. Null ids come first; rows with equal ids stand in an order
 given by their texts. An empty table gives an empty file. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -34,7 +35,8 @@ from tidemark.llm.shared import stored
 from tidemark.llm.words import slices
 
 BLOCK_TOKENS = 1_000_000
-PAIRS_A_ROUND, LEAST_COUNT = 512, 64
+#: Places of a pair from which it is replaced.
+LEAST_COUNT = 4
 _BITS = 16
 #: Texts encoded at once: few enough that their different words fit a processor's cache.
 AT_ONCE = 32
@@ -45,6 +47,22 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z
 #: Latin-1 characters that the fast path leaves to the library: ASCII separators, which count as white space here but
 #: not there, and what isn't a letter above ASCII.
 _ODD = bytes([*range(0x1C, 0x20), *range(0x80, 0xC0), 0xD7, 0xF7])
+# What a vocabulary file says if its texts fall apart as ``_PIECES`` tells.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def splits_words(tokenizer_json: str) -> bool:
+    """Whether a vocabulary's words can be cut by ``_PIECES``; else its texts go to the library whole."""
+    found = json.loads(tokenizer_json)
+    steps = (found.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (found.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == (_SPLIT, "Removed", True)
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and found["model"].get("end_of_word_suffix") == "</w>"
+        and all(t["content"].startswith("<|") for t in found.get("added_tokens") or [])
+    )
 
 
 def _is_plain(text: str) -> bool:
@@ -64,9 +82,9 @@ class WordTokenizer:
     library in one text, parted by blanks; ids that end a word tell them apart again.
     """
 
-    def __init__(self, tokenizer_json: str, split_words: bool = True):
+    def __init__(self, tokenizer_json: str, split_words: bool | None = None):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.split_words = split_words
+        self.split_words = splits_words(tokenizer_json) if split_words is None else split_words
         self.memo: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -103,17 +121,17 @@ class WordTokenizer:
 _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
-def _tokenizer(shared, split_words: bool) -> WordTokenizer:
+def _tokenizer(shared) -> WordTokenizer:
     text = shared.value
-    key = xxhash.xxh64_intdigest(text) + split_words
+    key = xxhash.xxh64_intdigest(text)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordTokenizer(text, split_words)
+        _TOKENIZERS[key] = WordTokenizer(text)
     return _TOKENIZERS[key]
 
 
 def _choose(left: np.ndarray, right: np.ndarray, count: np.ndarray, symbols: int) -> list[int]:
-    """Indices of the most frequent pairs of which none can overlap another. The first always is among them."""
+    """Indices of pairs of which none can overlap another, the most frequent first. The first always is among them."""
     is_left, is_right = bytearray(symbols), bytearray(symbols)
     chosen = []
     order = np.argsort(-count, kind="stable")
@@ -121,29 +139,27 @@ def _choose(left: np.ndarray, right: np.ndarray, count: np.ndarray, symbols: int
         if not is_right[a] and not is_left[b]:
             is_left[a] = is_right[b] = 1
             chosen.append(i)
-            if len(chosen) == PAIRS_A_ROUND:
-                break
     return chosen
 
 
-def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (left, right) that stand at LEAST_COUNT places or more, and each place's number among them, or -1."""
+def _numbered(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (left, right) that stand at ``least`` places or more, and each place's number among them, or -1."""
     bucket = a * np.uint32(0x9E3779B1)
     bucket += b
     bucket *= np.uint32(0x85EBCA77)
     bucket >>= np.uint32(32 - _BITS)
     # Only what a large bucket holds can be frequent; that is then counted exactly.
-    often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
+    often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket])
     code, which, count = np.unique(a[often].astype(np.uint64) << np.uint64(32) | b[often], return_inverse=True, return_counts=True)
-    enough = count >= LEAST_COUNT
+    enough = count >= least
     number = np.full(len(a), -1, np.int32)
     number[often] = np.where(enough, np.cumsum(enough) - 1, -1)[which]
     code = code[enough]
     return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64), number
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rules (k x 2), lengths (k), symbols. base is above every id.
+def compress(ids: np.ndarray, base: int, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rules (k x 2), lengths (k), symbols. base is above every id; least_count is 2 or more.
 
     The sequence is a linked list, so that a round costs what its frequent pairs and its changes do. A pair of old
     symbols never becomes more frequent, and all places of a pair with a new symbol are made in one round; so places
@@ -152,10 +168,10 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(ids)
     seq, rules, lengths = ids.astype(np.uint32), [], [np.ones(base, np.uint32)]
     total = base
-    if n >= 2 * LEAST_COUNT:
+    if n >= 2 * least_count:
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         here = np.ones(n, bool)
-        left, right, pair = _numbered(seq[:-1], seq[1:])
+        left, right, pair = _numbered(seq[:-1], seq[1:], least_count)
         pair = np.append(pair, np.int32(-1))
         while len(left):
             at = np.flatnonzero(pair >= 0)
@@ -172,7 +188,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
                 count = np.bincount(own[counted], minlength=len(left))
             else:
                 count = np.bincount(own, minlength=len(left))
-            enough = np.flatnonzero(count >= LEAST_COUNT)
+            enough = np.flatnonzero(count >= least_count)
             if not len(enough):
                 break
             chosen = np.sort(enough[_choose(left[enough], right[enough], count[enough], total)])
@@ -193,7 +209,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
             rules.append(new)
             total += len(new)
             # Rare pairs go, and the places next to a change get the numbers of their new pairs.
-            kept = count >= LEAST_COUNT
+            kept = count >= least_count
             kept[chosen] = False
             number = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
             pair[at] = number[own]
@@ -204,7 +220,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
             pair[changed] = -1
             changed = changed[after[changed] < n]
             left, right = left[kept], right[kept]
-            l, r, found = _numbered(seq[changed], seq[after[changed]])
+            l, r, found = _numbered(seq[changed], seq[after[changed]], least_count)
             pair[changed] = np.where(found >= 0, found + len(left), -1)
             left, right = np.concatenate((left, l)), np.concatenate((right, r))
         seq = seq[here]
@@ -213,6 +229,19 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(rules), np.concatenate(lengths[1:]), seq
 
 
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 2^width, of at most 32 bits, in width bits each."""
+    bits = np.unpackbits(x.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(bits[:, 32 - width :]).tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    n = 8 * len(raw) // width if width >= 8 else 0
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, 32 - width :] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.int32)
+
+
 class Grammar:
     """Expands a block's symbols, whole or in part."""
 
@@ -259,9 +288,11 @@ _BLOCK = "shard int, block int, n_tokens bigint, base int, doc_ids array<{id}>,
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", row_id: str = "doc_id", split_words: bool = True
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str = "text", row_id: str = "doc_id", least_count: int = LEAST_COUNT
 ) -> None:
-    """Writes the file. split_words says that the vocabulary's pre-tokenizer is the one described by ``_PIECES``."""
+    """Writes the file. Ids may be of any type that has an order."""
+    if least_count < 2:
+        raise ValueError("a pair is replaced from two places on")
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = f.read()
     # A vocabulary file, of a few MB whatever the table's size.
@@ -271,39 +302,39 @@ def write(
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-    def block(shard, number, ids, coded):
-        rules, lengths, symbols = compress(np.frombuffer(b"".join(coded), "<u4"), base)
-        width = 2 if base + len(rules) <= 1 << 16 else 4
+    def block(shard, number, ids, coded, id_type):
+        rules, lengths, symbols = compress(np.frombuffer(b"".join(coded), "<u4"), base, least_count)
+        width = max(8, (base + len(rules) - 1).bit_length())
         values = {
             "shard": (pa.int32(), shard), "block": (pa.int32(), number), "n_tokens": (pa.int64(), sum(map(len, coded)) // 4), "base": (pa.int32(), base),
             "doc_ids": (pa.list_(id_type), ids), "counts": (pa.list_(pa.int64()), [len(c) // 4 for c in coded]),
             "rules": (pa.binary(), rules.astype("<u4").tobytes()), "lengths": (pa.binary(), lengths.astype("<u4").tobytes()),
-            "width": (pa.int32(), width), "symbols": (pa.binary(), symbols.astype(f"<u{width}").tobytes()),
+            "width": (pa.int32(), width), "symbols": (pa.binary(), packed(symbols, width)),
         }
         return pa.RecordBatch.from_pydict({c: pa.array([v], t) for c, (t, v) in values.items()})
 
     def run(batches):
-        own, shard, number = _tokenizer(shared, split_words), TaskContext.get().partitionId(), 0
-        ids, coded, size = [], [], 0
+        own, shard, number = _tokenizer(shared), TaskContext.get().partitionId(), 0
+        ids, coded, size, id_type = [], [], 0, None
         for part in slices(batches, AT_ONCE):
+            id_type = part.column("id").type
             for i, c in zip(part.column("id").to_pylist(), own.encode(part.column("text").to_pylist()), strict=True):
                 ids.append(i)
                 coded.append(c + end)
                 size += len(c) // 4 + 1
                 if size >= BLOCK_TOKENS:
-                    yield block(shard, number, ids, coded)
+                    yield block(shard, number, ids, coded, id_type)
                     ids, coded, size, number = [], [], 0, number + 1
         if ids:
-            yield block(shard, number, ids, coded)
+            yield block(shard, number, ids, coded, id_type)
 
     rows.mapInArrow(run, _BLOCK.format(id=kind)).write.parquet(path)
 
 
 def _grammar(row) -> Grammar:
     rules, lengths = (np.frombuffer(row[c], "<u4") for c in ("rules", "lengths"))
-    return Grammar(rules, lengths, np.frombuffer(row["symbols"], f"<u{row['width']}").astype(np.int32), row["base"])
+    return Grammar(rules, lengths, unpacked(row["symbols"], row["width"]), row["base"])
 
 
 def _starts(blocks: DataFrame) -> DataFrame:
@@ -321,7 +352,6 @@ def read(spark: SparkSession, path: str, row_id: str = "doc_id") -> DataFrame:
     """row_id, start, n_tokens and ids (little-endian unsigned 32-bit integers) of every document of a file."""
     blocks = spark.read.parquet(path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     # A row a block, stored on its own, so that Spark sees how small it is before it decides to move the blocks.
     starts = stored(_starts(blocks.select("shard", "block", "n_tokens")), "block-starts")
     placed = blocks.join(starts, ["shard", "block"])
@@ -335,7 +365,7 @@ def read(spark: SparkSession, path: str, row_id: str = "doc_id") -> DataFrame:
             # The documents' ids are slices of one buffer.
             own = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * ends).astype(np.int32)), ids])
             whole = pa.RecordBatch.from_pydict(
-                {row_id: pa.array(row["doc_ids"], id_type), "start": pa.array(ends[:-1] + row["block_start"]), "n_tokens": pa.array(counts), "ids": own}
+                {row_id: part.column("doc_ids").values.slice(part.column("doc_ids").offsets[0].as_py(), len(counts)), "start": pa.array(ends[:-1] + row["block_start"]), "n_tokens": pa.array(counts), "ids": own}
             )
             yield from slices([whole], 4096)
 
