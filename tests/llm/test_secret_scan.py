@@ -36,13 +36,19 @@ def test_copied_values_are_examples_and_owners_alone_are_live(spark):
     assert all(r["n_assign"] == 1 for r in out.values())
 
 
-def test_a_value_in_many_repositories_of_one_owner_is_an_example_if_asked(spark):
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
     rows = [(i, "password=abcdef0123456789XY", "a") for i in range(6)] + [(i, "password=zyxwvu9876543210AB", "a") for i in range(6, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     live = lambda **how: sorted(r["doc_id"] for r in S.scan(docs, **how).collect() if r["live"])
     assert live(max_repositories=3) == [6, 7, 8]
     assert live(max_repositories=2) == []
-    assert live() == list(range(9))
+    assert live() == [6, 7, 8]  # six repositories are more than MAX_REPOSITORIES
+    assert live(max_repositories=6) == list(range(9))
+    # Distinct repositories count, not rows.
+    again = docs.unionByName(docs).unionByName(docs)
+    assert sorted({r["doc_id"] for r in S.scan(again).collect() if r["live"]}) == [6, 7, 8]
+    named = docs.selectExpr("*", "'one' AS repo")
+    assert sum(bool(r["live"]) for r in S.scan(named, repository="repo").collect()) == 9
 
 
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):

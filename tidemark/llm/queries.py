@@ -136,7 +136,7 @@ def _sql_spans(kind: int, pattern: str, group: int) -> str:
 
 _OP8 = f"""
 WITH b AS ({_sql_spans(0, secret_scan.ASSIGN, 2)} UNION ALL {_sql_spans(1, secret_scan.ACCESS, 0)} UNION ALL {_sql_spans(2, secret_scan.HEX, 0)}),
-own AS (SELECT value FROM b GROUP BY value HAVING count(DISTINCT coalesce('x' || source, '')) <= 1),
+own AS (SELECT value FROM b GROUP BY value HAVING count(DISTINCT coalesce('x' || source, '')) <= 1 AND count(DISTINCT coalesce('x' || doc_id, '')) <= 5),
 l AS (SELECT doc_id, 3 AS kind, s, n FROM b WHERE value IN (SELECT value FROM own) AND length(value) >= 16
       AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 a AS (SELECT doc_id, kind, s, n FROM b UNION ALL SELECT * FROM l),

@@ -2,19 +2,19 @@
 
 Three kinds of base spans are found, leftmost and without overlap within a kind: assignments to a secret-like name,
 access keys, long hexadecimal runs. Each span's value (of an assignment the part assigned) is hashed, and the hashes
-are counted over the whole corpus: by how many owners and in how many repositories a value occurs. A value that
-several owners share is a widely copied example; a value of one owner that looks random (at least 16 characters with
-a letter and a digit) is a live-looking credential, and its place becomes one more span, of kind ``live``. With
-``max_repositories`` a value in more repositories than that is an example too, even of one owner; by default the number
-of repositories decides nothing, as in the query's SQL.
+are counted over the whole corpus: by how many distinct owners and in how many distinct repositories a value occurs. A
+value that several owners share is a widely copied example, and so is one that a single owner has in more than a few
+repositories: a template's. What is left, if it looks random (at least 16 characters with a letter and a digit), is a
+live-looking credential, and its place becomes one more span, of kind ``live``.
 
 Positions are code points, ends exclusive. Regular expressions tell matches but not their places; the places follow
 from the lengths of the pieces between matches, since ``split`` and ``regexp_extract_all`` walk the same matches.
 
 Counting is combined on the map side, so a value in a third of all rows sends one row a task, and only live hashes
 are joined back to the spans; hash pairs of 128 bits stand for values, so no secret is written or shuffled. Null and
-empty texts have no spans. Null owners count as one owner. Repeated rows count as repositories of their own and get
-equal results. Empty tables give empty ones. Columns named like the added ones are replaced.
+empty texts have no spans; very long ones are searched whole. Null owners count as one owner, null repositories as one of their
+owner. Repeated rows are in one repository and get equal results; spans that tie in start stand in the order of kinds.
+Empty tables give empty ones. Columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.shared import stored
 
 KINDS = ("assign", "access", "hex", "live")
-#: Owners of a value up to which it counts as theirs; above, as a copied example.
-MAX_OWNERS = 1
+#: Owners and repositories of a value up to which it counts as theirs; above either, as a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 5
 # The patterns of the base kinds. Runs that are too short fail as a whole for access and hex, so the
 # least length can stand in the pattern; an assignment that fails still uses up its text.
 ASSIGN = (
@@ -73,29 +73,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(found)
 
 
-def ownership(spans: DataFrame, owner: str, max_owners: int, max_repositories: int | None = None) -> DataFrame:
-    """Hashes (a, b) with n_owners and n_repositories; spans has one row a repository and value."""
-    by_owner = spans.groupBy("a", "b", owner).agg(F.count("*").alias("n"))
+def ownership(spans: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """Hashes (a, b) with n_owners, n_repositories and copied, from rows (owner, repository, a, b), which may come twice."""
+    once = spans.select("a", "b", "owner", "repository").distinct()
+    by_owner = once.groupBy("a", "b", "owner").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("a", "b").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
-    copied = F.col("n_owners") > max_owners
-    if max_repositories is not None:
-        copied |= F.col("n_repositories") > max_repositories
-    return counts.withColumn("copied", copied)
+    return counts.withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories))
 
 
 def scan(
-    docs: DataFrame, text: str = "text", owner: str = "source", row_id: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int | None = None
-) -> DataFrame:
-    """Returns row_id, spans (base spans) and live (spans of live-looking values), one row for each row of docs."""
-    found = docs.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), base_spans(F.col(text)).alias("spans"))
+    docs: DataFrame, text: str = "text", owner: str = "source", row_id: str = "doc_id", max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES, repository: str | None = None,
+) -> DataFrame:
+    """Returns row_id, spans (base spans) and live (spans of live-looking values), one row for each row of docs. Each id is a
+    repository unless a column is named."""
+    found = docs.select(F.col(row_id).alias("row_id"), F.col(owner).alias("owner"), F.col(repository or row_id).alias("repository"), base_spans(F.col(text)).alias("spans"))
     # Stored without texts, so that they are searched once.
     found = stored(found, "secret-spans")
     some = found.where(F.size("spans") > 0)
     # Rows with the same id and spans get the same result, so these two hashes serve as their key.
     text_of = F.concat_ws("/", F.coalesce(F.col("row_id").cast("string"), F.lit("")), F.to_json("spans"), F.col("row_id").isNull().cast("string"))
     keyed = some.withColumn("ra", F.xxhash64(text_of)).withColumn("rb", F.xxhash64(F.lit(7), text_of))
-    values = some.select("owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))).alias("v"))
-    own = ownership(values.select("owner", "v.a", "v.b"), "owner", max_owners, max_repositories).where(~F.col("copied")).select("a", "b")
+    values = some.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))).alias("v"))
+    own = ownership(values.select("owner", "repository", "v.a", "v.b"), max_owners, max_repositories).where(~F.col("copied")).select("a", "b")
     places = keyed.select("ra", "rb", F.explode(F.filter("spans", lambda s: s["random"])).alias("s"))
     live = places.select("ra", "rb", "s", "s.a", "s.b").join(own, ["a", "b"]).groupBy("ra", "rb").agg(F.array_sort(F.collect_set("s")).alias("live"))
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
