@@ -80,6 +80,30 @@ def test_one_pass_and_shards_give_the_same(spark):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute(r["text"], items, 4)
 
 
+def test_repeated_words_take_linear_time_and_very_long_texts_are_matched_whole():
+    import time
+
+    items = [("a", "la " * 40), ("b", "la " * 3), ("c", "do re " * 8)]
+    matcher = D.ItemMatcher(items, 10)
+    start = time.perf_counter()
+    spans, found, longest = matcher.match(plain_words("la " * 8000))
+    assert time.perf_counter() - start < 0.1
+    assert (spans, found, longest) == ([(0, 8000)], {"a", "b"}, 40)
+    spans, found, _ = matcher.match(plain_words("x y z " * 100_000 + "do re " * 5 + "end"))
+    assert (spans, found) == ([(300_000, 300_010)], {"c"})
+    start = time.perf_counter()
+    D.ItemMatcher([("long", "la " * 20_000)], 10)
+    assert time.perf_counter() - start < 2
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "x b c d y e f g", "p", "q", 3)], "doc_id long, text string, p_items string, spans string, words int")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(["b c d", "e f g", "c d y", "never seen"])], "item_id long, text string")
+    one, many = D.decontaminate(docs, bench), D.decontaminate(docs, bench, max_words=3)
+    assert one.columns == many.columns and one.first() == many.first()
+    assert one.first()["hit_spans"] == [[1, 8]] and one.first()["p_items"] == "p"
+
+
 def test_no_items_no_documents_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(None, None), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
     nothing = spark.createDataFrame([], "item_id long, text string")

@@ -26,18 +26,19 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("inline", [L.INLINE, 0])
-def test_both_ways_equal_brute_force(spark, inline):
+@pytest.mark.parametrize(("inline", "broadcast"), [(L.INLINE, 0), (0, L.BROADCAST), (0, 0)])
+def test_all_ways_equal_brute_force(spark, inline, broadcast):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    out = L.drop_frequent_lines(docs, min_docs=3, inline=inline).orderBy("doc_id").collect()
+    out = L.drop_frequent_lines(docs, min_docs=3, inline=inline, broadcast=broadcast).orderBy("doc_id").collect()
     assert [(r["n_lines"], r["n_dropped"], r["kept_text"] or "") for r in out] == brute(TEXTS, 3)
 
 
 @pytest.mark.parametrize("inline", [L.INLINE, 0])
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark, inline):
-    rows = [(None, "hot\nx", "a"), (None, "hot\ny", "b"), (1, "hot\nz", "c"), (1, "hot\nz", "c"), (2, None, "d")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    rows = [(None, "hot\nx", "a", 1), (None, "hot\ny", "b", 1), (1, "hot\nz", "c", 1), (1, "hot\nz", "c", 1), (2, None, "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, stay int")
     out = L.drop_frequent_lines(docs, min_docs=4, inline=inline).collect()
+    assert {r["stay"] for r in out} == {1}
     assert sorted((r["kept_text"] or "", r["n_dropped"]) for r in out) == [("", 0), ("x", 1), ("y", 1), ("z", 1), ("z", 1)]
     assert L.drop_frequent_lines(docs.limit(0), inline=inline).count() == 0
 

@@ -14,18 +14,19 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.shared import stored
 from tidemark.llm.suffix_automaton import SuffixAutomaton
 from tidemark.llm.words import extended, plain_words, slices
 
 WINDOW = 10
 #: Words of items that are broadcast at once.
-MAX_WORDS = 2_000_000
+MAX_WORDS = 300_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _BITS = 22
 
@@ -49,11 +50,16 @@ class ItemMatcher:
         for item, ids in coded:
             v = matched = 0
             for symbol in ids:
-                v, matched = sam.step(v, matched, symbol)
-                if matched >= window:
-                    self.by_window.setdefault(sam.at_length(v, window), set()).add(item)
+                v, matched = self._within(v, matched, symbol)
+                if matched == window:
+                    self.by_window.setdefault(v, set()).add(item)
             if len(ids) < window:
-                self.short.setdefault(sam.at_length(v, len(ids)), []).append((len(ids), item))
+                self.short.setdefault(v, []).append((len(ids), item))
+        #: For each state, the nearest state with a short item on the way to the root, itself included, or 0.
+        self.near = [0] * len(sam.link)
+        if self.short:
+            for v in sorted(range(1, len(sam.link)), key=sam.length.__getitem__):
+                self.near[v] = v if v in self.short else self.near[sam.link[v]]
         self.least = min((min(len(ids), window) for _, ids in coded), default=0)
         #: Hashed word pairs of items: what has no run of them can't hold a window of two words or more.
         self.pairs = np.zeros(1 << _BITS, bool)
@@ -61,6 +67,13 @@ class ItemMatcher:
             x = np.array(ids, np.int64)
             self.pairs[self._pair(x[:-1], x[1:])] = True
 
+    def _within(self, v: int, matched: int, symbol) -> tuple[int, int]:
+        """The matching statistic after one more symbol, of at most ``window`` symbols: the state of just that suffix."""
+        sam = self.automaton
+        v, matched = sam.step(v, matched, symbol)
+        matched = min(matched, self.window)
+        return (sam.at_length(v, matched) if matched else 0), matched
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 1_000_003 + b) & ((1 << _BITS) - 1)
@@ -85,22 +98,22 @@ class ItemMatcher:
         ids = np.fromiter(map(self.words.get, words, _minus()), np.int64, len(words))
         sam, window = self.automaton, self.window
         for start, end in self.runs(ids):
-            v = matched = 0
+            v = matched = u = within = 0
             for at, symbol in enumerate(ids[start:end].tolist(), start + 1):
                 v, matched = sam.step(v, matched, symbol)
+                u, within = self._within(u, within, symbol)
                 longest = max(longest, matched)
                 hit = 0
-                if matched >= window:
-                    items |= self.by_window[sam.at_length(v, window)]
+                if within == window:
+                    items |= self.by_window[u]
                     hit = window
-                if self.short:
-                    u = v
-                    while u > 0:
-                        for n, item in self.short.get(u, ()):
-                            if n <= matched:
-                                items.add(item)
-                                hit = max(hit, n)
-                        u = sam.link[u]
+                short = self.near[u]
+                while short:
+                    for n, item in self.short[short]:
+                        if n <= within:
+                            items.add(item)
+                            hit = max(hit, n)
+                    short = self.near[sam.link[short]]
                 if hit:
                     first = at - hit
                     while spans and spans[-1][1] >= first:
@@ -114,12 +127,13 @@ def _minus():
         yield -1
 
 
-_MATCHERS: dict[int, ItemMatcher] = {}
+_MATCHERS: dict[tuple, ItemMatcher] = {}
 
 
 def _matcher(shared, window: int) -> ItemMatcher:
-    items = shared.value
-    key = xxhash.xxh64_intdigest(repr((window, items)))
+    """The worker's matcher for a broadcast (name, items)."""
+    name, items = shared.value
+    key = (name, window)
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = ItemMatcher(items, window)
@@ -177,7 +191,7 @@ def decontaminate(
     items = items.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("item_text")).where(
         "item IS NOT NULL AND item_text IS NOT NULL"
     )
-    # A word takes two bytes or more with what parts it, so this bounds the words without splitting.
+    # A word takes two bytes or more with what parts it, so this bounds the words, and the broadcast, without splitting.
     total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     shards = max(1, math.ceil(total / 2 / max_words))
     spark = docs.sparkSession
@@ -185,43 +199,50 @@ def decontaminate(
     def shared(k: int):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
         rows = own.orderBy("item", "item_text").collect()
-        return spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in rows]))
 
     if shards == 1:
         return _matched(docs, shared(0), window, text)
-    return _in_shards(docs, [shared(k) for k in range(shards)], window, text)
-
-
-def _in_shards(docs: DataFrame, shards: list, window: int, text: str) -> DataFrame:
-    """The same with one pass a shard: each adds its spans and items to those of the passes before it."""
-    out = docs
-    for k, shared in enumerate(shards):
-        step = _matched(out, shared, window, text)
-        if k:
-            both = lambda a, b: F.array_sort(F.concat(a, b))
-            step = step.select(
-                *(c for c in step.columns if c not in ("items", "hit_spans", "longest_match", "p_items", "p_spans", "p_longest")),
-                F.array_sort(F.array_distinct(F.concat("p_items", "items"))).alias("items"),
-                both("p_spans", "hit_spans").alias("hit_spans"),
-                F.greatest("p_longest", "longest_match").alias("longest_match"),
-            )
-        if k < len(shards) - 1:
-            out = step.drop("n_words", "n_hit", "clean_text").withColumnsRenamed(
-                {"items": "p_items", "hit_spans": "p_spans", "longest_match": "p_longest"}
-            )
-    merged = F.expr(
-        """aggregate(hit_spans, cast(array() as array<array<int>>), (done, s) ->
-             if(size(done) > 0 and element_at(done, -1)[1] >= s[0],
-                concat(slice(done, 1, size(done) - 1), array(array(element_at(done, -1)[0], greatest(element_at(done, -1)[1], s[1])))),
-                concat(done, array(s))))"""
-    )
-    step = step.withColumn("hit_spans", merged)
-    step = step.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (n, s) -> n + s[1] - s[0])"))
-    clean = F.pandas_udf(
-        lambda t, s: t.combine(s, lambda x, y: x if x is None or not len(y) else without(x, [tuple(map(int, z)) for z in y])),
-        "string",
-    )
-    return step.withColumn("clean_text", clean(text, "hit_spans"))
+    return _in_shards(docs, shared, shards, window, text)
+
+
+def _in_shards(docs: DataFrame, shared, shards: int, window: int, text: str) -> DataFrame:
+    """The same with one stored pass a shard. The rows' own columns stand apart in one struct."""
+    found = docs.select(
+        F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("far"),
+        F.array().cast("array<string>").alias("of"), F.array().cast("array<array<int>>").alias("spans"),
+    )
+    for k in range(shards):
+        items = shared(k)
+        step = _matched(found, items, window, "text")
+        found = stored(
+            step.select(
+                "row", "text", F.col("n_words").alias("words"), F.greatest("far", "longest_match").alias("far"),
+                F.array_distinct(F.concat("of", "items")).alias("of"), F.array_sort(F.concat("spans", "hit_spans")).alias("spans"),
+            ),
+            "item-shard",
+        )
+        items.unpersist()
+
+    def merged(batches):
+        for part in slices(batches):
+            rows = []
+            for t, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                out = []
+                for a, b in spans:
+                    if out and out[-1][1] >= a:
+                        out[-1][1] = max(out[-1][1], b)
+                    else:
+                        out.append([a, b])
+                rows.append((sum(b - a for a, b in out), out, without(t, out) if out else t))
+            new = {"n_hit": pa.int64(), "hit_spans": pa.list_(pa.list_(pa.int32())), "clean_text": pa.string()}
+            kept = {c: part.column(c) for c in part.schema.names if c != "text"}
+            yield pa.RecordBatch.from_pydict(kept | {c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(new.items())})
+
+    out = found.mapInArrow(merged, extended(found.drop("text").schema, "n_hit long, hit_spans array<array<int>>, clean_text string"))
+    added = [x.strip().split(" ")[0] for x in _ADDED.split(", ")]
+    own = {"n_words": F.col("words"), "longest_match": F.col("far"), "items": F.array_sort("of")}
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added or c == text), *(own.get(c, F.col(c)).alias(c) for c in added if c != text))
 
 
 def clean(docs: DataFrame, items: DataFrame, max_hit_share: float = 0.5, max_match: int | None = None, **how) -> DataFrame:
