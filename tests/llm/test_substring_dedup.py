@@ -75,3 +75,18 @@ def test_no_shard_grows_with_the_different_pieces_of_a_template(spark, monkeypat
     out = D.dedup_substrings(docs, window=8, hot=10).orderBy("doc_id").collect()
     assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in out] == brute(rows, 8)
     assert largest[0] <= 10
+
+
+def test_common_passages_null_ids_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(D, "COMMON", 3)
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(40))
+    long = [f"l{rng.randrange(5000)}" for _ in range(80_000)]
+    rows = [(i, f"a{i} b{i} {shared} c{i}") for i in range(80)] + [(100, " ".join(long)), (101, " ".join(long[40_000:]) + " end"), (102, " ".join(long[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = D.dedup_substrings(docs, window=8).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in out] == brute(rows, 8)
+    # Rows without an id are one document, the first: they lose nothing to one another, and others lose to them.
+    none = [(None, f"n{i} {shared}") for i in range(30)] + [(None, None), (None, "")]
+    out = D.dedup_substrings(spark.createDataFrame(none + rows[:5], "doc_id long, text string").repartition(5), window=8).collect()
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in out if r["doc_id"] is None or r["doc_id"] > 0) == [(-1, 0)] * 32 + [(i, 40) for i in range(1, 5)]

@@ -20,8 +20,13 @@ The reference is the corpus itself, so its automata cannot all be sent to all do
 
 Within a document, repeats are found where the text is. Words in the automaton are told apart by themselves.
 
-Null texts have no words. Null ids come first. Rows with one id count as one document: a repeated row isn't earlier
-than itself, and all get the same result. Only the id and text columns are read. Empty tables give empty ones.
+What very many documents share is dealt evenly: the join with the shared anchors can be split by Spark, since both of its
+sides are plain exchanges, and the pieces of anchors in ``COMMON`` rows or more are salted where they meet their verdicts.
+Rows without an id are told apart by a hash of their texts wherever rows are gathered.
+
+Null texts have no words; very long ones are cut whole. Null ids come first, as one document. Rows with one id count as one
+document: a repeated row isn't earlier than itself, and all get the same result. Only the id and text columns are read.
+Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -33,12 +38,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.shared import stored
 from tidemark.llm.suffix_automaton import SuffixAutomaton
 from tidemark.llm.words import RunHash, extended, slices, space_bytes, window_hashes, word_hashes
 
 WINDOW = 20
 #: Different pieces of an anchor from which its windows are dealt one by one.
 HOT = 1000
+#: Rows from which an anchor's pieces are salted, over so many tasks.
+COMMON, SALTS = 1000, 16
 _LONGEST = 32
 #: Hashes of runs of words, from the words' hashes.
 piece_hashes = RunHash(0x9E3779B97F4A7C15)
@@ -91,17 +99,23 @@ class Windows:
         return start, size, self.anchors[start], piece_hashes(self.hashes, start, start + size + self.window - 1).view(np.int64)
 
 
+def _row(part: pa.RecordBatch, rows) -> dict:
+    """The columns that tell a row, doc and t, repeated as rows says."""
+    at = pa.array(rows, pa.int32())
+    return {c: part.column(c).take(at) for c in ("doc", "t")}
+
+
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, anchor), distinct within a row."""
+    """(doc, t, anchor), distinct within a row."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             found = [w.distinct if (w := Windows(space_bytes(t), window)).n else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_pydict({"doc": part.column("doc").take(pa.array(rows)), "anchor": pa.array(np.concatenate(found))})
+            yield pa.RecordBatch.from_pydict(_row(part, rows) | {"anchor": pa.array(np.concatenate(found))})
 
-    return docs.mapInArrow(run, f"doc {kind}, anchor bigint")
+    return docs.mapInArrow(run, f"doc {kind}, t int, anchor bigint")
 
 
 def _lists(column: pa.ListArray, *fields: str):
@@ -113,27 +127,28 @@ def _lists(column: pa.ListArray, *fields: str):
 
 
 def _pieces(docs: DataFrame, window: int) -> DataFrame:
-    """The pieces of rows (doc, text, anchors) with one of the anchors: doc, start, n, anchor and a (the piece's hash)."""
+    """The pieces of rows (doc, t, text, anchors, common) with one of the anchors: doc, t, start, n, anchor, a (the piece's
+    hash) and whether the anchor is a common one."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             found = []
-            for text, (shared,) in zip(part.column("text").to_pylist(), _lists(part.column("anchors")), strict=True):
+            lists = zip(_lists(part.column("anchors")), _lists(part.column("common")), strict=True)
+            for text, ((shared,), (common,)) in zip(part.column("text").to_pylist(), lists, strict=True):
                 own = Windows(space_bytes(text), window)
                 if own.n:
                     arrays = own.pieces()
                     keep = np.isin(arrays[2], shared)
-                    found.append([x[keep] for x in arrays])
+                    found.append([*(x[keep] for x in arrays), np.isin(arrays[2][keep], common)])
                 else:
-                    found.append([np.zeros(0, np.int64)] * 4)
+                    found.append([np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)])
             rows = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            start, n, anchor, a = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_pydict(
-                {"doc": part.column("doc").take(pa.array(rows)), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "anchor": pa.array(anchor), "a": pa.array(a)}
-            )
+            start, n, anchor, a, common = (np.concatenate([f[i] for f in found]) for i in range(5))
+            own = {"start": start.astype(np.int32), "n": n.astype(np.int32), "anchor": anchor, "a": a, "common": common}
+            yield pa.RecordBatch.from_pydict(_row(part, rows) | {c: pa.array(x) for c, x in own.items()})
 
-    return docs.mapInArrow(run, f"doc {kind}, start int, n int, anchor bigint, a bigint")
+    return docs.mapInArrow(run, f"doc {kind}, t int, start int, n int, anchor bigint, a bigint, common boolean")
 
 
 def _fetched(docs: DataFrame, window: int, cut: bool = False) -> DataFrame:
@@ -222,7 +237,7 @@ def _judged_windows(cut: DataFrame) -> DataFrame:
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
     """docs with n_words, n_removed and kept_text, from ``out``: structs (start, n, a, mask) of each row's pieces."""
-    schema = extended(docs.drop("out").schema, "n_words long, n_removed long, kept_text string")
+    schema = extended(docs.drop("out", "t").schema, "n_words long, n_removed long, kept_text string")
     bits = np.arange(_LONGEST)
 
     def run(batches):
@@ -251,7 +266,7 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
                 kept = words if stay is None else [words[i] for i in np.flatnonzero(stay).tolist()]
                 rows.append((n, n - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             new = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())))}
-            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names if c != "out"} | new)
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names if c not in ("out", "t")} | new)
 
     return docs.mapInArrow(run, schema)
 
@@ -260,32 +275,43 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, hot: int = HOT, text
     """row_id, text, n_words, n_removed and kept_text (the words that stay, joined by one blank) of every row."""
     if window < 2:
         raise ValueError("a window has at least two words")
-    rows = docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(row_id).alias("doc"), F.when(F.col(row_id).isNull(), F.pmod(F.xxhash64(text), F.lit(1 << 16))).cast("int").alias("t"), F.col(text).alias("text"))
+    row = ["doc", "t"]
+
+    def with_texts(some: DataFrame, how: str = "inner") -> DataFrame:
+        same = rows["doc"].eqNullSafe(some["doc"]) & rows["t"].eqNullSafe(some["t"])
+        return rows.join(some, same, how).select(*(rows[c] for c in rows.columns), *(some[c] for c in some.columns if c not in row))
+
     anchors = _anchors(rows, window)
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows >= 2").select("anchor")
-    own = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    # Stored, so that the join with it has two plain exchanges, of which Spark can split the one that is skewed.
+    shared = stored(anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows >= 2").select("anchor", (F.col("rows") >= COMMON).alias("often")), "shared-anchors")
+    own = anchors.join(shared, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("often"), F.col("anchor"))).alias("common"))
     # The texts are shuffled by id once: this exchange serves all joins with them.
-    met = rows.join(own, rows["doc"].eqNullSafe(own["doc"])).select(rows["doc"], "text", "anchors")
-    pieces = _pieces(met, window)
+    pieces = _pieces(with_texts(own), window)
     # A piece comes once in a document, so the least id tells its first occurrence.
-    first = pieces.groupBy("anchor", "a").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("start"), F.max("n").alias("n"), F.count("*").alias("times"), F.count_if(F.col("doc").isNull()).alias("nulls"), F.min(F.when(F.col("doc").isNull(), F.col("start"))).alias("null_start"))
-    known = F.col("nulls") == 0
-    first = first.select("anchor", "a", F.when(known, F.col("first")).alias("first"), F.when(known, F.col("start")).otherwise(F.col("null_start")).alias("start"), "n", "times")
+    null = F.col("doc").isNull()
+    first = pieces.groupBy("anchor", "a").agg(
+        F.min("doc").alias("least"), F.min_by("start", "doc").alias("least_start"), F.min(F.when(null, F.struct("t", "start"))).alias("none"),
+        F.max("n").alias("n"), F.count("*").alias("times"), F.bool_or("common").alias("common"),
+    )
+    known = F.col("none").isNull()
+    first = first.select("anchor", "a", F.when(known, F.col("least")).alias("first"), F.when(known, F.col("least_start")).otherwise(F.col("none.start")).alias("start"), F.col("none.t").alias("t"), "n", "times", "common")
     # Counted by an aggregate and joined, not by a window, so that no task holds all pieces of a frequent anchor.
     several = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds >= 2")
     kinds = first.join(several, "anchor")
 
     def fetch(some: DataFrame) -> DataFrame:
-        asked = some.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "a")).alias("first"))
-        return rows.join(asked, rows["doc"].eqNullSafe(asked["doc"])).select(rows["doc"], "text", "first")
+        return with_texts(some.groupBy(F.col("first").alias("doc"), "t").agg(F.collect_list(F.struct("start", "n", "anchor", "a")).alias("first")))
 
     masks = _judged(_fetched(fetch(kinds.where(F.col("kinds") <= hot)), window), window)
     masks = masks.unionByName(_judged_windows(_fetched(fetch(kinds.where(F.col("kinds") > hot)), window, cut=True)))
-    verdict = first.join(masks, ["anchor", "a"], "left").where("times >= 2 OR mask IS NOT NULL").select("anchor", "a", "first", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
-    marks = pieces.join(verdict, ["anchor", "a"]).select("doc", "start", "n", "a", F.when(F.col("doc").eqNullSafe(F.col("first")), F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
-    out = marks.where("mask <> 0").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "a", "mask")).alias("out"))
-    joined = rows.join(out, rows["doc"].eqNullSafe(out["doc"]), "left").select(rows["doc"], "text", "out")
-    return _removed(joined, window).withColumnsRenamed({"doc": row_id, "text": text})
+    verdict = first.join(masks, ["anchor", "a"], "left").where("times >= 2 OR mask IS NOT NULL")
+    salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    verdict = verdict.select("anchor", "a", "first", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"), F.explode(salts).alias("salt"))
+    salted = pieces.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("doc", "t"), F.lit(SALTS))).otherwise(0).cast("int"))
+    marks = salted.join(verdict, ["anchor", "a", "salt"]).select(*row, "start", "n", "a", F.when(F.col("doc").eqNullSafe(F.col("first")), F.col("mask")).otherwise(F.lit(-1)).alias("mask"))
+    out = marks.where("mask <> 0").groupBy(*row).agg(F.collect_list(F.struct("start", "n", "a", "mask")).alias("out"))
+    return _removed(with_texts(out, "left"), window).withColumnsRenamed({"doc": row_id, "text": text})
 
 
 def digests(found: DataFrame) -> DataFrame:
