@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup
-from tidemark.llm.shared import importable, stored
+from tidemark.llm.shared import importable, new_path, scratch
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -44,19 +44,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, linked by five-word shingles at 0.8 or more, the document of least id stays."""
+    """Of each group of near duplicates, linked by five-word shingles at 0.8 or more, the document of least id stays.
+    Documents without words (null, empty) all stay; null ids come last; of rows equal in id and text one stays."""
     return near_dup.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of ten words or more of a benchmark item go; so do documents that consist of them for more than half."""
+    """Spans of ten words or more of a benchmark item go; so do documents that consist of them for more than half.
+    Null and empty texts stay as they are, rows are judged one by one, and without items nothing goes."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.clean(_apart(docs), items, text="in_text")
     return _back(found, docs, F.col("in_text"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) and digests of the ids and of what they decode to."""
+    """Token ids (little-endian unsigned 32-bit integers) and digests of the ids and of what they decode to. A null text is
+    encoded as an empty one; each row gives one."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN)
     return coded.select(
@@ -86,5 +89,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):  # what a stage stores on its way goes once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
