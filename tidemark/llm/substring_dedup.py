@@ -25,7 +25,7 @@ sides are plain exchanges, and the pieces of anchors in ``COMMON`` rows or more
 Rows without an id are told apart by a hash of their texts wherever rows are gathered.
 
 Null texts have no words; very long ones are cut whole. Null ids come first, as one document. Rows with one id count as one
-document: a repeated row isn't earlier than itself, and all get the same result. Only the id and text columns are read.
+document: they lose nothing to one another (each still loses what it repeats itself), so repeated rows get the same result. Only the id and text columns are read.
 Empty tables give empty ones.
 """
 
@@ -182,12 +182,17 @@ def _fetched(docs: DataFrame, window: int, cut: bool = False) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, anchor bigint, a bigint, start int, {rest}")
 
 
-def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
-    """For pieces in order, a bit mask of each one's windows that a piece before it holds."""
+def repeated_windows(pieces: list[list[bytes]], window: int, documents: list | None = None) -> list[int]:
+    """For pieces in order, a bit mask of each one's windows that a piece of an earlier document holds. By default each
+    piece is a document of its own; else equal documents stand together."""
     if len(pieces) < 2:
         return [0] * len(pieces)
-    sam, masks = SuffixAutomaton(), []
-    for words in pieces:
+    sam, masks, waiting = SuffixAutomaton(), [], []
+    for at, words in enumerate(pieces):
+        if waiting and (documents is None or documents[at] != documents[at - 1]):
+            for new in waiting:
+                sam.add(new)
+            waiting = []
         v = matched = mask = 0
         for i, word in enumerate(words):
             v, matched = sam.step(v, matched, word)
@@ -195,7 +200,7 @@ def repeated_windows(pieces: list[list[bytes]], window: int) -> list[int]:
                 mask |= 1 << (i - window + 1)
         masks.append(mask)
         if mask != (1 << (len(words) - window + 1)) - 1:
-            sam.add(words)
+            waiting.append(words)
     return masks
 
 
@@ -205,13 +210,13 @@ def _judged(fetched: DataFrame, window: int) -> DataFrame:
 
     def rows(batches):
         for part in slices(batches, 1024):
-            yield from zip(*(part.column(c).to_pylist() for c in ("anchor", "a", "words")), strict=True)
+            yield from zip(*(part.column(c).to_pylist() for c in ("anchor", "a", "words", "doc")), strict=True)
 
     def run(batches):
         out = []
         for _, own in groupby(rows(batches), key=lambda r: r[0]):
             own = list(own)
-            masks = repeated_windows([r[2].split(b" ") for r in own], window)
+            masks = repeated_windows([r[2].split(b" ") for r in own], window, [r[3] for r in own])
             out += [(r[0], r[1], m) for r, m in zip(own, masks, strict=True) if m]
             if len(out) > 4096:
                 yield batch(out)
@@ -226,12 +231,12 @@ def _judged(fetched: DataFrame, window: int) -> DataFrame:
 
 
 def _judged_windows(cut: DataFrame) -> DataFrame:
-    """The same for windows one by one: a window is repeated if it isn't the first with its words."""
+    """The same for windows one by one: a window is repeated if the first with its words is in another document."""
     # Dealt by piece, so evenly; the aggregate and the join both read this exchange.
     cut = cut.repartition("anchor", "a")
     told = ["anchor", "word_hash"]
-    first = cut.groupBy(*told).agg(F.min(F.struct("doc", "start")).alias("first"))  # a null id is the least
-    again = cut.join(first, told).where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("start") == F.col("first.start"))))
+    first = cut.groupBy(*told).agg(F.min(F.struct("doc")).alias("first"))  # a null id is the least
+    again = cut.join(first, told).where(~F.col("doc").eqNullSafe(F.col("first.doc")))
     return again.groupBy("anchor", "a").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
 
 
