@@ -120,16 +120,16 @@ def test_crowds_are_met_at_shrinking_depths_and_each_link_counts_once(spark, mon
     monkeypatch.setattr(near_dup, "verified_links", watched)
     rows = list(enumerate([*family(5, 420, words=100, edits=1), *family(6, 3)]))
     assert found_by(spark, rows) == brute_force(rows)
-    # Most pairs at 0.8 share eight values in some tree; a few share seven or six at most.
-    assert depths[0][8] > depths[0][7] > depths[0][6] > 0
+    # Most pairs at 0.8 share eight values in some tree; a few share six or seven at most.
+    assert depths[0][8] > depths[0][6] > 0 and near_dup.depths(4) == [4, 6, 8]
 
 
 def test_nodes_of_reached_recall_are_not_compared_at_shorter_prefixes(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
     cells, blocks = {}, near_dup._blocks
 
-    def watched(crowd, deeper, members, found, depth, threshold, recall):
-        out = blocks(crowd, deeper, members, found, depth, threshold, recall)
+    def watched(crowd, members, found, depth, *rest):
+        out = blocks(crowd, members, found, depth, *rest)
         cells[depth] = out.count()
         return out
 
@@ -137,13 +137,13 @@ def test_nodes_of_reached_recall_are_not_compared_at_shorter_prefixes(spark, mon
     rows = list(enumerate(family(5, 150, words=600, edits=1)))
     want = brute_force(rows)
     near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(cells[d] > 0 for d in (8, 7, 6, 5))
+    assert all(cells[d] > 0 for d in (8, 6, 4))
     cells.clear()
     # A target that few strong links reach: what stays is found at the longest prefixes, and no class falls apart.
     monkeypatch.setattr(near_dup, "depth_for", lambda recall, threshold: 4)
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99)
     assert {(r["doc_id"], r["class_id"]) for r in found.collect()} == {(i, c) for i, c, _ in want}
-    assert cells[8] > 0 and not any(cells[d] for d in (7, 6, 5, 4))
+    assert cells[8] > 0 and not any(cells[d] for d in (6, 4))
 
 
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])

@@ -8,10 +8,12 @@ prefix stand in a row, a *run*. Two nodes of similarity s share a prefix of d va
 * The labels of all trees are range-partitioned and sorted. Each label's longest match is with a neighbour; labels whose
   longest match is below the least depth, ``depth_for(recall)``, meet nobody and go. At the least depth a pair at the
   threshold meets in some tree with probability ``recall``.
-* From the least depth downward a run is entered further only while it has more than ``BLOCK`` members, a *crowd*. Runs
-  that aren't crowded are compared whole: all shortening of prefixes inside them costs one small cell.
-* Crowds are compared from the longest prefix upward, each time across the deeper crowds inside them. The prefix is
-  shortened only for *open* nodes, whose expected recall is below the target. The expected
+* From the least depth downward, two values at a time, a run is entered further only while it has more than ``BLOCK``
+  members, a *crowd*. Runs that aren't crowded are compared whole: all shortening of prefixes inside them costs one small
+  cell.
+* Crowds are compared from the longest prefix upward. Each node has a *home*, the first of its crowds in the order of
+  comparison: the deepest, of the first tree. Nodes of one home were compared there and aren't compared again in another
+  crowd, so that a family of near copies, which crowds every tree, is compared about once. The prefix is shortened only for *open* nodes, whose expected recall is below the target. The expected
   recall of a node with n links, the least similar at s, is n / (n / p(s) + (1 - p(t)) / p(t)), where p(s) is the
   probability that a pair of similarity s met at this depth or deeper, and t is the threshold: it allows for one more link
   at the threshold itself. A pair of nodes that have both reached the target isn't compared at shorter prefixes. Nodes
@@ -49,8 +51,10 @@ THRESHOLD = 0.8
 TREES, LABEL = 24, 8
 #: Of pairs at the threshold itself; more similar pairs are missed far more rarely.
 RECALL = 0.99999
+#: Values by which prefixes are shortened.
+STEP = 2
 #: Nodes of a block; a cell compares two blocks. A run of more members is a crowd.
-BLOCK = 256
+BLOCK = 512
 _COLUMNS_AT_ONCE = 4096
 
 
@@ -64,6 +68,11 @@ def depth_for(recall: float, threshold: float, trees: int = TREES, label: int =
     return next((d for d in range(label, 1, -1) if met(threshold, d, trees) >= recall), 1)
 
 
+def depths(least: int) -> list[int]:
+    """The lengths of prefix that are looked at, from the least on."""
+    return sorted({least, *range(LABEL, least, -STEP)})
+
+
 def expected_recall(n: Column, least: Column, depth: int, threshold: float) -> Column:
     """Of a node with n links found in prefixes of depth or more, the least similar at ``least``; 0 without links."""
     share = 1 - F.pow(1 - F.pow(least, F.lit(float(depth))), F.lit(float(TREES)))
@@ -169,7 +178,7 @@ def runs(found: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, DataF
     """The runs of the tries as (node, tree, gid, m): those of at most BLOCK members, each at its least depth, and for each
     depth the crowds. Runs of equal members in several trees are given once."""
     small, crowds, rows = [], [], found
-    for depth in range(least, LABEL + 1):
+    for depth in depths(least):
         rows = rows.where(F.col("longest") >= depth).withColumn("gid", F.xxhash64("tree", F.substring("label", 1, 4 * depth)))
         # Stored, so that Spark sees its size and can split the rows of a crowd in the join.
         sizes = stored(rows.groupBy("gid").agg(F.count("*").alias("m")).where("m >= 2"), "run-sizes")
@@ -242,17 +251,19 @@ class Cell:
         a, b = self.small[p], self.small[q]
         return np.where((a == b) & (a != 0), a, none).min(1, initial=none)
 
-    def deepest(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The longest prefix that each pair shares, and the first tree that has it."""
+    def deepest(self, p: np.ndarray, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The longest of the depths at which each pair meets, and the first tree in which it does."""
+        level = np.array([max((d for d in depths(least) if d <= n), default=0) for n in range(LABEL + 1)])
         labels = _numbers(pa.array([m["labels"] for m in self.members], pa.binary()), TREES * LABEL).reshape(-1, TREES, LABEL)
         depth, tree = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
         for s in range(0, len(p), 2048):
             shared = np.cumprod(labels[p[s : s + 2048]] == labels[q[s : s + 2048]], axis=2, dtype=np.int8).sum(2)
+            shared = level[shared]
             depth[s : s + 2048], tree[s : s + 2048] = shared.max(1), shared.argmax(1)
         return depth, tree
 
 
-def verify_cell(gid: int, i: int, j: int, members: list[dict], threshold: float, depth: int = 0) -> list[tuple]:
+def verify_cell(gid: int, i: int, j: int, members: list[dict], threshold: float, depth: int = 0, least_depth: int = 1) -> list[tuple]:
     """(node, links, root, n, least) of the nodes with links that this cell counts: a small run, or two blocks of a crowd at
     a depth. ``links`` counts copies, ``n`` nodes; ``least`` is the least similarity."""
     cell = Cell(members)
@@ -264,7 +275,7 @@ def verify_cell(gid: int, i: int, j: int, members: list[dict], threshold: float,
         return []
     run = cell.least_run(p, q)
     if depth:
-        deepest, tree = cell.deepest(p, q)
+        deepest, tree = cell.deepest(p, q, least_depth)
         own = (run == np.iinfo(np.int64).max) & (deepest == depth) & (tree == members[0]["tree"])
     else:
         own = run == gid
@@ -293,7 +304,7 @@ def verify_cell(gid: int, i: int, j: int, members: list[dict], threshold: float,
 _LINKS = {"node": pa.binary(), "links": pa.int64(), "root": pa.binary(), "n": pa.int64(), "least": pa.float64()}
 
 
-def _verified(cells: DataFrame, threshold: float, depth: int = 0) -> DataFrame:
+def _verified(cells: DataFrame, threshold: float, depth: int = 0, least_depth: int = 1) -> DataFrame:
     """Streams cells, whose rows are sorted to stand together, and verifies one after the other."""
 
     def rows(batches):
@@ -306,7 +317,7 @@ def _verified(cells: DataFrame, threshold: float, depth: int = 0) -> DataFrame:
     def run(batches):
         out = []
         for (gid, i, j), members in groupby(rows(batches), key=lambda r: (r["gid"], r["i"], r["j"])):
-            out += verify_cell(gid, i, j, list(members), threshold, depth)
+            out += verify_cell(gid, i, j, list(members), threshold, depth, least_depth)
             if len(out) > 4096:
                 yield batch(out)
                 out = []
@@ -333,33 +344,37 @@ def _sets(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int) -
     return found.mapInArrow(run, f"{fields}, shingles binary")
 
 
-def _blocks(crowd: DataFrame, deeper: DataFrame | None, members: DataFrame, found: list[DataFrame], depth: int, threshold: float, recall: float) -> DataFrame:
-    """The cells of the crowds at a depth. Members are of one kind if they came from the same deeper crowd, or from none, and
-    are both open or both not. No cell pairs members of the same deeper crowd, which were compared there, or members that
-    have both reached the recall before this depth."""
-    rows = crowd.select("node", "tree", "gid", F.lit(0).cast("bigint").alias("inner"), F.lit(True).alias("open"))
-    if depth < LABEL:
+def _homes(crowds: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(node, home): the gid of the first crowd of each node in the order of comparison."""
+    all_crowds = _union([rows.select("node", F.struct(F.lit(-depth).alias("order"), "tree", "gid").alias("place")) for depth, rows in crowds])
+    return all_crowds.groupBy("node").agg(F.min("place").alias("place")).select("node", F.col("place.gid").alias("home"))
+
+
+def _blocks(crowd: DataFrame, members: DataFrame, found: list[DataFrame], depth: int, above: int, threshold: float, recall: float) -> DataFrame:
+    """The cells of the crowds at a depth; ``above`` is the depth that was compared before, or 0. Members are of one kind if
+    they have the same other home, and are both open or both not. No cell pairs members of the same other home, who were
+    compared there, or members that have both reached the recall before this depth."""
+    rows = crowd.join(members.select("node", "home"), "node").select("node", "tree", "gid", "home", F.lit(True).alias("open"))
+    if above:
         linked = _union(found).groupBy("node").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-        reached = expected_recall(F.col("n"), F.col("least"), depth + 1, threshold) >= recall
-        rows = crowd.join(linked, "node", "left").select("node", "tree", "gid", (~reached).alias("open"))
-        if deeper is not None:
-            rows = rows.join(deeper.select("node", "tree", F.col("gid").alias("inner")), ["node", "tree"], "left")
-        else:
-            rows = rows.withColumn("inner", F.lit(None).cast("bigint"))
-        rows = rows.select("node", "tree", "gid", F.coalesce("inner", F.lit(0)).alias("inner"), "open")
+        reached = expected_recall(F.col("n"), F.col("least"), above, threshold) >= recall
+        rows = rows.drop("open").join(linked, "node", "left").select("node", "tree", "gid", "home", (~reached).alias("open"))
+    # Homes with few members here are not told apart; their pairs are compared once more, and not counted.
+    many = rows.groupBy("gid", "home").agg(F.count("*").alias("here")).where((F.col("home") != F.col("gid")) & (F.col("here") >= BLOCK // 4)).select("gid", "home", F.col("home").alias("inner"))
+    rows = rows.join(many, ["gid", "home"], "left").select("node", "tree", "gid", F.coalesce("inner", F.lit(0)).alias("inner"), "open")
     rows = stored(rows, "crowd")
-    # At most two kinds for each deeper crowd, of more than BLOCK members.
+    # At most two kinds for each home, of a quarter of a block or more.
     kinds = rows.groupBy("gid", "inner", "open").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     kinds = kinds.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("inner", "open", "blocks"))).alias("kinds"))
     kinds = stored(kinds.where(F.exists("kinds", lambda x: x["open"])), "crowd-kinds")
-    dealt = rows.join(kinds, "gid").join(members, "node")
+    dealt = rows.join(kinds, "gid").join(members.drop("home"), "node")
     numbered = F.transform("kinds", lambda x, i: F.struct(x["inner"].alias("inner"), x["open"].alias("open"), x["blocks"].alias("blocks"), (i * F.lit(1 << 20)).alias("first")))
     same = lambda x: (x["inner"] == F.col("inner")) & (x["open"] == F.col("open"))
     meets = lambda x: (x["open"] | F.col("open")) & ((x["inner"] != F.col("inner")) | (x["inner"] == 0))
     own = F.filter("numbered", same)[0]
     others = F.flatten(F.transform(F.filter("numbered", meets), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
     dealt = dealt.withColumn("numbered", numbered).withColumn("block", (own["first"] + F.pmod(F.xxhash64("node"), own["blocks"])).cast("int"))
-    dealt = dealt.select(*members.columns, "tree", "gid", "block", F.explode(others).alias("other"))
+    dealt = dealt.select(*members.drop("home").columns, "tree", "gid", "block", F.explode(others).alias("other"))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     return dealt.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
 
@@ -386,15 +401,15 @@ def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, thresho
     cells = cells.select("node", "copies", "shingles", "small", F.explode("gids").alias("gid"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     found = [stored(_verified(cells.repartition("gid").sortWithinPartitions("gid"), threshold), "links")]
     if crowds:
-        inside = crowds[0][1].select("node").distinct()  # crowds of greater depth lie inside these
         none = F.array_repeat(F.lit(0).cast("bigint"), TREES)
-        members = nodes.join(inside, "node").join(owned.select("node", "small"), "node", "left")
-        members = members.join(labelled, "node").select("node", "rep", "copies", "labels", F.coalesce("small", none).alias("small"))
+        members = nodes.join(_homes(crowds), "node").join(owned.select("node", "small"), "node", "left")
+        members = members.join(labelled, "node").select("node", "rep", "copies", "home", "labels", F.coalesce("small", none).alias("small"))
         members = stored(_sets(docs, members, text, row_id, k), "crowd-members")
-        deeper = None
+        above = 0
         for depth, crowd in reversed(crowds):
-            found.append(stored(_verified(_blocks(crowd, deeper, members, found, depth, threshold, recall), threshold, depth), "links"))
-            deeper = crowd
+            cells = _blocks(crowd, members, found, depth, above, threshold, recall)
+            found.append(stored(_verified(cells, threshold, depth, least_depth), "links"))
+            above = depth
     return _union(found)
 
 
