@@ -258,3 +258,28 @@ def test_contract_fills_and_orders_columns(spark):
 def test_features_must_not_tell_the_outcome():
     with pytest.raises(ValueError, match="final"):
         audits.require_disjoint(["a", "final"], ["final"])
+
+
+def test_quantiles_of_groups_equal_plain_ones_over_many_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 50 == 0 else "abc"[i % 3], None if i % 17 == 0 else float(v)) for i, v in enumerate(rng.integers(0, 40, 900))] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    qs = {"low": 0.03, "mid": 0.5, "high": 0.9}
+    for by, groups in ((["g"], {None, "a", "b", "c"}), ([], {()})):
+        found = {r["g"] if by else (): r for r in ranks.quantiles(df, "x", qs, by).collect()}
+        assert set(found) == groups
+        for g, r in found.items():
+            own = [x for k, x in rows if x is not None and (not by or k == g)]
+            assert [r[n] for n in qs] == pytest.approx([np.quantile(own, q) for q in qs.values()])
+    assert ranks.quantiles(df.limit(0), "x", qs).collect() == [(None, None, None)]
+    assert ranks.quantiles(df.limit(0), "x", qs, ["g"]).count() == 0
+    by_group = {r["i"]: r["p"] for r in ranks.average_percent_rank(spark.createDataFrame([(1, "a", 5.0), (2, "a", 5.0), (3, "b", 1.0), (4, None, 2.0), (5, "a", None)], "i int, g string, x double"), "x", "p", ["g"]).collect()}
+    assert by_group == {1: 0.75, 2: 0.75, 3: 1.0, 4: 1.0, 5: None}
+
+
+def test_no_plan_of_quantiles_gathers_values(spark):
+    df = spark.createDataFrame([(1.0, 1.0, "s")], "x double, w double, s string")
+    for out in (A.distribution(df, "x"), A.weighted_quantile(df, "x", "w", 0.5, ["s"]), A.calibrated(df, "x", "x", "s", "w"), A.robust_weight(df, "x")):
+        assert "percentile" not in out._jdf.queryExecution().toString().lower()

@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 MODELS = {"model_selection", "residual_bands"}
 #: Joins without a key that are by design: one side has a single row, is a checked set of focus rows, or both are the
 #: small dimensions of a spine.
-SINGLE_ROW = {
+SINGLE_ROW = {"dist_stats", 
     "shifted_log", "exposure_rank", "topk_priority", "level_histogram", "hierarchical_fallback", "iqr_outliers", "residual_calibration", "shrunk_calibration", "smoothed_means", "robust_weights",
     "weighted_median", "weighted_quantile", "top_factors", "routed", "peer_benchmark", "coverage_gap",
 }

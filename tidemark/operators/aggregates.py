@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.operators import ranks
 
 
 def c(x) -> Column:
@@ -10,7 +12,8 @@ def c(x) -> Column:
 
 
 def quantile(x, q: float) -> Column:
-    """Exact, linearly interpolated, nulls dropped; null of nothing."""
+    """Exact, linearly interpolated, nulls dropped; null of nothing. It holds a group's distinct values in one task: for
+    groups of bounded size. ``ranks.quantiles`` is for tables and large groups."""
     return F.percentile(c(x), F.lit(q))
 
 
@@ -25,17 +28,18 @@ def count_where(test) -> Column:
 
 
 def distribution(df: DataFrame, x: str) -> DataFrame:
-    """n, min, max, mean, std, skew and seven quantiles of a column, in one pass."""
-    qs = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
-    return df.agg(
+    """n, min, max, mean, std, skew and seven quantiles of a column."""
+    qs = {f"p{round(q * 100):02d}": q for q in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)}
+    moments = df.agg(
         F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"), skewness(x).alias("skew"), *(quantile(x, q).alias(f"p{round(q * 100):02d}") for q in qs),
+        F.stddev_samp(x).alias("std"), skewness(x).alias("skew"),
     )
+    return moments.join(F.broadcast(ranks.quantiles(df, x, qs)))  # one row each
 
 
 def outliers(df: DataFrame, x: str, reach: float = 1.5) -> DataFrame:
     """How many values lie strictly outside the quartiles by more than reach times their distance."""
-    q = df.agg(quantile(x, 0.25).alias("q1"), quantile(x, 0.75).alias("q3"))
+    q = ranks.quantiles(df, x, {"q1": 0.25, "q3": 0.75})
     width = F.col("q3") - F.col("q1")
     out = (F.col(x) < F.col("q1") - reach * width) | (F.col(x) > F.col("q3") + reach * width)
     return df.join(F.broadcast(q)).agg(count_where(out).alias("outliers"), F.count(x).alias("n"))  # q is one row
@@ -95,29 +99,29 @@ def classification_metrics(table: DataFrame, actual: str, predicted: str) -> Dat
 
 
 def weighted_quantile(df: DataFrame, x: str, w: str, q: float, by: list[str] = (), out: str = "value") -> DataFrame:
-    """The least value whose running weight reaches q of the total; without weight the plain quantile.
+    """The least value whose running weight reaches q of the total; without weight the plain quantile. Equal values are
+    summed first, on the map side."""
+    return ranks.weighted_quantile(weighed(df, x, w, by), x, q, by, out)
 
-    Equal values are summed first (combined on the map side), so the ordered window sees distinct values only.
-    """
-    by = list(by)
-    rows = df.where(F.col(x).isNotNull())
-    values = rows.groupBy(*by, x).agg(F.sum(w).alias("_w"), F.count("*").alias("_n"))
-    run = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    at = values.withColumn("_run", F.sum("_w").over(run)).withColumn("_all", F.sum("_w").over(whole))
-    weighted = at.groupBy(*by).agg(F.min(F.when(F.col("_run") >= q * F.col("_all") - 1e-12, F.col(x))).alias("_v"), F.max("_all").alias("_total"))
-    plain = rows.groupBy(*by).agg(quantile(x, q).alias("_plain"))
-    both = weighted.join(plain, by) if by else weighted.join(F.broadcast(plain))  # one row each
-    return both.select(*by, F.when(F.col("_total") > 0, F.col("_v")).otherwise(F.col("_plain")).alias(out))
+
+def weighed(df: DataFrame, x: str, w: str, by: list[str] = ()) -> DataFrame:
+    """One row for each group and value of x, with the sum of weights and the number of rows."""
+    return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(w).alias("_w"), F.count("*").alias("_n"))
+
+
+def _coarser(values: DataFrame, x: str, by: list[str]) -> DataFrame:
+    return values.groupBy(*by, x).agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
 
 
 def bin_edges(df: DataFrame, x: str, bins: int = 5) -> list[float]:
     """Inner edges: distinct quantiles without the outermost; the median alone if too few differ."""
-    q = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q")).first()["q"]
-    if q is None:
+    wanted = {f"q{i}": i / bins for i in range(bins + 1)} | {"middle": 0.5}
+    q = ranks.quantiles(df, x, wanted).first().asDict()
+    middle = q.pop("middle")
+    if middle is None:
         return []
-    edges = sorted(set(q))
-    return edges[1:-1] if len(edges) >= 3 else [df.agg(quantile(x, 0.5)).first()[0]]
+    edges = sorted(set(q.values()))
+    return edges[1:-1] if len(edges) >= 3 else [middle]
 
 
 def bin_number(x, edges: list[float]) -> Column:
@@ -129,9 +133,11 @@ def calibrated(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: i
     """Adds ``bin`` and ``correction``: the weighted median residual of (stage, bin) if it has least_rows rows, else of
     the bin, else of all."""
     rows = df.withColumn("bin", bin_number(x, bin_edges(df, x, bins)))
-    fine = weighted_quantile(rows, residual, w, 0.5, [stage, "bin"], "_fine").join(rows.groupBy(stage, "bin").agg(F.count(residual).alias("_rows")), [stage, "bin"])
-    coarse = weighted_quantile(rows, residual, w, 0.5, ["bin"], "_coarse")
-    overall = weighted_quantile(rows, residual, w, 0.5, [], "_overall")
+    # All three levels come from one sum of the rows by stage, bin and value.
+    values = weighed(rows, residual, w, [stage, "bin"])
+    fine = ranks.weighted_quantile(values, residual, 0.5, [stage, "bin"], "_fine").join(values.groupBy(stage, "bin").agg(F.sum("_n").alias("_rows")), [stage, "bin"])
+    coarse = ranks.weighted_quantile(_coarser(values, residual, ["bin"]), residual, 0.5, ["bin"], "_coarse")
+    overall = ranks.weighted_quantile(_coarser(values, residual, []), residual, 0.5, [], "_overall")
     out = rows.join(F.broadcast(fine), [stage, "bin"], "left").join(F.broadcast(coarse), "bin", "left").join(F.broadcast(overall))  # bins x stages rows
     return out.withColumn("correction", F.coalesce(F.when(F.col("_rows") >= least_rows, F.col("_fine")), "_coarse", "_overall")).drop("_fine", "_rows", "_coarse", "_overall")
 
@@ -139,18 +145,20 @@ def calibrated(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: i
 def shrunk_calibration(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: int = 5, strength: float = 40.0) -> DataFrame:
     """(stage, bin, correction): bin medians shrunk to the overall one, and stage-bin medians to those, by
     weight / (weight + strength)."""
-    rows = df.withColumn("bin", bin_number(x, bin_edges(df, x, bins))).where(F.col(residual).isNotNull())
-    overall = weighted_quantile(rows, residual, w, 0.5, [], "_o")
-    coarse = weighted_quantile(rows, residual, w, 0.5, ["bin"], "_m").join(rows.groupBy("bin").agg(F.sum(w).alias("_w")), "bin").join(F.broadcast(overall))  # one row
+    values = weighed(df.withColumn("bin", bin_number(x, bin_edges(df, x, bins))), residual, w, [stage, "bin"])
+    by_bin = _coarser(values, residual, ["bin"])
+    overall = ranks.weighted_quantile(_coarser(values, residual, []), residual, 0.5, [], "_o")
+    weight = lambda v, *by: v.groupBy(*by).agg(F.sum("_w").alias("_w"))
+    coarse = ranks.weighted_quantile(by_bin, residual, 0.5, ["bin"], "_m").join(weight(by_bin, "bin"), "bin").join(F.broadcast(overall))  # one row
     a = F.col("_w") / (F.col("_w") + strength)
     coarse = coarse.select("bin", (a * F.col("_m") + (1 - a) * F.col("_o")).alias("_coarse"))
-    fine = weighted_quantile(rows, residual, w, 0.5, [stage, "bin"], "_m").join(rows.groupBy(stage, "bin").agg(F.sum(w).alias("_w")), [stage, "bin"]).join(coarse, "bin")
+    fine = ranks.weighted_quantile(values, residual, 0.5, [stage, "bin"], "_m").join(weight(values, stage, "bin"), [stage, "bin"]).join(coarse, "bin")
     return fine.select(stage, "bin", (a * F.col("_m") + (1 - a) * F.col("_coarse")).alias("correction"))
 
 
 def robust_weight(df: DataFrame, x: str, out: str = "weight") -> DataFrame:
     """Weights that fall with the distance from the median in interquartile ranges, within [0.25, 1]."""
-    q = df.agg(quantile(x, 0.5).alias("_m"), (quantile(x, 0.75) - quantile(x, 0.25)).alias("_r"))
+    q = ranks.quantiles(df, x, {"_m": 0.5, "_a": 0.25, "_b": 0.75}).select("_m", (F.col("_b") - F.col("_a")).alias("_r"))
     far = F.abs(F.col(x) - F.col("_m")) / F.greatest(F.col("_r"), F.lit(1e-9))
     return df.join(F.broadcast(q)).withColumn(out, F.greatest(F.lit(0.25), F.least(F.lit(1.0), 1 / (1 + far)))).drop("_m", "_r")  # q is one row
 

@@ -1,24 +1,78 @@
-"""Ranks over a whole table without bringing it to one task."""
+"""Ranks and exact quantiles over whole tables or large groups, without bringing a table or a group to one task.
+
+Distinct values are counted first (combined on the map side) and range-partitioned by group and value; what stands in
+earlier partitions of a group comes from one row a partition and group. No task holds a group's values.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-
-def average_percent_rank(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Adds (rank + (ties - 1) / 2) / n of x among its values, null where x is.
-
-    Distinct values are counted first (combined on the map side) and range-partitioned; the counts of earlier
-    partitions come from one row a partition. Only distinct values and their counts take part, then join back.
-    """
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_ties"))
-    counts = counts.repartitionByRange(x).withColumn("_p", F.spark_partition_id())
-    totals = counts.groupBy("_p").agg(F.sum("_ties").alias("_n"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_inside", F.coalesce(F.sum("_ties").over(inside), F.lit(0))).join(totals, "_p")
-    total = df.where(F.col(x).isNotNull()).agg(F.count("*").alias("_all"))
-    ranks = placed.select(x, (F.col("_before") + F.col("_inside") + 1 + (F.col("_ties") - 1) / 2).alias("_rank"))
-    ranked = df.join(ranks, x, "left").join(F.broadcast(total))  # one row
-    return ranked.withColumn(out, F.col("_rank") / F.col("_all")).drop("_rank", "_all")
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    """Whether rows of a and b agree in the named columns, nulls included."""
+    return reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in names), F.lit(True))
+
+
+def before(values: DataFrame, x: str, sums: list[str], by: list[str] = ()) -> DataFrame:
+    """values has one row for each group and value of x; adds ``_before_s``, the sum of each column s over the group's lesser
+    values."""
+    by = list(by)
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = values.repartitionByRange(n, *by, x).withColumn("_p", F.spark_partition_id())
+    keys = [*by, "_p"]
+    totals = parts.groupBy(*keys).agg(*(F.sum(s).alias(f"_all_{s}") for s in sums))
+    # At most a row for each partition, and one more for each group.
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, *(F.coalesce(F.sum(f"_all_{s}").over(earlier), F.lit(0)).alias(f"_outside_{s}") for s in sums))
+    inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.select("*", *(F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_inside_{s}") for s in sums))
+    both = placed.join(totals, _same(placed, totals, keys))
+    return both.select(*(placed[c] for c in values.columns), *((placed[f"_inside_{s}"] + totals[f"_outside_{s}"]).alias(f"_before_{s}") for s in sums))
+
+
+def _with_total(placed: DataFrame, values: DataFrame, sums: list[str], by: list[str]) -> DataFrame:
+    """placed with ``_total_s``, the sum of each column s over the group."""
+    total = values.groupBy(*by).agg(*(F.sum(s).alias(f"_total_{s}") for s in sums))
+    if not by:
+        return placed.join(F.broadcast(total))  # one row
+    return placed.join(total, _same(placed, total, by)).select(*(placed[c] for c in placed.columns), *(total[f"_total_{s}"] for s in sums))
+
+
+def _at(q: float, x: str) -> Column:
+    """As an aggregate over values with ``_n``, ``_before__n`` and ``_total__n``: the linearly interpolated quantile."""
+    place = (F.col("_total__n") - 1) * F.lit(q)
+    here = lambda i: F.max(F.when((F.col("_before__n") <= i) & (i < F.col("_before__n") + F.col("_n")), F.col(x)))
+    low, high, part = here(F.floor(place)), here(F.ceil(place)), F.max(place - F.floor(place))
+    return low * (1 - part) + high * part
+
+
+def quantiles(df: DataFrame, x: str, qs: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """by and the exact quantiles of x, linearly interpolated, by name. Nulls are dropped; a group of nulls has no row, and a
+    table without values has nulls."""
+    by = list(by)
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    placed = _with_total(before(counts, x, ["_n"], by), counts, ["_n"], by)
+    return placed.groupBy(*by).agg(*(_at(q, x).alias(name) for name, q in qs.items()))
+
+
+def weighted_quantile(values: DataFrame, x: str, q: float, by: list[str], out: str) -> DataFrame:
+    """by and the least x whose running weight reaches q of the group's; without weight the plain quantile. values has one
+    row for each group and value, with ``_w``, the sum of weights, and ``_n``, the number of rows."""
+    by = list(by)
+    placed = _with_total(before(values, x, ["_w", "_n"], by), values, ["_w", "_n"], by)
+    reached = F.min(F.when(F.col("_before__w") + F.col("_w") >= q * F.col("_total__w") - 1e-12, F.col(x)))
+    return placed.groupBy(*by).agg(F.when(F.max("_total__w") > 0, reached).otherwise(_at(q, x)).alias(out))
+
+
+def average_percent_rank(df: DataFrame, x: str, out: str, by: list[str] = ()) -> DataFrame:
+    """Adds (rank + (ties - 1) / 2) / n of x among its values in the group, null where x is."""
+    by = list(by)
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    placed = _with_total(before(counts, x, ["_n"], by), counts, ["_n"], by)
+    rank = (F.col("_before__n") + 1 + (F.col("_n") - 1) / 2) / F.col("_total__n")
+    ranks = placed.select(*(F.col(c).alias(f"_{c}") for c in (*by, x)), rank.alias("_rank"))
+    same = reduce(Column.__and__, (df[c].eqNullSafe(ranks[f"_{c}"]) for c in (*by, x)))
+    return df.join(ranks, same, "left").select(*(df[c] for c in df.columns), ranks["_rank"].alias(out))

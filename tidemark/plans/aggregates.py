@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import aggregates as A
+from tidemark.operators import ranks
 from tidemark.plans.registry import plan
 
 
@@ -42,10 +43,11 @@ def iqr_outliers(t):
 
 @plan("""SELECT p_type, count(DISTINCT p_brand) AS brands, round(median(p_retailprice), 4) AS median_price, min(p_name) AS first_name, min_by(p_partkey, p_retailprice * 1000000 + p_partkey) AS cheapest FROM part GROUP BY 1""")
 def group_medians(t):
-    return t.part.groupBy("p_type").agg(
-        F.countDistinct("p_brand").alias("brands"), r(F.median("p_retailprice"), 4).alias("median_price"), F.min("p_name").alias("first_name"),
-        F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"),
+    found = t.part.groupBy("p_type").agg(
+        F.countDistinct("p_brand").alias("brands"), F.min("p_name").alias("first_name"), F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"),
     )
+    middle = ranks.quantiles(t.part, "p_retailprice", {"m": 0.5}, ["p_type"])
+    return found.join(middle, "p_type", "left").select("p_type", "brands", r("m", 4).alias("median_price"), "first_name", "cheapest")
 
 
 _PRED = """p AS (SELECT l.*, l_extendedprice AS y, l_quantity * p_retailprice * (1 + l_tax) AS p, 1.0 / count(*) OVER (PARTITION BY l_orderkey) AS w,

@@ -100,7 +100,9 @@ def exposure_rank(t):
 FROM (SELECT *, floor(c_acctbal / 100) AS b FROM customer)""")
 def exposure_rank_by_segment(t):
     c = t.customer.withColumn("b", F.floor(F.col("c_acctbal") / 100))
-    return c.select("c_custkey", r(W.average_percent_rank("b", ("c_mktsegment",)), 8).alias("exposure"))
+    from tidemark.operators.ranks import average_percent_rank
+
+    return average_percent_rank(c.select("c_custkey", "c_mktsegment", "b"), "b", "x", ["c_mktsegment"]).select("c_custkey", r("x", 8).alias("exposure"))
 
 
 @plan("""SELECT o_orderkey, o_custkey, round(1.0 / count(*) OVER (PARTITION BY o_custkey), 8) AS weight FROM orders WHERE o_orderstatus <> 'P'""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
-from tidemark.operators.ranks import average_percent_rank
+from tidemark.operators.ranks import average_percent_rank, quantiles
 from tidemark.operators import windows as W
 from tidemark.plans.registry import plan
 
@@ -114,6 +114,6 @@ def tail_of_history(t):
 @plan("""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderpriority, quantile_cont(o_totalprice, 0.25) OVER () AS q FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' AND o_totalprice < q THEN 'refined' ELSE 'base' END AS route FROM o""")
 def routed(t):
-    q = t.orders.agg(F.percentile("o_totalprice", F.lit(0.25)).alias("q"))
+    q = quantiles(t.orders, "o_totalprice", {"q": 0.25})
     low = (F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") < F.col("q"))
     return t.orders.join(F.broadcast(q)).select("o_orderkey", F.when(low, "refined").otherwise("base").alias("route"))  # one row
