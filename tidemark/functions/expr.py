@@ -232,3 +232,31 @@ def part_number(x) -> Column:
     found = F.upper(F.regexp_extract(c(x), r"(?i)part[\s-]*([ivx]+|\d+)", 1))
     roman = F.create_map(*(F.lit(v) for pair in (("I", 1), ("II", 2), ("III", 3), ("IV", 4), ("V", 5)) for v in pair))
     return F.coalesce(found.try_cast("int"), F.when(found.isin("I", "II", "III", "IV", "V"), roman[found]))
+
+
+def progress_shortfall(expected, physical) -> Column:
+    """How far progress lags behind what was expected, the negative of the deviation; null if either is."""
+    return c(expected) - c(physical)
+
+
+def complexity(amount, duration_ratio, revisions, milestones) -> Column:
+    """A tenth of the log amount, plus the share of time used, a quarter a revision and a tenth a late milestone; missing or
+    negative parts count 0, a missing amount makes it null."""
+    part = lambda x: F.greatest(F.coalesce(c(x).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return log1p_positive(amount) / 10 + part(duration_ratio) + 0.25 * part(revisions) + 0.1 * part(milestones)
+
+
+def mentions_delay(text) -> Column:
+    """1 where a status speaks of delay, 0 where not or unknown."""
+    return F.coalesce(c(text).rlike("(?i)delay|late|overdue|slip").cast("int"), F.lit(0))
+
+
+def remaining_target(completion, snapshot, planned) -> Column:
+    """The logarithm of one plus the days that are left, for rows before completion that have a planned date."""
+    left = days(completion, snapshot)
+    return F.when((left > 0) & c(planned).isNotNull(), F.log1p(left.cast("double")))
+
+
+def clamped_limit(limit: int, most: int) -> int:
+    """A caller's limit into [1, most]."""
+    return max(1, min(int(limit), most))

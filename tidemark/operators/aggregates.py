@@ -184,11 +184,12 @@ def best(df: DataFrame, name: str, score: str, order: str) -> DataFrame:
 def paired_bootstrap(df: DataFrame, entity: str, base_error: str, new_error: str, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Confidence interval of the improvement in per cent when whole entities are drawn again.
 
-    Each entity's weight in a draw is a Poisson(1) count from a hash of (entity, draw), the usual form of the bootstrap
-    for data that is spread out: no list of entities is gathered, and any executor finds the same counts again.
+    Each entity's weight in a draw is a Poisson(1) count from 40 bits of the MD5 of (seed, entity, draw), the usual form of
+    the bootstrap for data that is spread out: no list of entities is gathered, and any engine finds the same counts again.
     """
     per = df.groupBy(entity).agg(F.avg(base_error).alias("_b"), F.avg(new_error).alias("_n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(entity).cast("string"), "draw"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"), F.col("draw").cast("string")))
+    u = (F.conv(F.substring(mark, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     # The Poisson(1) distribution function up to 7; more has a probability of 1e-6.
     cuts, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):

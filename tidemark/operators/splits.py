@@ -14,6 +14,22 @@ def by_date(df: DataFrame, date: str, test_share: float) -> tuple[DataFrame, Dat
     return df.where(F.col(date) < F.lit(cut)), df.where(F.col(date) >= F.lit(cut))
 
 
+def by_rows(df: DataFrame, order: list[str], test_share: float) -> tuple[DataFrame, DataFrame]:
+    """The first rows in the given order, and the last share of them. The order must tell rows apart: rows that tie go to the
+    same side. Only the row at the cut is looked for, in ranges of the order, so no task sorts the table."""
+    from tidemark.operators.ranks import before
+
+    place = F.struct(*order)
+    counts = df.groupBy(place.alias("_place")).agg(F.count("*").alias("_n"))
+    total = df.count()
+    cut = total - int(total * test_share)
+    placed = before(counts, "_place", ["_n"]).where(F.col("_before__n") >= cut)
+    edge = F.broadcast(placed.agg(F.min("_place").alias("_edge")))  # one row
+    late = F.coalesce(place >= F.col("_edge"), F.lit(False))
+    both = df.join(edge)
+    return both.where(~late).drop("_edge"), both.where(late).drop("_edge")
+
+
 def years(df: DataFrame, year: str, first: int, last: int) -> DataFrame:
     return df.where(F.col(year).between(first, last))
 

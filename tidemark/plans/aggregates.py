@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
@@ -211,9 +213,18 @@ def fold_summary(t):
     return t.orders.groupBy(F.year("o_orderdate").alias("fold")).agg(r(F.avg("o_totalprice"), 4).alias("mean"), r(F.min("o_totalprice"), 4).alias("low"), r(F.max("o_totalprice"), 4).alias("high"))
 
 
-@plan()
+def _times_sql() -> str:
+    """Poisson(1) counts, as sums of what lies above the distribution function."""
+    cuts = [sum(1 / math.factorial(k) for k in range(n + 1)) / math.e for n in range(8)]
+    return " + ".join(f"CAST(u > {x!r}::DOUBLE AS INTEGER)" for x in cuts)
+
+
+@plan(f"""WITH {_PRED}, e AS (SELECT l_orderkey AS k, avg(abs(y - p)) AS b, avg(abs(y - 0.98 * p)) AS n FROM p GROUP BY 1),
+d AS (SELECT b, n, draw, (CAST('0x' || substring(md5('7|' || k || '|' || draw), 1, 10) AS BIGINT) + 0.5) / 1099511627776.0::DOUBLE AS u FROM e, range(1, 201) r(draw)),
+g AS (SELECT draw, 100 * (sum(({_times_sql()}) * b) - sum(({_times_sql()}) * n)) / sum(({_times_sql()}) * b) AS gain FROM d GROUP BY 1)
+SELECT round(avg(gain), 6) AS mean_gain, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, avg(CAST(gain > 0 AS INTEGER)) AS p_better, count(*) AS draws FROM g""")
 def bootstrap_ci(t):
     """Entities are orders; errors of two predictions of a line's price. The draws come from hashes, so the result is the
     same on every run."""
     e = predicted(t).select("l_orderkey", F.abs(F.col("y") - F.col("p")).alias("a"), F.abs(F.col("y") - 0.98 * F.col("p")).alias("b"))
-    return A.paired_bootstrap(e, "l_orderkey", "a", "b", draws=200)
+    return A.paired_bootstrap(e, "l_orderkey", "a", "b", draws=200).select(*(r(c).alias(c) for c in ("mean_gain", "low", "high")), "p_better", "draws")

@@ -57,9 +57,13 @@ def ledger_build(t):
     return book.select("entity", "as_of", *(F.round(c, 4).alias(c) for c in ("baseline_error", "challenger_error", "improvement")))
 
 
-@plan("""SELECT CAST(0 AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS bad_weight""")
+@plan("""WITH k AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, count(*) AS n, count(*) FILTER (o_totalprice < 10000) AS m, count(*) FILTER (o_orderkey % 50 = 0) AS w FROM orders GROUP BY ALL)
+SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS doubled, CAST(coalesce(sum(m), 0) AS BIGINT) AS missing, CAST(coalesce(sum(w), 0) AS BIGINT) AS bad_weight FROM k""")
 def ledger_checks(t):
-    return G.ledger_faults(G.ledger(_book(t)))
+    """A book with faults in it: by customer, with orders of one day doubled, small values missing and some weights 0."""
+    flawed = _book(t).withColumn("actual", F.when(F.col("actual") >= 10000, F.col("actual"))).withColumn("weight", F.when(F.col("entity").cast("long") % 50 == 0, 0.0).otherwise(1.0))
+    keys = t.orders.select(F.col("o_orderkey").cast("string").alias("entity"), F.col("o_custkey").cast("string").alias("customer"))
+    return G.ledger_faults(G.ledger(flawed.join(keys, "entity").drop("entity").withColumnRenamed("customer", "entity")))
 
 
 @plan("""SELECT count(*) AS rows, sha256('c_custkey,c_mktsegment,c_name|' || count(*) || '|' || sum(CAST(('0x' || substring(h, 1, 12)) AS HUGEINT)) || '|' || sum(CAST(('0x' || substring(h, 13, 12)) AS HUGEINT))) AS digest
