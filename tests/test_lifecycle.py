@@ -164,6 +164,14 @@ def test_bundles_are_loaded_only_if_they_are_what_was_saved(spark, rows, tmp_pat
         B.check(spark, f"file://{tmp_path}/nothing")
 
 
+def test_a_forecast_reads_the_last_row_of_each_entity(spark, rows, tmp_path):
+    path = f"file://{tmp_path}/bundle"
+    B.save(spark, {"cost": M.fit(rows, A, L._linear("y", "w")), "other": M.fit(rows, A, L.huber("y", "w"))}, {}, path, "run1", "data1", ["a"])
+    got = B.forecast(spark, path, rows.where("entity < 5"), A, "entity", "yr", "id").orderBy("entity").collect()
+    assert [(r["entity"], r["id"]) for r in got] == [(e, 2 * e + 1) for e in range(5)]
+    assert all(r["run"] == "run1" and r["predicted_cost"] is not None and r["predicted_other"] is not None for r in got)
+
+
 def test_registry_entries_cannot_be_changed(spark, tmp_path):
     root, one = f"file://{tmp_path}/runs", {"experiment": "e1", "run": "r1", "recorded_at": "2024-05-01", "decision": "hold", "gain": 3.5}
     B.record(spark, one, root)

@@ -11,7 +11,9 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.ml.models import Features, predict
 from tidemark.operators import governance as G
+from tidemark.operators import windows as W
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -91,6 +93,15 @@ def load(spark: SparkSession, path: str, required: tuple[str, ...] = (), sources
     return {n: PipelineModel.load(f"{path}/models/{n}") for n in manifest["models"]}, metadata
 
 
+def forecast(spark: SparkSession, path: str, history: DataFrame, features: Features, entity: str, day: str, tie: str, sources: dict[str, str] | None = None) -> DataFrame:
+    """The last row of each entity with ``predicted_<name>`` of each model of a bundle, and the run that they are of."""
+    models, metadata = load(spark, path, (), sources)
+    rows = W.latest(history, entity, day, tie)
+    for name, model in models.items():
+        rows = predict(model, rows, features, f"predicted_{name}").drop(*(f"{x}_missing" for x in features.numeric))
+    return rows.withColumn("run", F.lit(metadata["run"]))
+
+
 #: What an entry must tell, and what may have been decided.
 ENTRY, DECISIONS = ("experiment", "run", "recorded_at", "decision"), ("promote", "reject", "hold")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import joins as J
+from tidemark.operators import paths
 from tidemark.operators import windows as W
 
 # Trailing days of three, six and twelve months, and what tells the outcome.
@@ -48,6 +49,9 @@ def as_of_features(rows: DataFrame) -> DataFrame:
         .withColumn("start_source", F.when(F.col("planned_start_date").isNotNull(), "planned").when(F.col("approval_date").isNotNull(), "approval"))
     )
     df = W.one_per_day(df, key, "day", "source_report")
+    df = paths.scaled_rates(
+        df.withColumn("_expected", expected), key, "approved_cost_cr", "revised_cost_cr", "cumulative_expenditure_cr", "schedule_slippage_days", "planned_duration_days", "_expected", widths=(QUARTER, HALF, YEAR)
+    ).drop("_expected")
     for name, x in (("cost", "cost_escalation_pct"), ("progress", "physical_progress"), ("slippage", "schedule_slippage_days")):
         df = df.withColumn(f"{name}_velocity_3m", W.slope(x, key, QUARTER)).withColumn(f"{name}_velocity_6m", W.slope(x, key, HALF))
         df = df.withColumn(f"{name}_acceleration", F.col(f"{name}_velocity_3m") - F.col(f"{name}_velocity_6m"))
