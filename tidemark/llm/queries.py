@@ -6,8 +6,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dup, quality, secret_scan, sharding, substring_dedup, token_files
-from tidemark.llm.shared import importable, new_path
+from tidemark.llm import byte_bpe, decontaminate, filter_audit, language_id, line_dedup, near_dup, prefix_trie, quality, secret_scan, sharding
+from tidemark.llm import substring_dedup, token_counts, token_files
+from tidemark.llm.shared import importable, new_path, stored
 
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -122,6 +123,84 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """The prefix trie of all conversations, each rebuilt on the first turns of a common one."""
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = stored(prefix_trie.fingerprints(prefix_trie.turns(conversations)), "trie-fingerprints")
+    return prefix_trie.nodes(prefix_trie.spliced(found))
+
+
+_OP11 = r"""
+WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i FROM x),
+b AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, [ord(y)::BIGINT for y in string_split(c::VARCHAR, '')]), lambda a, y:
+        list_reduce([xor(a, y), 1, 2, 3, 4, 5, 6, 7, 8], lambda z, k: xor(z // 2, (z % 2) * 3988292384))) AS r FROM (SELECT DISTINCT conv_id AS c FROM x)),
+h AS (SELECT c, xor(r, 4294967295) % 4 AS h FROM b),
+l AS (SELECT c, coalesce(max(i), 0) AS k FROM h LEFT JOIN o ON conv_id = c - c % 20 AND i <= h GROUP BY 1),
+t AS (
+  SELECT c, i AS d, role, text FROM h JOIN o ON conv_id = c - c % 20 AND i <= h
+  UNION ALL SELECT c, i - h + k, role, text FROM h JOIN l USING (c) JOIN o ON conv_id = c AND i > h),
+q AS (SELECT c, d, [struct_pack(role, text)] AS one, text, list(struct_pack(role, text)) OVER (PARTITION BY c ORDER BY d) AS seq FROM t),
+p AS (SELECT c, d, seq, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM q
+      UNION ALL SELECT c, 0, [struct_pack(role := 'x', text := 'x')][1 : 0], 0 FROM h),
+n AS (SELECT d, seq, min(c) AS v, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY 1, 2),
+m AS (SELECT p.c, p.d, n.v FROM p JOIN n USING (d, seq)),
+u AS (SELECT n.v, n.d, n.n_convs, n.w, up.v AS parent FROM n LEFT JOIN m up ON up.c = n.v AND up.d = n.d - 1),
+k AS (SELECT v, d, count(*) AS n_children FROM (SELECT parent AS v, d - 1 AS d FROM u WHERE d > 0) GROUP BY 1, 2),
+f AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (v, d)),
+s AS (SELECT m.v, m.d, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.w) AS saved
+      FROM f JOIN m ON m.c = f.v AND m.d <= f.d GROUP BY 1, 2),
+e AS (SELECT v, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM m GROUP BY 1) JOIN m USING (c, d) GROUP BY 1, 2)
+SELECT CAST(f.v AS BIGINT) AS conv_id, CAST(f.d AS BIGINT) AS depth, CAST(f.parent AS BIGINT) AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs,
+       CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (v, d) LEFT JOIN e USING (v, d)
+"""
+
+
+def op12_filter_audit(spark, sf_dir):
+    """Five filters over all documents, in all orders, by source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = filter_audit.flagged(docs, filter_audit.text_flags())
+    return filter_audit.audit(filter_audit.flag_counts(rows, _table(spark, sf_dir, "labels")))
+
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+                100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+                coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false)] AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+c AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS seq FROM c a, c b, c x, c y, c z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT seq, array_to_string([substr('ABCDE', i, 1) for i in seq], '') AS filter_order, step, seq[step] AS own FROM o, (SELECT i AS step FROM c)),
+m AS (
+  SELECT part, filter_order, step, own, fails, n, good, toxic,
+         list_bool_or([fails[i] for i in seq[1 : step - 1]]) AS gone, fails[own] AS hit, len([x for x in fails if x]) AS n_fails FROM s, g),
+r AS (
+  SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND NOT hit), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND hit), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (coalesce(gone, false) AND hit), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (hit AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND hit), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND hit), 0) AS BIGINT) AS toxic_lost
+  FROM m GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13_token_counts(spark, sf_dir):
+    """Bytes and tokens of every whole text, and whether it exceeds 2048 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.sizes(token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")), 2048)
+
+
 def _sql_spans(kind: int, pattern: str, group: int) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
     return f"""
@@ -154,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_quality_rules, op6_sharding, op7_byte_bpe, op8_secret_scan,
-        op9_token_files, op10_ngram_jaccard_join,
+        op9_token_files, op10_ngram_jaccard_join, op11_prefix_trie, op12_filter_audit, op13_token_counts,
     )
 }
-ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4, "op8_secret_scan": _OP8}
+ORACLE = {"op2_decontaminate": _OP2, "op3_line_dedup": _OP3, "op4_substring_dedup": _OP4, "op8_secret_scan": _OP8, "op11_prefix_trie": _OP11, "op12_filter_audit": _OP12}
