@@ -142,10 +142,10 @@ def calibrated(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: i
     return out.withColumn("correction", F.coalesce(F.when(F.col("_rows") >= least_rows, F.col("_fine")), "_coarse", "_overall")).drop("_fine", "_rows", "_coarse", "_overall")
 
 
-def shrunk_calibration(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: int = 5, strength: float = 40.0) -> DataFrame:
-    """(stage, bin, correction): bin medians shrunk to the overall one, and stage-bin medians to those, by
-    weight / (weight + strength)."""
-    values = weighed(df.withColumn("bin", bin_number(x, bin_edges(df, x, bins))), residual, w, [stage, "bin"])
+def shrunk_levels(df: DataFrame, residual: str, stage: str, w: str, strength: float = 40.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stage, bin, correction), (bin, correction) and the overall correction of rows that have a bin: weighted median
+    residuals of bins shrunk to the overall one, and of stages in bins to those, by weight / (weight + strength)."""
+    values = weighed(df, residual, w, [stage, "bin"])
     by_bin = _coarser(values, residual, ["bin"])
     overall = ranks.weighted_quantile(_coarser(values, residual, []), residual, 0.5, [], "_o")
     weight = lambda v, *by: v.groupBy(*by).agg(F.sum("_w").alias("_w"))
@@ -153,7 +153,13 @@ def shrunk_calibration(df: DataFrame, x: str, residual: str, stage: str, w: str,
     a = F.col("_w") / (F.col("_w") + strength)
     coarse = coarse.select("bin", (a * F.col("_m") + (1 - a) * F.col("_o")).alias("_coarse"))
     fine = ranks.weighted_quantile(values, residual, 0.5, [stage, "bin"], "_m").join(weight(values, stage, "bin"), [stage, "bin"]).join(coarse, "bin")
-    return fine.select(stage, "bin", (a * F.col("_m") + (1 - a) * F.col("_coarse")).alias("correction"))
+    fine = fine.select(stage, "bin", (a * F.col("_m") + (1 - a) * F.col("_coarse")).alias("correction"))
+    return fine, coarse.withColumnRenamed("_coarse", "correction"), overall
+
+
+def shrunk_calibration(df: DataFrame, x: str, residual: str, stage: str, w: str, bins: int = 5, strength: float = 40.0) -> DataFrame:
+    """(stage, bin, correction) over bins of x, see ``shrunk_levels``."""
+    return shrunk_levels(df.withColumn("bin", bin_number(x, bin_edges(df, x, bins))), residual, stage, w, strength)[0]
 
 
 def robust_weight(df: DataFrame, x: str, out: str = "weight") -> DataFrame:
@@ -189,15 +195,17 @@ def paired_bootstrap(df: DataFrame, entity: str, base_error: str, new_error: str
     """
     per = df.groupBy(entity).agg(F.avg(base_error).alias("_b"), F.avg(new_error).alias("_n"))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"), F.col("draw").cast("string")))
-    u = (F.conv(F.substring(mark, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
-    # The Poisson(1) distribution function up to 7; more has a probability of 1e-6.
-    cuts, p, total = [], 0.36787944117144233, 0.0
+    # The Poisson(1) distribution function up to 7, more has a probability of 1e-6: as the least number of 40 bits whose
+    # middle lies beyond it, in hexadecimal, so that digests are compared as they stand.
+    times, p, total = F.lit(8), 0.36787944117144233, 0.0
+    steps = []
     for k in range(8):
         total += p
-        cuts.append(total)
+        steps.append(f"{int(total * (1 << 40) - 0.5) + 1:010x}")
         p /= k + 1
-    times = sum((F.when(u > x, 1).otherwise(0) for x in cuts), F.lit(0))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", times)
+    for k, least in reversed(list(enumerate(steps))):
+        times = F.when(F.col("_mark") < least, k).otherwise(times)
+    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_mark", mark).withColumn("_k", times)
     sums = drawn.groupBy("draw").agg(F.sum(F.col("_k") * F.col("_b")).alias("b"), F.sum(F.col("_k") * F.col("_n")).alias("n"))
     gain = sums.withColumn("gain", 100 * F.try_divide(F.col("b") - F.col("n"), F.col("b")))
     return gain.agg(F.avg("gain").alias("mean_gain"), quantile("gain", 0.025).alias("low"), quantile("gain", 0.975).alias("high"), F.avg((F.col("gain") > 0).cast("double")).alias("p_better"), F.count("*").alias("draws"))

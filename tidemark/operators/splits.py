@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.operators.ranks import before
+
 
 def by_date(df: DataFrame, date: str, test_share: float) -> tuple[DataFrame, DataFrame]:
     """Rows before the cut-off date, and from it on. The cut-off is the k-th distinct date; one date gives no split."""
-    dates = [r[0] for r in df.select(date).where(F.col(date).isNotNull()).distinct().orderBy(date).collect()]  # days, so few
-    if len(dates) < 2:
+    dates = df.select(date).where(F.col(date).isNotNull()).distinct().withColumn("_n", F.lit(1))
+    placed = before(dates, date, ["_n"])
+    total = placed.select("_total__n").first()
+    if total is None or total[0] < 2:
         raise ValueError("a temporal split needs two dates")
-    cut = dates[min(len(dates) - 1, max(1, int(len(dates) * (1 - test_share))))]
+    k = min(total[0] - 1, max(1, int(total[0] * (1 - test_share))))
+    cut = placed.where(F.col("_before__n") == k).first()[date]
     return df.where(F.col(date) < F.lit(cut)), df.where(F.col(date) >= F.lit(cut))
 
 
 def by_rows(df: DataFrame, order: list[str], test_share: float) -> tuple[DataFrame, DataFrame]:
     """The first rows in the given order, and the last share of them. The order must tell rows apart: rows that tie go to the
     same side. Only the row at the cut is looked for, in ranges of the order, so no task sorts the table."""
-    from tidemark.operators.ranks import before
-
     place = F.struct(*order)
     counts = df.groupBy(place.alias("_place")).agg(F.count("*").alias("_n"))
     total = df.count()
