@@ -5,6 +5,7 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import near_dup
 from tidemark.llm.components import components
@@ -171,6 +172,25 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_a_shared_id_costs_no_more_than_a_unique_one(spark):
+    """Hundreds of different texts under one id, null or not: each node's text is found once, not once for every row."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(300):
+        words = [f"w{rng.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words, f"end{i}"])]
+    rows = []
+    for i, t in enumerate(texts):
+        rows.append((None if i < 300 else 7, t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dup.signatures(docs, "text", "doc_id", 5).select("node", F.col("row_id").alias("rep"), "ta", "tb")
+    found = near_dup._sets(docs, signed, "text", "doc_id", 5)
+    assert found.count() == found.select("node").distinct().count() == 600
+    out = near_dup.near_duplicates(docs).collect()
+    assert len(out) == 600 and {r["n_links"] for r in out} == {1}
+    assert {r["class_id"] for r in out} == {None, 7}
+
+
 def test_one_of_each_keeps_the_least_id_and_other_columns(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(7, text, "x", 1), (2, text + " end", "y", 2), (9, "else", "z", 3), (9, "else", "z", 3)]

@@ -56,6 +56,8 @@ STEP = 2
 #: Nodes of a block; a cell compares two blocks. A run of more members is a crowd.
 BLOCK = 512
 _COLUMNS_AT_ONCE = 4096
+#: What tells the row whose text stands for a node.
+_ROW = ("rep", "ta", "tb")
 
 
 def met(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -110,9 +112,9 @@ def _text_keys(text: str) -> dict[str, Column]:
     return {"ta": F.xxhash64(text), "tb": F.xxhash64(F.lit(7), text)}
 
 
-def signatures(docs: DataFrame, text: str, row_id: str, k: int, keyed: bool = False) -> DataFrame:
-    """row_id, node (a digest of the shingle set; null without words), n_shingles, labels, and ``_text_keys`` if asked."""
-    hashes = _text_keys(text) if keyed else {}
+def signatures(docs: DataFrame, text: str, row_id: str, k: int) -> DataFrame:
+    """row_id, node (a digest of the shingle set; null without words), n_shingles, labels and ``_text_keys``."""
+    hashes = _text_keys(text)
     keys = list(hashes)
     rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *(c.alias(x) for x, c in hashes.items()))
     kind = rows.schema["row_id"].dataType.simpleString()
@@ -328,19 +330,22 @@ def _verified(cells: DataFrame, threshold: float, depth: int = 0, least_depth: i
 
 
 def _sets(docs: DataFrame, members: DataFrame, text: str, row_id: str, k: int) -> DataFrame:
-    """members (node, rep and further columns) with the nodes' shingle sets in place of rep."""
-    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    rest = [c for c in members.columns if c != "rep"]
-    found = rows.join(members, rows["row_id"].eqNullSafe(members["rep"])).select("text", *rest)
+    """members (node, the id and keys of a row that has it, and further columns) with the nodes' shingle sets in place of
+    the row's. A row is found by its id and its text's keys, so that an id that many rows share costs no more than one
+    that is unique."""
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), *(c.alias(f"own_{x}") for x, c in _text_keys(text).items()))
+    rest = [c for c in members.columns if c not in _ROW]
+    same = rows["row_id"].eqNullSafe(members["rep"]) & (rows["own_ta"] == members["ta"]) & (rows["own_tb"] == members["tb"])
+    found = rows.join(members, same).select("text", *rest)
 
     def run(batches):
         for part in slices(batches):
             sets = [shingle_set(t, k).tobytes() for t in part.column("text").to_pylist()]
-            # Where an id is repeated with other texts, only the node's own text counts.
+            # Texts of equal keys may still differ: only the node's own text counts.
             own = pa.array([xxhash.xxh128_digest(s) == n for s, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_pydict({c: part.column(c) for c in rest} | {"shingles": pa.array(sets, pa.binary())}).filter(own)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name != "rep")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name not in _ROW)
     return found.mapInArrow(run, f"{fields}, shingles binary")
 
 
@@ -388,7 +393,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str) -> DataFrame:
     """(node, links, root, n, least, depth) of all nodes with links, several rows a node. depth is that of the crowd in which
-    they were found, or 0. signed has the signatures, nodes has node, rep (an id) and copies."""
+    they were found, or 0. signed has the signatures, nodes has node, _ROW and copies."""
     least_depth = depth_for(recall, threshold)
     labelled = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("labels").alias("labels"))
     small, crowds = runs(stored(tries(labelled, least_depth), "tries"), least_depth)
@@ -396,14 +401,14 @@ def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, thresho
     by_tree = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("of", t), F.lit(0)))
     owned = small.groupBy("node").agg(F.collect_list("gid").alias("gids"), F.map_from_entries(F.collect_list(F.struct("tree", "gid"))).alias("of"))
     owned = stored(owned.select("node", "gids", by_tree.alias("small")), "small-runs")
-    nodes = nodes.select("node", "rep", "copies")
+    nodes = nodes.select("node", *_ROW, "copies")
     cells = _sets(docs, nodes.join(owned, "node"), text, row_id, k)
     cells = cells.select("node", "copies", "shingles", "small", F.explode("gids").alias("gid"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     found = [stored(_verified(cells.repartition("gid").sortWithinPartitions("gid"), threshold), "links")]
     if crowds:
         none = F.array_repeat(F.lit(0).cast("bigint"), TREES)
         members = nodes.join(_homes(crowds), "node").join(owned.select("node", "small"), "node", "left")
-        members = members.join(labelled, "node").select("node", "rep", "copies", "home", "labels", F.coalesce("small", none).alias("small"))
+        members = members.join(labelled, "node").select("node", *_ROW, "copies", "home", "labels", F.coalesce("small", none).alias("small"))
         members = stored(_sets(docs, members, text, row_id, k), "crowd-members")
         above = 0
         for depth, crowd in reversed(crowds):
@@ -413,26 +418,23 @@ def verified_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, thresho
     return _union(found)
 
 
-def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str, keyed: bool = False) -> DataFrame:
-    """row_id, node, n_shingles, class_id and n_links of every row of docs; class_id and n_links are null without words.
-
-    If keyed, also the row's ``_text_keys`` and ``keep``: of the class's rows the first by id (null last), node and keys.
-    """
-    signed = stored(signatures(docs, text, row_id, k, keyed), "signatures")
-    keys = list(_text_keys(text)) if keyed else []
-    own = [F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "node", *keys)).alias("keep")] if keyed else []
-    kept = ["keep"] if keyed else []
-    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("row_id").alias("rep"), F.count("*").alias("copies"), *own), "nodes")
+def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text: str, row_id: str) -> DataFrame:
+    """row_id, ``_text_keys``, node, n_shingles, class_id, n_links and ``keep`` of every row of docs; all but the first four are
+    null without words. ``keep`` is, of the class's rows, the first by id (null last), node and keys."""
+    signed = stored(signatures(docs, text, row_id, k), "signatures")
+    keys = list(_text_keys(text))
+    first = F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "node", *keys)).alias("keep")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), first)
+    nodes = stored(nodes.select("node", "copies", "keep", F.col("keep.row_id").alias("rep"), *(F.col(f"keep.{x}").alias(x) for x in keys)), "nodes")
     linked = verified_links(docs, signed, nodes, threshold, recall, k, text, row_id)
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "node")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.join(links.join(roots, "node", "left"), "node", "left")
-    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"), *(F.min(c).alias("first") for c in kept))
+    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("keep").alias("first"))
     classes = classes.join(least, "root", "left").select(
-        "node", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        *(F.coalesce("first", c).alias(c) for c in kept),
+        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "keep").alias("keep"),
     )
-    return signed.select("row_id", "node", "n_shingles", *keys).join(classes, "node", "left")
+    return signed.select("row_id", "node", "n_shingles", *keys).join(classes.withColumn("class_id", F.col("keep.row_id")), "node", "left")
 
 
 def near_duplicates(
@@ -454,7 +456,7 @@ def one_of_each(
 
     Ids may be null (last in order) or repeated: rows are told apart by id and text, and classes by their nodes.
     """
-    found = _classified(docs, threshold, recall, k, text, row_id, keyed=True).where("node IS NOT NULL")
+    found = _classified(docs, threshold, recall, k, text, row_id).where("node IS NOT NULL")
     kept = F.col("row_id").eqNullSafe(F.col("keep.row_id")) & (F.col("ta") == F.col("keep.ta")) & (F.col("tb") == F.col("keep.tb"))
     # One row for each id and text that goes, or of which only one row stays.
     judged = found.select("row_id", "ta", "tb", kept.alias("kept")).groupBy("row_id", "ta", "tb", "kept").agg(F.count("*").alias("times"))
