@@ -19,6 +19,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_language_id(spark, sf_dir):
+    """The language of every text, learned from the documents that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
     out = language_id.held_out()
     learn = docs.where(F.col("doc_id").isNotNull() & ~out).select("doc_id", "text", "lang")
@@ -28,6 +29,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_decontaminate(spark, sf_dir):
+    """What every text shares with the benchmark's items, in windows of ten words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")))
 
@@ -54,6 +56,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op3_line_dedup(spark, sf_dir):
+    """Every text without the lines that ten documents or more have."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digests(line_dedup.drop_frequent_lines(docs))
 
@@ -71,6 +74,7 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 
 
 def op4_substring_dedup(spark, sf_dir):
+    """Every text without passages of twenty words that stand earlier."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.digests(substring_dedup.dedup_substrings(docs))
 
@@ -89,18 +93,21 @@ FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 def op5_quality_rules(spark, sf_dir):
+    """Base measures of every text and the field's verdict on its lines, learned from labelled rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.fit(docs, _table(spark, sf_dir, "labels"))
     return quality.judge(docs, field).drop("text")
 
 
 def op7_byte_bpe(spark, sf_dir):
+    """Every text encoded and decoded again, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 def op6_sharding(spark, sf_dir):
+    """All documents in sixteen shards of nearly equal bytes."""
     found = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
     return found.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -108,11 +115,13 @@ def op6_sharding(spark, sf_dir):
 
 
 def op8_secret_scan(spark, sf_dir):
+    """Secrets of every text; values of one owner in few documents are told apart."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return secret_scan.digests(secret_scan.scan(docs))
 
 
 def op9_token_files(spark, sf_dir):
+    """All texts written as token files and read back."""
     path = new_path(spark, "token-files")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -120,6 +129,7 @@ def op9_token_files(spark, sf_dir):
 
 
 def op10_ngram_jaccard_join(spark, sf_dir):
+    """The class of every document and its links at a similarity of 0.8 or more."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
