@@ -320,7 +320,7 @@ def test_calibration_falls_back_from_stage_to_bin_to_all(spark, tmp_path):
     got = {(r["stage"], r["p"]): r["prediction"] for r in model.transform(new.withColumn("p", F.col("prediction"))).collect()}
     assert math.isclose(got["s", 90.0], 90 + table["s", number(90)]) and 97 < got["s", 90.0] < 101
     assert math.isclose(got["never seen", 90.0], 90 + coarse[number(90)]) and math.isclose(got[None, 90.0], got["never seen", 90.0])
-    assert got["s", 1.0] == 0.0  # no less than ``least``
+    assert got["s", 1.0] == 0.0 and got["s", None] is None  # no less than ``least``; what isn't predicted isn't corrected
     assert table.keys() == {(s, b) for s in "st" for b in range(4)}
 
 

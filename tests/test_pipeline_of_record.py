@@ -140,6 +140,10 @@ def test_sessions_hide_outcomes_until_predicted(spark, tmp_path):
         session.reveal()
     session.predict(spark.createDataFrame([("A", 6.5), ("Z", 1.0)], "entity string, predicted double"))
     assert [tuple(r) for r in Session(spark, f"{tmp_path}/s").reveal().collect()] == [("A", 6.5, 7.0)]
+    session.predict(spark.createDataFrame([("A", 7.0), ("B", 8.0)], "entity string, predicted double"))  # too late for A
+    assert sorted(tuple(r) for r in session.reveal().collect()) == [("A", 6.5, 7.0), ("B", 8.0, 8.0)]
+    with pytest.raises(ValueError, match="2 times"):
+        session.predict(spark.createDataFrame([("B", 1.0), ("B", 2.0)], "entity string, predicted double"))
 
 
 def test_stream_keeps_the_newest_row_of_a_key(spark, tmp_path):
@@ -148,7 +152,19 @@ def test_stream_keeps_the_newest_row_of_a_key(spark, tmp_path):
     for batch in ([("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 00:00:00", 1)], [("a", "2024-01-02 00:00:00", 2)]):
         spark.createDataFrame(batch, "k string, at string, v int").selectExpr("k", "cast(at as timestamp) as at", "v").write.mode("append").parquet(source)
         S.upsert(spark.readStream.schema(schema).parquet(source), table, ["k"], "at", f"{tmp_path}/cp").awaitTermination()
-    assert {r["k"]: r["v"] for r in S.current(spark, table).collect()} == {"a": 2, "b": 1}
+    assert {r["k"]: r["v"] for r in S.current(spark, table, ["k"], "at").collect()} == {"a": 2, "b": 1}
+
+
+def test_a_streamed_table_is_written_anew_now_and_then(spark, tmp_path):
+    import os
+
+    schema, source, table = "k string, at timestamp, v int", f"{tmp_path}/in", f"{tmp_path}/table"
+    for day in range(1, 10):
+        spark.createDataFrame([("a", f"2024-01-{day:02d} 00:00:00", day), (f"b{day}", "2024-01-01 00:00:00", day)], "k string, at string, v int").selectExpr("k", "cast(at as timestamp) as at", "v").write.mode("append").parquet(source)
+        S.upsert(spark.readStream.schema(schema).parquet(source), table, ["k"], "at", f"{tmp_path}/cp", every=3).awaitTermination()
+        assert {r["k"]: r["v"] for r in S.current(spark, table, ["k"], "at").collect()} == {"a": day} | {f"b{d}": d for d in range(1, day + 1)}
+    names = sorted(n for n in os.listdir(table) if not n.startswith("."))
+    assert sum(n.startswith("base-") for n in names) == 2 and sum(n.startswith("part-") for n in names) <= 6
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
@@ -161,6 +177,19 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_days_are_those_of_the_session(spark, tmp_path):
+    """Half past eleven in the evening in one zone is the next day in another."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        events = spark.sql("SELECT timestamp'2024-03-01 23:30:00' AS at, 'x' AS kind UNION ALL SELECT timestamp'2024-03-02 00:30:00', 'x'")
+        events.write.parquet(f"{tmp_path}/events")
+        stream = S.daily_counts(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"), "at", "kind")
+        stream.writeStream.format("memory").queryName("zoned").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        assert sorted((str(r["day"]), r["n"]) for r in spark.table("zoned").collect()) == [("2024-03-01", 1), ("2024-03-02", 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def rows(spark, n=400):
     df = spark.range(n).select(
         F.col("id").alias("i"), (2010 + F.col("id") % 5).cast("int").alias("yr"), F.when(F.col("id") % 11 != 0, (F.col("id") % 37).cast("double")).alias("a"),

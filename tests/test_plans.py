@@ -16,12 +16,12 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Plans that train models, and so run what pyspark.ml runs.
 MODELS = {"model_selection", "residual_bands", "rolling_validation", "stage_specialists", "sector_correction", "group_selection", "residual_against_direct"}
-MODELS |= {"residual_booster", "hazard_ratios", "quantile_bands", "absolute_loss_trees", "price_explanations"}
+MODELS |= {"residual_booster", "hazard_ratios", "quantile_bands", "absolute_loss_trees", "price_explanations", "composed_delay_model", "models_compared"}
 #: Joins without a key that are by design: one side has a single row, is a checked set of focus rows, or both are the
 #: small dimensions of a spine.
 SINGLE_ROW = {
     "dist_stats", "row_split", "shifted_log", "exposure_rank", "topk_priority", "level_histogram", "hierarchical_fallback", "iqr_outliers", "residual_calibration", "shrunk_calibration", "smoothed_means", "robust_weights",
-    "weighted_median", "weighted_quantile", "top_factors", "routed", "peer_benchmark", "coverage_gap", "out_of_fold_means", "residual_cap",
+    "weighted_median", "weighted_quantile", "top_factors", "routed", "peer_benchmark", "coverage_gap", "out_of_fold_means", "residual_cap", "experiment_stages",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")

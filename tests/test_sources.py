@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import governance as G
 from tidemark.sources import reports as R
 from tidemark.sources import tables as T
 
@@ -203,3 +204,85 @@ def test_writers_refuse_to_overwrite(spark, tmp_path):
     T.write_csv(df, f"{tmp_path}/c")
     T.write_csv(spark.range(9), f"{tmp_path}/c", only_if_absent=True)
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 3
+
+
+def test_histories_keep_ids_and_coerce_dates(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("project_code,snapshot_date,revised_completion_date,spent\n0012,2024-01-31,soon,1.5\n0013,2024-02-29 00:00:00,2025-01-01,\n")
+    rows = sorted(T.read_history(spark, f"{tmp_path}/h.csv").collect(), key=lambda r: r["project_code"])
+    assert [(r["project_code"], str(r["snapshot_date"]), str(r["revised_completion_date"]), r["spent"]) for r in rows] == [
+        ("0012", "2024-01-31", "None", 1.5), ("0013", "2024-02-29", "2025-01-01", None),
+    ]
+    (tmp_path / "d.csv").write_text("project_id,month,start_date,planned_completion_date,revised_completion_date,actual_completion_date,x\n7,2024-01-01,bad,,2024-02-01,2024-03-01,3\n")
+    row = T.read_demo_history(spark, f"{tmp_path}/d.csv").first()
+    assert (row["project_id"], str(row["month"]), row["start_date"], row["planned_completion_date"], str(row["actual_completion_date"]), row["x"]) == ("7", "2024-01-01", None, None, "2024-03-01", 3)
+    with pytest.raises(ValueError, match="lacks"):
+        T.read_demo_history(spark, f"{tmp_path}/h.csv")
+
+
+def test_artifacts_of_runs(spark, tmp_path):
+    for run, text in (("r1", '{"mae": 1.5, "by": {"a": 1}}'), ("r2", '{"mae": null}'), ("r3", "[1]")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "metrics.json").write_text(text)
+        (tmp_path / run / "other.json").write_text('{"mae": 9}')
+    found = {(r["run"], r["key"]): r["value"] for r in T.read_artifacts(spark, str(tmp_path), "metrics.json").collect()}
+    assert found == {("r1", "mae"): "1.5", ("r1", "by"): '{"a":1}', ("r2", "mae"): None}
+
+
+def test_validation_rows_by_precedence(spark, tmp_path):
+    folder = tmp_path / "2001_2021"
+    folder.mkdir()
+    (tmp_path / "legacy.csv").write_text("project_id,actual_cost_overrun\n01,5\n")
+    with pytest.raises(FileNotFoundError):
+        T.read_validation(spark, str(folder))
+    assert T.read_validation(spark, str(folder), f"{tmp_path}/legacy.csv").first()["actual_cost_overrun"] == 5.0
+    (folder / "evaluation_results.csv").write_text("project_id,actual_cost_overrun\n02,6\n")
+    assert T.read_validation(spark, str(folder), f"{tmp_path}/legacy.csv").first()["project_id"] == "02"
+    (folder / "prediction_validation.csv").write_text("canonical_project_id,actual_cost_overrun_percentage,predicted_cost_p10,stage\n03,oops,1.5,late\n")
+    row = T.read_validation(spark, str(folder)).first()
+    assert (row["project_id"], row["actual_cost_overrun"], row["predicted_cost_p10"], row["predicted_delay_p90"], row["stage"]) == ("03", None, 1.5, None, "late")
+
+
+def test_a_parser_added_from_outside_is_used_and_told(spark):
+    """A layout that none of the module's parsers knows is read once a parser for it is registered."""
+    text = "ONE-LINE LIST\nR9000001;Lower Gate;120.5"
+    df = spark.createDataFrame([("r1", text, None, "2024", "s", "u"), ("r2", "nothing known", None, "2024", "s", "u")], "report_id string, text string, snapshot_date date, financial_year string, source_report string, source_url string")
+    assert R.parse_reports(df).count() == 0 and R.unrecognised(df).count() == 2
+
+    class OneLine:
+        version = "7"
+
+        def matches(self, text):
+            return text.startswith("ONE-LINE")
+
+        def parse(self, reports):
+            line = F.split(F.split("text", "\n")[1], ";")
+            return reports.select("report_id", line[0].alias("project_id"), line[1].alias("project_name"), line[2].cast("double").alias("approved_cost_cr"))
+
+    registry = R.parsers()
+    registry.add("one-line", OneLine())
+    row = R.parse_reports(df, registry, told=True).collect()
+    assert [(r["report_id"], r["project_id"], r["project_name"], r["approved_cost_cr"], r["parser"], r["parser_version"]) for r in row] == [("r1", "R9000001", "Lower Gate", 120.5, "one-line", "7")]
+    assert {r["report_id"]: r["parser"] for r in R.assigned(df, registry).collect()} == {"r1": "one-line", "r2": None}
+    with pytest.raises(TypeError):
+        registry.add("broken", object())
+
+
+def test_extensions_opt_in_and_loaders_are_allowed(tmp_path, monkeypatch):
+    import sys
+
+    package = tmp_path / "extras"
+    package.mkdir()
+    (package / "__init__.py").write_text("")
+    for name, text in (("adapter_b", "NAME='b'\nSEQUENCE=2\nON=True\ndef run(): return 'b'"), ("adapter_a", "NAME='a'\nSEQUENCE=1\nON=True\ndef run(x=3, *, y): return x + y"),
+                       ("adapter_shy", "NAME='shy'\ndef run(): pass"), ("other", "NAME='other'\nON=True\ndef run(): pass")):
+        (package / f"{name}.py").write_text(text)
+    monkeypatch.setattr(sys, "path", [str(tmp_path), *sys.path])
+    registry = G.Registry("run")
+    assert registry.discover("extras", "adapter_", "ON") == ["a", "b"] and [n for n, _ in registry] == ["a", "b"]
+    run = G.load_callable("extras.adapter_a:run", ("extras",))
+    assert G.invoke(run, {"y": 4, "z": 5}) == 7 and G.invoke(run, {"x": 1, "y": 4}) == 5
+    with pytest.raises(ValueError, match="needs y"):
+        G.invoke(run, {"x": 1})
+    for bad in ("os:system", "extras_evil.x:run", "extras.adapter_a:NAME", "extras.adapter_a:none", "extras.adapter_a", "extras.adapter_a:__class__"):
+        with pytest.raises(ValueError):
+            G.load_callable(bad, ("extras",))

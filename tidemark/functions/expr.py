@@ -257,6 +257,27 @@ def remaining_target(completion, snapshot, planned) -> Column:
     return F.when((left > 0) & c(planned).isNotNull(), F.log1p(left.cast("double")))
 
 
+def all_known(names) -> Column:
+    """Whether none of a set of columns is null; true for no columns."""
+    known = F.lit(True)
+    for name in names:
+        known = known & F.col(name).isNotNull()
+    return known
+
+
+def first_known(*names) -> Column:
+    """The name of the first of several columns that isn't null."""
+    return F.coalesce(*(F.when(F.col(n).isNotNull(), n) for n in names))
+
+
+def keyed(key: dict) -> Column:
+    """Whether a row has a composite key; a null part is met by null only."""
+    same = F.lit(True)
+    for name, value in key.items():
+        same = same & F.col(name).eqNullSafe(F.lit(value))
+    return same
+
+
 def clamped_limit(limit: int, most: int) -> int:
     """A caller's limit into [1, most]."""
     return max(1, min(int(limit), most))

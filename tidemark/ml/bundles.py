@@ -39,7 +39,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def digest(spark: SparkSession, path: str) -> str:
     """Of the names and contents of all files under a folder, wherever it lies."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.expr(f"substring_index(path, '{path.rstrip('/').rsplit('/', 1)[-1]}/', -1)")
+    name = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     return files.select(name.alias("name"), F.sha2("content", 256).alias("content")).transform(G.fingerprint).first()["digest"]
 
 
@@ -93,6 +93,27 @@ def load(spark: SparkSession, path: str, required: tuple[str, ...] = (), sources
     return {n: PipelineModel.load(f"{path}/models/{n}") for n in manifest["models"]}, metadata
 
 
+def replaced(spark: SparkSession, path: str, name: str, model: PipelineModel, metadata: dict, manifest: dict, run: str) -> dict:
+    """Puts a model in the place of another in a bundle, as a new run, and returns the manifest. The other models' files are
+    copied as they are; that they still have the digests of the old manifest is checked before the bundle is published."""
+    staged = path.rstrip("/") + f".staged-{run}"
+    (where, fs), (source, _) = _fs(spark, staged), _fs(spark, path)
+    fs.delete(where, True)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, where, False, spark._jsc.hadoopConfiguration())
+    for part in (f"models/{name}", "metadata", "manifest"):
+        fs.delete(_fs(spark, f"{staged}/{part}")[0], True)
+    model.write().save(f"{staged}/models/{name}")
+    marks = {n: digest(spark, f"{staged}/models/{n}") for n in sorted(manifest["models"])}
+    changed = [n for n, mark in marks.items() if n != name and mark != manifest["models"][n]]
+    if changed:
+        raise ValueError(f"{staged}: {changed} were changed")
+    write_json(spark, metadata | {"run": run}, f"{staged}/metadata")
+    new = manifest | {"run": run, "models": marks, "previous_run": manifest["run"]}
+    write_json(spark, new, f"{staged}/manifest")
+    G.publish(spark, staged, path)
+    return new
+
+
 def forecast(spark: SparkSession, path: str, history: DataFrame, features: Features, entity: str, day: str, tie: str, sources: dict[str, str] | None = None) -> DataFrame:
     """The last row of each entity with ``predicted_<name>`` of each model of a bundle, and the run that they are of."""
     models, metadata = load(spark, path, (), sources)

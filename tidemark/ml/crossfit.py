@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions import expr as X
 from tidemark.ml.models import Features, fit, predict
 from tidemark.operators import aggregates as A
 from tidemark.operators import splits
@@ -104,8 +105,8 @@ def residual_booster(oof: DataFrame, features: Features, label: str, weight: str
 def boosted(df: DataFrame, model: PipelineModel, features: Features, bound: float, prediction: str = "prediction", least: float | None = None) -> DataFrame:
     """df, which has a prediction, with the bounded correction added to it; no less than ``least`` if that is given."""
     held = predict(model, df.withColumnRenamed(prediction, "base_prediction"), features, "_correction").drop(*(f"{x}_missing" for x in features.numeric))
-    new = F.col("base_prediction") + F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_correction")))
-    return held.withColumn(prediction, new if least is None else F.greatest(F.lit(least), new)).drop("_correction")
+    new = F.col("base_prediction") + X.clamp("_correction", -bound, bound)
+    return held.withColumn(prediction, new if least is None else F.when(new.isNotNull(), F.greatest(F.lit(least), new))).drop("_correction")
 
 
 def booster_gain(rows: DataFrame, features: Features, label: str, weight: str, year: str, entity: str, estimator, folds: int = 3, least: float | None = None) -> DataFrame:

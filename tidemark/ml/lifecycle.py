@@ -212,8 +212,9 @@ def train_window(
         raise ValueError("weights don't sum to 1 an entity")
     # A category counts by its hash: available, and more than one.
     kinds = [F.when(F.col(x).isNotNull(), F.xxhash64(x)).alias(x) for x in more.categorical]
-    audit = audits.feature_audit(train.select(year, *more.numeric, *kinds), [*more.numeric, *more.categorical], year)
-    used = {r["feature"] for r in audit.where("keep").collect()}  # a row a feature
+    asked = [*more.numeric, *more.categorical]
+    audit = audits.feature_audit(train.select(year, *more.numeric, *kinds), asked, year).where("keep").collect() if asked else []
+    used = {r["feature"] for r in audit}  # a row a feature
     whole = Features(tuple(dict.fromkeys((*base.numeric, *(x for x in more.numeric if x in used)))), tuple(dict.fromkeys((*base.categorical, *(x for x in more.categorical if x in used)))))
     variants = {"baseline": base, "lifecycle": whole} | {f"without {k}": whole.without(*gone) for k, gone in (groups or {}).items()}
     out = {"window": f"{first}_{last}", "training": [first, last], "testing": [last + 1, test_last], "entities": [n, m], "features": [*whole.numeric, *whole.categorical], "variants": {}, "models": {}}

@@ -1,7 +1,7 @@
 """Cost and delay models: preprocessing, families, temporal selection, blends, calibration bands.
 
-Only pyspark.ml is used. Its trees know no absolute or quantile loss, so bands come from residual quantiles; survival is
-an accelerated-failure-time model, not a proportional-hazards one.
+Only pyspark.ml is used here; ``pinball`` has absolute and quantile loss, ``cox`` proportional hazards, ``crossfit`` boosters on
+residuals, ``stages`` and ``promoted`` composed models.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import aggregates as A
+from tidemark.operators import ranks
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,7 @@ def risk_classifier(train: DataFrame, features: Features, label: str, classes: i
 def two_stage(train: DataFrame, features: Features, label: str, weight: str, severe: float):
     """P(severe) times the expected severe value plus P(not) times the median of the others, as a function of rows."""
     flagged = train.withColumn("_severe", (F.col(label) >= severe).cast("int"))
-    low = flagged.where("_severe = 0").agg(F.percentile(label, F.lit(0.5))).first()[0] or 0.0
+    low = ranks.quantiles(flagged.where("_severe = 0"), label, {"low": 0.5}).first()["low"] or 0.0
     classifier = risk_classifier(flagged, features, "_severe", 2)
     regressor = fit(flagged.where("_severe = 1"), features, families(label, weight)["linear"])
 
@@ -171,7 +172,9 @@ def bands(calibration: DataFrame, label: str, prediction: str, bins: int = 5, lo
     """(bin, low, high): residual quantiles of each bin of predictions."""
     edges = A.bin_edges(calibration, prediction, bins)
     rows = calibration.withColumn("bin", A.bin_number(prediction, edges)).withColumn("_r", F.col(label) - F.col(prediction))
-    return rows.groupBy("bin").agg(A.quantile("_r", low).alias("low"), A.quantile("_r", high).alias("high"), F.count("*").alias("rows"))
+    counts = rows.groupBy("bin").agg(F.count("*").alias("rows"))  # a row a bin
+    found = ranks.quantiles(rows, "_r", {"low": low, "high": high}, ["bin"])
+    return counts.join(found, counts["bin"].eqNullSafe(found["bin"]), "left").select(counts["bin"], "low", "high", "rows")
 
 
 def survival(df: DataFrame, features: Features, duration: str, observed: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> PipelineModel:

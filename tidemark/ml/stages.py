@@ -164,7 +164,7 @@ class ShrunkCalibrationModel(TableModel, _Calibration):
         rows = dataset.withColumn("_bin", A.bin_number(get("prediction"), get("edges"))).withColumn("_stage", F.col(get("stage")))
         both = rows.join(fine, ["_stage", "_bin"], "left").join(coarse, "_bin", "left")
         new = F.col(get("prediction")) + F.coalesce("_fine", "_coarse", F.lit(get("overall")))
-        new = F.greatest(F.lit(get("least")), new) if self.isSet("least") else new
+        new = F.when(new.isNotNull(), F.greatest(F.lit(get("least")), new)) if self.isSet("least") else new
         return both.withColumn(get("prediction"), new).drop("_fine", "_coarse", "_bin", "_stage")
 
 

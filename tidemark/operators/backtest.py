@@ -44,7 +44,7 @@ def replay(history: DataFrame, cutoffs: list, key: str, day: str, value: str, ca
 
 def predictions(states: DataFrame, key: str, predicted: Column, least: float | None = None, evidence: tuple[str, ...] = ("known", "total", "last_day")) -> DataFrame:
     """What a backtest writes: prediction, actual value, error, accuracy in per cent, and how much of the evidence was there."""
-    said = F.greatest(F.lit(least), predicted) if least is not None else predicted
+    said = F.when(predicted.isNotNull(), F.greatest(F.lit(least), predicted)) if least is not None else predicted
     rows = states.where(F.col("actual").isNotNull()).withColumn("predicted", said)
     accuracy = F.greatest(F.lit(0.0), 100 - F.abs(F.col("predicted") - F.col("actual")) / F.greatest(F.abs("actual"), F.lit(1.0)) * 100)
     there = sum((F.col(c).isNotNull().cast("double") for c in evidence), F.lit(0.0)) / len(evidence) * 100

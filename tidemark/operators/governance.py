@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import json
+import pkgutil
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -146,8 +151,48 @@ class Registry:
             raise TypeError(f"{name} lacks {missing}")
         self._found[name] = extension
 
+    def discover(self, package: str, prefix: str, opt_in: str) -> list[str]:
+        """Registers the modules of a package whose name has the prefix and that say so themselves: ``opt_in`` must be True, a
+        name alone is not enough. A module names itself by ``NAME``. Returns the new names, in order of ``SEQUENCE``, then name."""
+        found = []
+        for item in pkgutil.iter_modules(importlib.import_module(package).__path__):
+            if item.name.startswith(prefix):
+                module = importlib.import_module(f"{package}.{item.name}")
+                if getattr(module, opt_in, False) is True:
+                    if not getattr(module, "NAME", None):
+                        raise TypeError(f"{module.__name__} lacks a name")
+                    found.append((getattr(module, "SEQUENCE", 0), module.NAME, module))
+        for _, name, module in sorted(found, key=lambda x: x[:2]):
+            self.add(name, module)
+        return [name for _, name, _ in sorted(found, key=lambda x: x[:2])]
+
     def __iter__(self):
         return iter(self._found.items())
 
     def __getitem__(self, name: str):
         return self._found[name]
+
+
+def load_callable(spec: str, allowed: tuple[str, ...]) -> Callable:
+    """``package.module:function`` from a package on the allow-list, or below one; anything else is refused before it is
+    imported."""
+    if not re.fullmatch(r"[a-z_][a-z0-9_]*(\.[a-z_][a-z0-9_]*)*:[a-z_][a-z0-9_]*", spec):
+        raise ValueError(f"{spec!r} isn't package.module:function")
+    module, name = spec.split(":")
+    if not any(module == a or module.startswith(a + ".") for a in allowed):
+        raise ValueError(f"{module} isn't allowed")
+    found = getattr(importlib.import_module(module), name, None)
+    if not callable(found) or getattr(found, "__module__", None) != module:
+        raise ValueError(f"{spec} is no function of that module")
+    return found
+
+
+def invoke(function: Callable, available: dict):
+    """Calls a function with those of the available arguments that it names; one that needs others is refused."""
+    wanted = inspect.signature(function).parameters
+    named = (inspect.Parameter.POSITIONAL_OR_KEYWORD, inspect.Parameter.KEYWORD_ONLY)
+    lacking = [n for n, p in wanted.items() if n not in available and p.default is inspect.Parameter.empty and p.kind not in (inspect.Parameter.VAR_POSITIONAL, inspect.Parameter.VAR_KEYWORD)]
+    lacking += [n for n, p in wanted.items() if n in available and p.kind is inspect.Parameter.POSITIONAL_ONLY]
+    if lacking:
+        raise ValueError(f"{function.__name__} needs {', '.join(lacking)}")
+    return function(**{n: available[n] for n, p in wanted.items() if n in available and p.kind in named})

@@ -154,7 +154,7 @@ def peers(df: DataFrame, focus: DataFrame, by: str, row_id: str, amount: str, k:
         found = found.unionByName(alone.join(_around(df, (), row_id, amount, k), F.col("_at") == F.col("_v")).select("focus_id", "_at", "_near"))
     pairs = found.select("focus_id", "_at", F.explode("_near").alias("_n")).where(F.col(f"_n.{row_id}") != F.col("focus_id"))
     pairs = pairs.select("focus_id", f"_n.{row_id}", f"_n.{amount}", F.abs(F.col("_n._v") - F.col("_at")).alias("gap"))
-    w = Window.partitionBy("focus_id").orderBy("gap", row_id)
+    w = Window.partitionBy("focus_id").orderBy(F.round("gap", 9), row_id)  # gaps of one size on both sides count as equal
     return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

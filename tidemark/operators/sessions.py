@@ -1,13 +1,15 @@
 """Hide, predict, reveal: held-out rows whose outcomes stay hidden until a prediction is on record.
 
 A session is a folder with the tables ``rows`` (what may be seen), ``outcomes`` and ``predictions``, so it outlives the
-process that opened it.
+process that opened it. Predictions are versions of a table that only grows: an entity's first one counts, whatever is said
+later.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import versions
 from tidemark.operators.windows import latest
 
 
@@ -28,14 +30,17 @@ class Session:
         return self.spark.read.parquet(f"{self.path}/rows")
 
     def predict(self, predictions: DataFrame) -> None:
-        """(entity, predicted) rows."""
-        known = predictions.join(self.rows().select("entity"), "entity", "left_semi")
-        known.select("entity", "predicted").write.mode("append").parquet(f"{self.path}/predictions")
+        """(entity, predicted) rows, one an entity."""
+        known = predictions.join(self.rows().select("entity"), "entity", "left_semi").select("entity", "predicted")
+        twice = known.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").first()
+        if twice:
+            raise ValueError(f"{twice['entity']} is predicted {twice['n']} times at once")
+        versions.add_rows(known, f"{self.path}/predictions")
 
     def reveal(self) -> DataFrame:
         """Outcomes of the entities that have a prediction; an error before any has one."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/predictions")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not versions.head(self.spark, f"{self.path}/predictions/log"):
             raise PermissionError("predict before you reveal")
-        said = self.spark.read.parquet(f"{self.path}/predictions").dropDuplicates(["entity"])
+        every = versions.table_at(self.spark, f"{self.path}/predictions")
+        said = every.groupBy("entity").agg(F.min_by("predicted", "version").alias("predicted"))
         return said.join(self.spark.read.parquet(f"{self.path}/outcomes"), "entity")

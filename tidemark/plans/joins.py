@@ -113,17 +113,16 @@ def earlier_year_prior(t):
     return out.select("o_orderkey", r(F.when(F.col("grp_n") > 0, prior).otherwise(0.0), 4).alias("prior"), F.col("grp_n").alias("support"))
 
 
-_FOCUS = 50
-
-
-@plan(f"""WITH f AS (SELECT * FROM part WHERE p_size = {_FOCUS}), x AS (SELECT f.p_partkey AS focus_id, p.p_partkey, p.p_retailprice, abs(ln(1 + p.p_retailprice) - ln(1 + f.p_retailprice)) AS gap
-FROM f JOIN part p ON p.p_type = f.p_type AND p.p_partkey <> f.p_partkey),
+@plan("""WITH s AS (SELECT p_type, count(*) AS size FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1), f AS (SELECT part.*, size FROM part LEFT JOIN s USING (p_type) WHERE p_retailprice IS NOT NULL),
+x AS (SELECT f.p_partkey AS focus_id, p.p_partkey, p.p_retailprice, abs(ln(1 + p.p_retailprice) - ln(1 + f.p_retailprice)) AS gap FROM f JOIN part p ON p.p_type = f.p_type AND p.p_partkey <> f.p_partkey WHERE f.size > 1
+UNION ALL SELECT f.p_partkey, p.p_partkey, p.p_retailprice, abs(ln(1 + p.p_retailprice) - ln(1 + f.p_retailprice)) FROM f JOIN part p ON p.p_partkey <> f.p_partkey WHERE coalesce(f.size, 1) <= 1 AND p.p_retailprice IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY focus_id ORDER BY round(gap, 9), p_partkey) AS place FROM x)
 SELECT focus_id, count(*) AS peers, round(median(p_retailprice), 4) AS median_price, max(place) AS last_place FROM n WHERE place <= 5 GROUP BY focus_id ORDER BY median_price DESC, focus_id""")
 def peer_benchmark(t):
-    """The five parts of the same type nearest in log price to each part of one size, and their median price."""
+    """The five parts of the same type nearest in log price to each part, of all types if it is alone in its own, and their
+    median price."""
     p = t.part
-    near = J.peers(p, p.where(f"p_size = {_FOCUS}"), "p_type", "p_partkey", "p_retailprice", 5)
+    near = J.peers(p, p, "p_type", "p_partkey", "p_retailprice", 5)
     out = near.groupBy("focus_id").agg(F.count("*").alias("peers"), r(F.median("p_retailprice"), 4).alias("median_price"), F.max("place").cast("long").alias("last_place"))
     return out.orderBy(F.col("median_price").desc(), "focus_id")
 
@@ -132,9 +131,9 @@ def peer_benchmark(t):
 EXCEPT SELECT DISTINCT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) FROM orders WHERE o_totalprice > 480000""")
 def coverage_gap(t):
     o = t.orders.select(F.col("o_orderpriority").alias("p"), F.trunc("o_orderdate", "month").alias("m"), "o_totalprice")
-    bounds = o.agg(F.min("m").alias("a"), F.max("m").alias("b"))
-    months = bounds.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
-    spine = o.select("p").distinct().withColumn("k", F.lit(1)).join(F.broadcast(months.withColumn("k", F.lit(1))), "k").drop("k")  # a few hundred months
+    bounds = o.agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    months = F.sequence(F.lit(bounds["a"]), F.lit(bounds["b"]), F.expr("interval 1 month"))  # a few hundred
+    spine = o.select("p").distinct().select("p", F.explode(months).alias("m"))
     return J.coverage_gap(spine, o.where("o_totalprice > 480000"), ["p", "m"]).select("p", "m")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from tidemark.functions import expr as X
 from tidemark.ml import lifecycle as L
 from tidemark.operators import paths, splits
+from tidemark.operators.tables import stored
 from tidemark.operators import windows as W
 from tidemark.plans.histories import _H, _W
 from tidemark.plans.histories import history as _history
@@ -157,10 +158,11 @@ def expanding_baseline(t):
 
 
 def _training(t):
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("entity"), "l_quantity", F.nullif("l_tax", F.lit(0.0)).alias("l_tax"), "l_discount", "l_returnflag", F.col("o_orderpriority").alias("sector"),
         F.col("l_linestatus").alias("stage"), F.year("l_shipdate").alias("yr"), F.col("l_extendedprice").alias("y"),
     ).withColumn("w", W.balanced_weight("entity"))
+    return stored(rows, "training")  # read by every fit and every score
 
 
 _FEATURES = L.Features(("l_quantity", "l_tax", "l_discount"), ("l_returnflag",))

@@ -73,6 +73,11 @@ def sort_by_magnitude(t):
     return t.supplier.select("s_suppkey", "s_acctbal").orderBy(F.abs("s_acctbal").asc_nulls_last(), "s_suppkey").limit(25)
 
 
+@plan("""SELECT s_suppkey, s_acctbal FROM supplier ORDER BY abs(s_acctbal) DESC NULLS LAST, s_suppkey LIMIT 25""")
+def largest_magnitudes(t):
+    return t.supplier.select("s_suppkey", "s_acctbal").orderBy(F.abs("s_acctbal").desc_nulls_last(), "s_suppkey").limit(25)
+
+
 @plan("""SELECT event_type, impact, round(abs(impact) / sum(abs(impact)) OVER () * 100, 4) AS share FROM (SELECT event_type, round(avg(value) - (SELECT avg(value) FROM events), 6) AS impact FROM events GROUP BY 1)
 QUALIFY row_number() OVER (ORDER BY abs(impact) DESC, event_type) <= 3""")
 def top_factors(t):

@@ -37,6 +37,20 @@ def point_lookup(t):
     return t.customer.where("c_custkey = 77").select("c_custkey", "c_name", "c_acctbal").limit(1)
 
 
+@plan("""SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations WHERE conv_id = 7 AND turn = 1""")
+def composite_lookup(t):
+    """A turn by conversation and number: both parts reach the scan."""
+    return t.conversations.where(X.keyed({"conv_id": 7, "turn": 1})).select("conv_id", "turn", "role", F.md5("text").alias("text_md5")).limit(1)
+
+
+@plan("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE nullif(l_discount, 0) IS NOT NULL AND nullif(l_tax, 0) IS NOT NULL AND nullif(l_quantity, 10) IS NOT NULL""")
+def all_known(t):
+    """Lines of which a whole set of columns is known."""
+    gone = {"l_discount": 0.0, "l_tax": 0.0, "l_quantity": 10.0}
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", *(F.nullif(c, F.lit(v)).alias(c) for c, v in gone.items()))
+    return rows.where(X.all_known(gone)).select("l_orderkey", "l_linenumber")
+
+
 @plan("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
 round(CASE WHEN l_extendedprice > 0 THEN (l_extendedprice * (1 - l_discount) - l_extendedprice) / l_extendedprice * 100 END, 4) AS change_pct,
 round(CASE WHEN l_tax > 0 THEN l_discount / l_tax END, 6) AS discount_to_tax,

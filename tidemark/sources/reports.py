@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.expr import is_placeholder
+from tidemark.operators.governance import Registry
 from tidemark.sources.schemas import SNAPSHOT, columns, fit_contract
 
 # The layouts' names in the order in which they are tried, and the patterns of their texts.
@@ -199,15 +200,48 @@ def _rows(reports: DataFrame, kind: str) -> DataFrame:
     return found.where("project_id IS NOT NULL") if kind == RECENT else found
 
 
-def parse_reports(reports: DataFrame) -> DataFrame:
-    """Snapshot rows of all reports (report_id, text, snapshot_date, financial_year, source_report, source_url)."""
-    known = reports.withColumn("_layout", layout(F.col("text")))
+class Printed:
+    """A parser of one printed layout."""
+
+    def __init__(self, kind: str, version: str = "1"):
+        self.kind, self.version = kind, version
+
+    def matches(self, text: Column) -> Column:
+        return F.coalesce(layout(text) == self.kind, F.lit(False))
+
+    def parse(self, reports: DataFrame) -> DataFrame:
+        return _rows(reports, self.kind)
+
+
+def parsers() -> Registry:
+    """The parsers of this module, in the order in which they are tried. More can be added behind them: anything with
+    ``matches`` (a text column to a boolean one), ``parse`` (reports to rows with their report_id) and ``version``."""
+    found = Registry("matches", "parse")
+    for kind in (RECENT, REDESIGNED, CLASSIC, LEGACY):
+        found.add(kind, Printed(kind))
+    return found
+
+
+def assigned(reports: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """reports with the name of the first registered parser that takes each, as ``parser``; null if none does."""
+    chosen = F.lit(None).cast("string")
+    for name, parser in reversed(list(registry or parsers())):
+        chosen = F.when(parser.matches(F.col("text")), name).otherwise(chosen)
+    return reports.withColumn("parser", chosen)
+
+
+def parse_reports(reports: DataFrame, registry: Registry | None = None, told: bool = False) -> DataFrame:
+    """Snapshot rows of all reports (report_id, text, snapshot_date, financial_year, source_report, source_url), each by the
+    first registered parser that takes it; with ``told``, also that parser's name and version."""
+    registry = registry or parsers()
+    known = assigned(reports, registry)
     context = reports.select("report_id", "snapshot_date", "financial_year", F.date_format("snapshot_date", "MMMM").alias("report_month"), "source_report", "source_url")
-    contract = columns(SNAPSHOT)
+    contract = {"report_id": "string"} | columns(SNAPSHOT)
     parts = []
-    for kind in (RECENT, REDESIGNED, CLASSIC, LEGACY):
-        rows = _rows(known.where(F.col("_layout") == kind), kind).join(context, "report_id")
-        parts.append(fit_contract(rows, {"report_id": "string"} | contract))
+    for name, parser in registry:
+        own = known.where(F.col("parser") == name).drop("parser")
+        rows = fit_contract(parser.parse(own).join(context, "report_id"), contract)
+        parts.append(rows.withColumns({"parser": F.lit(name), "parser_version": F.lit(parser.version)}) if told else rows)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.sources.schemas import OUTCOME, PROJECT, SNAPSHOT, columns
 
@@ -41,6 +41,66 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, PROJECT)
 
 
+def _typed(spark: SparkSession, path: str, ids: tuple[str, ...], dates: tuple[str, ...]) -> DataFrame:
+    """A CSV with a header: ids stay text, what isn't a date is null, and the other columns get the types that all their
+    values have."""
+    found = first_existing(spark, path, f"{path}.gz")
+    seen = spark.read.option("header", True).option("inferSchema", True).csv(found).schema
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in (*ids, *dates) else f.dataType) for f in seen])
+    raw = spark.read.option("header", True).schema(as_text).csv(found)
+    lacking = [c for c in (*ids, *dates) if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"{found} lacks {lacking}")
+    return raw.withColumns({c: F.to_date(F.coalesce(F.try_to_timestamp(F.trim(c)), F.try_to_timestamp(F.trim(c), F.lit("yyyy-MM-dd")))) for c in dates})
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Monthly histories of works: the snapshot's and the revised completion's day, and whatever else the file tells."""
+    return _typed(spark, path, ("project_code",), ("snapshot_date", "revised_completion_date"))
+
+
+#: The days that a demonstration history tells.
+DEMO_DATES = ("month", "start_date", "planned_completion_date", "revised_completion_date", "actual_completion_date")
+
+
+def read_demo_history(spark: SparkSession, path: str, dates: tuple[str, ...] = DEMO_DATES) -> DataFrame:
+    return _typed(spark, path, ("project_id",), dates)
+
+
+def read_artifacts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(run, key, value) of the JSON objects called ``name`` in the folders under ``root``, one a run; values that are objects or
+    lists stay JSON. A file that holds no object has no rows."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    run = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    told = files.select(run.alias("run"), F.from_json("value", "map<string,string>").alias("told"))
+    return told.select("run", F.explode("told").alias("key", "value"))
+
+
+#: Names under which scored rows may lie in a model's folder, in order; what their columns are called elsewhere.
+VALIDATION_FILES = ("prediction_validation.csv", "prediction_validation.csv.gz", "evaluation_results.csv")
+VALIDATION_NAMES = {"canonical_project_id": "project_id", "actual_cost_overrun_percentage": "actual_cost_overrun"}
+VALIDATION_OPTIONAL = ("predicted_cost_p10", "predicted_cost_p90", "predicted_delay_p10", "predicted_delay_p90", "model_confidence_percentage")
+
+
+def read_validation(spark: SparkSession, folder: str | None, legacy: str | None = None) -> DataFrame:
+    """Scored rows of a model's folder under the common names, optional columns null where they are missing. Without a folder,
+    or if the folder has none of the files and a legacy file is given, those of the legacy file."""
+    places = [f"{folder.rstrip('/')}/{n}" for n in VALIDATION_FILES] if folder else []
+    path = first_existing(spark, *places, *([legacy] if legacy else []))
+    rows = spark.read.option("header", True).csv(path)
+    taken = {a: b for a, b in VALIDATION_NAMES.items() if a in rows.columns and b not in rows.columns}
+    rows = rows.withColumnsRenamed(taken)
+    text = {c for c in rows.columns if c == "project_id" or c.endswith(("_id", "_name", "_date")) or c in ("stage", "sector", "lifecycle_stage")}
+    rows = rows.select(*(F.col(c) if c in text else _number_or_text(rows, c) for c in rows.columns))
+    return rows.withColumns({c: F.lit(None).cast("double") for c in VALIDATION_OPTIONAL if c not in rows.columns})
+
+
+def _number_or_text(rows: DataFrame, name: str) -> Column:
+    """Predicted and actual values, errors and shares are numbers; a cell that isn't one is null."""
+    number = name.startswith(("predicted_", "actual_", "model_confidence")) or name.endswith(("_error", "_percentage", "_overrun", "_days", "weight"))
+    return F.col(name).try_cast("double").alias(name) if number else F.col(name)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of report entries, one row each."""
     return spark.read.option("multiLine", True).json(path)
