@@ -430,10 +430,12 @@ def _classified(docs: DataFrame, threshold: float, recall: float, k: int, text:
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "node")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = nodes.join(links.join(roots, "node", "left"), "node", "left")
-    least = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("keep").alias("first"))
-    classes = classes.join(least, "root", "left").select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "keep").alias("keep"),
-    )
+    # Nodes without links are classes of their own, and stay out of the join, in which they would share one key.
+    linked = classes.where("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("keep").alias("first"))
+    linked = linked.join(least, "root").select("node", "links", "copies", F.col("first").alias("keep"))
+    classes = linked.unionByName(classes.where("root IS NULL").select("node", "links", "copies", "keep"))
+    classes = classes.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "keep")
     return signed.select("row_id", "node", "n_shingles", *keys).join(classes.withColumn("class_id", F.col("keep.row_id")), "node", "left")
 
 
