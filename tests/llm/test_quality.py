@@ -73,3 +73,41 @@ def test_base_measures_nulls_repeats_and_empty_tables(spark):
         assert r["n_repeat_words"] == repeated_words(words)
     assert all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in out if r["doc_id"] > 1)
     assert Q.judge(docs.limit(0), field).count() == 0
+
+
+def test_training_ends_where_the_likelihood_has_no_slope():
+    """Finite differences of a likelihood that sums over all label sequences vanish where the training ends."""
+    rng = np.random.default_rng(3)
+    chains = [[sorted(rng.choice(6, 2, replace=False).tolist()) for _ in range(n)] for n in (1, 3, 4, 2, 4)]
+    labels = [rng.integers(0, 2, len(c)).tolist() for c in chains]
+    total = sum(map(len, chains))
+
+    def objective(w):
+        emit, move = w[:-4].reshape(Q.FEATURES, 2), w[-4:].reshape(2, 2)
+
+        def score(chain, own):
+            s = sum(emit[f, y] for features, y in zip(chain, own, strict=True) for f in features)
+            return s + sum(move[a, b] for a, b in zip(own, own[1:], strict=False))
+
+        likelihood = sum(score(c, y) - np.logaddexp.reduce([score(c, z) for z in product((0, 1), repeat=len(c))]) for c, y in zip(chains, labels, strict=True))
+        return likelihood / total - 1e-3 / 2 * float(w @ w)
+
+    field = Q.train(chains, labels, rounds=300)
+    w = np.concatenate((field.emit.ravel(), field.move.ravel()))
+    used = [i for i in range(len(w)) if i < 12 or i >= len(w) - 4]
+    step = 1e-5
+    slope = [(objective(w + step * np.eye(len(w))[i]) - objective(w - step * np.eye(len(w))[i])) / (2 * step) for i in used]
+    assert np.abs(slope).max() < 1e-3
+    away = w + rng.normal(size=len(w)) * 0.3 * np.isin(np.arange(len(w)), used)
+    assert objective(away) < objective(w)
+
+
+def test_very_long_texts_ties_and_repeated_labels(spark):
+    """A long text is judged whole; a labelled id that many rows share gives one text to learn from."""
+    long = "\n".join(good(i, 3) for i in range(2000))
+    docs = spark.createDataFrame([(1, long), (2, "x" * 300_000), *((3, f"{good(7)} {i % 3}") for i in range(50))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (3, 1), (2, 0)], "doc_id long, quality int")
+    field = Q.fit(docs, labels)
+    out = {r["doc_id"]: r for r in Q.judge(docs, field).collect()}
+    words = long.split()
+    assert (out[1]["n_words"], out[1]["n_repeat_words"]) == (len(words), repeated_words(words)) and out[2]["n_words"] == 1

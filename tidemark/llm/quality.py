@@ -144,11 +144,13 @@ def train(chains: list[list[list[int]]], labels: list[list[int]], rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", row_id: str = "doc_id") -> LineField:
-    """Trains on at most ``sample`` rows that have a quality label; they are collected, which the bound allows."""
+    """Trains on at most ``sample`` rows that have a quality label; they are collected, which the bound allows. Drawn rows of more
+    than ``SAMPLE_LINES`` lines, or of none, are left out, so there may be fewer. Of the texts of one id the least counts."""
     h = F.xxhash64(F.col(row_id).cast("string"))
     # A row label of 0 says that the row as a whole is poor; only rows with a label can be drawn.
     ids = labels.where("quality IS NOT NULL").select(row_id, "quality").orderBy(h, row_id).limit(sample)
     rows = docs.select(row_id, F.col(text).alias("text")).join(F.broadcast(ids), row_id)
+    rows = rows.groupBy(row_id, "quality").agg(F.min("text").alias("text"))  # one text a label, however often its id is repeated
 
     def features(batches):
         for part in slices(batches):
