@@ -11,8 +11,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidemark.ml import bundles as B
-from tidemark.ml import crossfit, promoted, retrain
+from tidemark.ml import crossfit, experiments, promoted, retrain
 from tidemark.ml import models as M
+from tidemark.operators import versions
 from tidemark.operators import windows as W
 
 
@@ -168,3 +169,68 @@ def test_required_windows_are_told_in_one_report(spark, rows, tmp_path):
     assert "| 2010_2012 | cost |" in text and "2030_2031 could not be trained" in text
     with pytest.raises(ValueError, match="too few"):
         retrain.required_windows(spark, rows, plan, f"file://{tmp_path}/none", "r1", "2024-01-01", ((2030, 2031, 2032),))
+
+
+def test_a_blend_is_one_pipeline_that_bundles_keep(spark, rows, tmp_path):
+    early, late = rows.where("completion_year < 2015"), rows.where("completion_year = 2015")
+    model, weights = promoted.blend_model(early, M.Features(("a",)), "final_cost_overrun_pct", "weight", "completion_year", "canonical_id", folds=2)
+    assert math.isclose(sum(weights.values()), 1.0) and set(weights) == {"linear", "forest", "boosted"} and weights["linear"] >= 0.5
+    found = model.transform(late)
+    assert set(found.columns) == {*rows.columns, "prediction"}
+    assert found.agg(F.avg(F.abs(F.col("prediction") - F.col("final_cost_overrun_pct")))).first()[0] < 1
+    path = f"file://{tmp_path}/bundle"
+    B.save(spark, {"cost": model}, {}, path, "r1", "d1", ["a"])
+    read = lambda m: sorted((r["canonical_id"], r["stage"], round(r["prediction"], 9)) for r in m.transform(late).collect())
+    assert read(B.load(spark, path)[0]["cost"]) == read(model)
+
+
+# Experiments
+
+
+@pytest.fixture(scope="module")
+def works(spark):
+    """Costs that rise in steps; the last value depends on how often they have risen."""
+    rng, out = random.Random(21), []
+    for e in range(150):
+        year, cost, steps = 2010 + e // 25, 100.0, 0
+        times = rng.randrange(4)
+        for k in range(6):
+            if k and k <= times:
+                cost, steps = cost * 1.1, steps + 1
+            out.append((e, 30 * k, date(year, 1, 1) + timedelta(days=30 * k), year, cost, cost - 100, 0.0, "early" if k < 3 else "late", "s", float(k), 50.0 + k + 40.0 * steps + rng.gauss(0, 0.5)))
+    schema = "entity long, day int, as_of date, year int, cost double, escalation double, slippage double, stage string, sector string, k double, actual double"
+    return spark.createDataFrame(out, schema).withColumn("weight", W.balanced_weight("entity"))
+
+
+def test_an_experiment_from_stages_to_its_entry(spark, works, tmp_path):
+    root, context = f"file://{tmp_path}/runs", {"features": ["k"], "test_year": 2015, "folds": 2, "metric": "mae"}
+    frozen = versions.freeze(spark, f"{root}/contexts", context)
+    found = experiments.run(spark, experiments.TrajectoryCost, {"rows": works}, context, frozen, root, "r1", "2024-01-01")
+    assert found["decision"] == "promote" and found["gain"] > 10 and found["interval"][0] > 0
+    assert [s["reused"] for s in found["stages"]] == [False, False]
+    book = spark.read.parquet(f"{root}/ledgers/trajectory-cost/r1")
+    assert book.count() == 150 and book.where("abs(challenger - baseline) > 1e-9").count() > 0
+    again = experiments.run(spark, experiments.TrajectoryCost, {"rows": works}, context | {}, frozen, root, "r2", "2024-01-02")
+    assert all(s["reused"] for s in again["stages"]) and again["cohort"] == found["cohort"] and again["ledger"] == found["ledger"]
+    entries = B.entries(spark, f"{root}/registry", "experiment string, run string, decision string, gain double").collect()
+    assert sorted((r["run"], r["decision"]) for r in entries) == [("r1", "promote"), ("r2", "promote")]
+    with pytest.raises(ValueError, match="metric"):
+        experiments.run(spark, experiments.TrajectoryCost, {"rows": works}, context | {"metric": "rmse"}, frozen, root, "r3", "2024-01-03")
+
+
+def test_a_failing_experiment_stops_no_other(spark, works, tmp_path):
+    root, context = f"file://{tmp_path}/runs", {"features": ["k"], "test_year": 2015, "folds": 2, "cohort": "another"}
+    frozen = versions.freeze(spark, f"{root}/contexts", context)
+
+    class Broken:
+        NAME = "broken"
+
+        @staticmethod
+        def stages(context):
+            raise RuntimeError("no stages today")
+
+    found = experiments.registry()
+    found.add("broken", Broken)
+    found.add("trajectory-cost", experiments.TrajectoryCost)
+    out = experiments.run_all(spark, found, {"rows": works}, context, frozen, root, "r1", "2024-01-01")
+    assert out["broken"] == "RuntimeError: no stages today" and "cohort" in out["trajectory-cost"]

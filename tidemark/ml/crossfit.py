@@ -49,12 +49,14 @@ def out_of_fold_means(rows: DataFrame, by: list[str], entity: str, label: str, w
     return numbered.join(means, same, "left").drop("_fold", *(f"_k{i}" for i in range(len(by))))
 
 
-def _scored(rows: DataFrame, parts: list[tuple[int, Column, Column]], features: Features, estimator, prediction: str, fold: str) -> DataFrame:
-    """Each part's rows (third) by a model of other rows (second), together, stored."""
+def _scored(rows: DataFrame, parts: list[tuple[int, Column, Column]], features: Features, estimators: dict, fold: str) -> DataFrame:
+    """Each part's rows (third) by models of other rows (second), a column for each of the estimators; together, stored."""
     found = []
     for number, seen, own in parts:
-        held = predict(fit(rows.where(seen), features, estimator), rows.where(own), features, prediction)
-        found.append(held.drop(*(f"{x}_missing" for x in features.numeric)).withColumn(fold, F.lit(number)))
+        held = rows.where(own)
+        for name, estimator in estimators.items():
+            held = predict(fit(rows.where(seen), features, estimator), held, features, name).drop(*(f"{x}_missing" for x in features.numeric))
+        found.append(held.withColumn(fold, F.lit(number)))
     return stored(reduce(DataFrame.unionByName, found), "out-of-fold")
 
 
@@ -65,16 +67,18 @@ def out_of_fold(rows: DataFrame, features: Features, entity: str, estimator, fol
     if len(present) < 2:
         raise ValueError("cross-fitting needs entities in two folds")
     parts = [(k, F.col("_fold") != k, F.col("_fold") == k) for k in present]
-    return _scored(numbered, parts, features, estimator, prediction, fold).drop("_fold")
+    return _scored(numbered, parts, features, {prediction: estimator}, fold).drop("_fold")
 
 
 def rolling_out_of_fold(rows: DataFrame, features: Features, year: str, entity: str, estimator, folds: int = 3, prediction: str = "prediction", fold: str = "fold") -> DataFrame:
     """The rows of the last years that have enough entities, each year predicted from all before it. Less than two such years
-    are an error: a correction learned on one year alone says nothing of the next."""
+    are an error: a correction learned on one year alone says nothing of the next. For several estimators at once, give a dict by
+    name of the column."""
     found = splits.rolling_folds(rows, year, entity, folds)
     if len(found) < 2:
         raise ValueError("out-of-fold rows need two years with enough entities before them")
-    return _scored(rows, [(y, F.col(year) < y, F.col(year) == y) for y in found], features, estimator, prediction, fold)
+    estimators = estimator if isinstance(estimator, dict) else {prediction: estimator}
+    return _scored(rows, [(y, F.col(year) < y, F.col(year) == y) for y in found], features, estimators, fold)
 
 
 def cap(rows: DataFrame, residual: str, weight: str, q: float = 0.9) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.ml.regression import AFTSurvivalRegression, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.ml import bundles as B
+from tidemark.ml import crossfit
 from tidemark.ml import lifecycle as L
-from tidemark.ml.models import Features, stages
+from tidemark.ml.models import Features, best_blend, families, stages
 from tidemark.ml.stages import Derived, Dropped, HierarchicalPrior, Prepared, ShrunkCalibration
 from tidemark.operators import splits
 from tidemark.operators.tables import stored
@@ -88,6 +89,21 @@ def cost_model(oof: DataFrame, base: PipelineModel, features: Features, label: s
     return PipelineModel([Prepared(list(features.numeric), list(features.categorical)), *base.stages, *renamed, corrections, Dropped(made)])
 
 
+def blend_model(train: DataFrame, features: Features, label: str, weight: str, year: str, entity: str, folds: int = 3, steps: int = 10, out: str = "prediction") -> tuple[PipelineModel, dict[str, float]]:
+    """Models of all families over one preprocessing, and their mean by the weights of the grid that served best on years that
+    each were predicted from all before them; as one pipeline, with the weights."""
+    names = list(families(label, weight))
+    oof = crossfit.rolling_out_of_fold(train, features, year, entity, {f"_{n}": e for n, e in families(label, weight).items()}, folds)
+    best = best_blend(oof, [f"_{n}" for n in names], label, weight, steps).first()
+    weights = {n: float(best[f"w__{n}"]) for n in names}
+    prepare = Pipeline(stages=[Prepared(list(features.numeric), list(features.categorical)), *stages(features)]).fit(train)
+    ready = stored(prepare.transform(train), "blend-rows")
+    fitted = [e.copy({e.predictionCol: f"_{n}"}).fit(ready) for n, e in families(label, weight).items() if weights[n] > 0]
+    said = Derived(out, " + ".join(f"{w}D * `_{n}`" for n, w in weights.items() if w > 0))
+    made = ["features", *(f"_{n}" for n in names), *(f"{c}_{k}" for c in features.categorical for k in ("index", "hot")), *(f"{n}_{k}" for n in features.numeric for k in ("filled", "missing"))]
+    return PipelineModel([*prepare.stages, *fitted, said, Dropped(made)]), weights
+
+
 def promote(spark: SparkSession, path: str, name: str, model: PipelineModel, held: DataFrame, label: str, weight: str, run: str, current: str, challenger: str, least_gain: float = 0.0, expected_rows: int | None = None) -> dict:
     """Puts ``model`` into a bundle in the place of the one called ``name``, if it earns it, and returns the new manifest.
 
