@@ -82,13 +82,20 @@ def group_selection(rows: DataFrame, features: Features, label: str, weight: str
     return rows.sparkSession.createDataFrame([(k, v, k == best) for k, v in found.items()], "variant string, mae double, chosen boolean")
 
 
+def entities_by_stage(rows: DataFrame, year: str, entity: str, stage: str) -> DataFrame:
+    """(stage, train_entities, test_entities): distinct entities of each stage before the last year and in it."""
+    last = rows.agg(F.max(year)).first()[0]
+    one = F.when(F.col(year) < last, F.col(entity)), F.when(F.col(year) == last, F.col(entity))
+    return rows.groupBy(stage).agg(F.countDistinct(one[0]).alias("train_entities"), F.countDistinct(one[1]).alias("test_entities"))
+
+
 def stage_specialists(rows: DataFrame, features: Features, label: str, weight: str, year: str, entity: str, stage: str, least_train: int = 10, least_test: int = 2) -> DataFrame:
     """(stage, train_entities, test_entities, mae, global_mae): a model for each stage beside one for all, scored on the same
     rows of the last year. A stage with too few entities has no model, and a null mae."""
     early, late, _ = _last_year(rows, year)
     everyone = predict(fit(early, features, _linear(label, weight)), late, features)
-    count = lambda df, name: {r[0]: r[1] for r in df.groupBy(stage).agg(F.countDistinct(entity).alias(name)).collect()}  # noqa: E731  a row a stage
-    before, after = count(early, "n"), count(late, "n")
+    sizes = entities_by_stage(rows, year, entity, stage).collect()  # a row a stage
+    before, after = {r[stage]: r["train_entities"] for r in sizes}, {r[stage]: r["test_entities"] for r in sizes}
     overall = {r[stage]: r["mae"] for r in everyone.groupBy(stage).agg(A.regression_metrics(label, "prediction", weight)["mae"].alias("mae")).collect()}
     out = []
     for s in sorted({*before, *after}, key=lambda x: (x is None, x)):

@@ -197,3 +197,26 @@ def residual_against_direct(t):
     """The price as 1,000 a unit plus a residual, against the price itself; straight, by signed log and with Huber's loss."""
     rows = _training(t).withColumn("current", F.col("l_quantity") * 1000)
     return L.targets_compared(rows, _FEATURES, "y", "current", "w", "yr").select("target", r("mae", 2).alias("mae"), "rows")
+
+
+_SOLD = "t AS (SELECT l_orderkey AS entity, l_linestatus AS stage, o_orderpriority AS sector, CAST(year(l_shipdate) AS INTEGER) AS yr, l_extendedprice AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey), z AS (SELECT max(yr) AS last FROM t)"
+
+
+@plan(f"""WITH {_SOLD} SELECT stage, count(DISTINCT entity) FILTER (yr < last) AS train_entities, count(DISTINCT entity) FILTER (yr = last) AS test_entities FROM t, z GROUP BY 1""")
+def specialist_entities(t):
+    """How many entities a specialist of each stage would learn from and be tested on."""
+    return L.entities_by_stage(_training(t), "yr", "entity", "stage")
+
+
+@plan(f"""WITH {_SOLD}, p AS (SELECT avg(y) AS mean FROM t, z WHERE yr < last - 1), c AS (SELECT sector, avg(y - mean) * count(*) / (count(*) + 5) AS correction FROM t, z, p WHERE yr = last - 1 GROUP BY 1)
+SELECT sector, count(*) AS rows, round(any_value(correction), 4) AS correction, round(avg(abs(y - mean)), 4) AS mae, round(avg(abs(y - mean - correction)), 4) AS corrected_mae FROM t JOIN c USING (sector), z, p WHERE yr = last GROUP BY 1""")
+def mean_corrections(t):
+    """Corrections of a sector learned on the last year but one, over the mean of the years before, and checked on the last."""
+    rows = _training(t)
+    last = rows.agg(F.max("yr")).first()[0]
+    mean = rows.where(F.col("yr") < last - 1).agg(F.avg("y")).first()[0]
+    said = rows.withColumn("prediction", F.lit(mean))
+    table = L.corrections(said.where(F.col("yr") == last - 1), "sector", F.col("y") - F.col("prediction"))
+    checked = L.corrected(said.where(F.col("yr") == last).withColumn("plain", F.col("prediction")), table, "sector")
+    errors = checked.groupBy("sector").agg(F.count("*").alias("rows"), F.max(F.col("prediction") - F.col("plain")).alias("correction"), F.avg(F.abs(F.col("y") - F.col("plain"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("corrected_mae"))
+    return errors.select("sector", "rows", *(r(c, 4).alias(c) for c in ("correction", "mae", "corrected_mae")))
