@@ -19,6 +19,10 @@ from tidemark.operators import ranks
 from tidemark.operators.tables import stored
 
 
+#: Tied events whose shares one row sums up.
+CHUNK = 100_000
+
+
 def _filled(df: DataFrame, covariates: list[str]) -> tuple[DataFrame, list[float]]:
     medians = [ranks.quantiles(df.select(F.col(c).cast("double").alias(c)), c, {"m": 0.5}).first() for c in covariates]
     fill = [float(m["m"]) if m and m["m"] is not None else 0.0 for m in medians]
@@ -45,9 +49,13 @@ def _likelihood(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, n
     placed = ranks.before(times, "later", list(at_risk)).where("n > 0")
     risk = lambda k: F.col(k) + F.col(f"_before_{k}")
     placed = placed.select("n", "l", *(f"x{i}" for i in range(d)), *ended, *(risk(k).alias(k) for k in at_risk))
-    # Efron: the l-th of n tied events leaves l / n of what ends out of what is at risk.
+    # Efron: the l-th of n tied events leaves l / n of what ends out of what is at risk. Many ties go in chunks of their own, so
+    # that no row's loop grows with the table; what is counted once a duration is counted in its first chunk.
+    once = lambda c: F.when(F.col("start") == 0, F.col(c)).otherwise(0.0)
+    placed = placed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    placed = placed.withColumns({"l": once("l")} | {f"x{i}": once(f"x{i}") for i in range(d)})
     share, left = "(l * 1.0D / n)", "(r - l * 1.0D / n * d)"
-    total = lambda x: F.expr(f"aggregate(sequence(0, CAST(n AS INT) - 1), 0.0D, (s, l) -> s + {x})")
+    total = lambda x: F.expr(f"aggregate(sequence(start, least(start + {CHUNK}L, n) - 1), 0.0D, (s, l) -> s + {x})")
     placed = placed.withColumnRenamed("l", "own").withColumns({
         "a": total(f"1 / {left}"), "b": total(f"{share} / {left}"), "a2": total(f"1 / ({left} * {left})"), "b2": total(f"{share} / ({left} * {left})"),
         "c2": total(f"{share} * {share} / ({left} * {left})"), "logs": total(f"ln({left})"),
@@ -104,7 +112,7 @@ def fit(df: DataFrame, covariates: list[str], duration: str, event: str | None =
     risk = ranks.before(times, "later", ["r"]).where("n > 0")
     hazard = risk.select((-F.col("later")).alias("t"), (F.col("n") / (F.col("r") + F.col("_before_r"))).alias("h"))
     base = ranks.before(hazard, "t", ["h"]).select("t", (F.col("h") + F.col("_before_h")).alias("hazard"))
-    model = CoxModel({"baseline": base})
+    model = CoxModel({"baseline": stored(base, "cox-baseline")})
     model._set(
         covariates=list(covariates), fill=fill, means=means, sds=sds, standardised=[float(b) for b in beta], duration=duration,
         fitted=[float(n), float(events), float(found[0]), float(taken)],

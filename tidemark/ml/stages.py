@@ -148,7 +148,8 @@ class ShrunkCalibration(Estimator, _Calibration, DefaultParamsReadable, DefaultP
         edges = A.bin_edges(rows, get("prediction"), get("bins"))
         fine, coarse, overall = A.shrunk_levels(rows.withColumn("bin", A.bin_number(get("prediction"), edges)), "_residual", get("stage"), get("weight"), get("strength"))
         found = overall.first()
-        model = ShrunkCalibrationModel({"fine": fine.withColumnRenamed(get("stage"), "stage"), "coarse": coarse})
+        tables = {"fine": fine.withColumnRenamed(get("stage"), "stage"), "coarse": coarse}
+        model = ShrunkCalibrationModel({name: stored(table, f"calibration-{name}") for name, table in tables.items()})
         model._set(edges=[float(x) for x in edges], overall=float(found[0]) if found and found[0] is not None else 0.0)
         return self._copyValues(model)
 
@@ -206,7 +207,8 @@ class HierarchicalPrior(Estimator, _Prior, DefaultParamsReadable, DefaultParamsW
         found = outcomes.agg(F.avg("_label")).first()[0]
         overall = float(found) if found is not None else 0.0
         value = ((F.sum("_label") + k * overall) / (F.count("*") + k)).alias("value")
-        model = HierarchicalPriorModel({f"level{i}": outcomes.groupBy(*keys).agg(value, F.count("*").alias("support")) for i, keys in enumerate(self._levels())})
+        levels = [outcomes.groupBy(*keys).agg(value, F.count("*").alias("support")) for keys in self._levels()]
+        model = HierarchicalPriorModel({f"level{i}": stored(level, "prior") for i, level in enumerate(levels)})
         model._set(overall=overall)
         return self._copyValues(model)
 

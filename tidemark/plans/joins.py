@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import expr as X
 from tidemark.operators import joins as J
 from tidemark.operators import windows as W
 from tidemark.plans.registry import plan
