@@ -46,7 +46,7 @@ class ByteBpe(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.limit = ranks, MEMO
         top = max(ranks.values(), default=0)
         #: The two lower levels of the bitmap over ranks; a word's bit is set while the bucket or word below isn't empty.
         self.low, self.mid = [0] * (top // 64 + 1), [0] * (top // 4096 + 1)
@@ -124,7 +124,7 @@ class ByteBpe(dict):
         piece = word.encode("utf-8", "surrogatepass")
         ids = np.array(self.merge(piece), "<u4").tobytes()
         if len(piece) <= _MEMO_BYTES:
-            if len(self) >= MEMO:
+            if len(self) >= self.limit:
                 self.clear()
             self[word] = ids
         return ids
@@ -163,7 +163,7 @@ def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | columns)
 
 
-def _run(df: DataFrame, shared, pattern: str, text: str, encode: bool, decode: bool, ids: str, decoded: str):
+def _run(df: DataFrame, shared, pattern: str, text: str, encode: bool, decode: bool, ids: str, decoded: str, memo: int = MEMO):
     new = {ids: "binary"} if encode else {}
     new |= {decoded: "binary"} if decode else {}
     kept = df.drop(*new)
@@ -171,6 +171,7 @@ def _run(df: DataFrame, shared, pattern: str, text: str, encode: bool, decode: b
 
     def run(batches):
         coder = _coder(shared, pattern)
+        coder.limit = memo
         for part in slices(batches):
             if encode:
                 coded = [coder.encode(t) for t in part.column(text).to_pylist()]
@@ -199,10 +200,10 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids_le", de
 
 
 def round_trip(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str = "decoded"
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str = "decoded", memo: int = MEMO
 ) -> DataFrame:
-    """``encode`` then ``decode`` in one pass of one worker."""
-    return _run(df, _shared(df, ranks_path), pattern, text, True, True, ids, decoded)
+    """``encode`` then ``decode`` in one pass of one worker, which remembers at most ``memo`` pre-tokens."""
+    return _run(df, _shared(df, ranks_path), pattern, text, True, True, ids, decoded, memo)
 
 
 def digests(df: DataFrame, ids: str = "ids_le", decoded: str = "decoded") -> DataFrame:
