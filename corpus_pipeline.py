@@ -14,6 +14,10 @@ from tidemark.llm import byte_bpe, decontaminate, language_id, line_dedup, near_
 from tidemark.llm.shared import importable, new_path, scratch
 
 
+#: Pre-tokens that a worker remembers: fewer than for encoding alone, as workers go on holding them while other stages run.
+MEMO = 500_000
+
+
 def _apart(docs: DataFrame) -> DataFrame:
     """docs with a prefix before all names, so that no column can clash with those that operators add."""
     return docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns})
@@ -61,7 +65,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids (little-endian unsigned 32-bit integers) and digests of the ids and of what they decode to. A null text is
     encoded as an empty one; each row gives one."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), path, public_tokenizers.PATTERN, memo=MEMO)
     return coded.select(
         "doc_id",
         "lang",
