@@ -196,6 +196,29 @@ def test_concordance_counts_pairs(spark):
     assert (found["pairs"], round(found["concordance"], 12)) == (right + wrong, round(right / (right + wrong), 12))
 
 
+def test_concordance_with_all_its_buckets(spark):
+    """Risks that fill all 16 buckets: their sums once nested so deep that the driver ran out of memory."""
+    rng = random.Random(7)
+    data = [(float(i), float(rng.randrange(30))) for i in range(320)]
+    found = cox.concordance(spark.createDataFrame(data, "risk double, t double"), "risk", "t").first()
+    cuts = np.quantile([a for a, _ in data], [i / 16 for i in range(1, 16)])
+    cut = [(int((a > cuts).sum()), t) for a, t in data]
+    right = sum(1 for a, b in itertools.product(cut, cut) if a[0] > b[0] and a[1] < b[1])
+    wrong = sum(1 for a, b in itertools.product(cut, cut) if a[0] > b[0] and a[1] > b[1])
+    assert (found["pairs"], round(found["concordance"], 12)) == (right + wrong, round(right / (right + wrong), 12))
+
+
+def test_many_ties_cost_no_more_than_few(spark):
+    """Shares of tied events: the series against term by term, up to a risk set that ends whole, in a bounded number of terms."""
+    ties = [(1, 1.0), (150, 0.5), (200, 1.0), (201, 1.0), (5_000, 1.0), (5_000, 0.3), (40_000, 1e-4), (40_000, 0.0)]
+    df = spark.createDataFrame([(n, share / n) for n, share in ties], "n long, f double")
+    for x in cox._efron(df).collect():
+        left = 1 - np.arange(x["n"]) * x["f"]
+        assert np.allclose([x["a1"], x["a2"], x["logs"]], [(1 / left).sum(), (1 / left**2).sum(), np.log(left).sum()], rtol=1e-9, atol=1e-12)
+    big = spark.createDataFrame([(10**15, 1e-15)], "n long, f double")  # could not be summed one by one
+    assert math.isclose(cox._efron(big).first()["logs"], -1e15, rel_tol=1e-9)
+
+
 # Pinball loss
 
 
