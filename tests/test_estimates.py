@@ -380,3 +380,18 @@ def test_stages_are_kept_inside_a_pipeline(spark, rows, tmp_path):
     assert read(whole, rows) == read(back, rows) and len(read(back, rows)) == 480
     closed = back.transform(rows.withColumn("gate", F.lit(False))).select(F.max(F.abs(F.col("prediction") - F.col("prior")))).first()[0]
     assert closed == 0
+
+
+def test_rows_of_a_forest_are_dealt_over_tasks_of_bounded_size(spark, rows, monkeypatch, tmp_path):
+    """However few partitions the rows come in; the model stays a pipeline that is kept whole."""
+    monkeypatch.setattr(M, "TASK_ROWS", 50)
+    seen = []
+    real = RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, df: seen.append(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()) or real(self, df))
+    features = M.Features(("a", "b"), ("kind",))
+    model = M.fit(rows.coalesce(1), features, RandomForestRegressor(labelCol="y", weightCol="w", numTrees=2, maxDepth=2, seed=7))
+    counts = [r["count"] for r in seen[0]]
+    assert sum(counts) == rows.count() and max(counts) <= 60
+    model.write().save(f"file://{tmp_path}/forest")
+    told = lambda m: sorted(r["prediction"] for r in M.predict(m, rows, features).collect())
+    assert told(PipelineModel.load(f"file://{tmp_path}/forest")) == told(model)

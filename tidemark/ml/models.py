@@ -56,8 +56,24 @@ def families(label: str, weight: str, seed: int = 7) -> dict:
     }
 
 
+#: Estimators whose fit holds the rows of a task together, in memory or on disk, and the most rows a task then gets.
+HOLDING = (RandomForestRegressor, RandomForestClassifier, GBTRegressor)
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many tasks as keep each at TASK_ROWS or so, however large the table."""
+    tasks = -(-df.count() // TASK_ROWS)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def fit(df: DataFrame, features: Features, estimator) -> PipelineModel:
-    return Pipeline(stages=[*stages(features), estimator]).fit(prepared(df, features))
+    rows = prepared(df, features)
+    if not isinstance(estimator, HOLDING):
+        return Pipeline(stages=[*stages(features), estimator]).fit(rows)
+    before = Pipeline(stages=stages(features)).fit(rows)
+    used = ["features", estimator.getLabelCol(), *([estimator.getWeightCol()] if estimator.isSet("weightCol") else [])]
+    return PipelineModel([*before.stages, estimator.fit(dealt(before.transform(rows).select(*used)))])
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Features, out: str = "prediction") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.ml import models as M
 from tidemark.operators import governance as G
 from tidemark.operators import windows as W
+from tidemark.operators.tables import stored
 from tidemark.plans.registry import plan
 
 _FEATURES = M.Features(("l_quantity", "l_discount", "l_tax"), ("l_returnflag",))
@@ -19,7 +20,7 @@ def _rows(t):
 @plan()
 def model_selection(t):
     """Scores of the families on the last year, trained on the years before."""
-    _, _, scores = M.selected(_rows(t), _FEATURES, "y", "w", "yr")
+    _, _, scores = M.selected(stored(_rows(t), "prices"), _FEATURES, "y", "w", "yr")
     return scores.select("family", F.round("mae", 3).alias("mae"), F.round("r2", 4).alias("r2"), "rows")
 
 
