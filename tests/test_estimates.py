@@ -239,6 +239,25 @@ def test_lines_reach_the_least_loss(spark):
     assert math.isclose(error, model.loss[0.1][-1], rel_tol=1e-9)
 
 
+def test_rows_of_equal_features_are_packed_and_sum_alike(spark):
+    rng = np.random.default_rng(3)
+    x = np.array([[1.0, float(a), float(b)] for a, b in zip(rng.integers(0, 4, 3000), rng.integers(0, 3, 3000), strict=True)])
+    y, w = rng.normal(size=3000) * 10, rng.choice([0.5, 1.0], 3000)
+    df = spark.createDataFrame([(a.tolist(), float(b), float(c)) for a, b, c in zip(x, y, w, strict=True)], "x array<double>, y double, w double").repartition(3)
+    packed = pinball._packed(df).cache()
+    assert packed.count() <= 3 * 12 + 3000 // pinball.RUN_ROWS + 1  # runs: a task has each of 12 different features once, or in pieces
+    assert pinball._shape(packed)[::2] == (3, 3000) and math.isclose(pinball._shape(packed)[1], np.abs(y).mean())
+    beta = np.array([[1.0, 0.5, -0.5], [2.0, 0.0, 1.0]])
+    left, right, loss = pinball._sums(packed, beta, [0.1, 0.9], 1e-3)
+    for i, q in enumerate((0.1, 0.9)):
+        r = y - x @ beta[i]
+        v = w / (1e-3 + np.abs(r))
+        assert np.allclose(left[i], x.T @ (x * v[:, None])) and np.allclose(right[i], x.T @ (v * y + (2 * q - 1) * w))
+        assert math.isclose(loss[i], float(np.sum(w * np.maximum(q * r, (q - 1) * r))))
+    apart = spark.createDataFrame([([1.0, float(i)], 1.0, 1.0) for i in range(500)], "x array<double>, y double, w double")
+    assert pinball._packed(apart).count() == 500  # rows that all differ stay a run each
+
+
 def test_tree_leaves_are_weighted_quantiles(spark):
     data = [(float(i % 2), float((i * 37) % 101 + 100 * (i % 2)), 1.0 + i % 3) for i in range(200)]
     df = spark.createDataFrame(data, "x double, y double, w double")

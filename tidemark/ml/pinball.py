@@ -1,7 +1,8 @@
 """Absolute and quantile loss: linear models and boosted trees for any quantile, their bands and calibration.
 
 Linear: each step is a weighted least-squares problem whose sums Spark forms in one pass for all quantiles, and whose loss lies
-above the pinball loss and touches it at the last step's residuals, so no step makes the loss worse. Trees: each round grows a
+above the pinball loss and touches it at the last step's residuals, so no step makes the loss worse. Rows of equal features are
+packed together once, so that a step multiplies features once a run of them. Trees: each round grows a
 tree on the loss's gradient and sets each leaf to the weighted quantile of its residuals, found by ``ranks``.
 """
 
@@ -27,8 +28,56 @@ def pinball(label: str | Column, prediction: str | Column, q: float) -> Column:
     return F.greatest(error * q, error * (q - 1))
 
 
+#: Rows whose equal features are looked for together, and the most rows of one run.
+PACKED_ROWS, RUN_ROWS = 1 << 18, 256
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows of x (array), y and w as runs of equal x: x, and the y and w of its rows as bytes. A task holds PACKED_ROWS at once;
+    an x may have several runs, and where all differ each row is a run."""
+
+    def runs(x, y, w):
+        # Equal rows have equal projections; neighbours that differ are parted even where theirs agree.
+        order = np.argsort(x @ np.random.default_rng(7).random(x.shape[1]), kind="stable")
+        x, y, w = x[order], y[order], w[order]
+        start = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]).any(1))))
+        size = np.diff(np.append(start, len(x)))
+        pieces = -(-size // RUN_ROWS)
+        start = np.repeat(start, pieces) + RUN_ROWS * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = pa.py_buffer((8 * np.append(start, len(x))).astype(np.int32))
+        own = x[start]
+        cuts = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
+        binary = lambda v: pa.Array.from_buffers(pa.binary(), len(own), [None, ends, pa.py_buffer(v.astype("<f8"))])
+        whole = pa.RecordBatch.from_pydict({"x": pa.ListArray.from_arrays(cuts, pa.array(own.ravel())), "y": binary(y), "w": binary(w)})
+        for at in range(0, len(own), 4096):
+            yield whole.slice(at, 4096)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            held.append((x, batch.column("y").to_numpy(zero_copy_only=False), batch.column("w").to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield from runs(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield from runs(*map(np.concatenate, zip(*held, strict=True)))
+
+    return rows.select("x", "y", "w").mapInArrow(run, "x array<double>, y binary, w binary")
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of runs, and where each run starts among them."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "<f8", (at[-1] - at[0]) // 8, at[0]), (at[:-1] - at[0]) // 8
+
+
 def _sums(rows: DataFrame, beta: np.ndarray, qs: list[float], smooth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each quantile X'VX, X'Vy' and the loss at beta, summed over rows of x (array), y and w in one pass."""
+    """For each quantile X'VX, X'Vy' and the loss at beta, summed over packed rows in one pass. Rows of a run share x, so their
+    weights are summed first."""
     k, p = beta.shape
     width = p * p + p + 1
 
@@ -38,14 +87,15 @@ def _sums(rows: DataFrame, beta: np.ndarray, qs: list[float], smooth: float) ->
             if not batch.num_rows:
                 continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
-            y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+            (y, starts), (w, _) = _numbers(batch.column("y")), _numbers(batch.column("w"))
+            sizes, run_w = np.diff(np.append(starts, len(y))), np.add.reduceat(w, starts)
             for i, q in enumerate(qs):
-                r = y - x @ beta[i]
-                v = w / (smooth + np.abs(r))
-                vx = x * v[:, None]
-                total[i, : p * p] += (x.T @ vx).ravel()
-                total[i, p * p : -1] += x.T @ (v * y + (2 * q - 1) * w)
-                total[i, -1] += float(np.sum(w * np.maximum(q * r, (q - 1) * r)))
+                r = y - np.repeat(x @ beta[i], sizes)
+                far = np.abs(r)
+                v = w / (smooth + far)
+                total[i, : p * p] += (x.T @ (x * np.add.reduceat(v, starts)[:, None])).ravel()
+                total[i, p * p : -1] += x.T @ (np.add.reduceat(v * y, starts) + (2 * q - 1) * run_w)
+                total[i, -1] += 0.5 * (w @ far) + (q - 0.5) * (w @ r)
         yield pa.RecordBatch.from_pydict({"i": np.arange(k * width), "s": total.ravel()})
 
     found = rows.select("x", "y", "w").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # a row a sum
@@ -56,6 +106,19 @@ def _sums(rows: DataFrame, beta: np.ndarray, qs: list[float], smooth: float) ->
     return flat[:, : p * p].reshape(k, p, p), flat[:, p * p : -1], flat[:, -1]
 
 
+def _shape(rows: DataFrame) -> tuple[int, float, int]:
+    """Features, the mean size of y and the number of packed rows."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                y = _numbers(batch.column("y"))[0]
+                yield pa.RecordBatch.from_pydict({"p": [len(batch.column("x").flatten()) // batch.num_rows], "s": [float(np.abs(y).sum())], "n": [len(y)]})
+
+    found = rows.select("x", "y").mapInArrow(run, "p long, s double, n long").agg(F.max("p"), F.sum("s"), F.sum("n")).first()
+    return found[0] or 0, (found[1] or 0.0) / (found[2] or 1), found[2] or 0
+
+
 @dataclass
 class QuantileLines:
     """Linear models of several quantiles over the same features."""
@@ -68,7 +131,7 @@ class QuantileLines:
     def predict(self, df: DataFrame, out: dict[float, str]) -> DataFrame:
         """df with a column a quantile."""
         rows = _assembled(self.pipeline, df, self.features)
-        line = lambda b: F.aggregate(F.zip_with("_x", F.array(*map(F.lit, b)), lambda x, c: x * c), F.lit(0.0), lambda s, x: s + x)
+        line = lambda b: sum((F.col("_x")[i] * c for i, c in enumerate(b)), F.lit(0.0))
         return rows.withColumns({name: line(self.beta[q]) for q, name in out.items()}).drop("_x")
 
 
@@ -84,14 +147,14 @@ def quantile_lines(df: DataFrame, features: Features, label: str, weight: str, q
     known = df.where(F.col(label).isNotNull() & (F.col(weight) > 0))
     pipeline = Pipeline(stages=stages(features)).fit(prepared(known, features))
     own = _assembled(pipeline, known.select("*", F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")), features)
-    rows = stored(own.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_w").alias("w")), "quantile-rows")
-    shape = rows.agg(F.max(F.size("x")), F.avg(F.abs("y")), F.count("*")).first()
-    if not shape[2]:
+    rows = stored(_packed(own.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_w").alias("w"))), "quantile-rows")
+    p, mean, n = _shape(rows)
+    if not n:
         raise ValueError(f"no row has {label}")
-    p, smooth = shape[0], 1e-6 * max(shape[1] or 0.0, 1e-9)
+    smooth = 1e-6 * max(mean, 1e-9)
     beta, losses, last = np.zeros((len(qs), p)), [[] for _ in qs], None
     # The first step has no residuals yet: a smoothing as large as the values makes it nearly least squares.
-    wide = max(shape[1] or 0.0, 1.0) * 1e3
+    wide = max(mean, 1.0) * 1e3
     for step in range(steps + 1):
         left, right, loss = _sums(rows, beta, list(qs), wide if step == 0 else smooth)
         if step:
