@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions import digests
 from tidemark.operators import ranks
 
 
@@ -194,18 +197,37 @@ def paired_bootstrap(df: DataFrame, entity: str, base_error: str, new_error: str
     the bootstrap for data that is spread out: no list of entities is gathered, and any engine finds the same counts again.
     """
     per = df.groupBy(entity).agg(F.avg(base_error).alias("_b"), F.avg(new_error).alias("_n"))
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"), F.col("draw").cast("string")))
     # The Poisson(1) distribution function up to 7, more has a probability of 1e-6: as the least number of 40 bits whose
-    # middle lies beyond it, in hexadecimal, so that digests are compared as they stand.
-    times, p, total = F.lit(8), 0.36787944117144233, 0.0
-    steps = []
+    # middle lies beyond it.
+    p, total, steps = 0.36787944117144233, 0.0, []
     for k in range(8):
         total += p
-        steps.append(f"{int(total * (1 << 40) - 0.5) + 1:010x}")
+        steps.append(int(total * (1 << 40) - 0.5) + 1)
         p /= k + 1
-    for k, least in reversed(list(enumerate(steps))):
-        times = F.when(F.col("_mark") < least, k).otherwise(times)
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_mark", mark).withColumn("_k", times)
-    sums = drawn.groupBy("draw").agg(F.sum(F.col("_k") * F.col("_b")).alias("b"), F.sum(F.col("_k") * F.col("_n")).alias("n"))
+
+    def run(batches):
+        """A task's sums by draw, null where it has only nulls; digests and counts stay in arrays."""
+        sums, known, any_rows = np.zeros((draws, 2)), np.zeros(2, bool), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            any_rows = True
+            errors = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_b", "_n")], 1)
+            missing = np.stack([batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("_b", "_n")], 1)
+            errors[missing] = 0.0
+            known |= ~missing.all(0)
+            prefixes = [t.encode() for t in batch.column("_prefix").to_pylist()]
+            for rows, places, marks in digests.heads(prefixes, range(1, draws + 1)):
+                times = np.zeros(marks.shape, np.uint8)
+                for least in steps:
+                    times += marks >= np.uint64(least)
+                sums[places] += times.T.astype(np.float64) @ errors[rows]
+        if any_rows:
+            own = [pa.array(sums[:, i] if known[i] else [None] * draws, pa.float64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(1, draws + 1), pa.int32()), *own], names=["draw", "b", "n"])
+
+    prefix = F.concat(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string")), F.lit("|"))
+    marked = per.select(prefix.alias("_prefix"), F.col("_b").cast("double"), F.col("_n").cast("double"))
+    sums = marked.mapInArrow(run, "draw int, b double, n double").groupBy("draw").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
     gain = sums.withColumn("gain", 100 * F.try_divide(F.col("b") - F.col("n"), F.col("b")))
     return gain.agg(F.avg("gain").alias("mean_gain"), quantile("gain", 0.025).alias("low"), quantile("gain", 0.975).alias("high"), F.avg((F.col("gain") > 0).cast("double")).alias("p_better"), F.count("*").alias("draws"))
