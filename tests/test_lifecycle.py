@@ -79,6 +79,15 @@ def test_targets_are_scored_on_the_value(rows):
     assert found["direct"] < 0.5 and found["residual"] < 0.5 and found["huber"] < 0.5 < found["signed log"]
 
 
+def test_targets_share_what_prepares_their_features(rows, monkeypatch):
+    from pyspark.ml.feature import Imputer
+
+    fits, own = [], Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, df: fits.append(1) or own(self, df))
+    L.targets_compared(rows.withColumn("now", F.col("a") * 2), A, "y", "now", "w", "yr")
+    assert len(fits) == 1
+
+
 def test_huber_withstands_outliers(rows):
     spoiled = rows.withColumn("y", F.when(F.col("id") % 50 == 0, 5000.0).otherwise(F.col("a") * 3 + 10))
     plain, robust = (L.scores(M.predict(M.fit(spoiled, A, e), rows, A).withColumn("y", F.col("a") * 3 + 10), "y", "w")["mae"] for e in (L._linear("y", "w"), L.huber("y", "w")))

@@ -6,12 +6,12 @@ which there are few; rows stay in Spark.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import expr as X
-from tidemark.ml.models import Features, families, fit, predict, risk_classifier, selected
+from tidemark.ml.models import Features, families, fit, predict, prepared, risk_classifier, selected, stages
 from tidemark.operators import aggregates as A
 from tidemark.operators import audits, splits
 
@@ -146,9 +146,12 @@ def targets_compared(rows: DataFrame, features: Features, label: str, current: s
         "signed log": (X.signed_log(label), X.signed_exp(X.clamp("prediction", -30.0, 30.0)), None),
         "huber": (F.col(label), F.col("prediction"), huber("_target", weight)),
     }
+    # The features are the same for all targets, so what prepares them is fitted once.
+    before = Pipeline(stages=stages(features)).fit(prepared(early, features))
     out = []
     for name, (target, back, estimator) in made.items():
-        model = fit(early.withColumn("_target", target), features, estimator or _linear("_target", weight))
+        used = before.transform(prepared(early.withColumn("_target", target), features)).select("features", "_target", weight)
+        model = PipelineModel([*before.stages, (estimator or _linear("_target", weight)).fit(used)])
         found = scores(predict(model, late, features).withColumn("prediction", back), label, weight)
         out.append((name, *found.values()))
     return rows.sparkSession.createDataFrame(out, "target string, mae double, rmse double, r2 double, rows long")
