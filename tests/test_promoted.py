@@ -40,6 +40,13 @@ def delay(rows):
     return promoted.delay_model(rows.where("completion_year < 2015"), FEATURES, "final_delay_days", "weight", "completion_year", "canonical_id", "stage", "snapshot", "planned", [["office"]])
 
 
+def test_a_fit_stores_only_what_it_reads(rows, monkeypatch):
+    kept, own = [], promoted.stored
+    monkeypatch.setattr(promoted, "stored", lambda df, name: kept.append(df.columns) or own(df, name))
+    promoted.DelayParts(rows, FEATURES, "final_delay_days", "weight", "snapshot", "planned")
+    assert kept == [["features", "final_delay_days", "weight", "snapshot", "planned"]]
+
+
 def test_a_composed_model_is_kept_in_a_bundle_and_says_the_same(spark, rows, delay, tmp_path):
     path = f"file://{tmp_path}/bundle"
     B.save(spark, {"delay": delay}, {}, path, "run1", "data1", ["a", "stage"])

@@ -42,7 +42,8 @@ class DelayParts:
 
     def __init__(self, rows: DataFrame, features: Features, label: str, weight: str, snapshot: str, planned: str):
         self.prepare = Pipeline(stages=[Prepared(list(features.numeric), list(features.categorical)), *stages(features)]).fit(rows)
-        ready = stored(self.prepare.transform(rows), "delay-rows")
+        used = dict.fromkeys(["features", label, weight, snapshot, planned])
+        ready = stored(self.prepare.transform(rows).select(*used), "delay-rows")
         self.line = LinearRegression(featuresCol="features", labelCol=label, weightCol=weight, predictionCol="_line", regParam=0.1).fit(ready)
         left = F.col(label) + F.datediff(planned, snapshot)
         dated = ready.where(F.expr(_dated(snapshot, planned))).withColumns({"_left": left.cast("double"), "_seen": F.lit(1.0)}).where("_left > 0")
