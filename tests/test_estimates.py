@@ -330,6 +330,24 @@ def test_parts_are_shapley_values(spark, rows, kind):
     assert held[0] < 1e-9 and held[1] == 480
 
 
+def test_rows_that_no_tree_tells_apart_are_explained_once(monkeypatch):
+    leaf = lambda v, c: {"value": v, "cover": c}
+    inner = {"value": 0.0, "cover": 6.0, "feature": 1, "test": ("among", frozenset({1.0, 3.0})), "left": leaf(2.0, 2.0), "right": leaf(7.0, 4.0)}
+    root = {"value": 0.0, "cover": 10.0, "feature": 0, "test": ("at most", 0.5), "left": leaf(1.0, 4.0), "right": inner}
+    other = {"value": 0.0, "cover": 10.0, "feature": 0, "test": ("at most", 2.0), "left": leaf(-1.0, 5.0), "right": leaf(4.0, 5.0)}
+    trees = [(0.5, explain.leaves(root)), (2.0, explain.leaves(other))]
+    rng = np.random.default_rng(3)
+    x = np.stack((rng.choice([0.0, 0.5, 0.6, 2.0, 2.1, np.nan], 500), rng.integers(0, 5, 500).astype(float)), 1)
+    plain, seen, asked = explain.shapley_values(trees, x), [], explain.told_apart(trees)
+    monkeypatch.setattr(explain, "shapley_values", lambda t, y, f=explain.shapley_values: seen.append(len(y)) or f(t, y))
+    assert np.array_equal(explain.tree_parts(trees, asked, np.eye(2), x), plain)
+    assert seen == [6]  # three ranges of one feature, in a set or not by the other
+    assert explain.tree_parts(trees, asked, np.eye(2), x[:0]).shape == (0, 2)
+    many = [(k % 2, "at most", np.arange(5.0) + k) for k in range(40)]  # more kinds than a number of 64 bits tells apart
+    first, which = explain.kinds(many, y := np.floor(rng.uniform(0, 40, (300, 2))))
+    assert np.array_equal(y[first][which], y)
+
+
 def test_lines_are_explained_against_the_mean_row(rows):
     model = M.fit(rows, FEATURES, M.families("y", "w")["linear"])
     parts, base, names = explain.explained(model, rows, FEATURES, explain.vector_means(model, rows, FEATURES, "w"))
@@ -346,6 +364,13 @@ def test_the_largest_parts_of_a_row(spark):
     assert [r["feature"] for r in explain.global_parts(df, ["a", "b", "c", "d"]).collect()] == ["b", "a", "c", "d"]
 
 
+def test_the_largest_parts_need_no_interpreted_lambdas(spark):
+    df = spark.createDataFrame([(1, 3.0, -5.0)], "id int, part_a double, part_b double")
+    top = explain.top_factors(df, ["a", "b"], 3)
+    assert "lambda" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert [(f["feature"], f["share"]) for f in top.first()["factors"]] == [("b", 0.625), ("a", 0.375)] and top.first()["rest"] == 0.0  # fewer than k
+
+
 # Own stages
 
 

@@ -2,8 +2,8 @@
 
 A tree's value for a row of which only some features are known is the average of its leaves that those features allow,
 weighted by the training rows that went there. A leaf's Shapley values depend only on which conditions of its path the row
-meets, at most 2 ^ depth patterns, so they are tabulated once for each leaf and looked up for whole batches of rows. The parts
-of a row sum to its prediction less the base, the average of all leaves.
+meets, at most 2 ^ depth patterns, so they are tabulated once for each leaf and looked up for whole batches of rows, once for
+all rows of a batch that no condition tells apart. The parts of a row sum to its prediction less the base, the average of all leaves.
 """
 
 from __future__ import annotations
@@ -127,6 +127,44 @@ def shapley_values(trees: list[tuple[float, list[Leaf]]], x: np.ndarray) -> np.n
     return out
 
 
+def told_apart(trees: list[tuple[float, list[Leaf]]]) -> list[tuple[int, str, np.ndarray]]:
+    """All that the trees ask of each feature: its bounds in order, and each set of categories."""
+    bounds: dict[int, set[float]] = {}
+    among: set[tuple[int, frozenset[float]]] = set()
+    for _, own in trees:
+        for leaf in own:
+            for f, tests in zip(leaf.features, leaf.tests, strict=True):
+                for kind, bound, _left in tests:
+                    if kind == "at most":
+                        bounds.setdefault(f, set()).add(bound)
+                    else:
+                        among.add((f, bound))
+    return [(f, "at most", np.array(sorted(b))) for f, b in sorted(bounds.items())] + [(f, "among", np.array(sorted(b))) for f, b in among]
+
+
+def kinds(asked: list[tuple[int, str, np.ndarray]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each kind, and each row's kind: rows of a kind meet the same conditions of all trees."""
+    code, size = np.zeros(len(x), np.int64), 1
+    for f, kind, values in asked:
+        if kind == "at most":
+            digit, radix = np.searchsorted(values, x[:, f]), len(values) + 1  # NaN comes after all bounds, as it meets none
+        else:
+            digit, radix = np.isin(x[:, f], values), 2
+        if size * radix >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            size = len(found)
+        code = code * radix + digit
+        size *= radix
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    return first, which
+
+
+def tree_parts(trees: list[tuple[float, list[Leaf]]], asked: list[tuple[int, str, np.ndarray]], onto: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows by source features; rows of a kind are worked out once."""
+    first, which = kinds(asked, x)
+    return (shapley_values(trees, x[first]) @ onto)[which]
+
+
 def _sources(model: PipelineModel, df: DataFrame, features: Features) -> list[str]:
     """The source feature of each place of the vector: what was made of one feature counts together."""
     attrs = model.transform(prepared(df.limit(1), features)).schema["features"].metadata["ml_attr"]["attrs"]
@@ -158,18 +196,20 @@ def explained(model: PipelineModel, df: DataFrame, features: Features, means: li
             raise ValueError("lines are explained against a mean row")
         weights, centre = np.array(last.coefficients.toArray()), np.array(means)
         base = float(last.intercept + weights @ centre)
-        values = lambda x: (x - centre) * weights
+        values = lambda x: (x - centre) * weights @ onto
     else:
         roots = tree_nodes(last)
         base = sum(w * base_value(r) for w, r in roots)
-        shared = df.sparkSession.sparkContext.broadcast([(w, leaves(r)) for w, r in roots])  # trees x leaves x 2 ^ depth numbers
-        values = lambda x: shapley_values(shared.value, x)
+        trees = [(w, leaves(r)) for w, r in roots]
+        asked = told_apart(trees)
+        shared = df.sparkSession.sparkContext.broadcast(trees)  # trees x leaves x 2 ^ depth numbers
+        values = lambda x: tree_parts(shared.value, asked, onto, x)
     p = len(sources)
 
     def run(batches):
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
-            parts = values(x) @ onto
+            parts = values(x)
             columns = [batch.column(c) for c in kept] + [pa.array(parts[:, i]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f"{prefix}{n}" for n in names)])
 
@@ -189,15 +229,17 @@ def top_factors(parts: DataFrame, names: list[str], k: int = 5, prefix: str = "p
     """The k largest parts of each row, by size, then name, as ``factors``: feature, impact, share of the k parts' sizes, and
     direction; ``rest`` is the sum of the other parts."""
     every = F.array(*(F.struct((-F.abs(f"{prefix}{n}")).alias("order"), F.lit(n).alias("feature"), F.col(f"{prefix}{n}").alias("impact")) for n in names))
-    size = F.aggregate("_top", F.lit(0.0), lambda s, x: s + F.abs(x["impact"]))
+    # Written out for each of the k: lambdas, and array_sort with its own, would be interpreted row by row.
+    top = [F.get("_top", F.lit(i)) for i in range(min(k, len(names)))]
     total = F.lit(0.0) + sum((F.col(f"{prefix}{n}") for n in names), F.lit(0.0))
-    rows = parts.withColumn("_top", F.slice(F.array_sort(every), 1, k)).withColumn("_total", total).withColumn("_size", size).drop(*(f"{prefix}{n}" for n in names))
+    rows = parts.withColumn("_top", F.slice(F.sort_array(every), 1, k)).withColumn("_total", total).drop(*(f"{prefix}{n}" for n in names))
+    rows = rows.withColumn("_size", sum((F.abs(x["impact"]) for x in top), F.lit(0.0)))
     factor = lambda x: F.struct(
         x["feature"].alias("feature"), x["impact"].alias("impact"), F.coalesce(F.try_divide(F.abs(x["impact"]), F.col("_size")), F.lit(0.0)).alias("share"),
         F.when(x["impact"] >= 0, "increases").otherwise("reduces").alias("direction"),
     )
-    rest = F.col("_total") - F.aggregate("_top", F.lit(0.0), lambda s, x: s + x["impact"])
-    return rows.withColumn("factors", F.transform("_top", factor)).withColumn("rest", rest).drop("_top", "_total", "_size")
+    rest = F.col("_total") - sum((x["impact"] for x in top), F.lit(0.0))
+    return rows.withColumn("factors", F.array(*map(factor, top))).withColumn("rest", rest).drop("_top", "_total", "_size")
 
 
 def global_parts(parts: DataFrame, names: list[str], prefix: str = "part_") -> DataFrame:
