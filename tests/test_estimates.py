@@ -109,6 +109,13 @@ def test_out_of_fold_means_by_hand(spark):
         assert math.isclose(r["prediction"], want, rel_tol=1e-9)
 
 
+def test_rows_stay_where_they_are_for_out_of_fold_means(spark):
+    """The means are few; the table isn't sorted, or moved to a task a group and fold, to meet them."""
+    df = spark.range(2000).select(F.col("id").alias("entity"), (F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    plan = crossfit.out_of_fold_means(df, ["g"], "entity", "y", "w", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_the_bound_holds_the_booster(spark, rows):
     estimator = LinearRegression(featuresCol="features", labelCol="y", weightCol="w", predictionCol="prediction", regParam=0.1)
     bent = rows.withColumn("y", F.col("y") + F.when(F.col("a") > 8, 200.0).otherwise(0.0))

@@ -243,3 +243,14 @@ def test_a_stage_that_dies_is_run_again_and_bad_graphs_are_refused(spark, tmp_pa
         harness.run(spark, [harness.Stage("a", fragile, ("b",)), harness.Stage("b", fragile, ("a",))], {}, root)
     with pytest.raises(ValueError, match="twice"):
         harness.run(spark, [harness.Stage("rows", fragile)], {"rows": rows}, root)
+
+
+def test_the_query_takes_its_source_fingerprint_once(spark, monkeypatch):
+    """Both runs of experiment_stages know the prices by one fingerprint of a stored table."""
+    from tidemark.operators import governance as G
+    from tidemark.plans import QUERIES
+
+    plans, taken = [], G.fingerprint
+    monkeypatch.setattr(G, "fingerprint", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or taken(df, *a))
+    assert {r["second_run_reused"] for r in QUERIES["experiment_stages"](spark, "/root/testdata/sf0.001").collect()} == {True}
+    assert len(plans) == 1 and "Window" not in plans[0]

@@ -28,11 +28,12 @@ def fold_of(entity: str | Column, folds: int, seed: int = 7) -> Column:
 
 def out_of_fold_means(rows: DataFrame, by: list[str], entity: str, label: str, weight: str, folds: int = 5, seed: int = 7, out: str = "prediction", fold: str = "fold") -> DataFrame:
     """rows with their fold and the weighted mean label of their group over the other folds: the mean of all other folds'
-    rows where the group has none there. Sums of all less those of a fold, so the table is read once and nothing is fitted."""
+    rows where the group has none there. Sums of all less those of a fold, so the table is read once for them and nothing is fitted."""
     numbered = rows.withColumn(fold, fold_of(entity, folds, seed))
     known = F.when(F.col(label).isNotNull(), F.col(weight))
     sums = numbered.groupBy(*by, fold).agg(F.sum(known * F.col(label)).alias("_s"), F.sum(known).alias("_w"))
-    spine = numbered.select(*by).distinct().withColumn(fold, F.explode(F.array(*map(F.lit, range(folds)))))  # a row a group and fold
+    sums = stored(sums, "fold-sums")  # a row a group and fold
+    spine = sums.select(*(F.col(k).alias(k) for k in by)).distinct().withColumn(fold, F.explode(F.array(*map(F.lit, range(folds)))))  # a row a group and fold
     null_safe = lambda a, b, keys: reduce(Column.__and__, (a[k].eqNullSafe(b[k]) for k in keys), F.lit(True))
     cells = spine.join(sums, null_safe(spine, sums, [*by, fold]), "left").select(*(spine[k] for k in by), spine[fold], F.coalesce("_s", F.lit(0.0)).alias("_s"), F.coalesce("_w", F.lit(0.0)).alias("_w"))
     group, every = Window.partitionBy(*by), Window.partitionBy(fold)
@@ -43,6 +44,7 @@ def out_of_fold_means(rows: DataFrame, by: list[str], entity: str, label: str, w
         *(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), F.col(fold).alias("_fold"),
         F.coalesce(F.when(other("_w") > 1e-12, other("_s") / other("_w")), F.when(rest("_w") > 1e-12, rest("_s") / rest("_w"))).alias(out),
     )
+    means = stored(means, "fold-means")  # so that Spark sees how small it is before it decides to move the rows
     same = numbered[fold] == means["_fold"]
     for i, k in enumerate(by):
         same &= numbered[k].eqNullSafe(means[f"_k{i}"])

@@ -11,6 +11,7 @@ from tidemark.ml import crossfit, harness, promoted, retrain
 from tidemark.ml import models as M
 from tidemark.operators import aggregates as A
 from tidemark.operators import backtest
+from tidemark.operators import governance as G
 from tidemark.operators.tables import folder, stored
 from tidemark.plans.registry import plan
 from tidemark.sources import parsed
@@ -68,9 +69,10 @@ def experiment_stages(t):
     from tidemark.plans.estimates import _prices
 
     stages = [harness.Stage("folded", _folded, ("prices",), {"folds": 4}), harness.Stage("errors", _errors, ("folded",), {"bound": 50000})]
-    root, prices = f"{folder(t.spark)}/experiments-{uuid.uuid4().hex}", _prices(t)
-    harness.run(t.spark, stages, {"prices": prices}, root)
-    again = harness.run(t.spark, stages, {"prices": prices}, root)
+    root, prices = f"{folder(t.spark)}/experiments-{uuid.uuid4().hex}", stored(_prices(t), "prices")
+    marks = {"prices": G.fingerprint(prices).first()["digest"]}  # of all rows, once for both runs
+    harness.run(t.spark, stages, {"prices": prices}, root, marks)
+    again = harness.run(t.spark, stages, {"prices": prices}, root, marks)
     return again["errors"].frame.select("fold", "rows", r("mae", 4).alias("mae"), "wide", F.lit(all(o.reused for o in again.values())).alias("second_run_reused"))
 
 
