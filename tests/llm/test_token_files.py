@@ -68,6 +68,33 @@ def test_packed_numbers_come_back(width):
     assert len(T.unpacked(T.packed(x[:0], width), width)) == 0
 
 
+def test_new_words_are_not_cut_a_second_time(monkeypatch):
+    """Words that were cut here meet no normalizer and no pattern of the library again; other texts do."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    own, whole = T.WordTokenizer(vocabulary), T.WordTokenizer(vocabulary, split_words=False)
+    texts = ["Don't stop -- it's 1990's \"caf\xe9\" na\xefve\tSTRA\xdfE", "--'s 'll''t a1b2 <| x", "\u4e2d\u6587 and K\u0301", "", None]
+    assert own.encode(texts[:1]) == whole.encode(texts[:1])
+    assert "tokenizer" not in vars(own) and own.words.normalizer is None
+    assert own.encode(texts) == whole.encode(texts) and "tokenizer" in vars(own)
+
+
+def test_places_of_pairs_are_the_same_for_large_symbols():
+    """Pairs that don't fit one number together with their places are numbered as small ones are."""
+    rng = np.random.default_rng(5)
+    small = rng.integers(0, 12, 5000).astype(np.uint32)
+    names = np.sort(rng.choice(2**31, 12, replace=False)).astype(np.uint32) + np.uint32(2**31)
+    for least in (2, 4, 40):
+        l, r, n = T._numbered(small[:-1], small[1:], least)
+        large_l, large_r, m = T._numbered(names[small[:-1]], names[small[1:]], least)
+        pairs, counts = np.unique(np.stack((small[:-1], small[1:])), axis=1, return_counts=True)
+        assert np.array_equal(np.stack((l, r)), pairs[:, counts >= least]) and np.array_equal(n, m)
+        assert np.array_equal(names[l], large_l) and np.array_equal(names[r], large_r)
+        assert np.array_equal(l[n[n >= 0]], small[:-1][n >= 0]) and np.array_equal(r[n[n >= 0]], small[1:][n >= 0])
+    none = T._numbered(small[:0], small[:0], 2)
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
 def test_words_and_whole_texts_give_the_same_ids():
     with open(PATH, encoding="utf-8") as f:
         vocabulary = f.read()

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ BLOCK_TOKENS = 1_000_000
 #: Places of a pair from which it is replaced.
 LEAST_COUNT = 4
 _BITS = 16
-#: Texts encoded at once: few enough that their different words fit a processor's cache.
-AT_ONCE = 32
+#: Texts encoded at once: their new words go to the library together.
+AT_ONCE = 128
 #: Words whose ids a worker remembers, at about 180 bytes each.
 MEMO = 1_200_000
 # What the vocabulary's pre-tokenizer takes as one word, for lower-case texts up to U+00FF.
@@ -79,28 +80,42 @@ class WordTokenizer:
 
     In texts of ASCII and Latin-1 letters the words are cut here, and each distinct word goes to the library once; all
     other texts go to the library whole. Both give what the library gives for the whole text. New words go to the
-    library in one text, parted by blanks; ids that end a word tell them apart again.
+    library in one text, parted by blanks; ids that end a word tell them apart again. For them the library parts at blanks
+    only: words that were cut here are in the normal form already, and fall apart no further.
     """
 
     def __init__(self, tokenizer_json: str, split_words: bool | None = None):
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.json = tokenizer_json
         self.split_words = splits_words(tokenizer_json) if split_words is None else split_words
         self.memo: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.words.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_str(self.json)
+
+    @cached_property
+    def words(self) -> Tokenizer:
+        if not self.split_words:
+            return self.tokenizer
+        found = json.loads(self.json)
+        found["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(found | {"normalizer": None, "added_tokens": []}))
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, words: list[str]) -> None:
-        ids = np.array(self._whole([" ".join(words)])[0], "<u4")
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         if len(cuts) == len(words) and cuts[-1] == len(ids):
             raw, ends = ids.tobytes(), (4 * cuts).tolist()
             self.memo.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         else:  # a word whose ids end no word, or several: one by one
-            self.memo.update(zip(words, (np.array(found, "<u4").tobytes() for found in self._whole(words)), strict=True))
+            each = self.words.encode_batch_fast(words, add_special_tokens=False)
+            self.memo.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in each), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain = [bool(t) and self.split_words and _is_plain(t) for t in texts]
@@ -113,8 +128,7 @@ class WordTokenizer:
         if new:
             self.learn(list(new))
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if t and not p]))
-        # These texts' words alone, as a small table that stays in the processor's cache.
-        ids = dict(zip(words, map(self.memo.__getitem__, words), strict=True)).__getitem__
+        ids = self.memo.__getitem__
         return [b"".join(map(ids, own)) if p or not t else np.array(next(whole), "<u4").tobytes() for t, own, p in zip(texts, parts, plain, strict=True)]
 
 
@@ -150,12 +164,27 @@ def _numbered(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.
     bucket >>= np.uint32(32 - _BITS)
     # Only what a large bucket holds can be frequent; that is then counted exactly.
     often = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket])
-    code, which, count = np.unique(a[often].astype(np.uint64) << np.uint64(32) | b[often], return_inverse=True, return_counts=True)
-    enough = count >= least
     number = np.full(len(a), -1, np.int32)
-    number[often] = np.where(enough, np.cumsum(enough) - 1, -1)[which]
-    code = code[enough]
-    return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64), number
+    if not len(often):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), number
+    left, right = a[often], b[often]
+    wide, far = int(right.max()).bit_length(), len(a).bit_length()
+    if int(left.max()).bit_length() + wide + far <= 64:
+        # Pair and place in one number, which sorts faster than places by their pairs.
+        code = ((left.astype(np.uint64) << np.uint64(wide) | right) << np.uint64(far)) | often.astype(np.uint64)
+        code.sort()
+        place = (code & np.uint64((1 << far) - 1)).astype(np.int64)
+        code >>= np.uint64(far)
+    else:
+        code, wide = left.astype(np.uint64) << np.uint64(32) | right, 32
+        order = np.argsort(code)
+        place, code = often[order], code[order]
+    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    count = np.diff(start, append=len(code))
+    enough = count >= least
+    number[place] = np.repeat(np.where(enough, np.cumsum(enough) - 1, -1), count)
+    code = code[start[enough]]
+    return (code >> np.uint64(wide)).astype(np.int64), (code & np.uint64((1 << wide) - 1)).astype(np.int64), number
 
 
 def compress(ids: np.ndarray, base: int, least_count: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
