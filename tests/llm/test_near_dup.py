@@ -216,6 +216,25 @@ def test_one_of_each_tells_rows_apart_whose_id_is_null_or_repeated(spark):
     assert [x for x in got if x[1] not in (c, c + " end")] == sorted([(1, a), (-1, b), (7, d), (7, e), (9, f), (9, g), (-1, ""), (-1, "")])
 
 
+def test_rows_that_surely_stay_are_told_without_a_join(spark, monkeypatch):
+    rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("row_id"), F.xxhash64("id").alias("ta"), "id")
+    keys = rows.where("id % 10 = 0").select("row_id", "ta")
+    found = near_dup._perhaps(rows, keys, ["row_id", "ta"])
+    assert found.columns == ["row_id", "ta", "id", "perhaps"] and found.count() == 5000
+    others = {r["id"] for r in found.where("perhaps").collect()} - set(range(0, 5000, 10))
+    assert found.where("perhaps AND id % 10 = 0").count() == 500 and len(others) < 500
+    assert near_dup._perhaps(rows, keys.limit(0), ["row_id", "ta"]).where("perhaps").count() == 0
+    # A full bitmap only moves more rows: what stays is the same.
+    met, perhaps = [], near_dup._perhaps
+    monkeypatch.setattr(near_dup, "_perhaps", lambda *args: met.append(1) or perhaps(*args))
+    docs = spark.createDataFrame([(i, f"own{i // 2} " * 3) for i in range(40)] + [(None, "x y"), (None, "x y")], "doc_id long, text string")
+    left = []
+    for most in (1 << 29, 1):
+        monkeypatch.setattr(near_dup, "_MOST_BITS", most)
+        left.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in near_dup.one_of_each(docs).collect()))
+    assert left[0] == left[1] == [(False, i) for i in range(0, 40, 2)] + [(True, 0)] and len(met) == 2
+
+
 def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
     from tidemark.llm import components as C
 

@@ -56,6 +56,8 @@ STEP = 2
 #: Nodes of a block; a cell compares two blocks. A run of more members is a crowd.
 BLOCK = 512
 _COLUMNS_AT_ONCE = 4096
+#: Bits of a bitmap for each key that it holds, the bits of one of its rows, and the most bits of all.
+_BITS_A_KEY, _ROW_BITS, _MOST_BITS = 16, 1 << 15, 1 << 29
 #: What tells the row whose text stands for a node.
 _ROW = ("rep", "ta", "tb")
 
@@ -451,6 +453,19 @@ def near_duplicates(
     )
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with ``perhaps``: false only where no row of keys has the same columns. A bitmap of hashes, two bytes a key and
+    64 MB at most, goes to all tasks, so that a join on the columns need not move the rows that it can't concern."""
+    bits = min(_MOST_BITS, _ROW_BITS * -(-max(1, _BITS_A_KEY * keys.count()) // _ROW_BITS))
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    places = {"map_row": F.floor(place / _ROW_BITS).cast("int"), "map_bit": (place % _ROW_BITS).cast("bigint")}
+    maps = keys.select(*(c.alias(x) for x, c in places.items())).groupBy("map_row").agg(F.bitmap_construct_agg("map_bit").alias("map"))
+    found = rows.withColumns(places).join(F.broadcast(maps), "map_row", "left")
+    byte = F.expr("cast(conv(hex(substring(map, cast(map_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(map_bit % 8 as int))")) != 0
+    return found.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias("perhaps"))
+
+
 def one_of_each(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, k: int = SHINGLE, text: str = "text", row_id: str = "doc_id"
 ) -> DataFrame:
@@ -465,8 +480,12 @@ def one_of_each(
     judged = stored(judged.where("NOT kept OR times > 1"), "judged")
     # The rows' own columns stand apart in one struct, so that no name can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col(row_id).alias("row_id"), *(c.alias(x) for x, c in _text_keys(text).items()))
+    # Most rows surely stay: they are told by a bitmap and not moved.
+    rows = _perhaps(rows, judged, ["row_id", "ta", "tb"])
+    left = rows.where("NOT perhaps").select("row.*")
+    rows = rows.where("perhaps")
     same = rows["row_id"].eqNullSafe(judged["row_id"]) & (rows["ta"] == judged["ta"]) & (rows["tb"] == judged["tb"])
-    left = rows.join(judged, same, "left_anti").select("row.*")
+    left = left.unionByName(rows.join(judged, same, "left_anti").select("row.*"))
     twice = judged.where("kept")
     if twice.isEmpty():
         return left
