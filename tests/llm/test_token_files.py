@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -79,6 +80,28 @@ def test_new_words_are_not_cut_a_second_time(monkeypatch):
     assert own.encode(texts) == whole.encode(texts) and "tokenizer" in vars(own)
 
 
+def test_words_are_cut_for_many_texts_at_once_as_the_pattern_cuts_each(monkeypatch):
+    pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+    rng = random.Random(3)
+    texts = ["'", "'l", "'ll", "'re've", "''s", "-'s", "'stop", "1's", "'s't'", "  ", "'\n's", "a'", "'v", "'ve"]
+    texts += ["".join(rng.choice("''stmdrevlla1 É.\n\x00") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    raws = [T._plain(t) for t in texts]
+    assert [r.decode("latin-1") for r in raws] == [t.lower() for t in texts]
+    words, places = T._cut(b"\n".join([*raws, b"\n\n\n"]))
+    assert [w.decode("latin-1") for w in words.to_pylist()] == [w for t in texts for w in pieces.findall(t.lower())] and len(places) == len(words)
+    with open(PATH, encoding="utf-8") as f:
+        vocabulary = f.read()
+    asked, whole = [], T.WordTokenizer(vocabulary, split_words=False).encode(texts)
+    monkeypatch.setattr(T, "MEMO", 40)
+    for size in (1, 1 << 22):
+        monkeypatch.setattr(T, "BYTES_AT_ONCE", size)
+        own = T.WordTokenizer(vocabulary)
+        by_words = own._by_words
+        monkeypatch.setattr(own, "_by_words", lambda raws, f=by_words: asked.append(len(raws)) or f(raws))
+        assert own.encode(texts) == whole
+    assert asked == [1] * len(texts) + [len(texts)]
+
+
 def test_places_of_pairs_are_the_same_for_large_symbols():
     """Pairs that don't fit one number together with their places are numbered as small ones are."""
     rng = np.random.default_rng(5)
