@@ -77,3 +77,19 @@ def test_entry_and_registry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and set(QUERIES) <= set(queries)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_identities_tell_a_negative_zero_apart(spark, tmp_path):
+    """The balance -0.0 has a name of its own in SQL, and a balance just below zero rounds to -0.0."""
+    balances = [-0.0, 0.0, 3.2, -0.04, -0.05, 0.05, 1234.25, 1234.35, -7.75, None]
+    customers = [(i, f"c{i}", 1, b, "A" if i < 3 else f"S{i}") for i, b in enumerate(balances)]
+    orders = [(10 * i + k, i, "FP"[k], 1.0) for i in range(len(balances)) for k in (0, 1)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("customer", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = ("o_orderkey", "method", "confidence", "verified", "outcome_amount")
+    got = sorted(map(repr, (tuple(r) for r in QUERIES["identity_resolve"](spark, f"file://{tmp_path}").select(*columns).collect())))
+    assert got == sorted(map(repr, duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['identity_resolve']})").fetchall()))
+    assert {f"({k}, 'exact_name_and_amount', 0.95, True, -0.0)" for k in (0, 31)} <= set(got)

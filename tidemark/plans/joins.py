@@ -13,6 +13,17 @@ def r(x, n: int = 6):
     return F.round(x, n)
 
 
+# As SQL has them: doubles stay doubles, so that -0.0 keeps its sign, and with it its own key. Spark's floor goes through
+# long and its round through decimal, which have no such zero.
+def _floor(x):
+    return F.when(F.rint(x) > x, F.rint(x) - 1).otherwise(F.rint(x))
+
+
+def _whole(x):
+    """The nearest whole number, halves away from zero."""
+    return F.when(F.abs(x - F.rint(x)) == 0.5, x + F.signum(x) * 0.5).otherwise(F.rint(x))
+
+
 # Outcomes: customers under an id that most orders know, and a name made of segment and nation that only some hold alone.
 _OUT = """out AS (SELECT CASE WHEN c_acctbal > 0 THEN CAST(c_custkey AS VARCHAR) END AS outcome_id, lower(c_mktsegment) || ' ' || floor(c_acctbal / 10) AS outcome_key,
 round(c_acctbal, 1) AS outcome_amount FROM customer)"""
@@ -29,8 +40,9 @@ WHEN n > 1 THEN 'ambiguous_name' ELSE 'unresolved' END AS method, CASE WHEN i IS
 i IS NOT NULL OR coalesce(nk IS NOT NULL AND abs(amount - na) <= 0.05, false) AS verified,
 CASE WHEN i IS NOT NULL THEN ia WHEN nk IS NOT NULL AND abs(amount - na) <= 0.05 THEN na END AS outcome_amount FROM m""")
 def identity_resolve(t):
-    key = F.concat(F.lower("c_mktsegment"), F.lit(" "), F.floor(F.col("c_acctbal") / 10).cast("double").cast("string"))
-    out = t.customer.select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey").cast("string")).alias("outcome_id"), key.alias("outcome_key"), F.round("c_acctbal", 1).alias("outcome_amount"))
+    key = F.concat(F.lower("c_mktsegment"), F.lit(" "), _floor(F.col("c_acctbal") / 10).cast("string"))
+    amount = (_whole(F.col("c_acctbal") * 10) / 10).alias("outcome_amount")
+    out = t.customer.select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey").cast("string")).alias("outcome_id"), key.alias("outcome_key"), amount)
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string")).alias("entity_id"), key.alias("name_key"), F.col("c_acctbal").alias("amount")
     )
