@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import random
 from math import factorial
 
@@ -17,6 +18,7 @@ from tidemark.ml import cox, crossfit, explain, pinball
 from tidemark.ml import models as M
 from tidemark.ml import stages as S
 from tidemark.operators import ranks, splits
+from tidemark.plans import QUERIES
 
 ROWS = "entity long, yr int, a double, b double, kind string, y double, w double"
 
@@ -215,6 +217,34 @@ def test_concordance_with_all_its_buckets(spark):
     assert (found["pairs"], round(found["concordance"], 12)) == (right + wrong, round(right / (right + wrong), 12))
 
 
+def test_concordance_of_all_pairs(spark, monkeypatch):
+    """No pair is left out, whether its risks are near or one range or one duration holds many rows; in one range and in several."""
+    rng = random.Random(8)
+    near = [(i / 1000, float(rng.randrange(30))) for i in range(320)]
+    ties = [(float(rng.randrange(3)), float(rng.randrange(200))) for _ in range(300)] + [(5.0, 7.0)] * 400
+    spread = [(rng.gauss(0, 1), rng.expovariate(1)) for _ in range(500)]
+    for rows in (near, ties, spread):
+        right = sum(1 for a, b in itertools.product(rows, rows) if a[0] > b[0] and a[1] < b[1])
+        wrong = sum(1 for a, b in itertools.product(rows, rows) if a[0] > b[0] and a[1] > b[1])
+        df = spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "risk double, t double").repartition(5)
+        for size in (250_000, 50, 1):
+            monkeypatch.setattr(cox, "TASK_ROWS", size)
+            found = cox.concordance(df, "risk", "t", buckets=None).first()
+            assert found["pairs"] == right + wrong and math.isclose(found["concordance"], right / (right + wrong), rel_tol=1e-12)
+    assert tuple(cox.concordance(df.limit(0), "risk", "t", buckets=None).first()) == (None, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_hazard_ratios_count_all_pairs(spark, monkeypatch):
+    """The plan tells the concordance of all pairs of its rows, also of those whose risks are near."""
+    seen, counted = [], cox.concordance
+    monkeypatch.setattr(cox, "concordance", lambda df, *a, **k: seen.append(df) or counted(df, *a, **k))
+    told = {r["concordance"] for r in QUERIES["hazard_ratios"](spark, "/root/testdata/sf0.001").collect()}
+    a, t = (np.array(x) for x in zip(*seen[0].select("log_hazard_ratio", "days").collect(), strict=True))
+    right, wrong = (sum(int(((a < a[i]) & far[i]).sum()) for i in range(len(a))) for far in (t > t[:, None], t < t[:, None]))
+    assert told == {round(right / (right + wrong), 4)}
+
+
 def test_many_ties_cost_no_more_than_few(spark):
     """Shares of tied events: the series against term by term, up to a risk set that ends whole, in a bounded number of terms."""
     ties = [(1, 1.0), (150, 0.5), (200, 1.0), (201, 1.0), (5_000, 1.0), (5_000, 0.3), (40_000, 1e-4), (40_000, 0.0)]
