@@ -476,3 +476,60 @@ def test_rows_of_a_forest_are_dealt_over_tasks_of_bounded_size(spark, rows, monk
     model.write().save(f"file://{tmp_path}/forest")
     told = lambda m: sorted(r["prediction"] for r in M.predict(m, rows, features).collect())
     assert told(PipelineModel.load(f"file://{tmp_path}/forest")) == told(model)
+
+
+# Packed rows
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Many rows of few different features, one of them missing at times."""
+    rng = random.Random(11)
+    out = []
+    for i in range(4000):
+        a, b, kind = float(rng.randrange(6)), rng.choice([None, 1.0, 2.0]), rng.choice(["x", "y", "y"])
+        out.append((i, 2010 + i % 4, a, b, kind, 10 * a * a + (30.0 if kind == "x" else 5.0) + 9 * (b or 0) + rng.gauss(0, 5), rng.choice([0.0, 0.5, 1.0])))
+    return spark.createDataFrame(out, ROWS).repartition(3)
+
+
+def fitted_plainly(rows, estimator):
+    """Without packing, as pyspark.ml fits it on the rows."""
+    return PipelineModel([*(before := M.Pipeline(stages=M.stages(FEATURES)).fit(M.prepared(rows, FEATURES))).stages, estimator.fit(before.transform(M.prepared(rows, FEATURES)))])
+
+
+def test_packed_rows_give_the_same_lines_and_trees(spark, repeated, rows):
+    families = M.families("y", "w")
+    packs = M.packed(M.prepared(repeated, FEATURES), FEATURES, "y", "w")
+    assert packs.count() <= 2 * 36 and M.packed(M.prepared(rows, FEATURES), FEATURES, "y", "w") is None
+    line, plain = M.fit(repeated, FEATURES, families["linear"]).stages[-1], fitted_plainly(repeated, families["linear"]).stages[-1]
+    assert np.allclose([*line.coefficients, line.intercept], [*plain.coefficients, plain.intercept], rtol=1e-9, atol=1e-9)
+    said = lambda model: np.array([r[0] for r in M.predict(model, repeated, FEATURES).orderBy("entity").select("prediction").collect()])
+    assert np.allclose(said(M.fit(repeated, FEATURES, families["boosted"])), said(fitted_plainly(repeated, families["boosted"])), rtol=1e-9)
+    part = M.Training(repeated, FEATURES, [families["linear"]], ("yr",)).where(F.col("yr") < 2012).fit(families["linear"]).stages[-1]
+    other = fitted_plainly(repeated.where("yr < 2012"), families["linear"]).stages[-1]
+    assert np.allclose([*part.coefficients, part.intercept], [*other.coefficients, other.intercept], rtol=1e-9, atol=1e-9)
+    with pytest.raises(Exception, match="(?i)label"):
+        M.fit(repeated.withColumn("y", F.when(F.col("entity") > 7, F.col("y"))), FEATURES, families["linear"])
+
+
+def test_trees_fitted_apart_are_those_of_what_they_draw(spark, repeated):
+    """Draws are by row; a booster's leaves hold their least number of rows, in a round that needs counting and in one that doesn't."""
+    rows = M.prepared(repeated, FEATURES)
+    found = M._drawn(rows, FEATURES, "y", "w", 40, 7, None).collect()
+    whole = {r["m"]: (r["n"], r["w"]) for r in rows.groupBy(M._mark(FEATURES).alias("m")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
+    assert {r["_mark"] for r in found} == whole.keys()
+    n = np.array([[r[f"n{i}"] - whole[r["_mark"]][0] for i in range(40)] for r in found])
+    expected = sum(x for x, _ in whole.values())
+    assert abs(n.sum()) < 5 * math.sqrt(40 * expected) and 0.7 < (n**2).mean(axis=1).sum() / expected < 1.3  # Poisson, row by row
+    half = M._drawn(rows, FEATURES, "y", None, 5, 7, 1.0).collect()
+    assert all(r["n3"] == r["w3"] == whole[r["_mark"]][0] for r in half)
+    forest = M.families("y", "w")["forest"]
+    apart, plain = M.Training(repeated, FEATURES, [forest], apart=True).fit(forest), fitted_plainly(repeated, forest)
+    said = lambda model: np.array([r[0] for r in M.predict(model, repeated, FEATURES).orderBy("entity").select("prediction").collect()])
+    far = np.abs(said(apart) - said(plain))
+    assert far.mean() < 6 < said(plain).std() and set(M.predict(apart, repeated, FEATURES).columns) == set(M.predict(plain, repeated, FEATURES).columns)
+    assert M.importance(apart, FEATURES, repeated)[0][0] == M.importance(plain, FEATURES, repeated)[0][0] == "a"
+    for least in (80, 900):
+        whole = GBTRegressor(featuresCol="features", labelCol="y", weightCol="w", maxIter=6, stepSize=0.1, maxDepth=3, minInstancesPerNode=least, subsamplingRate=1.0, seed=7)
+        rounds = M.Training(repeated.where("w > 0"), FEATURES, [whole], apart=True).fit(whole)
+        assert np.allclose(said(rounds), said(fitted_plainly(repeated.where("w > 0"), whole)), rtol=1e-9)

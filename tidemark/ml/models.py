@@ -6,16 +6,22 @@ residuals, ``stages`` and ``promoted`` composed models.
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import AFTSurvivalRegression, DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import aggregates as A
 from tidemark.operators import ranks
+from tidemark.operators.tables import stored
 
 
 @dataclass(frozen=True)
@@ -67,13 +73,205 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if tasks > 1 else df
 
 
+#: Rows are packed where they are at least so many times as many as their different features.
+PACKED_TIMES = 8
+#: Rows whose draws a task makes at once.
+DRAWN_ROWS = 500_000
+
+
+def _sums_suffice(estimator) -> bool:
+    """Whether a fit reads no more of rows of equal features than the sums of their weights, labels and squared labels: least squares,
+    and boosted trees that draw no rows and count none in a leaf."""
+    if isinstance(estimator, LinearRegression):
+        return estimator.getLoss() == "squaredError"
+    plain = isinstance(estimator, GBTRegressor) and estimator.getLossType() == "squared" and not estimator.isDefined("validationIndicatorCol")
+    return plain and estimator.getSubsamplingRate() == 1 and estimator.getMinInstancesPerNode() == 1
+
+
+def _columns(estimator) -> tuple[str, str | None]:
+    return estimator.getLabelCol(), estimator.getWeightCol() if estimator.isSet("weightCol") else None
+
+
+def _keys(features: Features, by: tuple = ()) -> list[str]:
+    return list(dict.fromkeys([*by, *features.numeric, *features.categorical]))
+
+
+def _mark(features: Features):
+    """A hash that tells prepared rows of different features apart, nulls included."""
+    return F.xxhash64(*features.numeric, *(f"{n}_missing" for n in features.numeric), *features.categorical)
+
+
+def packed(rows: DataFrame, features: Features, label: str, weight: str | None, by: tuple = ()) -> DataFrame | None:
+    """Prepared rows, with those of equal features (and columns ``by``) as two, or one where labels agree, of the same weight, mean
+    and variance of labels; weight as ``_weight``, ``_rows`` in proportion to their number. None where too few rows share their
+    features. A missing label or weight, and a weight below 0, stay, for the fit to refuse."""
+    keys = _keys(features, by)
+    n, different = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*keys))).first()
+    if n < PACKED_TIMES * different:
+        return None
+    y, w = F.col(label).cast("double"), F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    whole = (F.count(y) == F.count("*")) & (F.count(w) == F.count("*"))
+    sums = rows.groupBy(*keys).agg(
+        F.when(whole, F.when(F.min(w) < 0, F.min(w)).otherwise(F.sum(w))).alias("_weight"), F.sum(w * y).alias("_s"), F.sum(w * y * y).alias("_q"),
+        F.avg(y).alias("_plain"), F.count("*").alias("_n"),
+    )
+    mean = F.when(F.col("_weight").isNotNull(), F.coalesce(F.try_divide("_s", "_weight"), "_plain"))
+    square = F.col("_mean") * F.col("_mean")
+    off = F.sqrt(F.greatest(F.coalesce(F.try_divide("_q", "_weight"), square) - square, F.lit(0.0)))
+    both = F.array_distinct(F.array(F.col("_mean") - F.col("_off"), F.col("_mean") + F.col("_off")))
+    told = sums.withColumn("_mean", mean).withColumn("_off", off).withColumn("_both", both)
+    flags = [F.col(n).isNull().cast("double").alias(f"{n}_missing") for n in features.numeric]
+    rows_each = F.when(F.size("_both") == 2, F.col("_n")).otherwise(2 * F.col("_n")).alias("_rows")
+    return stored(told.select(*keys, *flags, rows_each, (F.col("_weight") / F.size("_both")).alias("_weight"), F.explode("_both").alias(label)), "packed")
+
+
+def _prepared_by(packs: DataFrame, features: Features) -> PipelineModel:
+    """``stages`` as fitted on the rows that were packed: medians and orders of categories from numbers of rows."""
+    out = []
+    for stage in stages(features):
+        if isinstance(stage, Imputer):
+            known = {x: F.nanvl(F.col(x), F.lit(None).cast("double")) for x in features.numeric}
+            middle = packs.select(*(v.alias(x) for x, v in known.items()), "_rows").agg(*(F.expr(f"percentile(`{x}`, 0.5D, _rows)").alias(x) for x in known)).first()
+            model = stage.fit(packs.agg(*(F.max(F.when(v <= F.lit(middle[x]), v)).alias(x) for x, v in known.items())))  # the lower of two
+        elif isinstance(stage, StringIndexer):
+            counts = (packs.groupBy(c).agg(F.sum("_rows").alias("_n")).orderBy(F.desc("_n"), c) for c in features.categorical)
+            labels = [[r[0] for r in found.collect()] for found in counts]  # a row a category
+            model = StringIndexerModel.from_arrays_of_labels(labels, stage.getInputCols(), stage.getOutputCols(), stage.getHandleInvalid())
+        else:
+            model = stage.fit(packs) if isinstance(stage, OneHotEncoder) else stage
+        packs = model.transform(packs)
+        out.append(model)
+    return PipelineModel(out)
+
+
+def _apart(estimator) -> bool:
+    """Whether its trees can be fitted apart, each on sums of the rows that it draws: a forest's, and those of a booster by rounds."""
+    if isinstance(estimator, RandomForestRegressor):
+        return estimator.getBootstrap() and estimator.getSubsamplingRate() == 1 and estimator.getMinInstancesPerNode() == 1 and estimator.getNumTrees() > 1
+    return isinstance(estimator, GBTRegressor) and estimator.getLossType() == "squared" and not estimator.isDefined("validationIndicatorCol") and estimator.getFeatureSubsetStrategy() in ("auto", "all")
+
+
+def _drawn(rows: DataFrame, features: Features, label: str, weight: str | None, trees: int, seed: int, share: float | None) -> DataFrame:
+    """``_mark`` of the features and, for each tree, the sums ``n0``, ... of rows, ``w0``, ... of weights and ``s0``, ... of weighted labels
+    over what it draws. Each row is drawn for itself: with this share as its chance, or, without one, a number of times that is
+    Poisson with mean 1, as a forest's bootstrap does."""
+    names = [f"{k}{i}" for k in "nws" for i in range(trees)]
+
+    def run(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+
+        def sums(held):
+            mark, w, y = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+            marks, place = np.unique(mark, return_inverse=True)
+            found = {"_mark": marks}
+            for i in range(trees):
+                n = rng.poisson(1.0, len(w)) if share is None else (rng.random(len(w)) < share).astype(np.int64)
+                found[f"n{i}"], found[f"w{i}"], found[f"s{i}"] = (np.bincount(place, weights=x, minlength=len(marks)) for x in (n, n * w, n * w * y))
+            return pa.RecordBatch.from_pydict({c: found[c] for c in ("_mark", *names)})
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= DRAWN_ROWS:
+                yield sums(held)
+                held, n = [], 0
+        if n:
+            yield sums(held)
+
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    given = rows.select(_mark(features).alias("_mark"), w.alias("w"), F.col(label).cast("double").alias("y"))
+    found = given.mapInArrow(run, ", ".join(["_mark long", *(f"{c} double" for c in names)]))
+    return found.groupBy("_mark").agg(*(F.sum(c).alias(c) for c in names))
+
+
+class Training:
+    """Rows to fit these estimators on. What prepares features is fitted once; rows of equal features are packed once, where they all
+    have one label and weight, also for parts of the rows that conditions on the columns ``by`` make. With ``apart``, a forest on
+    packed rows is one of trees fitted apart, and a booster that draws rows or counts them in leaves is one of rounds fitted apart."""
+
+    def __init__(self, df: DataFrame, features: Features, estimators: list, by: tuple = (), apart: bool = False):
+        self.features, self.rows, self.packs, self.fitted, self.apart = features, prepared(df, features), None, None, apart
+        columns = {_columns(e) for e in estimators if isinstance(e, (LinearRegression, *HOLDING))}
+        if len(columns) == 1 and _keys(features) and any(_sums_suffice(e) or apart and _apart(e) for e in estimators):
+            self.columns = columns.pop()
+            self.packs = packed(self.rows, features, *self.columns, by)
+
+    def where(self, condition) -> Training:
+        part = copy(self)
+        part.rows, part.packs, part.fitted = self.rows.where(condition), None if self.packs is None else self.packs.where(condition), None
+        return part
+
+    @property
+    def before(self) -> PipelineModel:
+        if self.fitted is None:
+            self.fitted = Pipeline(stages=stages(self.features)).fit(self.rows) if self.packs is None else _prepared_by(self.packs, self.features)
+        return self.fitted
+
+    def fit(self, estimator) -> PipelineModel:
+        rows = self.rows
+        if self.packs is not None and _sums_suffice(estimator):
+            rows, estimator = self.packs, estimator.copy({estimator.weightCol: "_weight"})
+        elif self.packs is not None and self.apart and _apart(estimator):
+            return self._forest(estimator) if isinstance(estimator, RandomForestRegressor) else self._rounds(estimator)
+        rows = self.before.transform(rows)
+        if isinstance(estimator, HOLDING):
+            label, weight = _columns(estimator)
+            rows = dealt(rows.select("features", label, *([weight] if weight else [])))
+        return PipelineModel([*self.before.stages, estimator.fit(rows)])
+
+    def _sums(self, estimator, trees: int, share: float | None) -> DataFrame:
+        kinds = self.packs.select(*_keys(self.features), *(f"{x}_missing" for x in self.features.numeric)).distinct().withColumn("_mark", _mark(self.features))
+        sums = _drawn(self.rows, self.features, *self.columns, trees, estimator.getSeed(), share)
+        return stored(sums.join(self.before.transform(kinds).select("_mark", "features"), "_mark"), "drawn")
+
+    def _together(self, trees: list, each: list[float], estimator) -> PipelineModel:
+        names = [f"_tree{i}" for i in range(len(trees))]
+        total = " + ".join(f"{x!r}D * {name}" for x, name in zip(each, names, strict=True))
+        whole = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(names)}), {total} AS {estimator.getPredictionCol()} FROM __THIS__")
+        return PipelineModel([*self.before.stages, *trees, whole])
+
+    def _forest(self, estimator) -> PipelineModel:
+        n, way = estimator.getNumTrees(), estimator.getFeatureSubsetStrategy()
+        sums = self._sums(estimator, n, None)
+        settings = {estimator.numTrees: 1, estimator.bootstrap: False, estimator.featureSubsetStrategy: "onethird" if way == "auto" else way, estimator.labelCol: "_y", estimator.weightCol: "_w"}
+
+        def tree(i: int):
+            own = sums.where(F.col(f"w{i}") > 0).select("features", (F.col(f"s{i}") / F.col(f"w{i}")).alias("_y"), F.col(f"w{i}").alias("_w"))
+            return estimator.copy({**settings, estimator.seed: estimator.getSeed() + i, estimator.predictionCol: f"_tree{i}"}).fit(dealt(own))
+
+        with ThreadPool(4) as pool:
+            trees = pool.map(inheritable_thread_target(sums.sparkSession)(tree), range(n))
+        return self._together(trees, [1 / n] * n, estimator)
+
+    def _rounds(self, estimator) -> PipelineModel:
+        """Each round's tree is fitted without the least number of rows in a leaf. If all its leaves have that many, it is the tree that
+        would be found with it; else it is fitted again, where features of that many rows or more stand as just so many, and
+        others as many as they have."""
+        n, step, least = estimator.getMaxIter(), estimator.getStepSize(), estimator.getMinInstancesPerNode()
+        rows = self._sums(estimator, n, estimator.getSubsamplingRate()).withColumn("_f", F.lit(0.0))
+        trees, each = [], [1.0] + [step] * (n - 1)  # as Spark's booster: the first tree counts whole
+        for i in range(n):
+            left = F.col(f"s{i}") / F.col(f"w{i}") - F.col("_f")
+            own = rows.where(F.col(f"w{i}") > 0).select("features", (left if i == 0 else 2 * left).alias("_y"), F.col(f"w{i}").alias("_w"), F.col(f"n{i}").alias("_n"))
+            single = DecisionTreeRegressor(
+                featuresCol="features", labelCol="_y", weightCol="_w", predictionCol=f"_tree{i}", maxDepth=estimator.getMaxDepth(), maxBins=estimator.getMaxBins(),
+                minInfoGain=estimator.getMinInfoGain(), minWeightFractionPerNode=estimator.getMinWeightFractionPerNode(), seed=estimator.getSeed() + i,
+            )
+            tree = single.fit(dealt(own))
+            if least > 1:
+                leaves = tree.copy({tree.leafCol: "_leaf"}).transform(own).groupBy("_leaf").agg(F.sum("_n").alias("_n"))
+                if leaves.agg(F.min("_n")).first()[0] < least:
+                    k = F.least(F.col("_n"), F.lit(least)).cast("int")
+                    counted = own.select("features", "_y", F.explode(F.array_repeat(F.col("_w") / k, k)).alias("_w"))
+                    tree = single.copy({single.minInstancesPerNode: least}).fit(dealt(counted))
+            rows = stored(tree.transform(rows).withColumn("_f", F.col("_f") + each[i] * F.col(f"_tree{i}")).drop(f"_tree{i}"), "round")
+            trees.append(tree)
+        return self._together(trees, each, estimator)
+
+
 def fit(df: DataFrame, features: Features, estimator) -> PipelineModel:
-    rows = prepared(df, features)
-    if not isinstance(estimator, HOLDING):
-        return Pipeline(stages=[*stages(features), estimator]).fit(rows)
-    before = Pipeline(stages=stages(features)).fit(rows)
-    used = ["features", estimator.getLabelCol(), *([estimator.getWeightCol()] if estimator.isSet("weightCol") else [])]
-    return PipelineModel([*before.stages, estimator.fit(dealt(before.transform(rows).select(*used)))])
+    return Training(df, features, [estimator]).fit(estimator)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Features, out: str = "prediction") -> DataFrame:
@@ -86,14 +284,15 @@ def selected(train: DataFrame, features: Features, label: str, weight: str, year
     early, late = train.where(F.col(year) < last), train.where(F.col(year) == last)
     if early.limit(10).count() < 10:
         early = late = train  # too few rows to hold a year out
-    scores = []
-    for place, (name, estimator) in enumerate(families(label, weight).items()):
-        held = predict(fit(early, features, estimator), late, features)
+    scores, tried = [], families(label, weight)
+    seen = Training(early, features, list(tried.values()), apart=True)
+    for place, (name, estimator) in enumerate(tried.items()):
+        held = predict(seen.fit(estimator), late, features)
         m = held.agg(*(v.alias(k) for k, v in A.regression_metrics(label, "prediction", weight).items())).first()
         scores.append((name, place, m["mae"], m["rmse"], m["r2"], m["rows"]))
     table = train.sparkSession.createDataFrame(scores, "family string, place int, mae double, rmse double, r2 double, rows long")
     name = min(scores, key=lambda s: (s[2], s[1]))[0]
-    return name, fit(train, features, families(label, weight)[name]), table
+    return name, Training(train, features, list(tried.values()), apart=True).fit(tried[name]), table
 
 
 def ablations(train: DataFrame, test: DataFrame, features: Features, label: str, weight: str, groups: dict[str, tuple[str, ...]]) -> list[tuple]:
@@ -109,7 +308,11 @@ def ablations(train: DataFrame, test: DataFrame, features: Features, label: str,
 def importance(model: PipelineModel, features: Features, df: DataFrame) -> list[tuple[str, float]]:
     """Shares of the source features, summed over what was made of each; absolute coefficients where there are no gains."""
     last = model.stages[-1]
-    gains = last.featureImportances if hasattr(last, "featureImportances") else [abs(x) for x in last.coefficients]
+    trees = [x.featureImportances.toArray() for x in model.stages if isinstance(x, RandomForestRegressionModel)]  # of one forest, or of trees fitted apart
+    if trees:
+        gains = sum(trees) / len(trees)
+    else:
+        gains = last.featureImportances if hasattr(last, "featureImportances") else [abs(x) for x in last.coefficients]
     attrs = model.transform(prepared(df.limit(1), features)).schema["features"].metadata["ml_attr"]["attrs"]
     total: dict[str, float] = {}
     for a in (x for kind in attrs.values() for x in kind):
@@ -172,7 +375,9 @@ def best_blend(df: DataFrame, predictions: list[str], label: str, weight: str, s
 def stacked(train: DataFrame, test: DataFrame, features: Features, label: str, weight: str, year: str) -> DataFrame:
     """Families fitted before the last year, a linear model over their predictions of it, applied to test."""
     last = train.agg(F.max(year)).first()[0]
-    models = {n: fit(train.where(F.col(year) < last), features, e) for n, e in families(label, weight).items()}
+    tried = families(label, weight)
+    seen = Training(train.where(F.col(year) < last), features, list(tried.values()), apart=True)
+    models = {n: seen.fit(e) for n, e in tried.items()}
 
     def layered(df: DataFrame) -> DataFrame:
         for n, m in models.items():
