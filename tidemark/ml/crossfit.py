@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import expr as X
-from tidemark.ml.models import Features, fit, predict
+from tidemark.ml.models import Features, Training, predict
 from tidemark.operators import aggregates as A
 from tidemark.operators import splits
 from tidemark.operators.tables import stored
@@ -51,13 +51,13 @@ def out_of_fold_means(rows: DataFrame, by: list[str], entity: str, label: str, w
     return numbered.join(means, same, "left").drop("_fold", *(f"_k{i}" for i in range(len(by))))
 
 
-def _scored(rows: DataFrame, parts: list[tuple[int, Column, Column]], features: Features, estimators: dict, fold: str) -> DataFrame:
+def _scored(rows: DataFrame, parts: list[tuple[int, Column, Column]], features: Features, estimators: dict, fold: str, training: Training) -> DataFrame:
     """Each part's rows (third) by models of other rows (second), a column for each of the estimators; together, stored."""
     found = []
     for number, seen, own in parts:
-        held = rows.where(own)
+        held, others = rows.where(own), training.where(seen)
         for name, estimator in estimators.items():
-            held = predict(fit(rows.where(seen), features, estimator), held, features, name).drop(*(f"{x}_missing" for x in features.numeric))
+            held = predict(others.fit(estimator), held, features, name).drop(*(f"{x}_missing" for x in features.numeric))
         found.append(held.withColumn(fold, F.lit(number)))
     return stored(reduce(DataFrame.unionByName, found), "out-of-fold")
 
@@ -69,18 +69,19 @@ def out_of_fold(rows: DataFrame, features: Features, entity: str, estimator, fol
     if len(present) < 2:
         raise ValueError("cross-fitting needs entities in two folds")
     parts = [(k, F.col("_fold") != k, F.col("_fold") == k) for k in present]
-    return _scored(numbered, parts, features, {prediction: estimator}, fold).drop("_fold")
+    return _scored(numbered, parts, features, {prediction: estimator}, fold, Training(numbered, features, [estimator], ("_fold",))).drop("_fold")
 
 
-def rolling_out_of_fold(rows: DataFrame, features: Features, year: str, entity: str, estimator, folds: int = 3, prediction: str = "prediction", fold: str = "fold") -> DataFrame:
+def rolling_out_of_fold(rows: DataFrame, features: Features, year: str, entity: str, estimator, folds: int = 3, prediction: str = "prediction", fold: str = "fold", training: Training | None = None) -> DataFrame:
     """The rows of the last years that have enough entities, each year predicted from all before it. Less than two such years
     are an error: a correction learned on one year alone says nothing of the next. For several estimators at once, give a dict by
-    name of the column."""
+    name of the column. ``training`` may be given if the rows are packed by year already."""
     found = splits.rolling_folds(rows, year, entity, folds)
     if len(found) < 2:
         raise ValueError("out-of-fold rows need two years with enough entities before them")
     estimators = estimator if isinstance(estimator, dict) else {prediction: estimator}
-    return _scored(rows, [(y, F.col(year) < y, F.col(year) == y) for y in found], features, estimators, fold)
+    training = training or Training(rows, features, list(estimators.values()), (year,))
+    return _scored(rows, [(y, F.col(year) < y, F.col(year) == y) for y in found], features, estimators, fold, training)
 
 
 def cap(rows: DataFrame, residual: str, weight: str, q: float = 0.9) -> DataFrame:
@@ -105,7 +106,8 @@ def residual_booster(oof: DataFrame, features: Features, label: str, weight: str
     own = Features(tuple(dict.fromkeys((*features.numeric, "base_prediction"))), features.categorical)
     rows = rows.withColumnRenamed(prediction, "base_prediction")
     bound = cap(rows, "_residual", weight).first()["cap"]
-    return fit(rows.where(F.col(weight) > 0), own, estimator or booster("_residual", weight)), own, bound
+    estimator = estimator or booster("_residual", weight)
+    return Training(rows.where(F.col(weight) > 0), own, [estimator], apart=True).fit(estimator), own, bound
 
 
 def boosted(df: DataFrame, model: PipelineModel, features: Features, bound: float, prediction: str = "prediction", least: float | None = None) -> DataFrame:
@@ -120,9 +122,10 @@ def booster_gain(rows: DataFrame, features: Features, label: str, weight: str, y
     base predictions come from all earlier rows; its bound, rows and both errors."""
     last = rows.agg(F.max(year)).first()[0]
     early, late = rows.where(F.col(year) < last), rows.where(F.col(year) == last)
-    oof = rolling_out_of_fold(early, features, year, entity, estimator, folds)
+    training = Training(early, features, [estimator], (year,))
+    oof = rolling_out_of_fold(early, features, year, entity, estimator, folds, training=training)
     model, own, bound = residual_booster(oof, features, label, weight)
-    base = predict(fit(early, features, estimator), late, features)
+    base = predict(training.fit(estimator), late, features)
     base = base.drop(*(f"{x}_missing" for x in features.numeric))
     both = boosted(base, model, own, bound, least=least)
     mae = lambda p: A.regression_metrics(label, p, weight)["mae"]
